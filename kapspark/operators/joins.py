@@ -1,0 +1,22 @@
+"""Join helpers: broadcast only behind a bounded size check."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def fits(df: DataFrame, row_limit: int) -> bool:
+    """True when ``df`` has at most ``row_limit`` rows.
+
+    Runs ``limit(row_limit + 1).count()``: the job stops after ``row_limit+1``
+    rows, so the check itself is bounded however large ``df`` is.
+    """
+    return df.limit(row_limit + 1).count() <= row_limit
+
+
+def small_side(df: DataFrame, row_limit: int) -> DataFrame:
+    """``broadcast(df)`` when it fits under ``row_limit`` rows, else ``df``
+    unchanged (the planner then shuffles both sides; AQE may still convert
+    or split the join at run time)."""
+    return F.broadcast(df) if fits(df, row_limit) else df
