@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kapspark import config as C
@@ -14,7 +14,6 @@ from kapspark.functions import (
     isin_key,
     money_sum,
 )
-from kapspark.sources.dims import type_map
 
 CLASS_COLUMNS = (
     "source_country",
@@ -41,33 +40,68 @@ SUMMARY_FIGURES = {
 SCOPES = ("dividend", "interest", "standalone")
 
 
-def categorize(df: DataFrame, spark: SparkSession, cfg: TaxConfig) -> DataFrame:
-    """Add ``category`` by an inner broadcast join to the (type, category) map.
+SCOPE_OF_CATEGORY = {"dividend": "dividend", "interest": "interest", "withholding_tax": "standalone"}
+
+
+def categories(cfg: TaxConfig) -> Column:
+    """Array of the categories a row's type belongs to (lists may overlap).
 
-    Overlapping type lists keep a row in each of its categories; rows of no
-    configured type drop out. The map is a handful of rows from the config.
+    Built from the configured type lists as literals: no join, and a type in
+    two lists puts its row in both categories.
     """
-    tm = type_map(spark, cfg).withColumnRenamed("type", "_tm_type")
-    return df.join(F.broadcast(tm), F.col(C.TYPE) == F.col("_tm_type"), "inner").drop("_tm_type")
+    by_cat: dict[str, list[str]] = {}
+    for t, cat in cfg.type_map_rows():
+        by_cat.setdefault(cat, []).append(t)
+    members = [F.when(F.col(C.TYPE).isin(*types), F.lit(cat)) for cat, types in by_cat.items()]
+    return F.filter(F.array(*members), lambda x: x.isNotNull())
 
 
-def classify_embedded(income: DataFrame) -> DataFrame:
-    """Classify tax embedded in dividend / interest rows (needs ``rule``)."""
-    raw = F.abs(F.coalesce(F.col("tax_eur"), F.lit(0.0)))
-    cols = classify_embedded_cols(raw, F.col("net_eur"), F.col("rule"))
-    return income.withColumns(cols)
+def categorize(df: DataFrame, spark: SparkSession, cfg: TaxConfig) -> DataFrame:
+    """One row per (booking, category); rows of no configured type drop out."""
+    return df.withColumn("category", F.explode(categories(cfg)))
+
+
+def income_scopes(df: DataFrame, cfg: TaxConfig) -> DataFrame:
+    """Every booking once per income scope it belongs to; bookings of no
+    income type are kept once with ``scope`` NULL (they still mark the
+    account-year as present)."""
+    income = {c: s for c, s in SCOPE_OF_CATEGORY.items()}
+    scopes = F.filter(
+        F.transform(
+            categories(cfg),
+            lambda c: F.when(c == "dividend", F.lit(income["dividend"]))
+            .when(c == "interest", F.lit(income["interest"]))
+            .when(c == "withholding_tax", F.lit(income["withholding_tax"])),
+        ),
+        lambda x: x.isNotNull(),
+    )
+    return df.withColumn("scope", F.explode_outer(scopes))
 
 
-def unclassified_income(income: DataFrame) -> DataFrame:
-    """Income rows of a ledger without a tax column: nothing to classify."""
+def classify_income(df: DataFrame, has_tax: bool) -> DataFrame:
+    """Tax split for every income row in one projection (needs ``scope``
+    and ``rule``): dividends and interest classify the tax embedded in the
+    booking (nothing to classify without a tax column), separate tax
+    bookings classify their own net amount. Non-income rows get NULLs."""
     zero = F.lit(0.0)
-    return income.withColumns(
-        {
-            "source_country": F.lit(None).cast("string"),
-            "treatment": F.lit(None).cast("string"),
-            **{c: zero for c in CLASS_COLUMNS[2:]},
-        }
-    )
+    embedded_raw = F.abs(F.coalesce(F.col("tax_eur"), zero)) if has_tax else zero
+    emb = classify_embedded_cols(embedded_raw, F.col("net_eur"), F.col("rule"))
+    if not has_tax:
+        emb = {**{c: zero for c in CLASS_COLUMNS[2:]}, "source_country": F.lit(None).cast("string"),
+               "treatment": F.lit(None).cast("string")}
+    sta = classify_standalone_cols(F.abs(F.coalesce(F.col("net_eur"), zero)), F.col("rule"))
+    scope = F.col("scope")
+    out = {
+        c: F.when(scope == "standalone", sta[c]).when(scope.isin("dividend", "interest"), emb[c])
+        for c in CLASS_COLUMNS
+    }
+    return df.withColumns(out)
+
+
+def classify_embedded(income: DataFrame) -> DataFrame:
+    """Classify tax embedded in dividend / interest rows (needs ``rule``)."""
+    raw = F.abs(F.coalesce(F.col("tax_eur"), F.lit(0.0)))
+    return income.withColumns(classify_embedded_cols(raw, F.col("net_eur"), F.col("rule")))
 
 
 def classify_standalone(bookings: DataFrame) -> DataFrame:
@@ -91,8 +125,12 @@ def tag_dividend_forms(dividends: DataFrame) -> DataFrame:
         .when(country == K.DOMESTIC_COUNTRY, F.lit(K.DOMESTIC_SHARE_FORM))
         .otherwise(F.lit(K.FOREIGN_SHARE_FORM))
     )
-    return dividends.withColumn("form", form).withColumn(
-        "fund_type", F.when(is_fund, rule["fund_type"]).cast("string")
+    is_div = F.col("scope") == "dividend" if "scope" in dividends.columns else F.lit(True)
+    return dividends.withColumns(
+        {
+            "form": F.when(is_div, form),
+            "fund_type": F.when(is_div & is_fund, rule["fund_type"]).cast("string"),
+        }
     )
 
 

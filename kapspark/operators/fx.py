@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kapspark import config as C
 from kapspark.config import TaxConfig
-from kapspark.operators.joins import small_side
+from kapspark.operators.joins import bounded_rows, small_dim
 
 
 def yearly_lookup(rates_yearly: DataFrame) -> DataFrame:
@@ -19,6 +21,24 @@ def yearly_lookup(rates_yearly: DataFrame) -> DataFrame:
     )
 
 
+# Yearly tables up to this many (year, currency) entries become one constant.
+YEARLY_LITERAL_LIMIT = 100_000
+
+
+def _yearly_constant(rates_yearly: DataFrame):
+    """The yearly table as one constant ``map<year, map<currency, rate>>``
+    column (folded once by the optimizer), or None when it is too large."""
+    rows = bounded_rows(rates_yearly.select("year", "currency", "rate"), YEARLY_LITERAL_LIMIT)
+    if rows is None:
+        return None
+    by_year: dict[str, dict[str, float]] = {}
+    for r in rows:
+        if r["year"] is None or r["currency"] is None or r["rate"] is None:
+            continue
+        by_year.setdefault(str(int(r["year"])), {})[str(r["currency"]).upper()] = float(r["rate"])
+    return F.from_json(F.lit(json.dumps(by_year)), "map<string,map<string,double>>")
+
+
 def fx_convert(
     ledger: DataFrame,
     rates_daily: DataFrame | None,
@@ -30,18 +50,21 @@ def fx_convert(
     Rate choice per booking: EUR -> 1; the daily rate of the booking's date;
     else the yearly rate of its year; a currency missing from a known year
     -> 1 (``assumed_1``); an unknown year -> NULL (``missing``, an issue).
-    One pair of broadcast joins serves every money column. ``cfg.offline``
-    or ``rates_daily=None`` uses the yearly table only.
+    The daily table is one broadcast hash join (after a size check) serving
+    every money column; the yearly table is a folded constant map.
+    ``cfg.offline`` or ``rates_daily=None`` uses the yearly table only.
     """
     has_tax = C.TAX in ledger.columns if cfg.has_tax_column is None else cfg.has_tax_column
     df = ledger.withColumn(C.TAX_YEAR, F.year(C.TS))
     if rates_daily is not None and not cfg.offline:
-        daily = rates_daily.select(
-            F.col("rate_date").alias("_fx_date"),
-            F.col("currency").alias("_fx_cur"),
-            F.col("rate").alias("_fx_daily"),
+        daily = small_dim(
+            rates_daily.select(
+                F.col("rate_date").alias("_fx_date"),
+                F.col("currency").alias("_fx_cur"),
+                F.col("rate").alias("_fx_daily"),
+            ),
+            cfg.broadcast_row_limit,
         )
-        daily = small_side(daily, cfg.broadcast_row_limit)
         df = df.join(
             daily,
             (F.to_date(F.col(C.TS)) == F.col("_fx_date")) & (F.col(C.CURRENCY) == F.col("_fx_cur")),
@@ -49,8 +72,11 @@ def fx_convert(
         ).drop("_fx_date", "_fx_cur")
     else:
         df = df.withColumn("_fx_daily", F.lit(None).cast("double"))
-    # At most one row per calendar year: always small.
-    df = df.join(F.broadcast(yearly_lookup(rates_yearly)), F.col(C.TAX_YEAR) == F.col("fx_year"), "left")
+    const = _yearly_constant(rates_yearly)
+    if const is not None:
+        df = df.withColumn("fx_year_rates", F.try_element_at(const, F.col(C.TAX_YEAR).cast("string")))
+    else:
+        df = df.join(F.broadcast(yearly_lookup(rates_yearly)), F.col(C.TAX_YEAR) == F.col("fx_year"), "left")
     yearly = F.try_element_at(F.col("fx_year_rates"), F.col(C.CURRENCY))
     source = (
         F.when(F.col(C.CURRENCY) == "EUR", F.lit("eur"))
@@ -65,11 +91,10 @@ def fx_convert(
         .when(source == "yearly", yearly)
         .when(source == "assumed_1", F.lit(1.0))
     )
-    df = df.withColumn("fx_source", source).withColumn("fx_rate", rate)
-    df = df.withColumn("net_eur", F.col(C.NET) / F.col("fx_rate"))
+    cols = {"fx_source": source, "fx_rate": rate, "net_eur": F.col(C.NET) / rate}
     if has_tax:
-        df = df.withColumn("tax_eur", F.col(C.TAX) / F.col("fx_rate"))
-    return df.drop("_fx_daily", "fx_year", "fx_year_rates")
+        cols["tax_eur"] = F.col(C.TAX) / rate
+    return df.withColumns(cols).drop("_fx_daily", "fx_year", "fx_year_rates")
 
 
 def gross_up(df: DataFrame, has_tax: bool) -> DataFrame:

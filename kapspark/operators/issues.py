@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from kapspark import config as C
 from kapspark import constants as K
 from kapspark.config import TaxConfig
-from kapspark.operators.joins import small_side
 
 
 class LedgerIssuesError(ValueError):
@@ -146,8 +145,9 @@ def valid_rules(rules: DataFrame, cfg: TaxConfig) -> DataFrame:
         sample = issues.limit(20).collect()
         if sample:
             raise LedgerIssuesError(f"invalid tax rules: {[tuple(r) for r in sample]}", sample)
-    bad = issues.select("kind", "key").distinct()
-    return rules.join(small_side(bad, cfg.broadcast_row_limit), ["kind", "key"], "left_anti")
+    bad = issues.select(F.col("kind").alias("_bk"), F.col("key").alias("_bkey")).distinct()
+    cond = F.col("kind").eqNullSafe(F.col("_bk")) & F.col("key").eqNullSafe(F.col("_bkey"))
+    return rules.join(bad, cond, "left_anti")
 
 
 def enforce(issues: DataFrame, cfg: TaxConfig) -> DataFrame | None:

@@ -1,4 +1,12 @@
-"""Join helpers: broadcast only behind a bounded size check."""
+"""Dimension handling: broadcast only behind a bounded size check.
+
+A dimension that passes the check is materialised once into a local
+relation. That is what a broadcast exchange does anyway (the build side goes
+through the driver), but doing it up front keeps the dimension's own plan
+(generation, validation, de-duplication) out of every query that uses it.
+A dimension that fails the check stays a distributed frame and is joined
+with a shuffle (AQE may still convert or split the join at run time).
+"""
 
 from __future__ import annotations
 
@@ -15,8 +23,23 @@ def fits(df: DataFrame, row_limit: int) -> bool:
     return df.limit(row_limit + 1).count() <= row_limit
 
 
+def bounded_rows(df: DataFrame, row_limit: int) -> list | None:
+    """The rows of ``df`` when there are at most ``row_limit`` of them, else
+    None. Reads at most ``row_limit + 1`` rows."""
+    rows = df.limit(row_limit + 1).collect()
+    return rows if len(rows) <= row_limit else None
+
+
+def small_dim(df: DataFrame, row_limit: int) -> DataFrame:
+    """``broadcast`` of a local copy of ``df`` when it has at most
+    ``row_limit`` rows; ``df`` itself (shuffle join) otherwise."""
+    rows = bounded_rows(df, row_limit)
+    if rows is None:
+        return df
+    spark = df.sparkSession
+    return F.broadcast(spark.createDataFrame(rows, df.schema))
+
+
 def small_side(df: DataFrame, row_limit: int) -> DataFrame:
-    """``broadcast(df)`` when it fits under ``row_limit`` rows, else ``df``
-    unchanged (the planner then shuffles both sides; AQE may still convert
-    or split the join at run time)."""
+    """``broadcast(df)`` when it fits under ``row_limit`` rows, else ``df``."""
     return F.broadcast(df) if fits(df, row_limit) else df

@@ -45,46 +45,43 @@ FIGURES = (
 )
 
 
-def _facts(presence: DataFrame, classified: DataFrame, sales: DataFrame) -> DataFrame:
-    nul_d = F.lit(None).cast("double")
-    nul_s = F.lit(None).cast("string")
+_FIGURE_COLS = ("credit_eur", "excess_eur", "domestic_eur", "kest_eur", "soli_eur", "unclassified_eur",
+                "swiss_refundable_eur")
 
-    def shape(df: DataFrame, kind: Column, gross: Column, form: Column, figures: dict[str, Column], result: Column):
-        return df.select(
-            *KEYS,
-            kind.alias("kind"),
-            gross.alias("gross_eur"),
-            form.alias("form"),
-            *[figures.get(f, nul_d).alias(f) for f in ("credit_eur", "excess_eur", "domestic_eur", "kest_eur",
-                                                       "soli_eur", "unclassified_eur", "swiss_refundable_eur")],
-            result.alias("result_eur"),
-        )
 
-    cls_fig = {
-        f: F.col(f)
-        for f in ("credit_eur", "excess_eur", "domestic_eur", "kest_eur", "soli_eur", "unclassified_eur",
-                  "swiss_refundable_eur")
-    }
-    return (
-        shape(presence, F.lit("row"), nul_d, nul_s, {}, nul_d)
-        .unionByName(shape(classified, F.col("scope"), F.col("gross_eur"), F.col("form"), cls_fig, nul_d))
-        .unionByName(shape(sales, F.lit("sale"), nul_d, nul_s, {}, F.col("result_eur")))
+def _facts(rows: DataFrame, sales: DataFrame) -> DataFrame:
+    """Narrow fact rows: every booking of the year(s) (``kind`` = its income
+    scope, or ``row``) and every realised sale (``kind`` = ``sale``)."""
+    nul_d = F.lit(None).cast("double")
+    income = rows.select(
+        *KEYS,
+        F.coalesce(F.col("scope"), F.lit("row")).alias("kind"),
+        F.col("gross_eur"),
+        F.col("form"),
+        *[F.col(c) for c in _FIGURE_COLS],
+        nul_d.alias("result_eur"),
+    )
+    sold = sales.select(
+        *KEYS,
+        F.lit("sale").alias("kind"),
+        nul_d.alias("gross_eur"),
+        F.lit(None).cast("string").alias("form"),
+        *[nul_d.alias(c) for c in _FIGURE_COLS],
+        F.col("result_eur"),
     )
+    return income.unionByName(sold)
 
 
-def account_year_totals(
-    presence: DataFrame, classified: DataFrame, sales: DataFrame, has_tax: bool
-) -> DataFrame:
+def account_year_totals(rows: DataFrame, sales: DataFrame, has_tax: bool) -> DataFrame:
     """One row per account-year with every figure (exact decimals, zeros
     where nothing contributes).
 
-    ``presence``: any booking rows (account_id, tax_year) defining which
-    account-years exist. ``classified``: dividend / interest / standalone
-    rows with ``scope``, ``gross_eur``, ``form`` and the tax split.
-    ``sales``: realised sales of the year(s) (flagged ones have NULL result
-    and drop out of the sums).
+    ``rows``: every booking of the year(s) with ``scope`` (NULL for bookings
+    of no income type), ``gross_eur``, ``form`` and the tax split; they also
+    define which account-years exist. ``sales``: realised sales of the
+    year(s) (flagged ones have a NULL result and drop out of the sums).
     """
-    facts = _facts(presence, classified, sales)
+    facts = _facts(rows, sales)
     kind, form = F.col("kind"), F.col("form")
     res = F.col("result_eur")
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from kapspark import config as C
 from kapspark.config import TaxConfig
 from kapspark.functions import default_rule, isin_key, rule_struct
-from kapspark.operators.joins import small_side
+from kapspark.operators.joins import small_dim
 
 
 def _rule_of(rules: DataFrame) -> F.Column:
@@ -25,14 +25,22 @@ def _rule_of(rules: DataFrame) -> F.Column:
     )
 
 
-def resolve_rules(df: DataFrame, rules: DataFrame, cfg: TaxConfig, isin_col: str = C.ISIN) -> DataFrame:
+def resolve_rules(
+    df: DataFrame,
+    rules: DataFrame,
+    cfg: TaxConfig,
+    isin_col: str = C.ISIN,
+    only: F.Column | None = None,
+) -> DataFrame:
     """Add ``rule`` (struct or NULL) and ``rule_origin`` (security / country /
     default / NULL) to every row of ``df``.
 
     ``rules`` must be normalised and valid (``sources.rules.normalize_rules``
     plus ``operators.issues.valid_rules``). Both lookups are broadcast hash
-    joins when the rule sets pass the size check.
+    joins when the rule sets pass the size check. Rows failing ``only`` get
+    no rule and skip the lookups (their key is NULL).
     """
+    rules = small_dim(rules, cfg.broadcast_row_limit)
     security = rules.where(F.col("kind") == "security").select(
         F.col("key").alias("_rk_sec"), _rule_of(rules).alias("_rule_sec")
     )
@@ -40,17 +48,19 @@ def resolve_rules(df: DataFrame, rules: DataFrame, cfg: TaxConfig, isin_col: str
         F.col("key").alias("_rk_cty"), _rule_of(rules).alias("_rule_cty")
     )
     key = isin_key(F.col(isin_col))
+    if only is not None:
+        key = F.when(only, key)
     out = (
         df.withColumn("_rkey", key)
-        .join(small_side(security, cfg.broadcast_row_limit), F.col("_rkey") == F.col("_rk_sec"), "left")
+        .join(security, F.col("_rkey") == F.col("_rk_sec"), "left")
         .join(
-            small_side(country, cfg.broadcast_row_limit),
+            country,
             F.substring(F.col("_rkey"), 1, 2) == F.col("_rk_cty"),
             "left",
         )
     )
     dflt = default_rule(F.col("_rkey"))
-    empty = F.col("_rkey") == ""
+    empty = F.col("_rkey").isNull() | (F.col("_rkey") == "")
     rule = F.when(empty, F.lit(None)).otherwise(F.coalesce(F.col("_rule_sec"), F.col("_rule_cty"), dflt))
     origin = (
         F.when(empty, F.lit(None))
@@ -58,6 +68,6 @@ def resolve_rules(df: DataFrame, rules: DataFrame, cfg: TaxConfig, isin_col: str
         .when(F.col("_rule_cty").isNotNull(), F.lit("country"))
         .when(dflt.isNotNull(), F.lit("default"))
     )
-    return out.withColumn("rule", rule).withColumn("rule_origin", origin).drop(
+    return out.withColumns({"rule": rule, "rule_origin": origin}).drop(
         "_rkey", "_rk_sec", "_rule_sec", "_rk_cty", "_rule_cty"
     )

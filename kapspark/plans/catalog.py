@@ -20,6 +20,8 @@ from kapspark import config as C
 from kapspark.config import TaxConfig
 from kapspark.functions import money_sum, round4
 from kapspark.operators import fifo
+from kapspark.operators.issues import valid_rules
+from kapspark.operators.joins import small_dim
 from kapspark.operators.rules import resolve_rules
 from kapspark.plans.tax_run import TaxResult, calculate
 from kapspark.sources.demo import DEMO_CONFIG, demo_ledger, demo_rates_daily, demo_rules
@@ -28,15 +30,25 @@ from kapspark.sources.rules import normalize_rules
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+_DIMS: dict[int, tuple[DataFrame, DataFrame]] = {}
+
+
+def demo_dims(spark: SparkSession, cfg: TaxConfig = DEMO_CONFIG) -> tuple[DataFrame, DataFrame]:
+    """(daily rates, valid rules) of the demo, each checked for size and
+    materialised once per session; both are bounded (days x currencies,
+    and a few hundred rules)."""
+    key = id(spark)
+    if key not in _DIMS:
+        rates = small_dim(demo_rates_daily(spark), cfg.broadcast_row_limit)
+        rules = small_dim(valid_rules(normalize_rules(demo_rules(spark)), cfg), cfg.broadcast_row_limit)
+        _DIMS[key] = (rates, rules)
+    return _DIMS[key]
+
+
 def run(spark: SparkSession, sf_dir: str, cfg: TaxConfig = DEMO_CONFIG) -> TaxResult:
     """The full computation over the derived ledger of ``sf_dir``."""
-    return calculate(
-        spark,
-        demo_ledger(spark, sf_dir),
-        demo_rates_daily(spark),
-        normalize_rules(demo_rules(spark)),
-        cfg,
-    )
+    rates, rules = demo_dims(spark, cfg)
+    return calculate(spark, demo_ledger(spark, sf_dir), rates, rules, cfg, rules_validated=True)
 
 
 def r4sum(c: Column) -> Column:
@@ -76,7 +88,7 @@ def q_gross_income(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_rule_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     isins = demo_ledger(spark, sf_dir).select(C.ISIN).distinct()
-    resolved = resolve_rules(isins, normalize_rules(demo_rules(spark)), DEMO_CONFIG)
+    resolved = resolve_rules(isins, demo_dims(spark)[1], DEMO_CONFIG)
     return resolved.select(
         C.ISIN,
         F.col("rule.source_country").alias("source_country"),
@@ -165,7 +177,7 @@ def _sales_with(spark: SparkSession, sf_dir: str, cfg: TaxConfig) -> DataFrame:
     from kapspark.operators.fx import fx_convert
     from kapspark.sources.dims import yearly_rates
 
-    ledger_fx = fx_convert(demo_ledger(spark, sf_dir), demo_rates_daily(spark), yearly_rates(spark), cfg)
+    ledger_fx = fx_convert(demo_ledger(spark, sf_dir), demo_dims(spark)[0], yearly_rates(spark), cfg)
     return fifo.realized_sales(ledger_fx, cfg)
 
 
@@ -184,7 +196,7 @@ def q_fifo_shortfall(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kapspark.sources.dims import yearly_rates
 
     cfg = DEMO_CONFIG
-    ledger_fx = fx_convert(demo_ledger(spark, sf_dir), demo_rates_daily(spark), yearly_rates(spark), cfg)
+    ledger_fx = fx_convert(demo_ledger(spark, sf_dir), demo_dims(spark)[0], yearly_rates(spark), cfg)
     pos = fifo.positions(fifo.trades_of(ledger_fx, cfg), cfg)
     short = pos.where(F.col("short_row"))
     order = F.struct(F.col(C.TS), *[F.col(c) for c in cfg.tiebreak])

@@ -9,7 +9,7 @@ figures; all dimension lookups are broadcast hash joins.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,42 +19,153 @@ from kapspark.config import TaxConfig
 from kapspark.operators import classify as CL
 from kapspark.operators import fifo, issues, report
 from kapspark.operators.fx import fx_convert, gross_up
-from kapspark.operators.joins import small_side
 from kapspark.operators.rules import resolve_rules
 from kapspark.sources.dims import yearly_rates
 from kapspark.sources.rules import empty_rules
 
-INCOME_CATEGORIES = ("dividend", "interest", "withholding_tax")
 
 
-@dataclass
 class TaxResult:
-    """Lazy frames of one computation (every account-year at once)."""
-
-    cfg: TaxConfig
-    has_tax: bool
-    ledger_fx: DataFrame
-    dividends: DataFrame
-    interest: DataFrame
-    standalone: DataFrame
-    classified: DataFrame
-    summary: DataFrame
-    by_country: DataFrame
-    sales_all_years: DataFrame
-    sales: DataFrame
-    totals: DataFrame
-    form_lines: DataFrame
-    fund_breakdown: DataFrame
-    positions: DataFrame
-    issues: DataFrame
-    tax_years: DataFrame
+    """Lazy frames of one computation (every account-year at once).
 
-    def details(self) -> DataFrame:
-        return report.detail_frame(self.dividends, self.interest, self.sales)
+    Each output is planned on first access only, so a caller that needs the
+    form lines does not pay for building the detail export's plan.
+    """
+
+    OUTPUTS = (
+        "dividends",
+        "interest",
+        "standalone",
+        "classified",
+        "summary",
+        "by_country",
+        "sales_all_years",
+        "sales",
+        "totals",
+        "form_lines",
+        "fund_breakdown",
+        "positions",
+    )
 
+    def __init__(self, spark, ledger, rates_daily, rules, cfg, rates_yearly, rules_validated=False) -> None:
+        self.spark = spark
+        self.cfg = cfg
+        self.has_tax = C.TAX in ledger.columns if cfg.has_tax_column is None else cfg.has_tax_column
+        if not self.has_tax and C.TAX in ledger.columns:
+            ledger = ledger.drop(C.TAX)
+        self.ledger = ledger
+        self._rates_daily = rates_daily
+        self._rules = empty_rules(spark) if rules is None else rules
+        self._yearly = yearly_rates(spark) if rates_yearly is None else rates_yearly
+        self._bad_accounts = None
+        self._rules_validated = rules_validated
+
+    def _keep(self, df: DataFrame) -> DataFrame:
+        """Quarantine: drop the offending accounts from a result."""
+        if self.cfg.on_issue != "quarantine":
+            return df
+        if self._bad_accounts is None:
+            self._bad_accounts = issues.enforce(self.issues, self.cfg)
+        return df.join(self._bad_accounts, C.ACCOUNT, "left_anti")
+
+    def check(self) -> "TaxResult":
+        """Apply the ``error`` policy now (raises on any issue)."""
+        issues.enforce(self.issues, self.cfg)
+        return self
+
+    @cached_property
+    def rules_ok(self) -> DataFrame:
+        if self._rules_validated:
+            return self._rules
+        return issues.valid_rules(self._rules, self.cfg)
+
+    @cached_property
+    def ledger_fx(self) -> DataFrame:
+        return gross_up(fx_convert(self.ledger, self._rates_daily, self._yearly, self.cfg), self.has_tax)
+
+    @cached_property
+    def in_year(self) -> DataFrame:
+        if self.cfg.tax_year is None:
+            return self.ledger_fx
+        return self.ledger_fx.where(F.col(C.TAX_YEAR) == self.cfg.tax_year)
+
+    @cached_property
+    def rows(self) -> DataFrame:
+        """One pass over the year's bookings: scope, rule, tax split, form."""
+        rows = CL.income_scopes(self.in_year, self.cfg)
+        rows = resolve_rules(rows, self.rules_ok, self.cfg, only=F.col("scope").isNotNull())
+        return CL.tag_dividend_forms(CL.classify_income(rows, self.has_tax))
+
+    @cached_property
+    def classified(self) -> DataFrame:
+        return self._keep(self.rows.where(F.col("scope").isNotNull()))
+
+    @cached_property
+    def dividends(self) -> DataFrame:
+        return self.classified.where(F.col("scope") == "dividend")
+
+    @cached_property
+    def interest(self) -> DataFrame:
+        return self.classified.where(F.col("scope") == "interest")
+
+    @cached_property
+    def standalone(self) -> DataFrame:
+        return self.classified.where(F.col("scope") == "standalone")
+
+    @cached_property
+    def summary(self) -> DataFrame:
+        return CL.tax_summary(self.classified)
+
+    @cached_property
+    def by_country(self) -> DataFrame:
+        return CL.credit_by_country(self.classified)
+
+    @cached_property
+    def _sales_all(self) -> DataFrame:
+        return fifo.realized_sales(self.ledger_fx, self.cfg)
+
+    @cached_property
+    def sales_all_years(self) -> DataFrame:
+        return self._keep(self._sales_all)
+
+    @cached_property
+    def sales(self) -> DataFrame:
+        if self.cfg.tax_year is None:
+            return self.sales_all_years
+        return self.sales_all_years.where(F.col(C.TAX_YEAR) == self.cfg.tax_year)
+
+    @cached_property
+    def totals(self) -> DataFrame:
+        sales = self._sales_all
+        if self.cfg.tax_year is not None:
+            sales = sales.where(F.col(C.TAX_YEAR) == self.cfg.tax_year)
+        return self._keep(report.account_year_totals(self.rows, sales, self.has_tax))
+
+    @cached_property
+    def form_lines(self) -> DataFrame:
+        return report.form_lines(self.totals)
+
+    @cached_property
+    def fund_breakdown(self) -> DataFrame:
+        return report.fund_breakdown(self.spark, self.dividends)
+
+    @cached_property
+    def positions(self) -> DataFrame:
+        return report.report_positions(self.totals, self.by_country)
+
+    @cached_property
+    def tax_years(self) -> DataFrame:
+        return issues.tax_years(self.ledger, self.cfg)
+
+    @cached_property
+    def issues(self) -> DataFrame:
+        out = issues.ledger_issues(self.ledger_fx, self.cfg).unionByName(issues.fifo_issues(self._sales_all))
+        if self.cfg.tax_year is not None:
+            out = out.unionByName(issues.tax_year_issues(self.tax_years, self.cfg))
+        return out
 
-def _scoped(df: DataFrame, scope: str) -> DataFrame:
-    return df.withColumn("scope", F.lit(scope))
+    def details(self) -> DataFrame:
+        return report.detail_frame(self.dividends, self.interest, self.sales)
 
 
 def calculate(
@@ -64,96 +175,19 @@ def calculate(
     rules: DataFrame | None,
     cfg: TaxConfig = TaxConfig(),
     rates_yearly: DataFrame | None = None,
+    rules_validated: bool = False,
 ) -> TaxResult:
     """Compute every figure for every (account_id, tax_year) of ``ledger``.
 
     ``ledger`` is canonical (``sources.ledger`` or ``sources.demo``);
     ``rules`` normalised (``sources.rules.normalize_rules``); ``rates_daily``
     is (rate_date, currency, rate) or None for the yearly table only.
+    Outputs are planned lazily; with ``on_issue="error"`` the issue check
+    runs here (one bounded sample) and raises on any issue.
+    ``rules_validated=True`` skips rule validation (e.g. rules already
+    passed through ``operators.issues.valid_rules`` and materialised).
     """
-    has_tax = C.TAX in ledger.columns if cfg.has_tax_column is None else cfg.has_tax_column
-    if not has_tax and C.TAX in ledger.columns:
-        ledger = ledger.drop(C.TAX)
-    rules = empty_rules(spark) if rules is None else rules
-    rules_ok = issues.valid_rules(rules, cfg)
-    yearly = yearly_rates(spark) if rates_yearly is None else rates_yearly
-
-    ledger_fx = gross_up(fx_convert(ledger, rates_daily, yearly, cfg), has_tax)
-    in_year = ledger_fx if cfg.tax_year is None else ledger_fx.where(F.col(C.TAX_YEAR) == cfg.tax_year)
-
-    income = CL.categorize(in_year, spark, cfg).where(F.col("category").isin(*INCOME_CATEGORIES))
-    income = resolve_rules(income, rules_ok, cfg)
-    embed = CL.classify_embedded if has_tax else CL.unclassified_income
-    dividends = _scoped(CL.tag_dividend_forms(embed(income.where(F.col("category") == "dividend"))), "dividend")
-    interest = _scoped(embed(income.where(F.col("category") == "interest")), "interest").withColumn(
-        "form", F.lit(None).cast("string")
-    ).withColumn("fund_type", F.lit(None).cast("string"))
-    standalone = _scoped(
-        CL.classify_standalone(income.where(F.col("category") == "withholding_tax")), "standalone"
-    ).withColumn("form", F.lit(None).cast("string")).withColumn("fund_type", F.lit(None).cast("string"))
-    classified = dividends.unionByName(interest).unionByName(standalone)
-
-    summary = CL.tax_summary(classified)
-    by_country = CL.credit_by_country(classified)
-
-    sales_all = fifo.realized_sales(ledger_fx, cfg)
-    sales = sales_all if cfg.tax_year is None else sales_all.where(F.col(C.TAX_YEAR) == cfg.tax_year)
-
-    presence = in_year.select(C.ACCOUNT, C.TAX_YEAR)
-    totals = report.account_year_totals(presence, classified, sales, has_tax)
-    lines = report.form_lines(totals)
-    funds = report.fund_breakdown(spark, dividends)
-    positions = report.report_positions(totals, by_country)
-
-    years = issues.tax_years(ledger, cfg)
-    all_issues = issues.ledger_issues(ledger_fx, cfg).unionByName(issues.fifo_issues(sales_all))
-    if cfg.tax_year is not None:
-        all_issues = all_issues.unionByName(issues.tax_year_issues(years, cfg))
-
-    result = TaxResult(
-        cfg=cfg,
-        has_tax=has_tax,
-        ledger_fx=ledger_fx,
-        dividends=dividends,
-        interest=interest,
-        standalone=standalone,
-        classified=classified,
-        summary=summary,
-        by_country=by_country,
-        sales_all_years=sales_all,
-        sales=sales,
-        totals=totals,
-        form_lines=lines,
-        fund_breakdown=funds,
-        positions=positions,
-        issues=all_issues,
-        tax_years=years,
-    )
-    bad = issues.enforce(all_issues, cfg)
-    if bad is not None:
-        result = _quarantine(result, small_side(bad, cfg.broadcast_row_limit))
-    return result
-
-
-def _quarantine(res: TaxResult, bad_accounts: DataFrame) -> TaxResult:
-    """Drop every row of the offending accounts from every output."""
-
-    def keep(df: DataFrame) -> DataFrame:
-        return df.join(bad_accounts, C.ACCOUNT, "left_anti")
-
-    for name in (
-        "dividends",
-        "interest",
-        "standalone",
-        "classified",
-        "summary",
-        "by_country",
-        "sales_all_years",
-        "sales",
-        "totals",
-        "form_lines",
-        "fund_breakdown",
-        "positions",
-    ):
-        setattr(res, name, keep(getattr(res, name)))
+    res = TaxResult(spark, ledger, rates_daily, rules, cfg, rates_yearly, rules_validated)
+    if cfg.on_issue == "error":
+        res.check()
     return res
