@@ -202,5 +202,6 @@ def realized_sales(ledger_fx: DataFrame, cfg: TaxConfig) -> DataFrame:
     ``result_eur`` NULL (``shortfall`` / ``invalid`` set) and stay out of
     every total.
     """
+    cfg = cfg.with_(tiebreak=tuple(c for c in cfg.tiebreak if c in ledger_fx.columns))
     trades = trades_of(ledger_fx, cfg)
     return match_simple(trades, cfg)
