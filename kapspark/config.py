@@ -59,9 +59,9 @@ class TaxConfig:
     # A dimension is broadcast only when its row count is at most this.
     broadcast_row_limit: int = 2_000_000
     # FIFO skew handling: a (account, isin) key with more trade rows than
-    # this is split into chunks of about ``fifo_chunk_rows`` rows. None means
-    # derive the threshold from the table size.
-    fifo_hot_key_rows: int | None = None
+    # this is split into chunks of about ``fifo_chunk_rows`` rows. None turns
+    # the detection (one aggregate over the trades) off.
+    fifo_hot_key_rows: int | None = 5_000_000
     fifo_chunk_rows: int = 1_000_000
     extra: dict = field(default_factory=dict)
 

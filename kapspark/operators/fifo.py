@@ -16,7 +16,7 @@ the same partition keys, and the per-sale aggregate groups by a superset of
 them, so the whole operator costs one exchange.
 
 Keys with more trade rows than ``cfg.fifo_hot_key_rows`` are matched by
-``_match_chunked`` instead: the key is cut into chunks by approximate
+``match_chunked`` instead: the key is cut into chunks by approximate
 quantiles and the running sums / scans are carried across chunks through
 small per-chunk summary tables, so no task holds a whole hot key.
 """
@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from kapspark import config as C
 from kapspark.config import TaxConfig
 from kapspark.functions import money_sum
+from kapspark.operators.joins import bounded_rows, small_dim
 
 KEY = (C.ACCOUNT, C.ISIN)
 BUY, SELL = 0, 1
@@ -81,29 +82,42 @@ def _signed(side: int) -> Column:
     return F.when(F.col("side") == side, F.col(C.QUANTITY)).otherwise(F.lit(0).cast(C.QUANTITY_TYPE))
 
 
+def _order(cfg: TaxConfig) -> list[Column]:
+    return [F.col(C.TS), F.col("side")] + [F.col(c) for c in _tiebreak(cfg)]
+
+
+def _running(df: DataFrame, cfg: TaxConfig, part: list[str], with_offsets: bool) -> DataFrame:
+    """Running bought / sold quantity in time order within ``part``; adds
+    ``off_buy`` / ``off_sell`` when the partition is a chunk of a key."""
+    w_run = Window.partitionBy(*part).orderBy(*_order(cfg)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cum_buy = F.sum(_signed(BUY)).over(w_run)
+    cum_sell = F.sum(_signed(SELL)).over(w_run)
+    if with_offsets:
+        cum_buy = F.col("off_buy") + cum_buy
+        cum_sell = F.col("off_sell") + cum_sell
+    df = df.withColumns({"cum_buy": cum_buy, "cum_sell": cum_sell})
+    short = (F.col("side") == SELL) & (F.col("cum_sell") > F.col("cum_buy"))
+    df = df.withColumn("short_row", F.coalesce(short, F.lit(False)))
+    return df.withColumns(
+        {
+            "missing_qty": F.when(
+                F.col("short_row"), F.least(F.col(C.QUANTITY), F.col("cum_sell") - F.col("cum_buy"))
+            ),
+            "bad_row": _bad_row(),
+        }
+    )
+
+
 def positions(trades: DataFrame, cfg: TaxConfig) -> DataFrame:
     """Stage A: running bought / sold quantity, shortfall per sale, key flags."""
-    order = [F.col(C.TS), F.col("side")] + [F.col(c) for c in _tiebreak(cfg)]
-    w_run = Window.partitionBy(*KEY).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     w_key = Window.partitionBy(*KEY)
-    df = trades.withColumn("cum_buy", F.sum(_signed(BUY)).over(w_run)).withColumn(
-        "cum_sell", F.sum(_signed(SELL)).over(w_run)
-    )
-    short = (F.col("side") == SELL) & (F.col("cum_sell") > F.col("cum_buy"))
-    df = (
-        df.withColumn("short_row", F.coalesce(short, F.lit(False)))
-        .withColumn(
-            "missing_qty",
-            F.when(F.col("short_row"), F.least(F.col(C.QUANTITY), F.col("cum_sell") - F.col("cum_buy"))),
-        )
-        .withColumn("bad_row", _bad_row())
-    )
-    return df.withColumn("key_short", F.max("short_row").over(w_key)).withColumn(
-        "key_bad", F.max("bad_row").over(w_key)
+    df = _running(trades, cfg, list(KEY), with_offsets=False)
+    return df.withColumns(
+        {"key_short": F.max("short_row").over(w_key), "key_bad": F.max("bad_row").over(w_key)}
     )
 
 
-def _breakpoints(pos: DataFrame, cfg: TaxConfig) -> DataFrame:
+def _breakpoints(pos: DataFrame, cfg: TaxConfig, extra: tuple[str, ...] = ()) -> DataFrame:
     """One breakpoint per trade: a lot end (buy) or a sale end (sell)."""
     p = F.when(F.col("side") == BUY, F.col("cum_buy")).otherwise(F.col("cum_sell"))
     lot = F.when(
@@ -124,7 +138,7 @@ def _breakpoints(pos: DataFrame, cfg: TaxConfig) -> DataFrame:
     ] + [F.col(c) for c in _tiebreak(cfg) if c not in (C.QUANTITY,)]
     sale = F.when(F.col("side") == SELL, F.struct(*sale_fields))
     return pos.withColumn("p", p).select(
-        *KEY, "p", "side", lot.alias("lot"), sale.alias("sale"), "key_short", "key_bad"
+        *KEY, "p", "side", lot.alias("lot"), sale.alias("sale"), "key_short", "key_bad", *extra
     )
 
 
@@ -142,14 +156,22 @@ def _piece(lot: Column, seg_len: Column, seg_start: Column, cost_mode: str) -> C
     return lot["lot_cost"] * seg_len.cast("double") / denom.cast("double")
 
 
-def _segments(bp: DataFrame, cost_mode: str) -> DataFrame:
-    """Stage B: descending scan over breakpoints -> (lot, sale, piece) rows."""
-    w = Window.partitionBy(*KEY).orderBy(F.col("p").desc(), F.col("side").asc())
-    seg = (
-        bp.withColumn("lot_here", F.last("lot", ignorenulls=True).over(w))
-        .withColumn("sale_here", F.last("sale", ignorenulls=True).over(w))
-        .withColumn("seg_start", F.coalesce(F.lead("p", 1).over(w), F.lit(0).cast(C.QUANTITY_TYPE)))
+def _scan_local(bp: DataFrame, part: list[str]) -> DataFrame:
+    """Stage B scan: for every breakpoint the lot and the sale containing the
+    segment that ends there, and the segment's start (within ``part``)."""
+    w = Window.partitionBy(*part).orderBy(F.col("p").desc(), F.col("side").asc())
+    return bp.withColumns(
+        {
+            "lot_here": F.last("lot", ignorenulls=True).over(w),
+            "sale_here": F.last("sale", ignorenulls=True).over(w),
+            "seg_start": F.lead("p", 1).over(w),
+        }
     )
+
+
+def _segments(seg: DataFrame, cost_mode: str) -> DataFrame:
+    """Segment rows -> (sale, piece of cost) for segments inside a sale."""
+    seg = seg.withColumn("seg_start", F.coalesce(F.col("seg_start"), F.lit(0).cast(C.QUANTITY_TYPE)))
     seg_len = F.col("p") - F.col("seg_start")
     piece = F.when(
         F.col("lot_here").isNotNull() & (seg_len > 0),
@@ -192,7 +214,132 @@ def _per_sale(segments: DataFrame, cfg: TaxConfig) -> DataFrame:
 
 def match_simple(trades: DataFrame, cfg: TaxConfig) -> DataFrame:
     """All three stages on one hash partitioning by (account_id, isin)."""
-    return _per_sale(_segments(_breakpoints(positions(trades, cfg), cfg), cfg.cost_mode), cfg)
+    bp = _breakpoints(positions(trades, cfg), cfg)
+    return _per_sale(_segments(_scan_local(bp, list(KEY)), cfg.cost_mode), cfg)
+
+
+# --- skewed keys -----------------------------------------------------------
+# A hot key is cut into chunks of about ``cfg.fifo_chunk_rows`` rows that are
+# contiguous in the order being scanned. Rows are first put in fine buckets
+# (at most FINE_BUCKETS per key, so the bucket table of one key is bounded),
+# bucket counts are prefix-summed per key, and each bucket joins the chunk its
+# prefix count falls in. Everything that crosses a chunk border (running-sum
+# offsets, the next lot / sale after a chunk, the last breakpoint before it)
+# travels through per-chunk summary tables, which are tiny next to the rows.
+
+HOT_KEYS_MAX = 100_000
+FINE_BUCKETS = 1_000_000
+ROWS_PER_FINE_BUCKET = 16
+_EPOCH = "1970-01-01 00:00:00"
+
+
+def hot_key_stats(trades: DataFrame, cfg: TaxConfig) -> DataFrame | None:
+    """(account_id, isin, n, e_min, e_max) for keys with more than
+    ``cfg.fifo_hot_key_rows`` trades, or None when there are none.
+
+    One aggregate job (map-side partial counts). The hot table has at most
+    total_rows / threshold rows; up to HOT_KEYS_MAX it is materialised and
+    broadcast, beyond that it stays distributed.
+    """
+    if cfg.fifo_hot_key_rows is None:
+        return None
+    epoch = F.timestamp_diff("MICROSECOND", F.to_timestamp_ntz(F.lit(_EPOCH)), F.col(C.TS))
+    stats = (
+        trades.groupBy(*KEY)
+        .agg(F.count(F.lit(1)).alias("n"), F.min(epoch).alias("e_min"), F.max(epoch).alias("e_max"))
+        .where(F.col("n") > cfg.fifo_hot_key_rows)
+    )
+    rows = bounded_rows(stats, HOT_KEYS_MAX)
+    if rows is None:
+        return stats
+    if not rows:
+        return None
+    return F.broadcast(trades.sparkSession.createDataFrame(rows, stats.schema))
+
+
+def _chunk_of(df: DataFrame, value: Column, lo: Column, hi: Column, n: Column, cfg: TaxConfig, name: str) -> DataFrame:
+    """Add ``name``: contiguous ranges of ``value`` per key with about
+    ``cfg.fifo_chunk_rows`` rows each (equal values share a chunk)."""
+    nb = F.least(F.lit(FINE_BUCKETS), F.greatest(F.lit(1), F.ceil(n / F.lit(ROWS_PER_FINE_BUCKET))))
+    span = (hi - lo).cast("double") + F.lit(1.0)
+    fine = F.floor((value - lo).cast("double") / span * nb).cast("long")
+    df = df.withColumn("_fine", fine)
+    counts = df.groupBy(*KEY, "_fine").count()
+    w = Window.partitionBy(*KEY).orderBy("_fine").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("count").over(w), F.lit(0))
+    chunks = counts.select(
+        *KEY, "_fine", F.floor(before / F.lit(cfg.fifo_chunk_rows)).cast("long").alias(name)
+    )
+    return _carry_keys(df, chunks, KEY + ("_fine",), cfg).drop("_fine")
+
+
+def _carry_keys(df: DataFrame, small: DataFrame, on: tuple[str, ...], cfg: TaxConfig) -> DataFrame:
+    """Join a per-key or per-chunk summary back onto rows (null-safe keys)."""
+    small = small_dim(small, cfg.broadcast_row_limit)
+    renamed = small.select(*[F.col(c).alias(f"_s_{c}") for c in on], *[c for c in small.columns if c not in on])
+    cond = None
+    for c in on:
+        term = F.col(c).eqNullSafe(F.col(f"_s_{c}"))
+        cond = term if cond is None else cond & term
+    return df.join(renamed, cond).drop(*[f"_s_{c}" for c in on])
+
+
+def match_chunked(trades: DataFrame, stats: DataFrame, cfg: TaxConfig) -> DataFrame:
+    """FIFO for hot keys without ever holding a whole key in one task."""
+    epoch = F.timestamp_diff("MICROSECOND", F.to_timestamp_ntz(F.lit(_EPOCH)), F.col(C.TS))
+    t = _carry_keys(trades, stats, KEY, cfg)
+    t = _chunk_of(t, epoch, F.col("e_min"), F.col("e_max"), F.col("n"), cfg, "tchunk")
+    t = t.drop("n", "e_min", "e_max")
+
+    # Stage A: running sums per time chunk plus the totals of earlier chunks.
+    tot = t.groupBy(*KEY, "tchunk").agg(
+        F.sum(_signed(BUY)).alias("tot_buy"), F.sum(_signed(SELL)).alias("tot_sell"), F.count(F.lit(1)).alias("n")
+    )
+    w = Window.partitionBy(*KEY).orderBy("tchunk").rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast(C.QUANTITY_TYPE)
+    offs = tot.select(
+        *KEY,
+        "tchunk",
+        F.coalesce(F.sum("tot_buy").over(w), zero).alias("off_buy"),
+        F.coalesce(F.sum("tot_sell").over(w), zero).alias("off_sell"),
+    )
+    t = _carry_keys(t, offs, KEY + ("tchunk",), cfg)
+    pos = _running(t, cfg, list(KEY) + ["tchunk"], with_offsets=True)
+    flags = pos.groupBy(*KEY).agg(F.max("short_row").alias("key_short"), F.max("bad_row").alias("key_bad"))
+    per_key = tot.groupBy(*KEY).agg(
+        F.greatest(F.sum("tot_buy"), F.sum("tot_sell")).alias("p_max"), F.sum("n").alias("n")
+    )
+    key_info = _carry_keys(flags, per_key, KEY, cfg)
+    pos = _carry_keys(pos, key_info, KEY, cfg)
+
+    # Stage B: breakpoints in position order, chunked by position.
+    bp = pos.withColumn("p", F.when(F.col("side") == BUY, F.col("cum_buy")).otherwise(F.col("cum_sell")))
+    bp = _chunk_of(bp, F.col("p"), F.lit(0), F.col("p_max"), F.col("n"), cfg, "pchunk")
+    bp = _breakpoints(bp, cfg, extra=("pchunk",))
+    scan = _scan_local(bp, list(KEY) + ["pchunk"])
+    summ = bp.groupBy(*KEY, "pchunk").agg(
+        F.min(F.when(F.col("side") == BUY, F.struct(F.col("p").alias("k"), F.col("lot").alias("v")))).alias("fl"),
+        F.min(F.when(F.col("side") == SELL, F.struct(F.col("p").alias("k"), F.col("sale").alias("v")))).alias("fs"),
+        F.max("p").alias("max_p"),
+    )
+    wn = Window.partitionBy(*KEY).orderBy("pchunk").rowsBetween(1, Window.unboundedFollowing)
+    wl = Window.partitionBy(*KEY).orderBy("pchunk")
+    carry = summ.select(
+        *KEY,
+        "pchunk",
+        F.first(F.col("fl.v"), ignorenulls=True).over(wn).alias("next_lot"),
+        F.first(F.col("fs.v"), ignorenulls=True).over(wn).alias("next_sale"),
+        F.lag("max_p", 1).over(wl).alias("prev_p"),
+    )
+    scan = _carry_keys(scan, carry, KEY + ("pchunk",), cfg)
+    scan = scan.withColumns(
+        {
+            "lot_here": F.coalesce(F.col("lot_here"), F.col("next_lot")),
+            "sale_here": F.coalesce(F.col("sale_here"), F.col("next_sale")),
+            "seg_start": F.coalesce(F.col("seg_start"), F.col("prev_p")),
+        }
+    )
+    return _per_sale(_segments(scan, cfg.cost_mode), cfg)
 
 
 def realized_sales(ledger_fx: DataFrame, cfg: TaxConfig) -> DataFrame:
@@ -200,8 +347,16 @@ def realized_sales(ledger_fx: DataFrame, cfg: TaxConfig) -> DataFrame:
 
     Sales of a key with a shortfall or an invalid trade keep ``cost_eur`` and
     ``result_eur`` NULL (``shortfall`` / ``invalid`` set) and stay out of
-    every total.
+    every total. Keys above ``cfg.fifo_hot_key_rows`` trades take the
+    chunked path; all others the single-exchange path.
     """
     cfg = cfg.with_(tiebreak=tuple(c for c in cfg.tiebreak if c in ledger_fx.columns))
     trades = trades_of(ledger_fx, cfg)
-    return match_simple(trades, cfg)
+    stats = hot_key_stats(trades, cfg)
+    if stats is None:
+        return match_simple(trades, cfg)
+    hot = stats.select(*[F.col(c).alias(f"_h_{c}") for c in KEY])
+    cond = F.col(C.ACCOUNT).eqNullSafe(F.col(f"_h_{C.ACCOUNT}")) & F.col(C.ISIN).eqNullSafe(F.col(f"_h_{C.ISIN}"))
+    normal = trades.join(hot, cond, "left_anti")
+    skewed = trades.join(hot, cond, "left_semi")
+    return match_simple(normal, cfg).unionByName(match_chunked(skewed, stats, cfg))
