@@ -79,23 +79,69 @@ def income_scopes(df: DataFrame, cfg: TaxConfig) -> DataFrame:
 
 
 def classify_income(df: DataFrame, has_tax: bool) -> DataFrame:
-    """Tax split for every income row in one projection (needs ``scope``
-    and ``rule``): dividends and interest classify the tax embedded in the
-    booking (nothing to classify without a tax column), separate tax
-    bookings classify their own net amount. Non-income rows get NULLs."""
+    """Tax split for every income row (needs ``scope`` and ``rule``).
+
+    Dividends and interest classify the tax embedded in the booking (without
+    a tax column there is nothing to classify: treatment and country stay
+    NULL, amounts 0); separate tax bookings classify their own net amount.
+    Non-income rows (``scope`` NULL) get NULLs. Built as staged projections
+    that reference earlier columns, so the generated code stays small.
+    """
     zero = F.lit(0.0)
-    embedded_raw = F.abs(F.coalesce(F.col("tax_eur"), zero)) if has_tax else zero
-    emb = classify_embedded_cols(embedded_raw, F.col("net_eur"), F.col("rule"))
-    if not has_tax:
-        emb = {**{c: zero for c in CLASS_COLUMNS[2:]}, "source_country": F.lit(None).cast("string"),
-               "treatment": F.lit(None).cast("string")}
-    sta = classify_standalone_cols(F.abs(F.coalesce(F.col("net_eur"), zero)), F.col("rule"))
-    scope = F.col("scope")
-    out = {
-        c: F.when(scope == "standalone", sta[c]).when(scope.isin("dividend", "interest"), emb[c])
-        for c in CLASS_COLUMNS
-    }
-    return df.withColumns(out)
+    scope, rule = F.col("scope"), F.col("rule")
+    standalone = scope == "standalone"
+    embedded = scope.isin("dividend", "interest")
+    income = scope.isNotNull()
+    raw = F.when(standalone, F.abs(F.coalesce(F.col("net_eur"), zero)))
+    if has_tax:
+        raw = raw.when(embedded, F.abs(F.coalesce(F.col("tax_eur"), zero)))
+    else:
+        raw = raw.when(embedded, zero)
+    df = df.withColumn("raw_tax_eur", raw)
+    r = F.col("raw_tax_eur")
+    treatment = F.when(
+        standalone,
+        F.when(r == 0, F.lit("none"))
+        .when(rule["tax_treatment"] == "domestic", F.lit("domestic"))
+        .when(rule["tax_treatment"] == "foreign", F.lit("foreign_without_gross_income"))
+        .otherwise(F.lit("unclassified")),
+    )
+    if has_tax:
+        treatment = treatment.when(
+            embedded,
+            F.when(r == 0, F.lit("none"))
+            .when(rule.isNull(), F.lit("unclassified"))
+            .when(rule["tax_treatment"] == "domestic", F.lit("domestic"))
+            .otherwise(F.lit("foreign")),
+        )
+    country = F.when(standalone, rule["source_country"])
+    if has_tax:
+        country = country.when(embedded, rule["source_country"])
+    df = df.withColumns({"treatment": treatment, "source_country": country})
+    t = F.col("treatment")
+    gross_income = F.abs(F.coalesce(F.col("net_eur"), zero)) + r
+    df = df.withColumns(
+        {
+            "credit_eur": F.when(t == "foreign", F.least(r, gross_income * rule["max_creditable_rate"]))
+            .when(income, zero),
+            "domestic_eur": F.when(t == "domestic", r).when(income, zero),
+            "unclassified_eur": F.when(t.isin("unclassified", "foreign_without_gross_income"), r).when(income, zero),
+        }
+    )
+    df = df.withColumns(
+        {
+            "excess_eur": F.when(t == "foreign", r - F.col("credit_eur")).when(income, zero),
+            "kest_eur": F.col("domestic_eur") / F.lit(K.KEST_WITH_SOLI_FACTOR),
+        }
+    )
+    return df.withColumns(
+        {
+            "soli_eur": F.col("domestic_eur") - F.col("kest_eur"),
+            "swiss_refundable_eur": F.when(
+                (t == "foreign") & (F.col("source_country") == K.SWISS_COUNTRY), F.col("excess_eur")
+            ).when(income, zero),
+        }
+    )
 
 
 def classify_embedded(income: DataFrame) -> DataFrame:

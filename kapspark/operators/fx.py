@@ -77,24 +77,28 @@ def fx_convert(
         df = df.withColumn("fx_year_rates", F.try_element_at(const, F.col(C.TAX_YEAR).cast("string")))
     else:
         df = df.join(F.broadcast(yearly_lookup(rates_yearly)), F.col(C.TAX_YEAR) == F.col("fx_year"), "left")
-    yearly = F.try_element_at(F.col("fx_year_rates"), F.col(C.CURRENCY))
+    # Staged projections: each step references the previous step's columns,
+    # so no CASE is copied into the next expression (small generated code).
+    df = df.withColumn("_fx_yearly", F.try_element_at(F.col("fx_year_rates"), F.col(C.CURRENCY)))
     source = (
         F.when(F.col(C.CURRENCY) == "EUR", F.lit("eur"))
         .when(F.col("_fx_daily").isNotNull(), F.lit("daily"))
         .when(F.col("fx_year_rates").isNull(), F.lit("missing"))
-        .when(yearly.isNotNull(), F.lit("yearly"))
+        .when(F.col("_fx_yearly").isNotNull(), F.lit("yearly"))
         .otherwise(F.lit("assumed_1"))
     )
     rate = (
-        F.when(source == "eur", F.lit(1.0))
-        .when(source == "daily", F.col("_fx_daily"))
-        .when(source == "yearly", yearly)
-        .when(source == "assumed_1", F.lit(1.0))
+        F.when(F.col(C.CURRENCY) == "EUR", F.lit(1.0))
+        .when(F.col("_fx_daily").isNotNull(), F.col("_fx_daily"))
+        .when(F.col("fx_year_rates").isNull(), F.lit(None).cast("double"))
+        .when(F.col("_fx_yearly").isNotNull(), F.col("_fx_yearly"))
+        .otherwise(F.lit(1.0))
     )
-    cols = {"fx_source": source, "fx_rate": rate, "net_eur": F.col(C.NET) / rate}
+    df = df.withColumns({"fx_source": source, "fx_rate": rate})
+    cols = {"net_eur": F.col(C.NET) / F.col("fx_rate")}
     if has_tax:
-        cols["tax_eur"] = F.col(C.TAX) / rate
-    return df.withColumns(cols).drop("_fx_daily", "fx_year", "fx_year_rates")
+        cols["tax_eur"] = F.col(C.TAX) / F.col("fx_rate")
+    return df.withColumns(cols).drop("_fx_daily", "_fx_yearly", "fx_year", "fx_year_rates")
 
 
 def gross_up(df: DataFrame, has_tax: bool) -> DataFrame:

@@ -46,11 +46,36 @@ def _pick(values: list, index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
 
 
-def demo_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Canonical ledger (plus ``sec_no``, ``code`` and order keys)."""
-    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
+def _row_groups(path: str) -> int | None:
+    """Row groups of a local parquet file (footer only), None if unknown."""
+    try:
+        import pyarrow.parquet as pq
+
+        return pq.ParquetFile(path).metadata.num_row_groups
+    except Exception:  # remote or unreadable path: let the scan decide
+        return None
+
+
+def demo_ledger(spark: SparkSession, sf_dir: str, spread: int | None = None) -> DataFrame:
+    """Canonical ledger (plus ``sec_no``, ``code`` and order keys).
+
+    A parquet file with a single row group cannot be split, so its scan and
+    everything before the first shuffle would run in one task. When the
+    lineitem file has fewer row groups than the session has cores, the rows
+    are spread round-robin once after the (pruned) scan; ``spread`` forces
+    a number of partitions. Inputs of many row groups are left as scanned.
+    """
+    path = f"{sf_dir}/lineitem.parquet"
+    li = spark.read.parquet(path).select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_tax", "l_shipdate"
     )
+    if spread is None:
+        cores = spark.sparkContext.defaultParallelism
+        groups = _row_groups(path)
+        if groups is not None and groups < cores:
+            spread = cores
+    if spread:
+        li = li.repartition(spread)
     code = (F.col("l_orderkey") + 3 * F.col("l_linenumber") + F.col("l_suppkey")) % 10
     sec_no = F.col("l_partkey") % SECURITIES
     price = F.col("l_extendedprice")
