@@ -1,0 +1,10 @@
+"""Incremental runs: ledger exports arriving in a folder, processed as a stream.
+
+The computation itself is batch (every figure needs an account's full
+history for FIFO); streaming only decides *when* it runs and for which
+accounts. See ``ledger_stream``.
+"""
+
+from kapspark.streaming.ledger_stream import ledger_stream, start_form_lines_stream
+
+__all__ = ["ledger_stream", "start_form_lines_stream"]

@@ -1,0 +1,40 @@
+"""The folder stream recomputes the accounts of each arriving export."""
+
+from __future__ import annotations
+
+import tempfile
+from pathlib import Path
+
+from helpers import OFFLINE
+from kapspark.streaming import start_form_lines_stream
+from kapspark.streaming.ledger_stream import latest_per_account
+
+HEADER = "Datum;Transaktionen;Name;ISIN;Nettobetrag;Kosten;Währung\n"
+
+
+def test_stream_processes_each_export(spark, tmp_path):
+    inbox = Path(tempfile.mkdtemp(dir=tmp_path))
+    (inbox / "alice.csv").write_bytes(
+        (HEADER + "31-12-2025 15:57:09;Dividende;SAP;DE0007164600;73.625;-26.375;EUR\n").encode("latin1")
+    )
+    (inbox / "bob.csv").write_bytes(
+        (HEADER + "30-06-2025 15:57:09;Zinsen auf Einlagen;;;10.00;0.00;EUR\n").encode("latin1")
+    )
+    out = tmp_path / "out"
+    q = start_form_lines_stream(
+        spark,
+        str(inbox),
+        str(out),
+        None,
+        None,
+        OFFLINE,
+        checkpoint=str(tmp_path / "ckpt"),
+        header=HEADER.strip().split(";"),
+        available_now=True,
+    )
+    q.awaitTermination(120)
+    lines = latest_per_account(spark.read.parquet(str(out / "form_lines")))
+    got = {(r["account_id"], r["line"]): float(r["amount"]) for r in lines.collect()}
+    assert got[("alice", "18")] == 100.0
+    assert got[("alice", "37")] == 25.0
+    assert got[("bob", "19")] == 10.0
