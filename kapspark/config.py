@@ -63,6 +63,10 @@ class TaxConfig:
     # the detection (one aggregate over the trades) off.
     fifo_hot_key_rows: int | None = 5_000_000
     fifo_chunk_rows: int = 1_000_000
+    # Write the FX-converted ledger once to ``spark.checkpoint.dir`` (reliable
+    # checkpoint: cuts lineage, and every output then reads it instead of
+    # re-scanning the ledger). Worth it when many outputs are computed.
+    checkpoint_ledger: bool = False
     extra: dict = field(default_factory=dict)
 
     def __post_init__(self) -> None:

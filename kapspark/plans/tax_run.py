@@ -81,7 +81,12 @@ class TaxResult:
 
     @cached_property
     def ledger_fx(self) -> DataFrame:
-        return gross_up(fx_convert(self.ledger, self._rates_daily, self._yearly, self.cfg), self.has_tax)
+        df = gross_up(fx_convert(self.ledger, self._rates_daily, self._yearly, self.cfg), self.has_tax)
+        if self.cfg.checkpoint_ledger:
+            if not self.spark.sparkContext.getCheckpointDir():
+                raise ValueError("checkpoint_ledger needs spark.checkpoint.dir (shared storage)")
+            df = df.checkpoint(eager=True)
+        return df
 
     @cached_property
     def in_year(self) -> DataFrame:
