@@ -233,28 +233,43 @@ ROWS_PER_FINE_BUCKET = 16
 _EPOCH = "1970-01-01 00:00:00"
 
 
-def hot_key_stats(trades: DataFrame, cfg: TaxConfig) -> DataFrame | None:
+# Detection results per (trades plan, threshold): re-planning the same input
+# in one session does not rescan it. The memo only picks the path a key takes;
+# both paths are exact for any key, so a stale entry can cost speed, never
+# correctness.
+_HOT_MEMO: dict[tuple[int, int], list | None] = {}
+
+
+def hot_key_stats(source: DataFrame, cfg: TaxConfig) -> DataFrame | None:
     """(account_id, isin, n, e_min, e_max) for keys with more than
     ``cfg.fifo_hot_key_rows`` trades, or None when there are none.
 
-    One aggregate job (map-side partial counts). The hot table has at most
-    total_rows / threshold rows; up to HOT_KEYS_MAX it is materialised and
-    broadcast, beyond that it stays distributed.
+    ``source`` is the ledger (any frame with account_id, isin, type, ts):
+    one aggregate job with map-side partial counts, no FX join. The hot table
+    has at most total_rows / threshold rows; up to HOT_KEYS_MAX it is
+    materialised and broadcast, beyond that it stays distributed.
     """
     if cfg.fifo_hot_key_rows is None:
         return None
     epoch = F.timestamp_diff("MICROSECOND", F.to_timestamp_ntz(F.lit(_EPOCH)), F.col(C.TS))
+    is_trade = F.col(C.TYPE).isin(*cfg.purchase_types, *cfg.sale_types)
     stats = (
-        trades.groupBy(*KEY)
+        source.where(is_trade)
+        .groupBy(*KEY)
         .agg(F.count(F.lit(1)).alias("n"), F.min(epoch).alias("e_min"), F.max(epoch).alias("e_max"))
         .where(F.col("n") > cfg.fifo_hot_key_rows)
     )
-    rows = bounded_rows(stats, HOT_KEYS_MAX)
+    memo_key = (source.semanticHash(), cfg.fifo_hot_key_rows, cfg.purchase_types, cfg.sale_types)
+    if memo_key in _HOT_MEMO:
+        rows = _HOT_MEMO[memo_key]
+    else:
+        rows = bounded_rows(stats, HOT_KEYS_MAX)
+        _HOT_MEMO[memo_key] = rows
     if rows is None:
         return stats
     if not rows:
         return None
-    return F.broadcast(trades.sparkSession.createDataFrame(rows, stats.schema))
+    return F.broadcast(source.sparkSession.createDataFrame(rows, stats.schema))
 
 
 def _chunk_of(df: DataFrame, value: Column, lo: Column, hi: Column, n: Column, cfg: TaxConfig, name: str) -> DataFrame:
@@ -342,17 +357,18 @@ def match_chunked(trades: DataFrame, stats: DataFrame, cfg: TaxConfig) -> DataFr
     return _per_sale(_segments(scan, cfg.cost_mode), cfg)
 
 
-def realized_sales(ledger_fx: DataFrame, cfg: TaxConfig) -> DataFrame:
+def realized_sales(ledger_fx: DataFrame, cfg: TaxConfig, ledger: DataFrame | None = None) -> DataFrame:
     """One row per sale (all years) with FIFO cost, result and flags.
 
     Sales of a key with a shortfall or an invalid trade keep ``cost_eur`` and
     ``result_eur`` NULL (``shortfall`` / ``invalid`` set) and stay out of
     every total. Keys above ``cfg.fifo_hot_key_rows`` trades take the
-    chunked path; all others the single-exchange path.
+    chunked path; all others the single-exchange path. Hot keys are found on
+    ``ledger`` (the frame before FX) when given, else on ``ledger_fx``.
     """
     cfg = cfg.with_(tiebreak=tuple(c for c in cfg.tiebreak if c in ledger_fx.columns))
     trades = trades_of(ledger_fx, cfg)
-    stats = hot_key_stats(trades, cfg)
+    stats = hot_key_stats(ledger if ledger is not None else ledger_fx, cfg)
     if stats is None:
         return match_simple(trades, cfg)
     hot = stats.select(*[F.col(c).alias(f"_h_{c}") for c in KEY])

@@ -177,8 +177,9 @@ def _sales_with(spark: SparkSession, sf_dir: str, cfg: TaxConfig) -> DataFrame:
     from kapspark.operators.fx import fx_convert
     from kapspark.sources.dims import yearly_rates
 
-    ledger_fx = fx_convert(demo_ledger(spark, sf_dir), demo_dims(spark)[0], yearly_rates(spark), cfg)
-    return fifo.realized_sales(ledger_fx, cfg)
+    ledger = demo_ledger(spark, sf_dir)
+    ledger_fx = fx_convert(ledger, demo_dims(spark)[0], yearly_rates(spark), cfg)
+    return fifo.realized_sales(ledger_fx, cfg, ledger=ledger)
 
 
 def q_fifo_realized(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -127,7 +127,7 @@ class TaxResult:
 
     @cached_property
     def _sales_all(self) -> DataFrame:
-        return fifo.realized_sales(self.ledger_fx, self.cfg)
+        return fifo.realized_sales(self.ledger_fx, self.cfg, ledger=self.ledger)
 
     @cached_property
     def sales_all_years(self) -> DataFrame:
