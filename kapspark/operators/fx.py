@@ -76,7 +76,8 @@ def fx_convert(
     if const is not None:
         df = df.withColumn("fx_year_rates", F.try_element_at(const, F.col(C.TAX_YEAR).cast("string")))
     else:
-        df = df.join(F.broadcast(yearly_lookup(rates_yearly)), F.col(C.TAX_YEAR) == F.col("fx_year"), "left")
+        yearly_dim = small_dim(yearly_lookup(rates_yearly), cfg.broadcast_row_limit)
+        df = df.join(yearly_dim, F.col(C.TAX_YEAR) == F.col("fx_year"), "left")
     # Staged projections: each step references the previous step's columns,
     # so no CASE is copied into the next expression (small generated code).
     df = df.withColumn("_fx_yearly", F.try_element_at(F.col("fx_year_rates"), F.col(C.CURRENCY)))

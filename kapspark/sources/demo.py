@@ -62,8 +62,9 @@ def demo_ledger(spark: SparkSession, sf_dir: str, spread: int | None = None) ->
     A parquet file with a single row group cannot be split, so its scan and
     everything before the first shuffle would run in one task. When the
     lineitem file has fewer row groups than the session has cores, the rows
-    are spread round-robin once after the (pruned) scan; ``spread`` forces
-    a number of partitions. Inputs of many row groups are left as scanned.
+    are spread once after the (pruned) scan by a hash of the order line
+    (deterministic, no local sort, no hot value); ``spread`` forces a number
+    of partitions. Inputs of many row groups are left as scanned.
     """
     path = f"{sf_dir}/lineitem.parquet"
     li = spark.read.parquet(path).select(
@@ -75,7 +76,7 @@ def demo_ledger(spark: SparkSession, sf_dir: str, spread: int | None = None) ->
         if groups is not None and groups < cores:
             spread = cores
     if spread:
-        li = li.repartition(spread)
+        li = li.repartition(spread, "l_orderkey", "l_linenumber")
     code = (F.col("l_orderkey") + 3 * F.col("l_linenumber") + F.col("l_suppkey")) % 10
     sec_no = F.col("l_partkey") % SECURITIES
     price = F.col("l_extendedprice")
