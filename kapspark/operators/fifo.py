@@ -169,18 +169,24 @@ def _scan_local(bp: DataFrame, part: list[str]) -> DataFrame:
     )
 
 
-def _segments(seg: DataFrame, cost_mode: str) -> DataFrame:
-    """Segment rows -> (sale, piece of cost) for segments inside a sale."""
+def _sale_fields(cfg: TaxConfig) -> list[str]:
+    return [C.TS, C.TAX_YEAR, C.QUANTITY, "proceeds_eur", "missing_qty"] + [
+        c for c in _tiebreak(cfg) if c not in (C.QUANTITY,)
+    ]
+
+
+def _segments(seg: DataFrame, cfg: TaxConfig) -> DataFrame:
+    """Segment rows -> (sale fields, piece of cost) for segments inside a sale."""
     seg = seg.withColumn("seg_start", F.coalesce(F.col("seg_start"), F.lit(0).cast(C.QUANTITY_TYPE)))
     seg_len = F.col("p") - F.col("seg_start")
     piece = F.when(
         F.col("lot_here").isNotNull() & (seg_len > 0),
-        _piece(F.col("lot_here"), seg_len, F.col("seg_start"), cost_mode),
+        _piece(F.col("lot_here"), seg_len, F.col("seg_start"), cfg.cost_mode),
     )
     return seg.where(F.col("sale_here").isNotNull()).select(
         *KEY,
         F.col("sale_here.sale_end").alias("sale_end"),
-        "sale_here",
+        *[F.col(f"sale_here.{c}").alias(c) for c in _sale_fields(cfg)],
         piece.alias("piece"),
         "key_short",
         "key_bad",
@@ -188,26 +194,29 @@ def _segments(seg: DataFrame, cost_mode: str) -> DataFrame:
 
 
 def _per_sale(segments: DataFrame, cfg: TaxConfig) -> DataFrame:
-    agg = segments.groupBy(*KEY, "sale_end").agg(
-        F.any_value("sale_here").alias("s"),
+    """Sum the pieces per sale. The sale's own fields depend only on
+    (key, sale_end), so grouping by them keeps the groups and lets the
+    aggregate stay a hash aggregate (no sort, no extra exchange)."""
+    fields = _sale_fields(cfg)
+    agg = segments.groupBy(*KEY, "sale_end", *fields).agg(
         money_sum(F.col("piece")).alias("_cost"),
         F.max("key_short").alias("shortfall"),
         F.max("key_bad").alias("invalid"),
     )
     flagged = F.col("shortfall") | F.col("invalid")
     cost = F.when(~flagged, F.col("_cost").cast("double"))
-    extra = [F.col(f"s.{c}").alias(c) for c in _tiebreak(cfg) if c not in (C.QUANTITY,)]
+    extra = [c for c in _tiebreak(cfg) if c not in (C.QUANTITY,)]
     return agg.select(
         *KEY,
-        F.col(f"s.{C.TS}").alias(C.TS),
-        F.col(f"s.{C.TAX_YEAR}").alias(C.TAX_YEAR),
-        F.col(f"s.{C.QUANTITY}").alias(C.QUANTITY),
-        F.col("s.proceeds_eur").alias("proceeds_eur"),
+        C.TS,
+        C.TAX_YEAR,
+        C.QUANTITY,
+        "proceeds_eur",
         cost.alias("cost_eur"),
-        (F.col("s.proceeds_eur") - cost).alias("result_eur"),
-        F.col("shortfall"),
-        F.col("s.missing_qty").alias("missing_qty"),
-        F.col("invalid"),
+        (F.col("proceeds_eur") - cost).alias("result_eur"),
+        "shortfall",
+        "missing_qty",
+        "invalid",
         *extra,
     )
 
@@ -215,7 +224,7 @@ def _per_sale(segments: DataFrame, cfg: TaxConfig) -> DataFrame:
 def match_simple(trades: DataFrame, cfg: TaxConfig) -> DataFrame:
     """All three stages on one hash partitioning by (account_id, isin)."""
     bp = _breakpoints(positions(trades, cfg), cfg)
-    return _per_sale(_segments(_scan_local(bp, list(KEY)), cfg.cost_mode), cfg)
+    return _per_sale(_segments(_scan_local(bp, list(KEY)), cfg), cfg)
 
 
 # --- skewed keys -----------------------------------------------------------
@@ -354,7 +363,7 @@ def match_chunked(trades: DataFrame, stats: DataFrame, cfg: TaxConfig) -> DataFr
             "seg_start": F.coalesce(F.col("seg_start"), F.col("prev_p")),
         }
     )
-    return _per_sale(_segments(scan, cfg.cost_mode), cfg)
+    return _per_sale(_segments(scan, cfg), cfg)
 
 
 def realized_sales(ledger_fx: DataFrame, cfg: TaxConfig, ledger: DataFrame | None = None) -> DataFrame:

@@ -165,7 +165,7 @@ class TaxResult:
     @cached_property
     def issues(self) -> DataFrame:
         out = issues.ledger_issues(self.ledger_fx, self.cfg).unionByName(issues.fifo_issues(self._sales_all))
-        if self.cfg.tax_year is not None:
+        if self.cfg.tax_year is not None or self.cfg.single_year_rule:
             out = out.unionByName(issues.tax_year_issues(self.tax_years, self.cfg))
         return out
 

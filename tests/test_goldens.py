@@ -49,6 +49,9 @@ def test_multiple_years_are_reported_per_account(spark, csv_ledger):
     assert y["multi_year"] and y["years"] == [2024, 2025]
     # every year is computed as its own key
     assert sorted(r["tax_year"] for r in res.totals.collect()) == [2024, 2025]
+    # the single-year rule, when asked for, reports the account
+    res1 = run(spark, led, cfg=OFFLINE.with_(single_year_rule=True))
+    assert {r["issue"] for r in res1.issues.collect()} == {"multiple_years"}
     # a requested year that does not occur is an issue
     res2 = run(spark, led, cfg=OFFLINE.with_(tax_year=2023))
     assert {r["issue"] for r in res2.issues.collect()} == {"tax_year_absent"}
