@@ -55,7 +55,7 @@ def fx_convert(
     ``cfg.offline`` or ``rates_daily=None`` uses the yearly table only.
     """
     has_tax = C.TAX in ledger.columns if cfg.has_tax_column is None else cfg.has_tax_column
-    df = ledger.withColumn(C.TAX_YEAR, F.year(C.TS))
+    df = ledger.withColumn(C.TAX_YEAR, F.year(C.TS).cast("bigint"))
     if rates_daily is not None and not cfg.offline:
         daily = small_dim(
             rates_daily.select(

@@ -353,7 +353,9 @@ def q_ledger_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         .csv(out)
     )
     back = read_ledger_csv(spark, out, account_id="Konto")
-    return back.groupBy(F.col(C.ACCOUNT).cast("bigint").alias(C.ACCOUNT), F.year(C.TS).alias(C.TAX_YEAR)).agg(
+    return back.groupBy(
+        F.col(C.ACCOUNT).cast("bigint").alias(C.ACCOUNT), F.year(C.TS).cast("bigint").alias(C.TAX_YEAR)
+    ).agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.count_if(F.col(C.TS).isNull()).alias("n_bad_ts"),
         r4sum(F.col(C.NET)).alias("sum_net"),
