@@ -255,3 +255,32 @@ def detail_frame(dividends: DataFrame, interest: DataFrame, sales: DataFrame) ->
         .unionByName(interest.withColumn("category", F.lit(K.DETAIL_CATEGORY_INTEREST)), allowMissingColumns=True)
         .unionByName(sales.withColumn("category", F.lit(K.DETAIL_CATEGORY_SALE)), allowMissingColumns=True)
     )
+
+
+# --- fixed values: detail section titles ------------------------------------
+SECTION_TITLES: dict[str, str] = {
+    "dividend": "Details Dividenden",
+    "interest": "Details Zinsen",
+    "standalone": "Details separate Quellensteuer-Buchungen",
+    "sale": "Details Aktienverkäufe",
+}
+
+
+def section_totals(classified: DataFrame, sales: DataFrame) -> DataFrame:
+    """(account_id, tax_year, section, title, n_rows, total) for the detail
+    sections: the sum is the gross amount for dividends and interest, the
+    net EUR amount for separate tax bookings and the result for sales
+    (uncosted sales count as rows but add nothing). Empty sections have no row."""
+    income = classified.select(
+        *KEYS,
+        F.col("scope").alias("section"),
+        F.when(F.col("scope") == "standalone", F.col("net_eur")).otherwise(F.col("gross_eur")).alias("amount"),
+    )
+    sold = sales.select(*KEYS, F.lit("sale").alias("section"), F.col("result_eur").alias("amount"))
+    titles = F.create_map(*[x for k, v in SECTION_TITLES.items() for x in (F.lit(k), F.lit(v))])
+    return (
+        income.unionByName(sold)
+        .groupBy(*KEYS, "section")
+        .agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(money_sum(F.col("amount")), _zero()).alias("total"))
+        .withColumn("title", F.element_at(titles, F.col("section")))
+    )

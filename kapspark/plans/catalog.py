@@ -251,6 +251,11 @@ def q_report_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.positions.select(C.ACCOUNT, C.TAX_YEAR, "position", "label", _r4dec(F.col("amount")).alias("amount"))
 
 
+def q_detail_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = run(spark, sf_dir)
+    return r.sections.select(C.ACCOUNT, C.TAX_YEAR, "section", "title", "n_rows", _r4dec(F.col("total")).alias("total"))
+
+
 def q_display_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kapspark.operators.report import display_amounts
 
@@ -381,6 +386,7 @@ QUERIES: dict[str, Query] = {
     "stock_result_split": q_stock_result_split,
     "form_lines": q_form_lines,
     "report_positions": q_report_positions,
+    "detail_sections": q_detail_sections,
     "display_amounts": q_display_amounts,
     "detail_export": q_detail_export,
     "ledger_issues": q_ledger_issues,

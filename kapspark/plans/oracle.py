@@ -589,6 +589,20 @@ SELECT account_id, tax_year, CAST(line_order AS BIGINT) AS line_order, form, lin
 FROM form_lines
 """,
     "report_positions": _positions_sql(),
+    "detail_sections": BASE + f"""
+SELECT account_id, tax_year, section,
+       CASE section WHEN 'dividend' THEN 'Details Dividenden' WHEN 'interest' THEN 'Details Zinsen'
+                    WHEN 'standalone' THEN 'Details separate Quellensteuer-Buchungen'
+                    ELSE 'Details Aktienverkäufe' END AS title,
+       count(*) AS n_rows, {_r4('coalesce(SUM(CAST(amount AS DECIMAL(28,10))), 0)')} AS total
+FROM (
+  SELECT account_id, tax_year, scope AS section,
+         CASE WHEN scope = 'standalone' THEN net_eur ELSE gross_eur END AS amount
+  FROM classified
+  UNION ALL
+  SELECT account_id, tax_year, 'sale', result_eur FROM sold
+) GROUP BY account_id, tax_year, section
+""",
     "display_amounts": BASE + """
 SELECT account_id, tax_year, CAST(line_order AS BIGINT) AS line_order,
        CAST(round_even(amount, 2) AS DOUBLE) AS display,

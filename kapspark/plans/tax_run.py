@@ -45,6 +45,7 @@ class TaxResult:
         "form_lines",
         "fund_breakdown",
         "positions",
+        "sections",
     )
 
     def __init__(self, spark, ledger, rates_daily, rules, cfg, rates_yearly, rules_validated=False) -> None:
@@ -158,6 +159,10 @@ class TaxResult:
     def positions(self) -> DataFrame:
         return report.report_positions(self.totals, self.by_country)
 
+    @cached_property
+    def sections(self) -> DataFrame:
+        return report.section_totals(self.classified, self.sales)
+
     @cached_property
     def tax_years(self) -> DataFrame:
         return issues.tax_years(self.ledger, self.cfg)
