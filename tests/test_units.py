@@ -176,3 +176,23 @@ def test_entry_contract(spark):
     assert df.count() > 0
     assert set(E.oracle_sql()) <= set(E.queries())
     assert {"account_id", "tax_year", "form", "line", "label", "amount"} <= set(df.columns)
+
+
+def test_folder_of_exports_gives_one_account_per_file(spark, tmp_path):
+    from kapspark.plans.tax_run import calculate
+    from kapspark.sources.ledger import read_ledger_csv
+
+    folder = tmp_path / "exports"
+    folder.mkdir()
+    header = "Datum;Transaktionen;Name;ISIN;Nettobetrag;Kosten;Währung\n"
+    (folder / "anna.csv").write_bytes(
+        (header + "31-12-2025 15:57:09;Dividende;SAP;DE0007164600;73.625;-26.375;EUR\n").encode("latin1")
+    )
+    (folder / "ben.csv").write_bytes(
+        (header + '30-06-2024 15:57:09;Zinsen auf Einlagen;"Konto; Zinsen";;10,00;-;EUR\n').encode("latin1")
+    )
+    led = read_ledger_csv(spark, str(folder))
+    assert sorted((r["account_id"], r["name"]) for r in led.collect()) == [("anna", "SAP"), ("ben", "Konto; Zinsen")]
+    res = calculate(spark, led, None, None, OFFLINE)
+    got = {(r["account_id"], r["tax_year"], r["line"]): float(r["amount"]) for r in res.form_lines.collect()}
+    assert got[("anna", 2025, "18")] == 100.0 and got[("ben", 2024, "19")] == 10.0
