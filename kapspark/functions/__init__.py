@@ -8,17 +8,9 @@ from kapspark.functions.amounts import (
     to_money,
 )
 from kapspark.functions.dates import parse_ledger_ts
-from kapspark.functions.tax import (
-    classify_embedded_cols,
-    classify_standalone_cols,
-    default_rule,
-    isin_key,
-    rule_struct,
-)
+from kapspark.functions.tax import default_rule, isin_key, rule_struct
 
 __all__ = [
-    "classify_embedded_cols",
-    "classify_standalone_cols",
     "default_rule",
     "display_amount",
     "isin_key",

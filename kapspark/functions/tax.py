@@ -1,4 +1,4 @@
-"""Rule structs and the withholding-tax split as plain column expressions."""
+"""Rule keys, rule structs and the built-in default rule as column expressions."""
 
 from __future__ import annotations
 
@@ -54,75 +54,3 @@ def default_rule(key: Column) -> Column:
         .when(prefix.rlike(r"^\p{L}{2}$"), foreign)
         .otherwise(F.lit(None).cast(RULE_DDL))
     )
-
-
-def _domestic_split(domestic: Column) -> tuple[Column, Column]:
-    kest = domestic / F.lit(K.KEST_WITH_SOLI_FACTOR)
-    return kest, domestic - kest
-
-
-def classify_embedded_cols(raw: Column, income_eur: Column, rule: Column) -> dict[str, Column]:
-    """Split tax embedded in an income row (dividend or interest).
-
-    ``raw`` is the absolute tax in EUR (0 when absent). Foreign credit is capped
-    at ``(|income| + raw) * rate``; the rest is excess. Domestic tax splits into
-    capital-gains tax and solidarity surcharge.
-    """
-    treatment = (
-        F.when(raw == 0, F.lit("none"))
-        .when(rule.isNull(), F.lit("unclassified"))
-        .when(rule["tax_treatment"] == "domestic", F.lit("domestic"))
-        .otherwise(F.lit("foreign"))
-    )
-    gross_income = F.abs(F.coalesce(income_eur, F.lit(0.0))) + raw
-    is_foreign = treatment == "foreign"
-    credit = F.when(is_foreign, F.least(raw, gross_income * rule["max_creditable_rate"])).otherwise(F.lit(0.0))
-    excess = F.when(is_foreign, raw - credit).otherwise(F.lit(0.0))
-    domestic = F.when(treatment == "domestic", raw).otherwise(F.lit(0.0))
-    kest, soli = _domestic_split(domestic)
-    unclassified = F.when(treatment == "unclassified", raw).otherwise(F.lit(0.0))
-    source_country = rule["source_country"]
-    swiss = F.when(is_foreign & (source_country == K.SWISS_COUNTRY), excess).otherwise(F.lit(0.0))
-    return {
-        "source_country": source_country,
-        "treatment": treatment,
-        "raw_tax_eur": raw,
-        "credit_eur": credit,
-        "excess_eur": excess,
-        "domestic_eur": domestic,
-        "kest_eur": kest,
-        "soli_eur": soli,
-        "unclassified_eur": unclassified,
-        "swiss_refundable_eur": swiss,
-    }
-
-
-def classify_standalone_cols(raw: Column, rule: Column) -> dict[str, Column]:
-    """Split a separate tax booking (no gross income to cap a credit with).
-
-    Domestic as above; foreign stays unclassified under its own treatment
-    name and still lists its country (with zero credit); no rule -> unclassified.
-    """
-    treatment = (
-        F.when(raw == 0, F.lit("none"))
-        .when(rule["tax_treatment"] == "domestic", F.lit("domestic"))
-        .when(rule["tax_treatment"] == "foreign", F.lit("foreign_without_gross_income"))
-        .otherwise(F.lit("unclassified"))
-    )
-    domestic = F.when(treatment == "domestic", raw).otherwise(F.lit(0.0))
-    kest, soli = _domestic_split(domestic)
-    unclassified = F.when(
-        treatment.isin("foreign_without_gross_income", "unclassified"), raw
-    ).otherwise(F.lit(0.0))
-    return {
-        "source_country": rule["source_country"],
-        "treatment": treatment,
-        "raw_tax_eur": raw,
-        "credit_eur": F.lit(0.0),
-        "excess_eur": F.lit(0.0),
-        "domestic_eur": domestic,
-        "kest_eur": kest,
-        "soli_eur": soli,
-        "unclassified_eur": unclassified,
-        "swiss_refundable_eur": F.lit(0.0),
-    }

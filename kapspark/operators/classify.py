@@ -8,12 +8,7 @@ from pyspark.sql import functions as F
 from kapspark import config as C
 from kapspark import constants as K
 from kapspark.config import TaxConfig
-from kapspark.functions import (
-    classify_embedded_cols,
-    classify_standalone_cols,
-    isin_key,
-    money_sum,
-)
+from kapspark.functions import isin_key, money_sum
 
 CLASS_COLUMNS = (
     "source_country",
@@ -144,16 +139,18 @@ def classify_income(df: DataFrame, has_tax: bool) -> DataFrame:
     )
 
 
-def classify_embedded(income: DataFrame) -> DataFrame:
-    """Classify tax embedded in dividend / interest rows (needs ``rule``)."""
-    raw = F.abs(F.coalesce(F.col("tax_eur"), F.lit(0.0)))
-    return income.withColumns(classify_embedded_cols(raw, F.col("net_eur"), F.col("rule")))
+def classify_embedded(income: DataFrame, has_tax: bool = True) -> DataFrame:
+    """Classify tax embedded in income rows (needs ``rule``, ``net_eur``,
+    ``tax_eur``): the dividend / interest branch of ``classify_income``."""
+    had_scope = "scope" in income.columns
+    out = classify_income(income if had_scope else income.withColumn("scope", F.lit("dividend")), has_tax)
+    return out if had_scope else out.drop("scope")
 
 
 def classify_standalone(bookings: DataFrame) -> DataFrame:
-    """Classify separate tax bookings; the tax is the booking's net amount."""
-    raw = F.abs(F.coalesce(F.col("net_eur"), F.lit(0.0)))
-    return bookings.withColumns(classify_standalone_cols(raw, F.col("rule")))
+    """Classify separate tax bookings (the tax is the booking's net amount)."""
+    out = classify_income(bookings.withColumn("scope", F.lit("standalone")), has_tax=False)
+    return out.drop("scope")
 
 
 def tag_dividend_forms(dividends: DataFrame) -> DataFrame:
