@@ -308,14 +308,13 @@ def _carry_keys(df: DataFrame, small: DataFrame, on: tuple[str, ...], cfg: TaxCo
     return df.join(renamed, cond).drop(*[f"_s_{c}" for c in on])
 
 
-def match_chunked(trades: DataFrame, stats: DataFrame, cfg: TaxConfig) -> DataFrame:
-    """FIFO for hot keys without ever holding a whole key in one task."""
+def positions_chunked(trades: DataFrame, stats: DataFrame, cfg: TaxConfig) -> DataFrame:
+    """Stage A for hot keys: running sums per time chunk plus the totals of
+    the earlier chunks, key flags and per-key ``p_max`` / ``n``."""
     epoch = F.timestamp_diff("MICROSECOND", F.to_timestamp_ntz(F.lit(_EPOCH)), F.col(C.TS))
     t = _carry_keys(trades, stats, KEY, cfg)
     t = _chunk_of(t, epoch, F.col("e_min"), F.col("e_max"), F.col("n"), cfg, "tchunk")
     t = t.drop("n", "e_min", "e_max")
-
-    # Stage A: running sums per time chunk plus the totals of earlier chunks.
     tot = t.groupBy(*KEY, "tchunk").agg(
         F.sum(_signed(BUY)).alias("tot_buy"), F.sum(_signed(SELL)).alias("tot_sell"), F.count(F.lit(1)).alias("n")
     )
@@ -334,7 +333,12 @@ def match_chunked(trades: DataFrame, stats: DataFrame, cfg: TaxConfig) -> DataFr
         F.greatest(F.sum("tot_buy"), F.sum("tot_sell")).alias("p_max"), F.sum("n").alias("n")
     )
     key_info = _carry_keys(flags, per_key, KEY, cfg)
-    pos = _carry_keys(pos, key_info, KEY, cfg)
+    return _carry_keys(pos, key_info, KEY, cfg)
+
+
+def match_chunked(trades: DataFrame, stats: DataFrame, cfg: TaxConfig) -> DataFrame:
+    """FIFO for hot keys without ever holding a whole key in one task."""
+    pos = positions_chunked(trades, stats, cfg)
 
     # Stage B: breakpoints in position order, chunked by position.
     bp = pos.withColumn("p", F.when(F.col("side") == BUY, F.col("cum_buy")).otherwise(F.col("cum_sell")))
@@ -385,3 +389,19 @@ def realized_sales(ledger_fx: DataFrame, cfg: TaxConfig, ledger: DataFrame | Non
     normal = trades.join(hot, cond, "left_anti")
     skewed = trades.join(hot, cond, "left_semi")
     return match_simple(normal, cfg).unionByName(match_chunked(skewed, stats, cfg))
+
+
+def trade_positions(ledger_fx: DataFrame, cfg: TaxConfig, ledger: DataFrame | None = None) -> DataFrame:
+    """Stage A for every trade (running sums, shortfall, key flags), with
+    hot keys computed chunk by chunk like ``realized_sales``."""
+    cfg = cfg.with_(tiebreak=tuple(c for c in cfg.tiebreak if c in ledger_fx.columns))
+    trades = trades_of(ledger_fx, cfg)
+    cols = trades.columns + ["cum_buy", "cum_sell", "short_row", "missing_qty", "bad_row", "key_short", "key_bad"]
+    stats = hot_key_stats(ledger if ledger is not None else ledger_fx, cfg)
+    if stats is None:
+        return positions(trades, cfg).select(*cols)
+    hot = stats.select(*[F.col(c).alias(f"_h_{c}") for c in KEY])
+    cond = F.col(C.ACCOUNT).eqNullSafe(F.col(f"_h_{C.ACCOUNT}")) & F.col(C.ISIN).eqNullSafe(F.col(f"_h_{C.ISIN}"))
+    normal = positions(trades.join(hot, cond, "left_anti"), cfg).select(*cols)
+    skewed = positions_chunked(trades.join(hot, cond, "left_semi"), stats, cfg).select(*cols)
+    return normal.unionByName(skewed)

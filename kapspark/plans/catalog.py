@@ -207,8 +207,9 @@ def q_fifo_shortfall(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kapspark.sources.dims import yearly_rates
 
     cfg = DEMO_CONFIG
-    ledger_fx = fx_convert(demo_ledger(spark, sf_dir), demo_dims(spark)[0], yearly_rates(spark), cfg)
-    pos = fifo.positions(fifo.trades_of(ledger_fx, cfg), cfg)
+    ledger = demo_ledger(spark, sf_dir)
+    ledger_fx = fx_convert(ledger, demo_dims(spark)[0], yearly_rates(spark), cfg)
+    pos = fifo.trade_positions(ledger_fx, cfg, ledger=ledger)
     short = pos.where(F.col("short_row"))
     order = F.struct(F.col(C.TS), *[F.col(c) for c in cfg.tiebreak])
     return short.groupBy(C.ACCOUNT, C.ISIN).agg(

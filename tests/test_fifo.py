@@ -124,3 +124,12 @@ def test_simple_plan_has_one_exchange(spark):
     df = spark.createDataFrame(random_ledger(3, keys=2, n=10), SCHEMA)
     plan = fifo.match_simple(fifo.trades_of(df, CFG), CFG)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1, plan
+
+
+def test_positions_agree_between_simple_and_chunked(spark):
+    rows = random_ledger(5, keys=3, n=50)
+    df = spark.createDataFrame(rows, SCHEMA)
+    cols = ["account_id", "isin", "seq", "cum_buy", "cum_sell", "short_row", "missing_qty", "key_short"]
+    a = {tuple(r) for r in fifo.trade_positions(df, CFG.with_(fifo_hot_key_rows=None)).select(*cols).collect()}
+    b = {tuple(r) for r in fifo.trade_positions(df, CFG.with_(fifo_hot_key_rows=5, fifo_chunk_rows=6)).select(*cols).collect()}
+    assert a == b and len(a) == 150
