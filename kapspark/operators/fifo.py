@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from kapspark import config as C
 from kapspark.config import TaxConfig
 from kapspark.functions import money_sum
-from kapspark.operators.joins import bounded_rows, small_dim
+from kapspark.operators.joins import bounded_rows
 
 KEY = (C.ACCOUNT, C.ISIN)
 BUY, SELL = 0, 1
@@ -249,14 +249,15 @@ _EPOCH = "1970-01-01 00:00:00"
 _HOT_MEMO: dict[tuple[int, int], list | None] = {}
 
 
-def hot_key_stats(source: DataFrame, cfg: TaxConfig) -> DataFrame | None:
+def hot_key_stats(source: DataFrame, cfg: TaxConfig) -> tuple[DataFrame, bool] | None:
     """(account_id, isin, n, e_min, e_max) for keys with more than
     ``cfg.fifo_hot_key_rows`` trades, or None when there are none.
 
     ``source`` is the ledger (any frame with account_id, isin, type, ts):
     one aggregate job with map-side partial counts, no FX join. The hot table
     has at most total_rows / threshold rows; up to HOT_KEYS_MAX it is
-    materialised and broadcast, beyond that it stays distributed.
+    materialised and broadcast, beyond that it stays distributed. Returns
+    (table, bounded) where ``bounded`` says the table was materialised.
     """
     if cfg.fifo_hot_key_rows is None:
         return None
@@ -275,10 +276,10 @@ def hot_key_stats(source: DataFrame, cfg: TaxConfig) -> DataFrame | None:
         rows = bounded_rows(stats, HOT_KEYS_MAX)
         _HOT_MEMO[memo_key] = rows
     if rows is None:
-        return stats
+        return stats, False  # more than HOT_KEYS_MAX hot keys: stays distributed
     if not rows:
         return None
-    return F.broadcast(source.sparkSession.createDataFrame(rows, stats.schema))
+    return F.broadcast(source.sparkSession.createDataFrame(rows, stats.schema)), True
 
 
 def _chunk_of(df: DataFrame, value: Column, lo: Column, hi: Column, n: Column, cfg: TaxConfig, name: str) -> DataFrame:
@@ -294,12 +295,22 @@ def _chunk_of(df: DataFrame, value: Column, lo: Column, hi: Column, n: Column, c
     chunks = counts.select(
         *KEY, "_fine", F.floor(before / F.lit(cfg.fifo_chunk_rows)).cast("long").alias(name)
     )
-    return _carry_keys(df, chunks, KEY + ("_fine",), cfg).drop("_fine")
+    return _carry_keys(df, chunks, KEY + ("_fine",)).drop("_fine")
 
 
-def _carry_keys(df: DataFrame, small: DataFrame, on: tuple[str, ...], cfg: TaxConfig) -> DataFrame:
-    """Join a per-key or per-chunk summary back onto rows (null-safe keys)."""
-    small = small_dim(small, cfg.broadcast_row_limit)
+def _carry_keys(df: DataFrame, small: DataFrame, on: tuple[str, ...], bounded: bool = False) -> DataFrame:
+    """Join a per-key or per-chunk summary back onto rows (null-safe keys).
+
+    A plain join: the summaries are derived from the hot rows themselves, so
+    a size check here would run (and recompute) those rows at planning time.
+    The join keys include the chunk, so the shuffle is not skewed, and AQE
+    turns the join into a broadcast at run time from the real summary size.
+    ``bounded``: the summary has one row per hot key and the hot keys are
+    known to be at most HOT_KEYS_MAX, so it is broadcast (a join on the key
+    alone must not shuffle a hot key into one partition).
+    """
+    if bounded:
+        small = F.broadcast(small)
     renamed = small.select(*[F.col(c).alias(f"_s_{c}") for c in on], *[c for c in small.columns if c not in on])
     cond = None
     for c in on:
@@ -308,11 +319,11 @@ def _carry_keys(df: DataFrame, small: DataFrame, on: tuple[str, ...], cfg: TaxCo
     return df.join(renamed, cond).drop(*[f"_s_{c}" for c in on])
 
 
-def positions_chunked(trades: DataFrame, stats: DataFrame, cfg: TaxConfig) -> DataFrame:
+def positions_chunked(trades: DataFrame, stats: DataFrame, cfg: TaxConfig, keys_bounded: bool = True) -> DataFrame:
     """Stage A for hot keys: running sums per time chunk plus the totals of
     the earlier chunks, key flags and per-key ``p_max`` / ``n``."""
     epoch = F.timestamp_diff("MICROSECOND", F.to_timestamp_ntz(F.lit(_EPOCH)), F.col(C.TS))
-    t = _carry_keys(trades, stats, KEY, cfg)
+    t = _carry_keys(trades, stats, KEY, bounded=keys_bounded)
     t = _chunk_of(t, epoch, F.col("e_min"), F.col("e_max"), F.col("n"), cfg, "tchunk")
     t = t.drop("n", "e_min", "e_max")
     tot = t.groupBy(*KEY, "tchunk").agg(
@@ -326,19 +337,19 @@ def positions_chunked(trades: DataFrame, stats: DataFrame, cfg: TaxConfig) -> Da
         F.coalesce(F.sum("tot_buy").over(w), zero).alias("off_buy"),
         F.coalesce(F.sum("tot_sell").over(w), zero).alias("off_sell"),
     )
-    t = _carry_keys(t, offs, KEY + ("tchunk",), cfg)
+    t = _carry_keys(t, offs, KEY + ("tchunk",))
     pos = _running(t, cfg, list(KEY) + ["tchunk"], with_offsets=True)
     flags = pos.groupBy(*KEY).agg(F.max("short_row").alias("key_short"), F.max("bad_row").alias("key_bad"))
     per_key = tot.groupBy(*KEY).agg(
         F.greatest(F.sum("tot_buy"), F.sum("tot_sell")).alias("p_max"), F.sum("n").alias("n")
     )
-    key_info = _carry_keys(flags, per_key, KEY, cfg)
-    return _carry_keys(pos, key_info, KEY, cfg)
+    key_info = _carry_keys(flags, per_key, KEY)
+    return _carry_keys(pos, key_info, KEY, bounded=keys_bounded)
 
 
-def match_chunked(trades: DataFrame, stats: DataFrame, cfg: TaxConfig) -> DataFrame:
+def match_chunked(trades: DataFrame, stats: DataFrame, cfg: TaxConfig, keys_bounded: bool = True) -> DataFrame:
     """FIFO for hot keys without ever holding a whole key in one task."""
-    pos = positions_chunked(trades, stats, cfg)
+    pos = positions_chunked(trades, stats, cfg, keys_bounded)
 
     # Stage B: breakpoints in position order, chunked by position.
     bp = pos.withColumn("p", F.when(F.col("side") == BUY, F.col("cum_buy")).otherwise(F.col("cum_sell")))
@@ -359,7 +370,7 @@ def match_chunked(trades: DataFrame, stats: DataFrame, cfg: TaxConfig) -> DataFr
         F.first(F.col("fs.v"), ignorenulls=True).over(wn).alias("next_sale"),
         F.lag("max_p", 1).over(wl).alias("prev_p"),
     )
-    scan = _carry_keys(scan, carry, KEY + ("pchunk",), cfg)
+    scan = _carry_keys(scan, carry, KEY + ("pchunk",))
     scan = scan.withColumns(
         {
             "lot_here": F.coalesce(F.col("lot_here"), F.col("next_lot")),
@@ -381,14 +392,15 @@ def realized_sales(ledger_fx: DataFrame, cfg: TaxConfig, ledger: DataFrame | Non
     """
     cfg = cfg.with_(tiebreak=tuple(c for c in cfg.tiebreak if c in ledger_fx.columns))
     trades = trades_of(ledger_fx, cfg)
-    stats = hot_key_stats(ledger if ledger is not None else ledger_fx, cfg)
-    if stats is None:
+    found = hot_key_stats(ledger if ledger is not None else ledger_fx, cfg)
+    if found is None:
         return match_simple(trades, cfg)
+    stats, bounded = found
     hot = stats.select(*[F.col(c).alias(f"_h_{c}") for c in KEY])
     cond = F.col(C.ACCOUNT).eqNullSafe(F.col(f"_h_{C.ACCOUNT}")) & F.col(C.ISIN).eqNullSafe(F.col(f"_h_{C.ISIN}"))
     normal = trades.join(hot, cond, "left_anti")
     skewed = trades.join(hot, cond, "left_semi")
-    return match_simple(normal, cfg).unionByName(match_chunked(skewed, stats, cfg))
+    return match_simple(normal, cfg).unionByName(match_chunked(skewed, stats, cfg, bounded))
 
 
 def trade_positions(ledger_fx: DataFrame, cfg: TaxConfig, ledger: DataFrame | None = None) -> DataFrame:
@@ -397,11 +409,12 @@ def trade_positions(ledger_fx: DataFrame, cfg: TaxConfig, ledger: DataFrame | No
     cfg = cfg.with_(tiebreak=tuple(c for c in cfg.tiebreak if c in ledger_fx.columns))
     trades = trades_of(ledger_fx, cfg)
     cols = trades.columns + ["cum_buy", "cum_sell", "short_row", "missing_qty", "bad_row", "key_short", "key_bad"]
-    stats = hot_key_stats(ledger if ledger is not None else ledger_fx, cfg)
-    if stats is None:
+    found = hot_key_stats(ledger if ledger is not None else ledger_fx, cfg)
+    if found is None:
         return positions(trades, cfg).select(*cols)
+    stats, bounded = found
     hot = stats.select(*[F.col(c).alias(f"_h_{c}") for c in KEY])
     cond = F.col(C.ACCOUNT).eqNullSafe(F.col(f"_h_{C.ACCOUNT}")) & F.col(C.ISIN).eqNullSafe(F.col(f"_h_{C.ISIN}"))
     normal = positions(trades.join(hot, cond, "left_anti"), cfg).select(*cols)
-    skewed = positions_chunked(trades.join(hot, cond, "left_semi"), stats, cfg).select(*cols)
+    skewed = positions_chunked(trades.join(hot, cond, "left_semi"), stats, cfg, bounded).select(*cols)
     return normal.unionByName(skewed)
