@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from kapspark import constants as K
 
-RULE_FIELDS = ("source_country", "tax_treatment", "max_creditable_rate", "instrument", "fund_type")
 RULE_DDL = (
     "struct<source_country:string,tax_treatment:string,max_creditable_rate:double,"
     "instrument:string,fund_type:string>"

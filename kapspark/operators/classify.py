@@ -10,18 +10,6 @@ from kapspark import constants as K
 from kapspark.config import TaxConfig
 from kapspark.functions import isin_key, money_sum
 
-CLASS_COLUMNS = (
-    "source_country",
-    "treatment",
-    "raw_tax_eur",
-    "credit_eur",
-    "excess_eur",
-    "domestic_eur",
-    "kest_eur",
-    "soli_eur",
-    "unclassified_eur",
-    "swiss_refundable_eur",
-)
 # Summary figure -> per-row column.
 SUMMARY_FIGURES = {
     "credit": "credit_eur",
@@ -32,7 +20,6 @@ SUMMARY_FIGURES = {
     "unclassified": "unclassified_eur",
     "swiss_refundable": "swiss_refundable_eur",
 }
-SCOPES = ("dividend", "interest", "standalone")
 
 
 SCOPE_OF_CATEGORY = {"dividend": "dividend", "interest": "interest", "withholding_tax": "standalone"}

@@ -33,20 +33,6 @@ from kapspark.operators.joins import bounded_rows
 
 KEY = (C.ACCOUNT, C.ISIN)
 BUY, SELL = 0, 1
-SALE_COLUMNS = (
-    C.ACCOUNT,
-    C.ISIN,
-    C.TS,
-    C.TAX_YEAR,
-    C.QUANTITY,
-    "proceeds_eur",
-    "cost_eur",
-    "result_eur",
-    "shortfall",
-    "missing_qty",
-    "invalid",
-)
-
 
 def _tiebreak(cfg: TaxConfig) -> list[str]:
     return [c for c in cfg.tiebreak if c not in (C.TS, "side")]

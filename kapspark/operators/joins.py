@@ -38,8 +38,3 @@ def small_dim(df: DataFrame, row_limit: int) -> DataFrame:
         return df
     spark = df.sparkSession
     return F.broadcast(spark.createDataFrame(rows, df.schema))
-
-
-def small_side(df: DataFrame, row_limit: int) -> DataFrame:
-    """``broadcast(df)`` when it fits under ``row_limit`` rows, else ``df``."""
-    return F.broadcast(df) if fits(df, row_limit) else df

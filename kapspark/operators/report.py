@@ -23,28 +23,6 @@ KEYS = (C.ACCOUNT, C.TAX_YEAR)
 def _zero() -> Column:
     return F.lit(0).cast("decimal(38,10)")
 
-# Per account-year figures produced by ``account_year_totals``.
-FIGURES = (
-    "domestic_share_dividends",
-    "foreign_share_dividends",
-    "fund_dividends",
-    "interest",
-    "foreign_capital_income",
-    "credit",
-    "excess",
-    "domestic",
-    "kest",
-    "soli",
-    "unclassified",
-    "swiss_refundable",
-    "dividend_credit",
-    "interest_credit",
-    "stock_result",
-    "stock_gains",
-    "stock_losses",
-)
-
-
 _FIGURE_COLS = ("credit_eur", "excess_eur", "domestic_eur", "kest_eur", "soli_eur", "unclassified_eur",
                 "swiss_refundable_eur")
 

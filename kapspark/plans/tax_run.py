@@ -32,22 +32,6 @@ class TaxResult:
     form lines does not pay for building the detail export's plan.
     """
 
-    OUTPUTS = (
-        "dividends",
-        "interest",
-        "standalone",
-        "classified",
-        "summary",
-        "by_country",
-        "sales_all_years",
-        "sales",
-        "totals",
-        "form_lines",
-        "fund_breakdown",
-        "positions",
-        "sections",
-    )
-
     def __init__(self, spark, ledger, rates_daily, rules, cfg, rates_yearly, rules_validated=False) -> None:
         self.spark = spark
         self.cfg = cfg

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from kapspark import constants as K
-from kapspark.config import TaxConfig
 
 
 def yearly_rates(spark: SparkSession) -> DataFrame:
@@ -18,20 +17,6 @@ def yearly_rates(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "year int, currency string, rate double")
 
 
-def known_currencies(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(c,) for c in K.KNOWN_CURRENCIES], "currency string")
-
-
-def type_map(spark: SparkSession, cfg: TaxConfig) -> DataFrame:
-    """(type, category) with one row per membership; lists may overlap."""
-    return spark.createDataFrame(cfg.type_map_rows(), "type string, category string")
-
-
 def fund_exemptions(spark: SparkSession) -> DataFrame:
     rows = [(k, float(v), K.FUND_TYPE_LABELS[k]) for k, v in K.FUND_EXEMPTION_RATES.items()]
     return spark.createDataFrame(rows, "fund_type string, exemption_rate double, fund_label string")
-
-
-def form_line_defs(spark: SparkSession) -> DataFrame:
-    rows = [(i, *line) for i, line in enumerate(K.FORM_LINES + (K.REFUND_LINE,))]
-    return spark.createDataFrame(rows, "line_order int, form string, line string, label string, figure string")
