@@ -23,6 +23,7 @@ KEYS = (C.ACCOUNT, C.TAX_YEAR)
 def _zero() -> Column:
     return F.lit(0).cast("decimal(38,10)")
 
+
 _FIGURE_COLS = ("credit_eur", "excess_eur", "domestic_eur", "kest_eur", "soli_eur", "unclassified_eur",
                 "swiss_refundable_eur")
 

@@ -24,7 +24,6 @@ from kapspark.sources.dims import yearly_rates
 from kapspark.sources.rules import empty_rules
 
 
-
 class TaxResult:
     """Lazy frames of one computation (every account-year at once).
 

@@ -8,7 +8,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import OFFLINE, country, rules_df, security
-from kapspark.config import TaxConfig
 from kapspark.operators import classify as CL
 from kapspark.operators.fx import fx_convert, rates_for_dates
 from kapspark.operators.issues import rules_issues, valid_rules
