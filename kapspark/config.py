@@ -67,6 +67,9 @@ class TaxConfig:
     # checkpoint: cuts lineage, and every output then reads it instead of
     # re-scanning the ledger). Worth it when many outputs are computed.
     checkpoint_ledger: bool = False
+    # Same for the FIFO result (one row per sale), which totals, positions,
+    # details and issues all read.
+    checkpoint_sales: bool = False
     # Without a requested tax year every year is a key. With this set, an
     # account with bookings in more than one year is reported as an issue
     # (the single-file tool refuses such input without a requested year).

@@ -55,6 +55,8 @@ def run(spark: SparkSession, sf_dir: str, cfg: TaxConfig = DEMO_CONFIG) -> TaxRe
     over the same data read different outputs of the same plans.
     """
     key = (spark.sparkContext.applicationId, id(spark), sf_dir, repr(cfg))
+    if cfg.checkpoint_ledger or cfg.checkpoint_sales:
+        ensure_checkpoint_dir(spark)
     if key not in _RUNS:
         rates, rules = demo_dims(spark, cfg)
         _RUNS[key] = calculate(spark, demo_ledger(spark, sf_dir), rates, rules, cfg, rules_validated=True)
@@ -184,12 +186,7 @@ def _sales_out(sales: DataFrame) -> DataFrame:
 
 
 def _sales_with(spark: SparkSession, sf_dir: str, cfg: TaxConfig) -> DataFrame:
-    from kapspark.operators.fx import fx_convert
-    from kapspark.sources.dims import yearly_rates
-
-    ledger = demo_ledger(spark, sf_dir)
-    ledger_fx = fx_convert(ledger, demo_dims(spark)[0], yearly_rates(spark), cfg)
-    return fifo.realized_sales(ledger_fx, cfg, ledger=ledger)
+    return run(spark, sf_dir, cfg).sales_all_years
 
 
 def q_fifo_realized(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,13 +200,9 @@ def q_fifo_realized_as_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_fifo_shortfall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per (account, ISIN) with a shortfall: how many sales lack inventory,
     the first such sale and the largest missing quantity."""
-    from kapspark.operators.fx import fx_convert
-    from kapspark.sources.dims import yearly_rates
-
     cfg = DEMO_CONFIG
-    ledger = demo_ledger(spark, sf_dir)
-    ledger_fx = fx_convert(ledger, demo_dims(spark)[0], yearly_rates(spark), cfg)
-    pos = fifo.trade_positions(ledger_fx, cfg, ledger=ledger)
+    r = run(spark, sf_dir, cfg)
+    pos = fifo.trade_positions(r.ledger_fx, cfg, ledger=r.ledger)
     short = pos.where(F.col("short_row"))
     order = F.struct(F.col(C.TS), *[F.col(c) for c in cfg.tiebreak])
     return short.groupBy(C.ACCOUNT, C.ISIN).agg(
@@ -322,14 +315,20 @@ def q_tax_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A fresh folder under ``spark.checkpoint.dir`` (shared storage on a
-    cluster). Only when the session has none (local tests) is one set."""
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir`` (shared storage on a cluster).
+    Only when the session has none (local runs, tests) is a fresh one set."""
     base = spark.sparkContext.getCheckpointDir()
     if not base:
         base = tempfile.mkdtemp(prefix="kapspark-ckpt-")
         spark.sparkContext.setCheckpointDir(base)
-    return os.path.join(base, f"kapspark-{uuid.uuid4().hex}")
+        base = spark.sparkContext.getCheckpointDir()
+    return base
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """A fresh folder under the checkpoint directory."""
+    return os.path.join(ensure_checkpoint_dir(spark), f"kapspark-{uuid.uuid4().hex}")
 
 
 def q_ledger_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

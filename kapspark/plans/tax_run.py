@@ -66,11 +66,7 @@ class TaxResult:
     @cached_property
     def ledger_fx(self) -> DataFrame:
         df = gross_up(fx_convert(self.ledger, self._rates_daily, self._yearly, self.cfg), self.has_tax)
-        if self.cfg.checkpoint_ledger:
-            if not self.spark.sparkContext.getCheckpointDir():
-                raise ValueError("checkpoint_ledger needs spark.checkpoint.dir (shared storage)")
-            df = df.checkpoint(eager=True)
-        return df
+        return self._checkpoint(df) if self.cfg.checkpoint_ledger else df
 
     @cached_property
     def in_year(self) -> DataFrame:
@@ -109,9 +105,15 @@ class TaxResult:
     def by_country(self) -> DataFrame:
         return CL.credit_by_country(self.classified)
 
+    def _checkpoint(self, df: DataFrame) -> DataFrame:
+        if not self.spark.sparkContext.getCheckpointDir():
+            raise ValueError("checkpointing needs spark.checkpoint.dir (shared storage)")
+        return df.checkpoint(eager=True)
+
     @cached_property
     def _sales_all(self) -> DataFrame:
-        return fifo.realized_sales(self.ledger_fx, self.cfg, ledger=self.ledger)
+        sales = fifo.realized_sales(self.ledger_fx, self.cfg, ledger=self.ledger)
+        return self._checkpoint(sales) if self.cfg.checkpoint_sales else sales
 
     @cached_property
     def sales_all_years(self) -> DataFrame:

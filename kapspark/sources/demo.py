@@ -34,7 +34,10 @@ ACCOUNT_WIDTH = 8
 
 # Same-timestamp bookings are ordered by these after buys-first.
 DEMO_TIEBREAK = ("order_key", "line_no", "supp_key", "quantity", "net", "tax", "currency")
-DEMO_CONFIG = TaxConfig(on_issue="flag", tiebreak=DEMO_TIEBREAK)
+# The catalog reads many outputs of one ledger: write the converted ledger
+# and the FIFO result once to spark.checkpoint.dir instead of recomputing
+# them per output.
+DEMO_CONFIG = TaxConfig(on_issue="flag", tiebreak=DEMO_TIEBREAK, checkpoint_ledger=True, checkpoint_sales=True)
 
 
 def _isin(sec_no: Column) -> Column:

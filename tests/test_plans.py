@@ -1,23 +1,41 @@
-"""Physical-plan properties: dimensions broadcast, no Python, pruned scans."""
+"""Physical-plan properties: dimensions broadcast, no Python, pruned scans.
+
+Checked on results planned without the ledger checkpoint, so the scan and
+the dimension joins appear in the plan being inspected.
+"""
 
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
-from kapspark.plans.catalog import QUERIES
+from kapspark.plans import catalog
+from kapspark.sources.demo import DEMO_CONFIG
 
 SMALL = "/root/testdata/sf0.001"
+CFG = DEMO_CONFIG.with_(checkpoint_ledger=False, checkpoint_sales=False)
 
 
 def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["form_lines", "report_positions", "fx_convert", "fifo_realized", "detail_export"])
+def _frames(spark):
+    r = catalog.run(spark, SMALL, CFG)
+    return {
+        "form_lines": r.form_lines,
+        "positions": r.positions,
+        "fx": r.ledger_fx.groupBy("account_id", "fx_source").agg(F.sum("net_eur")),
+        "sales": r.sales_all_years,
+        "details": r.details(),
+    }
+
+
+@pytest.mark.parametrize("name", ["form_lines", "positions", "fx", "sales", "details"])
 def test_dimension_joins_are_broadcast_and_no_python(spark, name):
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        plan = _plan(QUERIES[name](spark, SMALL))
+        plan = _plan(_frames(spark)[name])
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan, plan
@@ -27,6 +45,11 @@ def test_dimension_joins_are_broadcast_and_no_python(spark, name):
 
 
 def test_scan_reads_only_needed_columns(spark):
-    plan = _plan(QUERIES["fx_convert"](spark, SMALL))
+    plan = _plan(_frames(spark)["fx"])
     scan = [line for line in plan.splitlines() if "lineitem" in line and "ReadSchema" in line][0]
     assert "l_quantity" not in scan and "l_returnflag" not in scan and "l_discount" not in scan
+
+
+def test_catalog_reads_the_checkpointed_ledger(spark):
+    plan = _plan(catalog.QUERIES["form_lines"](spark, SMALL))
+    assert "lineitem" not in plan  # the converted ledger is read back from the checkpoint
