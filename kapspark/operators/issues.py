@@ -62,6 +62,13 @@ def ledger_issues(ledger_fx: DataFrame, cfg: TaxConfig) -> DataFrame:
     return _long(ledger_fx, [C.ACCOUNT], checks)
 
 
+def unknown_currencies(ledger: DataFrame) -> DataFrame:
+    """(account_id, currency, n): the distinct currencies outside the known
+    list per account (the list is three literals, so no join is needed)."""
+    unknown = F.col(C.CURRENCY).isNotNull() & ~F.col(C.CURRENCY).isin(*K.KNOWN_CURRENCIES)
+    return ledger.where(unknown).groupBy(C.ACCOUNT, C.CURRENCY).agg(F.count(F.lit(1)).alias("n"))
+
+
 def fifo_issues(sales: DataFrame) -> DataFrame:
     """(account_id, issue, n): sales left uncosted by a shortfall or bad trade."""
     return _long(

@@ -135,6 +135,7 @@ def fund_breakdown(spark: SparkSession, dividends: DataFrame) -> DataFrame:
             "fund_label"
         ),
         rate.alias("exemption_rate"),
+        F.format_string("%.0f%%", F.bround(rate * 100, 0)).alias("exemption_pct"),
         F.col("gross_total"),
         (F.col("gross_total") * to_money(F.lit(1.0) - rate)).cast("decimal(38,10)").alias("taxable"),
     )

@@ -148,6 +148,10 @@ class TaxResult:
     def sections(self) -> DataFrame:
         return report.section_totals(self.classified, self.sales)
 
+    @cached_property
+    def unknown_currencies(self) -> DataFrame:
+        return issues.unknown_currencies(self.ledger)
+
     @cached_property
     def tax_years(self) -> DataFrame:
         return issues.tax_years(self.ledger, self.cfg)

@@ -95,7 +95,9 @@ def test_fund_distribution_goes_to_kap_inv(spark, csv_ledger):
     t = totals_of(res, 2025)
     assert t["fund_dividends"] == 100.0 and t["foreign_share_dividends"] == 0.0
     fb = res.fund_breakdown.collect()
-    assert [(r["fund_type"], float(r["gross_total"]), r["exemption_rate"]) for r in fb] == [("other", 100.0, 0.0)]
+    assert [(r["fund_type"], float(r["gross_total"]), r["exemption_rate"], r["exemption_pct"]) for r in fb] == [
+        ("other", 100.0, 0.0, "0%")
+    ]
 
 
 def test_line_19_sums_foreign_dividends_and_interest(spark, csv_ledger):
@@ -189,6 +191,7 @@ def test_bad_dates_and_unknown_currencies_are_issues(spark, csv_ledger):
     # the unknown currency is converted 1:1 and says so
     srcs = {r["currency"]: r["fx_source"] for r in res.ledger_fx.collect()}
     assert srcs["GBP"] == "assumed_1"
+    assert [(r["currency"], r["n"]) for r in res.unknown_currencies.collect()] == [("GBP", 1)]
 
 
 def test_quarantine_drops_offending_accounts_only(spark, csv_ledger):
@@ -226,3 +229,25 @@ def test_renamed_tax_column_is_mapped(spark, csv_ledger):
     res = run(spark, led, rules_df(spark, US_RULE))
     t = totals_of(res, 2025)
     assert display(t["credit"]) == 14.29 and display(t["foreign_share_dividends"]) == 95.24
+
+
+def test_partial_exemption_rates_per_fund_type(spark, csv_ledger):
+    rows = "".join(
+        f"31-12-2025 15:57:09;Dividende;F;IE000000000{i};100.00;0.00;EUR\n" for i in range(5)
+    )
+    led = csv_ledger(NARROW + rows)
+    rules = rules_df(
+        spark,
+        *[
+            security(f"IE000000000{i}", "IE", "foreign", "0.0", "fund", ft)
+            for i, ft in enumerate(["equity", "mixed", "real_estate", "other", None])
+        ],
+    )
+    fb = {r["fund_type"]: (float(r["gross_total"]), r["exemption_pct"], float(r["taxable"]))
+          for r in run(spark, led, rules).fund_breakdown.collect()}
+    assert fb == {
+        "equity": (100.0, "30%", 70.0),
+        "mixed": (100.0, "15%", 85.0),
+        "real_estate": (100.0, "60%", 40.0),
+        "other": (200.0, "0%", 200.0),
+    }
