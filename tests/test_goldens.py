@@ -251,3 +251,36 @@ def test_partial_exemption_rates_per_fund_type(spark, csv_ledger):
         "real_estate": (100.0, "60%", 40.0),
         "other": (200.0, "0%", 200.0),
     }
+
+
+def test_whole_euro_display_is_half_even(spark):
+    from kapspark.operators.report import display_amounts
+
+    df = spark.createDataFrame(
+        [(0.5,), (1.5,), (2.675,), (-0.125,), (14.285714,)], "amount double"
+    ).selectExpr("cast(amount as decimal(38,10)) as amount")
+    euros = [r["display_text"] for r in display_amounts(df, whole_euros=True).collect()]
+    cents = [r["display_text"] for r in display_amounts(df).collect()]
+    # as Python's round(): 0.5 -> 0, 1.5 -> 2, -0.125 -> 0
+    assert euros == ["0 EUR", "2 EUR", "3 EUR", "0 EUR", "14 EUR"]
+    assert cents == ["0.50 EUR", "1.50 EUR", "2.68 EUR", "-0.12 EUR", "14.29 EUR"]
+
+
+def test_overlapping_type_lists(spark, csv_ledger):
+    led = csv_ledger(
+        "Datum;Transaktionen;Name;ISIN;Anzahl;Nettobetrag;Kosten;Währung\n"
+        "31-12-2025 15:57:09;Ertrag;X;DE0000000001;1;10.00;0;EUR\n"
+        "01-01-2025 09:00:00;Tausch;Y;DE0000000002;2;-200.00;0;EUR\n"
+        "01-03-2025 09:00:00;Verkauf;Y;DE0000000002;1;150.00;0;EUR\n"
+    )
+    cfg = OFFLINE.with_(
+        dividend_types=("Dividende", "Ertrag"),
+        interest_types=("Zinsen auf Einlagen", "Ertrag"),
+        purchase_types=("Kauf", "Tausch"),
+        sale_types=("Verkauf", "Tausch"),
+    )
+    res = run(spark, led, cfg=cfg)
+    t = totals_of(res, 2025)
+    # a type in two income lists counts in both; a type in both trade lists is a buy
+    assert t["domestic_share_dividends"] == 10.0 and t["interest"] == 10.0
+    assert t["stock_result"] == 50.0
