@@ -63,9 +63,9 @@ class TaxConfig:
     # the detection (one aggregate over the trades) off.
     fifo_hot_key_rows: int | None = 5_000_000
     fifo_chunk_rows: int = 1_000_000
-    # Write the FX-converted ledger once to ``spark.checkpoint.dir`` (reliable
-    # checkpoint: cuts lineage, and every output then reads it instead of
-    # re-scanning the ledger). Worth it when many outputs are computed.
+    # Write the FX-converted ledger once as a parquet table under
+    # ``spark.checkpoint.dir`` (cuts lineage; every output then reads it,
+    # pruned, instead of re-scanning the ledger). Worth it for many outputs.
     checkpoint_ledger: bool = False
     # Same for the FIFO result (one row per sale), which totals, positions,
     # details and issues all read.

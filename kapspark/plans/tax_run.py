@@ -9,6 +9,7 @@ figures; all dimension lookups are broadcast hash joins.
 
 from __future__ import annotations
 
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -66,7 +67,7 @@ class TaxResult:
     @cached_property
     def ledger_fx(self) -> DataFrame:
         df = gross_up(fx_convert(self.ledger, self._rates_daily, self._yearly, self.cfg), self.has_tax)
-        return self._checkpoint(df) if self.cfg.checkpoint_ledger else df
+        return self._checkpoint(df, "ledger_fx") if self.cfg.checkpoint_ledger else df
 
     @cached_property
     def in_year(self) -> DataFrame:
@@ -105,15 +106,21 @@ class TaxResult:
     def by_country(self) -> DataFrame:
         return CL.credit_by_country(self.classified)
 
-    def _checkpoint(self, df: DataFrame) -> DataFrame:
-        if not self.spark.sparkContext.getCheckpointDir():
+    def _checkpoint(self, df: DataFrame, name: str) -> DataFrame:
+        """Write ``df`` once as a parquet table in a fresh folder under
+        ``spark.checkpoint.dir`` and read it back: lineage ends there, and
+        later reads are columnar (pruned, vectorised)."""
+        base = self.spark.sparkContext.getCheckpointDir()
+        if not base:
             raise ValueError("checkpointing needs spark.checkpoint.dir (shared storage)")
-        return df.checkpoint(eager=True)
+        path = f"{base.rstrip('/')}/kapspark-{uuid.uuid4().hex}/{name}"
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.parquet(path)
 
     @cached_property
     def _sales_all(self) -> DataFrame:
         sales = fifo.realized_sales(self.ledger_fx, self.cfg, ledger=self.ledger)
-        return self._checkpoint(sales) if self.cfg.checkpoint_sales else sales
+        return self._checkpoint(sales, "sales") if self.cfg.checkpoint_sales else sales
 
     @cached_property
     def sales_all_years(self) -> DataFrame:
