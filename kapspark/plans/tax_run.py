@@ -1,7 +1,9 @@
 """Wiring: ledger + rates + rules -> every result as a lazy DataFrame.
 
-Nothing here triggers a Spark job except the bounded size checks of the
-dimension joins and, for ``on_issue="error"``, one bounded issue sample.
+Planning triggers only bounded jobs: size checks of the dimension joins,
+the hot-key aggregate of FIFO, the optional parquet materialisation of the
+converted ledger and the FIFO result, and for ``on_issue="error"`` one
+bounded issue sample.
 Two independent exchange families come out of it: trades by
 (account_id, isin) for FIFO and income by (account_id, tax_year) for the
 figures; all dimension lookups are broadcast hash joins.
