@@ -195,3 +195,13 @@ def test_folder_of_exports_gives_one_account_per_file(spark, tmp_path):
     res = calculate(spark, led, None, None, OFFLINE)
     got = {(r["account_id"], r["tax_year"], r["line"]): float(r["amount"]) for r in res.form_lines.collect()}
     assert got[("anna", 2025, "18")] == 100.0 and got[("ben", 2024, "19")] == 10.0
+
+
+def test_checkpoint_dir_is_taken_from_the_session(spark):
+    from kapspark.plans.catalog import ensure_checkpoint_dir, scratch_dir
+
+    configured = spark.sparkContext.getCheckpointDir()
+    assert configured
+    assert ensure_checkpoint_dir(spark) == configured
+    assert scratch_dir(spark).startswith(configured)
+    assert spark.sparkContext.getCheckpointDir() == configured
