@@ -9,11 +9,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
-from kapspark.llm import bpe, exact_dedup, mixing, queries, shared, simhash
+from kapspark.llm import bpe, exact_dedup, mixing, queries, shared, simhash, toxicity
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model does not reject."""
+    scored = toxicity.score(docs, shared.table(spark, sf_dir, "labels"), keep_cols=COLUMNS)
+    return scored.filter("predicted = 0").select(*COLUMNS)
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts (up to A-Z and a-z) the document with the largest id stays."""
     return exact_dedup.deduplicate(docs).filter("kept").select(*COLUMNS)
@@ -35,6 +41,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("toxicity", clean),
     ("exact_dedup", exact),
     ("simhash", near),
     ("mixing", mixture),

@@ -41,10 +41,12 @@ SEGMENT_BITS = 1 << 16
 RESULT_COLUMNS = ("keep_id", "group_size", "kept", "text_sha256")
 
 
-def digests(texts: pa.Array) -> list[bytes]:
-    """SHA-256 of each text after lower-casing A-Z (bytes.lower() does just that)."""
+def digests(texts: pa.Array, fold_case: bool = True) -> list[bytes]:
+    """SHA-256 of each text, if wanted after lower-casing A-Z (bytes.lower() does just that)."""
     raw = texts.cast(pa.large_binary()).to_pylist()
-    return [hashlib.sha256((b or b"").lower()).digest() for b in raw]
+    if fold_case:
+        return [hashlib.sha256((b or b"").lower()).digest() for b in raw]
+    return [hashlib.sha256(b or b"").digest() for b in raw]
 
 
 def probe_bits(hashes: Sequence[bytes], bits: int) -> np.ndarray:
@@ -59,13 +61,13 @@ def filter_bits(rows: int, limit: int = MAX_FILTER_BITS) -> int:
     return min(limit, 1 << (wanted - 1).bit_length())
 
 
-def _bit_segments(bits: int):
+def _bit_segments(bits: int, fold_case: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             # a row's own equal positions count once
-            own = np.sort(probe_bits(digests(batch.column(0)), bits), axis=1)
+            own = np.sort(probe_bits(digests(batch.column(0), fold_case), bits), axis=1)
             fresh = np.ones(own.shape, dtype=bool)
             fresh[:, 1:] = own[:, 1:] != own[:, :-1]
             spots, counts = np.unique(own[fresh], return_counts=True)
@@ -97,11 +99,11 @@ def _merge_segment(pdf):
     return pd.DataFrame({"segment": [pdf["segment"].iloc[0]], "repeated": [packed]})
 
 
-def repeated_bits(df: DataFrame, text_col: str, bits: int) -> np.ndarray:
+def repeated_bits(df: DataFrame, text_col: str, bits: int, fold_case: bool = True) -> np.ndarray:
     """Pass one: the packed filter of bits that at least two rows set (bits / 8 bytes)."""
     parts = (
         df.select(text_col)
-        .mapInArrow(_bit_segments(bits), "segment long, seen binary, repeated binary")
+        .mapInArrow(_bit_segments(bits, fold_case), "segment long, seen binary, repeated binary")
         .groupBy("segment")
         .applyInPandas(_merge_segment, "segment long, repeated binary")
     )
@@ -112,14 +114,14 @@ def repeated_bits(df: DataFrame, text_col: str, bits: int) -> np.ndarray:
     return packed
 
 
-def _flag_rows(text_col: str, keep: Sequence[str], bits: int, packed):
+def _flag_rows(keep: Sequence[str], bits: int, packed, fold_case: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filled = packed.value
         base = TaskContext.get().partitionId() << 33
         done = 0
         for batch in batches:
             n = batch.num_rows
-            hashes = digests(batch.column("__text"))
+            hashes = digests(batch.column("__text"), fold_case)
             spots = probe_bits(hashes, bits) if n else np.zeros((0, PROBES), dtype=np.uint64)
             hit = (filled[spots >> np.uint64(3)] >> (spots & np.uint64(7)).astype(np.uint8)) & 1
             yield pa.RecordBatch.from_arrays(
@@ -136,6 +138,28 @@ def _flag_rows(text_col: str, keep: Sequence[str], bits: int, packed):
     return run
 
 
+def flag_repeated(
+    df: DataFrame,
+    text_col: str,
+    keep: Sequence[str],
+    fold_case: bool = True,
+    max_filter_bits: int = MAX_FILTER_BITS,
+) -> DataFrame:
+    """`keep` columns, __sha (hex), __row (a number of its own) and __maybe (false: certainly unique)."""
+    bits = filter_bits(df.count(), max_filter_bits)
+    packed = df.sparkSession.sparkContext.broadcast(repeated_bits(df, text_col, bits, fold_case))
+    schema = T.StructType(
+        [df.schema[c] for c in keep]
+        + [
+            T.StructField("__sha", T.StringType()),
+            T.StructField("__row", T.LongType()),
+            T.StructField("__maybe", T.BooleanType()),
+        ]
+    )
+    source = df.select(*keep, F.col(text_col).alias("__text"))
+    return source.mapInArrow(_flag_rows(keep, bits, packed, fold_case), schema)
+
+
 def deduplicate(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -151,18 +175,7 @@ def deduplicate(
     keep = [c for c in (df.columns if keep_cols is None else keep_cols) if c not in RESULT_COLUMNS]
     if id_col not in keep:
         keep = [id_col, *keep]
-    bits = filter_bits(df.count(), max_filter_bits)
-    packed = df.sparkSession.sparkContext.broadcast(repeated_bits(df, text_col, bits))
-    source = df.select(*keep, F.col(text_col).alias("__text"))
-    schema = T.StructType(
-        [df.schema[c] for c in keep]
-        + [
-            T.StructField("__sha", T.StringType()),
-            T.StructField("__row", T.LongType()),
-            T.StructField("__maybe", T.BooleanType()),
-        ]
-    )
-    flagged = source.mapInArrow(_flag_rows(text_col, keep, bits, packed), schema)
+    flagged = flag_repeated(df, text_col, keep, True, max_filter_bits)
     alone = flagged.filter(~F.col("__maybe")).select(
         *keep,
         F.col(id_col).alias("keep_id"),

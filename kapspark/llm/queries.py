@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, mixing, sharding, simhash
+from . import ann, bpe, exact_dedup, html_extract, mixing, pii, sharding, simhash, toxicity, warc
 from .shared import UPPER, table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 SHARDS = 40
+QUERY_EVERY = 50
+# The key of a deployment comes from its secret store; this one only makes results repeatable.
+PII_KEY = b"key of the registered query"
 
 # Production mixture: domains by source, weights of domains, languages and sources.
 MIX = mixing.Mix(
@@ -29,10 +33,30 @@ MIX = mixing.Mix(
 )
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % QUERY_EVERY == 0)
+
+
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"), keep_cols=["page_id", "url"])
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(table(spark, sf_dir, "documents"), keep_cols=["doc_id"])
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), PII_KEY, keep_cols=["doc_id"])
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_fingerprint(found["fp"]).alias("fingerprint"), "component_id")
@@ -51,7 +75,12 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ann": op1_ann,
+    "op2_html_extraction": op2_html_extraction,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_pii": op4_pii,
+    "op5_toxicity": op5_toxicity,
+    "op6_warc": op6_warc,
     "op7_simhash": op7_simhash,
     "op8_mixing": op8_mixing,
     "op9_bpe": op9_bpe,
@@ -129,6 +158,19 @@ WITH d AS (
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
   doc_id = max(doc_id) OVER g AS kept, text_sha256
 FROM d WINDOW g AS (PARTITION BY text_sha256)
+""",
+    "op6_warc": f"""
+WITH p AS (
+  SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+  FROM pages),
+f AS (
+  SELECT *, CASE WHEN payload_bytes >= {warc.MIN_REVISIT_BYTES}
+    THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first_id
+  FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM f
 """,
     "op8_mixing": mixing_sql(MIX),
 }
