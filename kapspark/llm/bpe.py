@@ -40,8 +40,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-BLOCK_CHARS = 12_000_000
-CHUNK_CHARS = 1_000_000
+BLOCK_CHARS = 5_000_000
+CHUNK_CHARS = 500_000
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 
 
