@@ -6,7 +6,7 @@ input names are mapped onto it once, at the scan (``sources.ledger``).
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
 from kapspark import constants as K
 
@@ -55,12 +55,13 @@ class TaxConfig:
     # Display rounding to whole euros instead of cents.
     round_amount: bool = False
     # Columns that order bookings with the same timestamp (after buys-first).
-    tiebreak: tuple[str, ...] = ()
-    # A dimension is broadcast only when its row count is at most this.
-    broadcast_row_limit: int = 2_000_000
+    # None: ``order_no`` where the ledger has it, then a hash of all other
+    # columns, so the order never depends on the order of the input.
+    tiebreak: tuple[str, ...] | None = None
     # FIFO skew handling: a (account, isin) key with more trade rows than
-    # this is split into chunks of about ``fifo_chunk_rows`` rows. None turns
-    # the detection (one aggregate over the trades) off.
+    # this is matched in chunks of about ``fifo_chunk_rows`` rows (the results
+    # are the same either way). None turns the detection (one aggregate over
+    # the trades) off.
     fifo_hot_key_rows: int | None = 5_000_000
     fifo_chunk_rows: int = 1_000_000
     # Write the FX-converted ledger once as a parquet table under
@@ -74,7 +75,6 @@ class TaxConfig:
     # account with bookings in more than one year is reported as an issue
     # (the single-file tool refuses such input without a requested year).
     single_year_rule: bool = False
-    extra: dict = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         if self.on_issue not in ON_ISSUE:

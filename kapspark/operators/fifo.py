@@ -16,9 +16,11 @@ the same partition keys, and the per-sale aggregate groups by a superset of
 them, so the whole operator costs one exchange.
 
 Keys with more trade rows than ``cfg.fifo_hot_key_rows`` are matched by
-``match_chunked`` instead: the key is cut into chunks by approximate
-quantiles and the running sums / scans are carried across chunks through
-small per-chunk summary tables, so no task holds a whole hot key.
+``match_chunked`` instead: a range partitioning by key and trade order (all
+order columns, so equal timestamps are split too) cuts them into chunks of
+about ``cfg.fifo_chunk_rows`` rows, and the running sums / scans are carried
+across chunks through small per-chunk summary tables, so no task holds a
+whole hot key. Both ways give the same result for any key.
 """
 
 from __future__ import annotations
@@ -29,15 +31,39 @@ from pyspark.sql import functions as F
 from kapspark import config as C
 from kapspark.config import TaxConfig
 from kapspark.functions import money_sum
-from kapspark.operators.joins import bounded_rows
+from kapspark.sources.staging import stage
 
 KEY = (C.ACCOUNT, C.ISIN)
 BUY, SELL = 0, 1
+# Orders bookings that no named column orders: a hash of their other columns.
+TIE = "_tie"
+
 
 def _tiebreak(cfg: TaxConfig) -> list[str]:
     return [c for c in cfg.tiebreak if c not in (C.TS, "side")]
 
 
+def with_total_order(ledger_fx: DataFrame, cfg: TaxConfig) -> tuple[DataFrame, TaxConfig]:
+    """The ledger and the configuration with the tiebreak columns spelled out.
+
+    Without named columns bookings of one timestamp are ordered by
+    ``order_no`` (where the ledger has it) and a hash of all other columns:
+    the order of the input never decides. A named column must exist.
+    """
+    if cfg.tiebreak is not None:
+        absent = [c for c in cfg.tiebreak if c not in ledger_fx.columns]
+        if absent:
+            raise ValueError(f"tiebreak columns are not in the ledger: {absent}")
+        return ledger_fx, cfg
+    named = ["order_no"] if "order_no" in ledger_fx.columns else []
+    others = sorted(
+        f.name
+        for f in ledger_fx.schema
+        if f.name not in (*KEY, C.TS, TIE, *named) and f.dataType.typeName() not in ("map", "variant")
+    )
+    return ledger_fx.withColumn(TIE, F.xxhash64(*others)), cfg.with_(tiebreak=(*named, TIE))
+
+
 def trades_of(ledger_fx: DataFrame, cfg: TaxConfig) -> DataFrame:
     """Buys and sells of all years (a type in both lists counts as a buy)."""
     side = (
@@ -146,10 +172,12 @@ def _scan_local(bp: DataFrame, part: list[str]) -> DataFrame:
     """Stage B scan: for every breakpoint the lot and the sale containing the
     segment that ends there, and the segment's start (within ``part``)."""
     w = Window.partitionBy(*part).orderBy(F.col("p").desc(), F.col("side").asc())
+    # by rows: a sale always meets itself, also where a bad quantity gives equal positions
+    seen = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return bp.withColumns(
         {
-            "lot_here": F.last("lot", ignorenulls=True).over(w),
-            "sale_here": F.last("sale", ignorenulls=True).over(w),
+            "lot_here": F.last("lot", ignorenulls=True).over(seen),
+            "sale_here": F.last("sale", ignorenulls=True).over(seen),
             "seg_start": F.lead("p", 1).over(w),
         }
     )
@@ -214,90 +242,45 @@ def match_simple(trades: DataFrame, cfg: TaxConfig) -> DataFrame:
 
 
 # --- skewed keys -----------------------------------------------------------
-# A hot key is cut into chunks of about ``cfg.fifo_chunk_rows`` rows that are
-# contiguous in the order being scanned. Rows are first put in fine buckets
-# (at most FINE_BUCKETS per key, so the bucket table of one key is bounded),
-# bucket counts are prefix-summed per key, and each bucket joins the chunk its
-# prefix count falls in. Everything that crosses a chunk border (running-sum
-# offsets, the next lot / sale after a chunk, the last breakpoint before it)
-# travels through per-chunk summary tables, which are tiny next to the rows.
-
-HOT_KEYS_MAX = 100_000
-FINE_BUCKETS = 1_000_000
-ROWS_PER_FINE_BUCKET = 16
-_EPOCH = "1970-01-01 00:00:00"
+# Rows of hot keys are range-partitioned by key and order; a partition is a
+# chunk, contiguous in the order being scanned. The chunk number is written
+# with the rows, so everything derived from it agrees. What crosses a chunk
+# border (running-sum offsets, the next lot / sale after a chunk, the last
+# breakpoint before it, the flags of the key) travels through per-chunk
+# summary tables, which are tiny next to the rows, and every join of rows is
+# on key and chunk.
 
 
-# Detection results per (trades plan, threshold): re-planning the same input
-# in one session does not rescan it. The memo only picks the path a key takes;
-# both paths are exact for any key, so a stale entry can cost speed, never
-# correctness.
-_HOT_MEMO: dict[tuple[int, int], list | None] = {}
-
-
-def hot_key_stats(source: DataFrame, cfg: TaxConfig) -> tuple[DataFrame, bool] | None:
-    """(account_id, isin, n, e_min, e_max) for keys with more than
-    ``cfg.fifo_hot_key_rows`` trades, or None when there are none.
+def hot_keys(source: DataFrame, cfg: TaxConfig) -> tuple[DataFrame, int] | None:
+    """(account_id, isin) of keys with more than ``cfg.fifo_hot_key_rows``
+    trades and the number of their trades, or None when there are none.
 
     ``source`` is the ledger (any frame with account_id, isin, type, ts):
-    one aggregate job with map-side partial counts, no FX join. The hot table
-    has at most total_rows / threshold rows; up to HOT_KEYS_MAX it is
-    materialised and broadcast, beyond that it stays distributed. Returns
-    (table, bounded) where ``bounded`` says the table was materialised.
+    one aggregate with map-side partial counts, no FX join. The table has at
+    most total rows / threshold rows; it stays distributed.
     """
     if cfg.fifo_hot_key_rows is None:
         return None
-    epoch = F.timestamp_diff("MICROSECOND", F.to_timestamp_ntz(F.lit(_EPOCH)), F.col(C.TS))
     is_trade = F.col(C.TYPE).isin(*cfg.purchase_types, *cfg.sale_types)
-    stats = (
-        source.where(is_trade)
-        .groupBy(*KEY)
-        .agg(F.count(F.lit(1)).alias("n"), F.min(epoch).alias("e_min"), F.max(epoch).alias("e_max"))
-        .where(F.col("n") > cfg.fifo_hot_key_rows)
-    )
-    memo_key = (source.semanticHash(), cfg.fifo_hot_key_rows, cfg.purchase_types, cfg.sale_types)
-    if memo_key in _HOT_MEMO:
-        rows = _HOT_MEMO[memo_key]
-    else:
-        rows = bounded_rows(stats, HOT_KEYS_MAX)
-        _HOT_MEMO[memo_key] = rows
-    if rows is None:
-        return stats, False  # more than HOT_KEYS_MAX hot keys: stays distributed
-    if not rows:
-        return None
-    return F.broadcast(source.sparkSession.createDataFrame(rows, stats.schema)), True
-
-
-def _chunk_of(df: DataFrame, value: Column, lo: Column, hi: Column, n: Column, cfg: TaxConfig, name: str) -> DataFrame:
-    """Add ``name``: contiguous ranges of ``value`` per key with about
-    ``cfg.fifo_chunk_rows`` rows each (equal values share a chunk)."""
-    nb = F.least(F.lit(FINE_BUCKETS), F.greatest(F.lit(1), F.ceil(n / F.lit(ROWS_PER_FINE_BUCKET))))
-    span = (hi - lo).cast("double") + F.lit(1.0)
-    fine = F.floor((value - lo).cast("double") / span * nb).cast("long")
-    df = df.withColumn("_fine", fine)
-    counts = df.groupBy(*KEY, "_fine").count()
-    w = Window.partitionBy(*KEY).orderBy("_fine").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("count").over(w), F.lit(0))
-    chunks = counts.select(
-        *KEY, "_fine", F.floor(before / F.lit(cfg.fifo_chunk_rows)).cast("long").alias(name)
-    )
-    return _carry_keys(df, chunks, KEY + ("_fine",)).drop("_fine")
+    counts = source.where(is_trade).groupBy(*KEY).count().where(F.col("count") > cfg.fifo_hot_key_rows)
+    rows = counts.agg(F.sum("count")).first()[0]
+    return (counts.select(*KEY), rows) if rows else None
 
 
-def _carry_keys(df: DataFrame, small: DataFrame, on: tuple[str, ...], bounded: bool = False) -> DataFrame:
-    """Join a per-key or per-chunk summary back onto rows (null-safe keys).
+def _chunked(df: DataFrame, order: list[Column], rows: int, cfg: TaxConfig, name: str) -> DataFrame:
+    """Add ``name``: contiguous ranges of (key, order) with about
+    ``cfg.fifo_chunk_rows`` rows each. Rows that are equal in every order
+    column are interchangeable; a row number lets them be split as well."""
+    parts = max(2, -(-rows // cfg.fifo_chunk_rows))
+    ranged = df.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange(parts, *KEY, *order, "_row")
+    return stage(ranged.withColumn(name, F.spark_partition_id().cast("long")).drop("_row"), name)
 
-    A plain join: the summaries are derived from the hot rows themselves, so
-    a size check here would run (and recompute) those rows at planning time.
-    The join keys include the chunk, so the shuffle is not skewed, and AQE
-    turns the join into a broadcast at run time from the real summary size.
-    ``bounded``: the summary has one row per hot key and the hot keys are
-    known to be at most HOT_KEYS_MAX, so it is broadcast (a join on the key
-    alone must not shuffle a hot key into one partition).
-    """
-    if bounded:
-        small = F.broadcast(small)
-    renamed = small.select(*[F.col(c).alias(f"_s_{c}") for c in on], *[c for c in small.columns if c not in on])
+
+def _carry(df: DataFrame, summary: DataFrame, on: tuple[str, ...]) -> DataFrame:
+    """Join a per-chunk summary back onto rows (null-safe keys)."""
+    renamed = summary.select(
+        *[F.col(c).alias(f"_s_{c}") for c in on], *[c for c in summary.columns if c not in on]
+    )
     cond = None
     for c in on:
         term = F.col(c).eqNullSafe(F.col(f"_s_{c}"))
@@ -305,59 +288,52 @@ def _carry_keys(df: DataFrame, small: DataFrame, on: tuple[str, ...], bounded: b
     return df.join(renamed, cond).drop(*[f"_s_{c}" for c in on])
 
 
-def positions_chunked(trades: DataFrame, stats: DataFrame, cfg: TaxConfig, keys_bounded: bool = True) -> DataFrame:
+def positions_chunked(trades: DataFrame, rows: int, cfg: TaxConfig) -> DataFrame:
     """Stage A for hot keys: running sums per time chunk plus the totals of
-    the earlier chunks, key flags and per-key ``p_max`` / ``n``."""
-    epoch = F.timestamp_diff("MICROSECOND", F.to_timestamp_ntz(F.lit(_EPOCH)), F.col(C.TS))
-    t = _carry_keys(trades, stats, KEY, bounded=keys_bounded)
-    t = _chunk_of(t, epoch, F.col("e_min"), F.col("e_max"), F.col("n"), cfg, "tchunk")
-    t = t.drop("n", "e_min", "e_max")
-    tot = t.groupBy(*KEY, "tchunk").agg(
-        F.sum(_signed(BUY)).alias("tot_buy"), F.sum(_signed(SELL)).alias("tot_sell"), F.count(F.lit(1)).alias("n")
-    )
-    w = Window.partitionBy(*KEY).orderBy("tchunk").rowsBetween(Window.unboundedPreceding, -1)
+    the earlier chunks, and the key's flags."""
+    on = KEY + ("tchunk",)
+    t = _chunked(trades, _order(cfg), rows, cfg, "tchunk")
+    earlier = Window.partitionBy(*KEY).orderBy("tchunk").rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast(C.QUANTITY_TYPE)
-    offs = tot.select(
-        *KEY,
-        "tchunk",
-        F.coalesce(F.sum("tot_buy").over(w), zero).alias("off_buy"),
-        F.coalesce(F.sum("tot_sell").over(w), zero).alias("off_sell"),
+    totals = t.groupBy(*on).agg(F.sum(_signed(BUY)).alias("tot_buy"), F.sum(_signed(SELL)).alias("tot_sell"))
+    offsets = totals.select(
+        *on,
+        F.coalesce(F.sum("tot_buy").over(earlier), zero).alias("off_buy"),
+        F.coalesce(F.sum("tot_sell").over(earlier), zero).alias("off_sell"),
     )
-    t = _carry_keys(t, offs, KEY + ("tchunk",))
-    pos = _running(t, cfg, list(KEY) + ["tchunk"], with_offsets=True)
-    flags = pos.groupBy(*KEY).agg(F.max("short_row").alias("key_short"), F.max("bad_row").alias("key_bad"))
-    per_key = tot.groupBy(*KEY).agg(
-        F.greatest(F.sum("tot_buy"), F.sum("tot_sell")).alias("p_max"), F.sum("n").alias("n")
+    pos = _running(_carry(t, offsets, on), cfg, list(on), with_offsets=True)
+    of_key = Window.partitionBy(*KEY)
+    flags = (
+        pos.groupBy(*on)
+        .agg(F.max("short_row").alias("s"), F.max("bad_row").alias("b"))
+        .select(*on, F.max("s").over(of_key).alias("key_short"), F.max("b").over(of_key).alias("key_bad"))
     )
-    key_info = _carry_keys(flags, per_key, KEY)
-    return _carry_keys(pos, key_info, KEY, bounded=keys_bounded)
+    return _carry(pos, flags, on)
 
 
-def match_chunked(trades: DataFrame, stats: DataFrame, cfg: TaxConfig, keys_bounded: bool = True) -> DataFrame:
+def match_chunked(trades: DataFrame, rows: int, cfg: TaxConfig) -> DataFrame:
     """FIFO for hot keys without ever holding a whole key in one task."""
-    pos = positions_chunked(trades, stats, cfg, keys_bounded)
-
-    # Stage B: breakpoints in position order, chunked by position.
+    on = KEY + ("pchunk",)
+    pos = positions_chunked(trades, rows, cfg)
+    # Stage B: breakpoints in position order (lot ends above sale ends), chunked by position
     bp = pos.withColumn("p", F.when(F.col("side") == BUY, F.col("cum_buy")).otherwise(F.col("cum_sell")))
-    bp = _chunk_of(bp, F.col("p"), F.lit(0), F.col("p_max"), F.col("n"), cfg, "pchunk")
+    bp = _chunked(bp, [F.col("p"), F.col("side").desc()], rows, cfg, "pchunk")
     bp = _breakpoints(bp, cfg, extra=("pchunk",))
-    scan = _scan_local(bp, list(KEY) + ["pchunk"])
-    summ = bp.groupBy(*KEY, "pchunk").agg(
+    scan = _scan_local(bp, list(on))
+    summary = bp.groupBy(*on).agg(
         F.min(F.when(F.col("side") == BUY, F.struct(F.col("p").alias("k"), F.col("lot").alias("v")))).alias("fl"),
         F.min(F.when(F.col("side") == SELL, F.struct(F.col("p").alias("k"), F.col("sale").alias("v")))).alias("fs"),
         F.max("p").alias("max_p"),
     )
-    wn = Window.partitionBy(*KEY).orderBy("pchunk").rowsBetween(1, Window.unboundedFollowing)
-    wl = Window.partitionBy(*KEY).orderBy("pchunk")
-    carry = summ.select(
-        *KEY,
-        "pchunk",
-        F.first(F.col("fl.v"), ignorenulls=True).over(wn).alias("next_lot"),
-        F.first(F.col("fs.v"), ignorenulls=True).over(wn).alias("next_sale"),
-        F.lag("max_p", 1).over(wl).alias("prev_p"),
+    onward = Window.partitionBy(*KEY).orderBy("pchunk").rowsBetween(1, Window.unboundedFollowing)
+    previous = Window.partitionBy(*KEY).orderBy("pchunk")
+    border = summary.select(
+        *on,
+        F.first(F.col("fl.v"), ignorenulls=True).over(onward).alias("next_lot"),
+        F.first(F.col("fs.v"), ignorenulls=True).over(onward).alias("next_sale"),
+        F.lag("max_p", 1).over(previous).alias("prev_p"),
     )
-    scan = _carry_keys(scan, carry, KEY + ("pchunk",))
-    scan = scan.withColumns(
+    scan = _carry(scan, border, on).withColumns(
         {
             "lot_here": F.coalesce(F.col("lot_here"), F.col("next_lot")),
             "sale_here": F.coalesce(F.col("sale_here"), F.col("next_sale")),
@@ -367,40 +343,40 @@ def match_chunked(trades: DataFrame, stats: DataFrame, cfg: TaxConfig, keys_boun
     return _per_sale(_segments(scan, cfg), cfg)
 
 
+def _split(trades: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Trades of the other keys and of the hot keys."""
+    hot = keys.select(*[F.col(c).alias(f"_h_{c}") for c in KEY])
+    cond = F.col(C.ACCOUNT).eqNullSafe(F.col(f"_h_{C.ACCOUNT}")) & F.col(C.ISIN).eqNullSafe(F.col(f"_h_{C.ISIN}"))
+    return trades.join(hot, cond, "left_anti"), trades.join(hot, cond, "left_semi")
+
+
 def realized_sales(ledger_fx: DataFrame, cfg: TaxConfig, ledger: DataFrame | None = None) -> DataFrame:
     """One row per sale (all years) with FIFO cost, result and flags.
 
     Sales of a key with a shortfall or an invalid trade keep ``cost_eur`` and
     ``result_eur`` NULL (``shortfall`` / ``invalid`` set) and stay out of
-    every total. Keys above ``cfg.fifo_hot_key_rows`` trades take the
-    chunked path; all others the single-exchange path. Hot keys are found on
-    ``ledger`` (the frame before FX) when given, else on ``ledger_fx``.
+    every total. Hot keys are found on ``ledger`` (the frame before FX) when
+    given, else on ``ledger_fx``; they need ``spark.checkpoint.dir``.
     """
-    cfg = cfg.with_(tiebreak=tuple(c for c in cfg.tiebreak if c in ledger_fx.columns))
-    trades = trades_of(ledger_fx, cfg)
-    found = hot_key_stats(ledger if ledger is not None else ledger_fx, cfg)
+    ordered, cfg = with_total_order(ledger_fx, cfg)
+    trades = trades_of(ordered, cfg)
+    found = hot_keys(ledger if ledger is not None else ledger_fx, cfg)
     if found is None:
-        return match_simple(trades, cfg)
-    stats, bounded = found
-    hot = stats.select(*[F.col(c).alias(f"_h_{c}") for c in KEY])
-    cond = F.col(C.ACCOUNT).eqNullSafe(F.col(f"_h_{C.ACCOUNT}")) & F.col(C.ISIN).eqNullSafe(F.col(f"_h_{C.ISIN}"))
-    normal = trades.join(hot, cond, "left_anti")
-    skewed = trades.join(hot, cond, "left_semi")
-    return match_simple(normal, cfg).unionByName(match_chunked(skewed, stats, cfg, bounded))
+        return match_simple(trades, cfg).drop(TIE)
+    keys, rows = found
+    normal, skewed = _split(trades, keys)
+    return match_simple(normal, cfg).unionByName(match_chunked(skewed, rows, cfg)).drop(TIE)
 
 
 def trade_positions(ledger_fx: DataFrame, cfg: TaxConfig, ledger: DataFrame | None = None) -> DataFrame:
     """Stage A for every trade (running sums, shortfall, key flags), with
     hot keys computed chunk by chunk like ``realized_sales``."""
-    cfg = cfg.with_(tiebreak=tuple(c for c in cfg.tiebreak if c in ledger_fx.columns))
-    trades = trades_of(ledger_fx, cfg)
+    ordered, cfg = with_total_order(ledger_fx, cfg)
+    trades = trades_of(ordered, cfg)
     cols = trades.columns + ["cum_buy", "cum_sell", "short_row", "missing_qty", "bad_row", "key_short", "key_bad"]
-    found = hot_key_stats(ledger if ledger is not None else ledger_fx, cfg)
+    found = hot_keys(ledger if ledger is not None else ledger_fx, cfg)
     if found is None:
         return positions(trades, cfg).select(*cols)
-    stats, bounded = found
-    hot = stats.select(*[F.col(c).alias(f"_h_{c}") for c in KEY])
-    cond = F.col(C.ACCOUNT).eqNullSafe(F.col(f"_h_{C.ACCOUNT}")) & F.col(C.ISIN).eqNullSafe(F.col(f"_h_{C.ISIN}"))
-    normal = positions(trades.join(hot, cond, "left_anti"), cfg).select(*cols)
-    skewed = positions_chunked(trades.join(hot, cond, "left_semi"), stats, cfg, bounded).select(*cols)
-    return normal.unionByName(skewed)
+    keys, rows = found
+    normal, skewed = _split(trades, keys)
+    return positions(normal, cfg).select(*cols).unionByName(positions_chunked(skewed, rows, cfg).select(*cols))

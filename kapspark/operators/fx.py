@@ -2,41 +2,31 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kapspark import config as C
 from kapspark.config import TaxConfig
-from kapspark.operators.joins import bounded_rows, small_dim
+from kapspark.sources.rates import normalize_daily_rates
 
 
 def yearly_lookup(rates_yearly: DataFrame) -> DataFrame:
-    """One row per year: (fx_year, fx_year_rates map<currency, rate>)."""
-    return rates_yearly.groupBy(F.col("year").cast("int").alias("fx_year")).agg(
-        F.map_from_entries(
-            F.collect_list(F.struct(F.upper(F.col("currency")).alias("k"), F.col("rate").cast("double").alias("v")))
-        ).alias("fx_year_rates")
-    )
-
-
-# Yearly tables up to this many (year, currency) entries become one constant.
-YEARLY_LITERAL_LIMIT = 100_000
-
+    """One row per year: (fx_year, fx_year_rates map<currency, rate>).
 
-def _yearly_constant(rates_yearly: DataFrame):
-    """The yearly table as one constant ``map<year, map<currency, rate>>``
-    column (folded once by the optimizer), or None when it is too large."""
-    rows = bounded_rows(rates_yearly.select("year", "currency", "rate"), YEARLY_LITERAL_LIMIT)
-    if rows is None:
-        return None
-    by_year: dict[str, dict[str, float]] = {}
-    for r in rows:
-        if r["year"] is None or r["currency"] is None or r["rate"] is None:
-            continue
-        by_year.setdefault(str(int(r["year"])), {})[str(r["currency"]).upper()] = float(r["rate"])
-    return F.from_json(F.lit(json.dumps(by_year)), "map<string,map<string,double>>")
+    Of rates that repeat a year and currency the largest counts; they are
+    listed by ``sources.rates.rate_conflicts``.
+    """
+    entries = (
+        rates_yearly.select(
+            F.col("year").cast("int").alias("fx_year"),
+            F.upper(F.col("currency")).alias("k"),
+            F.col("rate").cast("double").alias("v"),
+        )
+        .where(F.col("fx_year").isNotNull() & F.col("k").isNotNull() & F.col("v").isNotNull())
+        .groupBy("fx_year", "k")
+        .agg(F.max("v").alias("v"))
+    )
+    return entries.groupBy("fx_year").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("fx_year_rates"))
 
 
 def fx_convert(
@@ -49,21 +39,19 @@ def fx_convert(
 
     Rate choice per booking: EUR -> 1; the daily rate of the booking's date;
     else the yearly rate of its year; a currency missing from a known year
-    -> 1 (``assumed_1``); an unknown year -> NULL (``missing``, an issue).
-    The daily table is one broadcast hash join (after a size check) serving
-    every money column; the yearly table is a folded constant map.
-    ``cfg.offline`` or ``rates_daily=None`` uses the yearly table only.
+    -> 1 (``assumed_1``); an unknown year, or a rate that is not positive
+    -> NULL (``missing``, an issue). Both rate tables are reduced to one row
+    per key and left-joined, so they never multiply bookings; Spark picks the
+    join by their size. ``cfg.offline`` or ``rates_daily=None`` uses the
+    yearly table only.
     """
     has_tax = C.TAX in ledger.columns if cfg.has_tax_column is None else cfg.has_tax_column
     df = ledger.withColumn(C.TAX_YEAR, F.year(C.TS).cast("bigint"))
     if rates_daily is not None and not cfg.offline:
-        daily = small_dim(
-            rates_daily.select(
-                F.col("rate_date").alias("_fx_date"),
-                F.col("currency").alias("_fx_cur"),
-                F.col("rate").alias("_fx_daily"),
-            ),
-            cfg.broadcast_row_limit,
+        daily = normalize_daily_rates(rates_daily).select(
+            F.col("rate_date").alias("_fx_date"),
+            F.col("currency").alias("_fx_cur"),
+            F.col("rate").alias("_fx_daily"),
         )
         df = df.join(
             daily,
@@ -72,26 +60,23 @@ def fx_convert(
         ).drop("_fx_date", "_fx_cur")
     else:
         df = df.withColumn("_fx_daily", F.lit(None).cast("double"))
-    const = _yearly_constant(rates_yearly)
-    if const is not None:
-        df = df.withColumn("fx_year_rates", F.try_element_at(const, F.col(C.TAX_YEAR).cast("string")))
-    else:
-        yearly_dim = small_dim(yearly_lookup(rates_yearly), cfg.broadcast_row_limit)
-        df = df.join(yearly_dim, F.col(C.TAX_YEAR) == F.col("fx_year"), "left")
+    df = df.join(yearly_lookup(rates_yearly), F.col(C.TAX_YEAR) == F.col("fx_year"), "left")
     # Staged projections: each step references the previous step's columns,
     # so no CASE is copied into the next expression (small generated code).
     df = df.withColumn("_fx_yearly", F.try_element_at(F.col("fx_year_rates"), F.col(C.CURRENCY)))
     source = (
         F.when(F.col(C.CURRENCY) == "EUR", F.lit("eur"))
+        .when(F.col("_fx_daily") <= 0, F.lit("missing"))
         .when(F.col("_fx_daily").isNotNull(), F.lit("daily"))
-        .when(F.col("fx_year_rates").isNull(), F.lit("missing"))
+        .when(F.col("fx_year_rates").isNull() | (F.col("_fx_yearly") <= 0), F.lit("missing"))
         .when(F.col("_fx_yearly").isNotNull(), F.lit("yearly"))
         .otherwise(F.lit("assumed_1"))
     )
     rate = (
         F.when(F.col(C.CURRENCY) == "EUR", F.lit(1.0))
+        .when(F.col("_fx_daily") <= 0, F.lit(None).cast("double"))
         .when(F.col("_fx_daily").isNotNull(), F.col("_fx_daily"))
-        .when(F.col("fx_year_rates").isNull(), F.lit(None).cast("double"))
+        .when(F.col("fx_year_rates").isNull() | (F.col("_fx_yearly") <= 0), F.lit(None).cast("double"))
         .when(F.col("_fx_yearly").isNotNull(), F.col("_fx_yearly"))
         .otherwise(F.lit(1.0))
     )

@@ -2,8 +2,9 @@
 
 Nothing here stops at the first bad row. Every check is a predicate that is
 counted per account (or per rule) in one aggregate; the policy decides what
-happens next (``error``: raise with a bounded sample; ``quarantine``: drop the
-offending accounts from every output; ``flag``: keep everything and report).
+happens next (``error``: raise and name every kind of issue with its counts;
+``quarantine``: drop the offending accounts from every output; ``flag``: keep
+everything and report).
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from kapspark.config import TaxConfig
 
 
 class LedgerIssuesError(ValueError):
-    """Raised by the ``error`` policy; ``samples`` holds a few issue rows."""
+    """Raised by the ``error`` policy; ``samples`` holds one row per kind of issue."""
 
     def __init__(self, message: str, samples: list) -> None:
         super().__init__(message)
@@ -40,13 +41,14 @@ def _long(df: DataFrame, keys: list[str], named: dict[str, Column]) -> DataFrame
 def ledger_issues(ledger_fx: DataFrame, cfg: TaxConfig) -> DataFrame:
     """(account_id, issue, n): data problems per account.
 
-    Missing amount / currency / type, unparsable date or tax, a currency
+    Missing account / amount / currency / type, unparsable date or tax, a currency
     outside the known list, a booking whose year has no rate, and trade rows
     without ISIN or quantity or with quantity <= 0.
     """
     cols = set(ledger_fx.columns)
     is_trade = F.col(C.TYPE).isin(*cfg.purchase_types, *cfg.sale_types)
     checks: dict[str, Column] = {
+        "missing_account": F.col(C.ACCOUNT).isNull(),
         "missing_amount": F.col(C.NET).isNull(),
         "missing_currency": F.col(C.CURRENCY).isNull(),
         "missing_type": F.col(C.TYPE).isNull(),
@@ -144,28 +146,47 @@ def rules_issues(rules: DataFrame) -> DataFrame:
     return per_row.unionByName(dup)
 
 
-def valid_rules(rules: DataFrame, cfg: TaxConfig) -> DataFrame:
-    """Rules without any issue. The ``error`` policy raises instead when the
-    table has issues (the check reads at most a few issue rows)."""
+def _raise_on(issues: DataFrame, per: str, what: str) -> None:
+    """Raise when there are issues: all kinds of them, each with its counts.
+
+    The aggregate has one row per kind of issue, however many rows there are.
+    """
+    kinds = issues.groupBy("issue").agg(F.count_distinct(per).alias(f"n_{per}"), F.count(F.lit(1)).alias("n_rows"))
+    found = kinds.orderBy("issue").collect()
+    if found:
+        raise LedgerIssuesError(f"{what}: {[tuple(r) for r in found]}", found)
+
+
+def judged_rules(rules: DataFrame, cfg: TaxConfig) -> DataFrame:
+    """Valid rules (``rejected`` false) and one row for each key of a rejected
+    rule (``rejected`` true, no values). The ``error`` policy raises instead."""
     issues = rules_issues(rules)
     if cfg.on_issue == "error":
-        sample = issues.limit(20).collect()
-        if sample:
-            raise LedgerIssuesError(f"invalid tax rules: {[tuple(r) for r in sample]}", sample)
+        _raise_on(issues, "key", "invalid tax rules")
     bad = issues.select(F.col("kind").alias("_bk"), F.col("key").alias("_bkey")).distinct()
     cond = F.col("kind").eqNullSafe(F.col("_bk")) & F.col("key").eqNullSafe(F.col("_bkey"))
-    return rules.join(bad, cond, "left_anti")
+    marks = bad.select(F.col("_bk").alias("kind"), F.col("_bkey").alias("key"), F.lit(True).alias("rejected"))
+    valid = rules.join(bad, cond, "left_anti").withColumn("rejected", F.lit(False))
+    return valid.unionByName(marks, allowMissingColumns=True)
+
+
+def valid_rules(rules: DataFrame, cfg: TaxConfig) -> DataFrame:
+    """Rules without any issue."""
+    return judged_rules(rules, cfg).where(~F.col("rejected")).drop("rejected")
+
+
+def rejected_rule_issues(rows: DataFrame) -> DataFrame:
+    """(account_id, issue, n): income bookings whose rule was rejected."""
+    return _long(rows, [C.ACCOUNT], {"rule_rejected": F.col("rule_origin") == "rejected"})
 
 
 def enforce(issues: DataFrame, cfg: TaxConfig) -> DataFrame | None:
     """Apply the policy. Returns the accounts to quarantine (or None).
 
-    ``error`` raises when any issue exists, showing at most 20 rows.
+    ``error`` raises when any issue exists, naming all kinds with their counts.
     """
     if cfg.on_issue == "error":
-        sample = issues.limit(20).collect()
-        if sample:
-            raise LedgerIssuesError(f"ledger issues: {[tuple(r) for r in sample]}", sample)
+        _raise_on(issues, C.ACCOUNT, "ledger issues")
         return None
     if cfg.on_issue == "quarantine":
         return issues.select(C.ACCOUNT).distinct()

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from kapspark import config as C
 from kapspark import constants as K
-from kapspark.functions import display_amount, money_sum, to_money
+from kapspark.functions import display_amount, money_sum
 from kapspark.sources.dims import fund_exemptions
 
 KEYS = (C.ACCOUNT, C.TAX_YEAR)
@@ -128,6 +128,8 @@ def fund_breakdown(spark: SparkSession, dividends: DataFrame) -> DataFrame:
     ex = fund_exemptions(spark)  # four rows
     out = totals.join(F.broadcast(ex), "fund_type", "left")
     rate = F.coalesce(F.col("exemption_rate"), F.lit(0.0))
+    # a rate has four places, so the product keeps all ten places of the sum
+    kept = F.lit(1).cast("decimal(5,4)") - rate.cast("decimal(5,4)")
     return out.select(
         *KEYS,
         "fund_type",
@@ -137,7 +139,7 @@ def fund_breakdown(spark: SparkSession, dividends: DataFrame) -> DataFrame:
         rate.alias("exemption_rate"),
         F.format_string("%.0f%%", F.bround(rate * 100, 0)).alias("exemption_pct"),
         F.col("gross_total"),
-        (F.col("gross_total") * to_money(F.lit(1.0) - rate)).cast("decimal(38,10)").alias("taxable"),
+        (F.col("gross_total").cast("decimal(30,10)") * kept.cast("decimal(5,4)")).cast("decimal(38,10)").alias("taxable"),
     )
 
 
@@ -227,14 +229,16 @@ def display_amounts(df: DataFrame, amount_col: str = "amount", whole_euros: bool
     return df.withColumn("display", shown).withColumn("display_text", text)
 
 
-def detail_frame(dividends: DataFrame, interest: DataFrame, sales: DataFrame) -> DataFrame:
-    """Diagonal union of dividends, interest and sales with a ``category``;
-    missing columns are NULL. Separate tax bookings are not part of it."""
-    return (
-        dividends.withColumn("category", F.lit(K.DETAIL_CATEGORY_DIVIDEND))
-        .unionByName(interest.withColumn("category", F.lit(K.DETAIL_CATEGORY_INTEREST)), allowMissingColumns=True)
-        .unionByName(sales.withColumn("category", F.lit(K.DETAIL_CATEGORY_SALE)), allowMissingColumns=True)
+def detail_frame(classified: DataFrame, sales: DataFrame) -> DataFrame:
+    """Diagonal union of income and sales with a ``category``; missing columns
+    are NULL. Income is one pass: dividends and interest are told apart by a
+    CASE. Separate tax bookings are not part of it."""
+    scope = F.col("scope")
+    income = classified.where(scope.isin("dividend", "interest")).withColumn(
+        "category",
+        F.when(scope == "dividend", F.lit(K.DETAIL_CATEGORY_DIVIDEND)).otherwise(F.lit(K.DETAIL_CATEGORY_INTEREST)),
     )
+    return income.unionByName(sales.withColumn("category", F.lit(K.DETAIL_CATEGORY_SALE)), allowMissingColumns=True)
 
 
 # --- fixed values: detail section titles ------------------------------------
@@ -264,3 +268,21 @@ def section_totals(classified: DataFrame, sales: DataFrame) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(money_sum(F.col("amount")), _zero()).alias("total"))
         .withColumn("title", F.element_at(titles, F.col("section")))
     )
+
+
+# --- fixed values: columns of the detail sections, in their order -----------
+INCOME_SECTION_COLUMNS = (
+    C.TS, C.NAME, C.NET, C.CURRENCY, "net_eur", "gross_eur", C.TAX, "tax_eur", "form", "source_country", "treatment",
+    "credit_eur", "excess_eur", "kest_eur", "soli_eur", "unclassified_eur",
+)
+SALE_SECTION_COLUMNS = (C.TS, C.ISIN, C.QUANTITY, "proceeds_eur", "cost_eur", "result_eur")
+
+
+def section_rows(classified: DataFrame, sales: DataFrame, section: str) -> DataFrame:
+    """The rows of one detail section (a key of SECTION_TITLES) with the
+    account-year and the section's columns, as far as the ledger has them."""
+    if section == "sale":
+        rows, wanted = sales, SALE_SECTION_COLUMNS
+    else:
+        rows, wanted = classified.where(F.col("scope") == section), INCOME_SECTION_COLUMNS
+    return rows.select(*KEYS, *[c for c in wanted if c in rows.columns])

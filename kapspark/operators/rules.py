@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from kapspark import config as C
 from kapspark.config import TaxConfig
 from kapspark.functions import default_rule, isin_key, rule_struct
-from kapspark.operators.joins import small_dim
 
 
 def _rule_of(rules: DataFrame) -> F.Column:
@@ -33,19 +32,21 @@ def resolve_rules(
     only: F.Column | None = None,
 ) -> DataFrame:
     """Add ``rule`` (struct or NULL) and ``rule_origin`` (security / country /
-    default / NULL) to every row of ``df``.
+    default / rejected / NULL) to every row of ``df``.
 
-    ``rules`` must be normalised and valid (``sources.rules.normalize_rules``
-    plus ``operators.issues.valid_rules``). Both lookups are broadcast hash
-    joins when the rule sets pass the size check. Rows failing ``only`` get
-    no rule and skip the lookups (their key is NULL).
+    ``rules`` are normalised and judged (``sources.rules.normalize_rules``
+    plus ``operators.issues.judged_rules``, or ``valid_rules``). A key whose
+    rule was rejected gets no rule at all, never a less specific one or the
+    default. Spark picks the joins by the size of the rule sets. Rows failing
+    ``only`` get no rule and skip the lookups (their key is NULL).
     """
-    rules = small_dim(rules, cfg.broadcast_row_limit)
+    if "rejected" not in rules.columns:
+        rules = rules.withColumn("rejected", F.lit(False))
     security = rules.where(F.col("kind") == "security").select(
-        F.col("key").alias("_rk_sec"), _rule_of(rules).alias("_rule_sec")
+        F.col("key").alias("_rk_sec"), _rule_of(rules).alias("_rule_sec"), F.col("rejected").alias("_rej_sec")
     )
     country = rules.where(F.col("kind") == "country").select(
-        F.col("key").alias("_rk_cty"), _rule_of(rules).alias("_rule_cty")
+        F.col("key").alias("_rk_cty"), _rule_of(rules).alias("_rule_cty"), F.col("rejected").alias("_rej_cty")
     )
     key = isin_key(F.col(isin_col))
     if only is not None:
@@ -61,13 +62,15 @@ def resolve_rules(
     )
     dflt = default_rule(F.col("_rkey"))
     empty = F.col("_rkey").isNull() | (F.col("_rkey") == "")
-    rule = F.when(empty, F.lit(None)).otherwise(F.coalesce(F.col("_rule_sec"), F.col("_rule_cty"), dflt))
+    rejected = F.coalesce(F.col("_rej_sec"), F.col("_rej_cty"), F.lit(False))
+    rule = F.when(empty | rejected, F.lit(None)).otherwise(F.coalesce(F.col("_rule_sec"), F.col("_rule_cty"), dflt))
     origin = (
         F.when(empty, F.lit(None))
+        .when(rejected, F.lit("rejected"))
         .when(F.col("_rule_sec").isNotNull(), F.lit("security"))
         .when(F.col("_rule_cty").isNotNull(), F.lit("country"))
         .when(dflt.isNotNull(), F.lit("default"))
     )
     return out.withColumns({"rule": rule, "rule_origin": origin}).drop(
-        "_rkey", "_rk_sec", "_rule_sec", "_rk_cty", "_rule_cty"
+        "_rkey", "_rk_sec", "_rule_sec", "_rej_sec", "_rk_cty", "_rule_cty", "_rej_cty"
     )

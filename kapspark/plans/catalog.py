@@ -20,47 +20,24 @@ from kapspark import config as C
 from kapspark.config import TaxConfig
 from kapspark.functions import money_sum, round4
 from kapspark.operators import fifo
-from kapspark.operators.issues import valid_rules
-from kapspark.operators.joins import small_dim
+from kapspark.operators.issues import judged_rules, rules_issues
 from kapspark.operators.rules import resolve_rules
 from kapspark.plans.tax_run import TaxResult, calculate
-from kapspark.sources.demo import DEMO_CONFIG, demo_ledger, demo_rates_daily, demo_rules
+from kapspark.sources.demo import DEMO_CONFIG, demo_ledger, demo_rates_daily, demo_rules, faulty_rules
 from kapspark.sources.rules import normalize_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-_DIMS: dict[tuple[str, int], tuple[DataFrame, DataFrame]] = {}
-
-
 def demo_dims(spark: SparkSession, cfg: TaxConfig = DEMO_CONFIG) -> tuple[DataFrame, DataFrame]:
-    """(daily rates, valid rules) of the demo, each checked for size and
-    materialised once per session; both are bounded (days x currencies,
-    and a few hundred rules)."""
-    key = (spark.sparkContext.applicationId, id(spark))
-    if key not in _DIMS:
-        rates = small_dim(demo_rates_daily(spark), cfg.broadcast_row_limit)
-        rules = small_dim(valid_rules(normalize_rules(demo_rules(spark)), cfg), cfg.broadcast_row_limit)
-        _DIMS[key] = (rates, rules)
-    return _DIMS[key]
-
-
-_RUNS: dict[tuple[str, int, str, str], TaxResult] = {}
+    """(daily rates, judged rules) of the demo."""
+    return demo_rates_daily(spark), judged_rules(normalize_rules(demo_rules(spark)), cfg)
 
 
-def run(spark: SparkSession, sf_dir: str, cfg: TaxConfig = DEMO_CONFIG) -> TaxResult:
-    """The full computation over the derived ledger of ``sf_dir``.
-
-    One lazily planned ``TaxResult`` per (session, folder, config): queries
-    over the same data read different outputs of the same plans.
-    """
-    key = (spark.sparkContext.applicationId, id(spark), sf_dir, repr(cfg))
-    if cfg.checkpoint_ledger or cfg.checkpoint_sales:
-        ensure_checkpoint_dir(spark)
-    if key not in _RUNS:
-        rates, rules = demo_dims(spark, cfg)
-        _RUNS[key] = calculate(spark, demo_ledger(spark, sf_dir), rates, rules, cfg, rules_validated=True)
-    return _RUNS[key]
+def run(spark: SparkSession, sf_dir: str, cfg: TaxConfig = DEMO_CONFIG, faults: bool = False) -> TaxResult:
+    """The full computation over the derived ledger of ``sf_dir``."""
+    rates, rules = demo_dims(spark, cfg)
+    return calculate(spark, demo_ledger(spark, sf_dir, faults), rates, rules, cfg, rules_validated=True)
 
 
 def r4sum(c: Column) -> Column:
@@ -163,7 +140,7 @@ def q_fund_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
         "fund_label",
         "exemption_rate",
         _r4dec(F.col("gross_total")).alias("gross_total"),
-        round4(F.col("gross_total").cast("double") * (F.lit(1.0) - F.col("exemption_rate"))).alias("taxable"),
+        _r4dec(F.col("taxable")).alias("taxable"),
     )
 
 
@@ -227,9 +204,8 @@ def q_stock_result_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def q_form_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = run(spark, sf_dir)
-    return r.form_lines.select(
+def _lines_out(lines: DataFrame) -> DataFrame:
+    return lines.select(
         C.ACCOUNT,
         C.TAX_YEAR,
         F.col("line_order").cast("bigint").alias("line_order"),
@@ -240,6 +216,20 @@ def q_form_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def q_form_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines_out(run(spark, sf_dir).form_lines)
+
+
+def q_form_lines_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The default policy: accounts with any issue are left out."""
+    return _lines_out(run(spark, sf_dir, DEMO_CONFIG.with_(on_issue="quarantine")).form_lines)
+
+
+def q_form_lines_of_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One requested year (FIFO still sees all years)."""
+    return _lines_out(run(spark, sf_dir, DEMO_CONFIG.with_(tax_year=2021)).form_lines)
+
+
 def q_report_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = run(spark, sf_dir)
     return r.positions.select(C.ACCOUNT, C.TAX_YEAR, "position", "label", _r4dec(F.col("amount")).alias("amount"))
@@ -250,12 +240,8 @@ def q_detail_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.sections.select(C.ACCOUNT, C.TAX_YEAR, "section", "title", "n_rows", _r4dec(F.col("total")).alias("total"))
 
 
-def q_display_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from kapspark.operators.report import display_amounts
-
-    r = run(spark, sf_dir)
-    shown = display_amounts(r.form_lines)
-    return shown.select(
+def _display_out(lines: DataFrame) -> DataFrame:
+    return lines.select(
         C.ACCOUNT,
         C.TAX_YEAR,
         F.col("line_order").cast("bigint").alias("line_order"),
@@ -264,6 +250,14 @@ def q_display_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def q_display_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _display_out(run(spark, sf_dir).display_lines)
+
+
+def q_display_whole_euros(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _display_out(run(spark, sf_dir, DEMO_CONFIG.with_(round_amount=True)).display_lines)
+
+
 def q_detail_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = run(spark, sf_dir)
     d = r.details()
@@ -299,10 +293,16 @@ def q_detail_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_ledger_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = run(spark, sf_dir)
+    """Every data check finds something: the ledger is broken on purpose."""
+    r = run(spark, sf_dir, faults=True)
     return r.issues.select(C.ACCOUNT, "issue", F.col("n").cast("bigint").alias("n"))
 
 
+def q_rules_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rules_issues(normalize_rules(faulty_rules(spark, sf_dir)))
+    return found.groupBy("kind", "key", "issue").agg(F.count(F.lit(1)).alias("n_rules"))
+
+
 def q_tax_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = run(spark, sf_dir)
     return r.tax_years.select(
@@ -385,11 +385,15 @@ QUERIES: dict[str, Query] = {
     "fifo_shortfall": q_fifo_shortfall,
     "stock_result_split": q_stock_result_split,
     "form_lines": q_form_lines,
+    "form_lines_quarantine": q_form_lines_quarantine,
+    "form_lines_of_year": q_form_lines_of_year,
     "report_positions": q_report_positions,
     "detail_sections": q_detail_sections,
     "display_amounts": q_display_amounts,
+    "display_whole_euros": q_display_whole_euros,
     "detail_export": q_detail_export,
     "ledger_issues": q_ledger_issues,
+    "rules_issues": q_rules_issues,
     "tax_years": q_tax_years,
     "ledger_scan": q_ledger_scan,
 }

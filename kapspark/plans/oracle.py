@@ -77,7 +77,7 @@ fx0 AS (
   SELECT l.*, year(l.ts) AS tax_year, d.rate AS d_rate, y.rate AS y_rate,
          CASE WHEN l.currency = 'EUR' THEN 'eur'
               WHEN d.rate IS NOT NULL THEN 'daily'
-              WHEN year(l.ts) NOT IN (SELECT DISTINCT year FROM yearly) THEN 'missing'
+              WHEN year(l.ts) IS NULL OR year(l.ts) NOT IN (SELECT DISTINCT year FROM yearly) THEN 'missing'
               WHEN y.rate IS NOT NULL THEN 'yearly'
               ELSE 'assumed_1' END AS fx_source
   FROM ledger l
@@ -215,14 +215,13 @@ pos AS (
          sum(CASE WHEN side = 1 THEN quantity ELSE 0 END) OVER w AS cum_sell
   FROM trades
   WINDOW w AS (PARTITION BY account_id, isin
-               ORDER BY ts, side, order_key, line_no, supp_key, quantity, net, tax, currency
+               ORDER BY ts NULLS FIRST, side, order_key, line_no, supp_key, quantity, net, tax, currency
                ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
 ),
-keyflags AS (
-  SELECT account_id, isin,
-         bool_or(side = 1 AND cum_sell > cum_buy) AS key_short,
-         bool_or(isin IS NULL OR quantity IS NULL OR quantity <= 0 OR ts IS NULL OR net_eur IS NULL) AS key_bad
-  FROM pos GROUP BY account_id, isin
+flagged AS (
+  SELECT *, coalesce(bool_or(side = 1 AND cum_sell > cum_buy) OVER k, FALSE) AS key_short,
+         bool_or(isin IS NULL OR quantity IS NULL OR quantity <= 0 OR ts IS NULL OR net_eur IS NULL) OVER k AS key_bad
+  FROM pos WINDOW k AS (PARTITION BY account_id, isin)
 ),
 lots AS (
   SELECT account_id, isin, cum_buy - quantity AS b0, cum_buy AS b1, quantity AS lot_qty, -net_eur AS lot_cost
@@ -232,8 +231,9 @@ sales AS (
   SELECT account_id, isin, ts, tax_year, order_key, line_no, supp_key, quantity, net, tax, currency,
          net_eur AS proceeds_eur,
          cum_sell - quantity AS s0, cum_sell AS s1,
-         CASE WHEN cum_sell > cum_buy THEN least(quantity, cum_sell - cum_buy) END AS missing_qty
-  FROM pos WHERE side = 1
+         CASE WHEN cum_sell > cum_buy THEN least(quantity, cum_sell - cum_buy) END AS missing_qty,
+         key_short AS shortfall, key_bad AS invalid
+  FROM flagged WHERE side = 1
 ),
 lot_sale AS (
   SELECT s.account_id, s.isin, s.s1, l.lot_cost, l.lot_qty, l.b1,
@@ -252,16 +252,12 @@ cost_as_observed AS (
   FROM lot_sale GROUP BY account_id, isin, s1
 ),
 sales_pro_rata AS (
-  SELECT s.*, k.key_short AS shortfall, k.key_bad AS invalid,
-         CASE WHEN k.key_short OR k.key_bad THEN NULL ELSE CAST(c.c AS DOUBLE) END AS cost_eur
-  FROM sales s JOIN keyflags k USING (account_id, isin)
-  LEFT JOIN cost_pro_rata c USING (account_id, isin, s1)
+  SELECT s.*, CASE WHEN shortfall OR invalid THEN NULL ELSE CAST(c.c AS DOUBLE) END AS cost_eur
+  FROM sales s LEFT JOIN cost_pro_rata c ON c.account_id = s.account_id AND c.isin = s.isin AND c.s1 = s.s1
 ),
 sales_as_observed AS (
-  SELECT s.*, k.key_short AS shortfall, k.key_bad AS invalid,
-         CASE WHEN k.key_short OR k.key_bad THEN NULL ELSE CAST(c.c AS DOUBLE) END AS cost_eur
-  FROM sales s JOIN keyflags k USING (account_id, isin)
-  LEFT JOIN cost_as_observed c USING (account_id, isin, s1)
+  SELECT s.*, CASE WHEN shortfall OR invalid THEN NULL ELSE CAST(c.c AS DOUBLE) END AS cost_eur
+  FROM sales s LEFT JOIN cost_as_observed c ON c.account_id = s.account_id AND c.isin = s.isin AND c.s1 = s.s1
 ),
 sold AS (
   SELECT *, proceeds_eur - cost_eur AS result_eur FROM sales_pro_rata
@@ -482,6 +478,7 @@ def _detail_sql() -> str:
 
 
 _ISSUE_CHECKS = (
+    ("missing_account", "account_id IS NULL"),
     ("missing_amount", "net IS NULL"),
     ("missing_currency", "currency IS NULL"),
     ("missing_type", "type IS NULL"),
@@ -499,7 +496,23 @@ _FIFO_CHECKS = (
 )
 
 
-def _issues_sql() -> str:
+_FAULTY_LEDGER = """ledger AS (
+  SELECT CASE WHEN f = 1 THEN NULL ELSE account_id END AS account_id,
+         CASE WHEN f = 5 THEN NULL WHEN f = 10 THEN ts - INTERVAL 30 YEAR ELSE ts END AS ts,
+         CASE WHEN f = 4 THEN NULL ELSE type END AS type,
+         CASE WHEN f = 7 THEN NULL ELSE isin END AS isin,
+         name,
+         CASE WHEN f = 3 THEN NULL WHEN f = 6 THEN 'GBP' ELSE currency END AS currency,
+         CASE WHEN f = 8 THEN NULL WHEN f = 9 THEN -quantity ELSE quantity END AS quantity,
+         CASE WHEN f = 2 THEN NULL ELSE net END AS net,
+         tax, order_key, line_no, supp_key
+  FROM (SELECT *, order_key % 97 AS f FROM clean_ledger)
+),
+"""
+FAULTY_BASE = BASE.replace("ledger AS (", "clean_ledger AS (", 1).replace("days AS (", _FAULTY_LEDGER + "days AS (", 1)
+
+
+def _issue_rows() -> str:
     parts = [
         f"SELECT account_id, '{name}' AS issue, count(*) FILTER (WHERE {pred}) AS n FROM fx GROUP BY account_id"
         for name, pred in _ISSUE_CHECKS
@@ -508,7 +521,46 @@ def _issues_sql() -> str:
         "FROM sales_pro_rata GROUP BY account_id"
         for name, pred in _FIFO_CHECKS
     ]
-    return BASE + "SELECT account_id, issue, CAST(n AS BIGINT) AS n FROM (" + "\nUNION ALL\n".join(parts) + ") WHERE n > 0"
+    return "SELECT account_id, issue, CAST(n AS BIGINT) AS n FROM (" + "\nUNION ALL\n".join(parts) + ") WHERE n > 0"
+
+
+_LINES_OUT = f"""
+SELECT account_id, tax_year, CAST(line_order AS BIGINT) AS line_order, form, line, label, {_r4('amount')} AS amount
+FROM form_lines"""
+
+_RULE_FAULTS = (
+    ("bad_kind", "kind NOT IN ('security', 'country')"),
+    ("missing_key", "key = ''"),
+    ("missing_field", "source_country IS NULL"),
+    ("bad_rate_type", "rate IS NULL"),
+    ("bad_treatment", "treatment NOT IN ('domestic', 'foreign')"),
+    ("rate_out_of_range", "rate < 0 OR rate > 1"),
+    ("domestic_with_credit", "treatment = 'domestic' AND rate <> 0"),
+    ("bad_instrument", "instrument NOT IN ('share', 'fund')"),
+    ("bad_fund_type", "fund_type NOT IN ('equity', 'mixed', 'real_estate', 'other')"),
+    ("fund_type_without_fund", "fund_type IS NOT NULL AND instrument <> 'fund'"),
+)
+
+
+def _rules_issues_sql() -> str:
+    rows = "\nUNION ALL\n".join(f"SELECT kind, key, '{name}' AS issue FROM r WHERE {pred}" for name, pred in _RULE_FAULTS)
+    return f"""
+WITH p AS (SELECT p_partkey % 300 AS sec, p_partkey % 13 AS f FROM part),
+r AS (
+  SELECT CASE WHEN f = 1 THEN 'share' ELSE 'security' END AS kind,
+         CASE WHEN f = 2 THEN '' ELSE ({_ISIN_PREFIXES})[sec % 10 + 1] || lpad(CAST(sec AS VARCHAR), 10, '0') END AS key,
+         CASE WHEN f = 3 THEN NULL ELSE 'US' END AS source_country,
+         CASE f WHEN 4 THEN 'exempt' WHEN 5 THEN 'domestic' ELSE 'foreign' END AS treatment,
+         CASE f WHEN 6 THEN CAST(1.5 AS DOUBLE) WHEN 7 THEN NULL ELSE CAST(0.15 AS DOUBLE) END AS rate,
+         CASE f WHEN 8 THEN 'bond' WHEN 9 THEN 'fund' ELSE 'share' END AS instrument,
+         CASE f WHEN 9 THEN 'exotic' WHEN 10 THEN 'equity' END AS fund_type
+  FROM p)
+SELECT kind, key, issue, count(*) AS n_rules FROM (
+{rows}
+UNION ALL
+SELECT kind, key, 'duplicate_key' FROM r GROUP BY kind, key HAVING count(*) > 1
+) GROUP BY kind, key, issue
+"""
 
 
 ORACLE_SQL: dict[str, str] = {
@@ -555,10 +607,10 @@ SELECT account_id, tax_year, ft AS fund_type,
                ELSE 'Fonds (Typ: ' || ft || ')' END AS fund_label,
        rate AS exemption_rate,
        {_r4('g')} AS gross_total,
-       {_r4row('CAST(g AS DOUBLE) * (CAST(1 AS DOUBLE) - rate)')} AS taxable
+       {_r4('g * CAST(CAST(1 AS DOUBLE) - rate AS DECIMAL(5,4))')} AS taxable
 FROM (
   SELECT account_id, tax_year, coalesce(fund_type, 'other') AS ft,
-         SUM(CAST(gross_eur AS DECIMAL(28,10))) AS g,
+         CAST(SUM(CAST(gross_eur AS DECIMAL(28,10))) AS DECIMAL(30,10)) AS g,
          CASE coalesce(fund_type, 'other') WHEN 'equity' THEN CAST(0.30 AS DOUBLE)
               WHEN 'mixed' THEN CAST(0.15 AS DOUBLE) WHEN 'real_estate' THEN CAST(0.60 AS DOUBLE)
               ELSE CAST(0 AS DOUBLE) END AS rate
@@ -584,10 +636,11 @@ SELECT account_id, tax_year, {_r4('stock_result')} AS stock_result, {_r4('stock_
        CAST(n_flagged_sales AS BIGINT) AS n_flagged_sales, CAST(n_sales > 0 AS BIGINT) AS has_sales
 FROM totals
 """,
-    "form_lines": BASE + f"""
-SELECT account_id, tax_year, CAST(line_order AS BIGINT) AS line_order, form, line, label, {_r4('amount')} AS amount
-FROM form_lines
+    "form_lines": BASE + _LINES_OUT,
+    "form_lines_quarantine": BASE + ", issue_rows AS (" + _issue_rows() + ")" + _LINES_OUT + """ f
+WHERE NOT EXISTS (SELECT 1 FROM issue_rows i WHERE i.account_id IS NOT DISTINCT FROM f.account_id)
 """,
+    "form_lines_of_year": BASE + _LINES_OUT + " WHERE tax_year = 2021",
     "report_positions": _positions_sql(),
     "detail_sections": BASE + f"""
 SELECT account_id, tax_year, section,
@@ -608,9 +661,16 @@ SELECT account_id, tax_year, CAST(line_order AS BIGINT) AS line_order,
        CAST(round_even(amount, 2) AS DOUBLE) AS display,
        printf('%.2f EUR', CAST(round_even(amount, 2) AS DOUBLE)) AS display_text
 FROM form_lines
+""",
+    "display_whole_euros": BASE + """
+SELECT account_id, tax_year, CAST(line_order AS BIGINT) AS line_order,
+       CAST(round_even(amount, 0) AS DOUBLE) AS display,
+       printf('%.0f EUR', CAST(round_even(amount, 0) AS DOUBLE)) AS display_text
+FROM form_lines
 """,
     "detail_export": _detail_sql(),
-    "ledger_issues": _issues_sql(),
+    "ledger_issues": FAULTY_BASE + _issue_rows(),
+    "rules_issues": _rules_issues_sql(),
     "tax_years": BASE + """
 SELECT account_id, CAST(count(DISTINCT year(ts)) AS BIGINT) AS n_years,
        CAST(min(year(ts)) AS BIGINT) AS min_year, CAST(max(year(ts)) AS BIGINT) AS max_year,

@@ -1,17 +1,16 @@
 """Wiring: ledger + rates + rules -> every result as a lazy DataFrame.
 
-Planning triggers only bounded jobs: size checks of the dimension joins,
-the hot-key aggregate of FIFO, the optional parquet materialisation of the
-converted ledger and the FIFO result, and for ``on_issue="error"`` one
-bounded issue sample.
+Planning triggers only bounded jobs: the hot-key count of FIFO, the optional
+parquet materialisation of the converted ledger and the FIFO result, and for
+``on_issue="error"`` the counts per kind of issue.
 Two independent exchange families come out of it: trades by
 (account_id, isin) for FIFO and income by (account_id, tax_year) for the
-figures; all dimension lookups are broadcast hash joins.
+figures. Quarantine removes accounts from aggregated results after the
+aggregate; only row-level outputs meet the list of accounts row by row.
 """
 
 from __future__ import annotations
 
-import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +23,9 @@ from kapspark.operators import fifo, issues, report
 from kapspark.operators.fx import fx_convert, gross_up
 from kapspark.operators.rules import resolve_rules
 from kapspark.sources.dims import yearly_rates
+from kapspark.sources.rates import rate_conflicts
 from kapspark.sources.rules import empty_rules
+from kapspark.sources.staging import stage
 
 
 class TaxResult:
@@ -44,16 +45,23 @@ class TaxResult:
         self._rates_daily = rates_daily
         self._rules = empty_rules(spark) if rules is None else rules
         self._yearly = yearly_rates(spark) if rates_yearly is None else rates_yearly
-        self._bad_accounts = None
         self._rules_validated = rules_validated
 
+    @cached_property
+    def bad_accounts(self) -> DataFrame | None:
+        """Accounts to quarantine (None under the other policies). Found once:
+        with a checkpoint directory the list is written there."""
+        bad = issues.enforce(self.issues, self.cfg) if self.cfg.on_issue == "quarantine" else None
+        if bad is None or not self.spark.sparkContext.getCheckpointDir():
+            return bad
+        return stage(bad, "bad_accounts")
+
     def _keep(self, df: DataFrame) -> DataFrame:
-        """Quarantine: drop the offending accounts from a result."""
-        if self.cfg.on_issue != "quarantine":
+        """Quarantine: drop the offending accounts (NULL is an account too)."""
+        if self.bad_accounts is None:
             return df
-        if self._bad_accounts is None:
-            self._bad_accounts = issues.enforce(self.issues, self.cfg)
-        return df.join(self._bad_accounts, C.ACCOUNT, "left_anti")
+        bad = self.bad_accounts.select(F.col(C.ACCOUNT).alias("_bad_account"))
+        return df.join(bad, F.col(C.ACCOUNT).eqNullSafe(F.col("_bad_account")), "left_anti")
 
     def check(self) -> "TaxResult":
         """Apply the ``error`` policy now (raises on any issue)."""
@@ -64,12 +72,22 @@ class TaxResult:
     def rules_ok(self) -> DataFrame:
         if self._rules_validated:
             return self._rules
-        return issues.valid_rules(self._rules, self.cfg)
+        return issues.judged_rules(self._rules, self.cfg)
+
+    @cached_property
+    def rules_issues(self) -> DataFrame:
+        """(kind, key, issue) of the rules table."""
+        return issues.rules_issues(self._rules)
+
+    @cached_property
+    def rate_conflicts(self) -> DataFrame:
+        """(period, currency, issue, n_rates) of the rate tables."""
+        return rate_conflicts(self._rates_daily, self._yearly)
 
     @cached_property
     def ledger_fx(self) -> DataFrame:
         df = gross_up(fx_convert(self.ledger, self._rates_daily, self._yearly, self.cfg), self.has_tax)
-        return self._checkpoint(df, "ledger_fx") if self.cfg.checkpoint_ledger else df
+        return stage(df, "ledger_fx") if self.cfg.checkpoint_ledger else df
 
     @cached_property
     def in_year(self) -> DataFrame:
@@ -84,9 +102,15 @@ class TaxResult:
         rows = resolve_rules(rows, self.rules_ok, self.cfg, only=F.col("scope").isNotNull())
         return CL.tag_dividend_forms(CL.classify_income(rows, self.has_tax))
 
+    @cached_property
+    def _income(self) -> DataFrame:
+        """Income rows of all accounts: aggregates read these and drop
+        quarantined accounts from their result."""
+        return self.rows.where(F.col("scope").isNotNull())
+
     @cached_property
     def classified(self) -> DataFrame:
-        return self._keep(self.rows.where(F.col("scope").isNotNull()))
+        return self._keep(self._income)
 
     @cached_property
     def dividends(self) -> DataFrame:
@@ -102,44 +126,31 @@ class TaxResult:
 
     @cached_property
     def summary(self) -> DataFrame:
-        return CL.tax_summary(self.classified)
+        return self._keep(CL.tax_summary(self._income))
 
     @cached_property
     def by_country(self) -> DataFrame:
-        return CL.credit_by_country(self.classified)
-
-    def _checkpoint(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` once as a parquet table in a fresh folder under
-        ``spark.checkpoint.dir`` and read it back: lineage ends there, and
-        later reads are columnar (pruned, vectorised)."""
-        base = self.spark.sparkContext.getCheckpointDir()
-        if not base:
-            raise ValueError("checkpointing needs spark.checkpoint.dir (shared storage)")
-        path = f"{base.rstrip('/')}/kapspark-{uuid.uuid4().hex}/{name}"
-        df.write.mode("overwrite").parquet(path)
-        return self.spark.read.parquet(path)
+        return self._keep(CL.credit_by_country(self._income))
 
     @cached_property
     def _sales_all(self) -> DataFrame:
         sales = fifo.realized_sales(self.ledger_fx, self.cfg, ledger=self.ledger)
-        return self._checkpoint(sales, "sales") if self.cfg.checkpoint_sales else sales
+        return stage(sales, "sales") if self.cfg.checkpoint_sales else sales
 
     @cached_property
     def sales_all_years(self) -> DataFrame:
         return self._keep(self._sales_all)
 
+    def _of_year(self, sales: DataFrame) -> DataFrame:
+        return sales if self.cfg.tax_year is None else sales.where(F.col(C.TAX_YEAR) == self.cfg.tax_year)
+
     @cached_property
     def sales(self) -> DataFrame:
-        if self.cfg.tax_year is None:
-            return self.sales_all_years
-        return self.sales_all_years.where(F.col(C.TAX_YEAR) == self.cfg.tax_year)
+        return self._of_year(self.sales_all_years)
 
     @cached_property
     def totals(self) -> DataFrame:
-        sales = self._sales_all
-        if self.cfg.tax_year is not None:
-            sales = sales.where(F.col(C.TAX_YEAR) == self.cfg.tax_year)
-        return self._keep(report.account_year_totals(self.rows, sales, self.has_tax))
+        return self._keep(report.account_year_totals(self.rows, self._of_year(self._sales_all), self.has_tax))
 
     @cached_property
     def form_lines(self) -> DataFrame:
@@ -147,7 +158,7 @@ class TaxResult:
 
     @cached_property
     def fund_breakdown(self) -> DataFrame:
-        return report.fund_breakdown(self.spark, self.dividends)
+        return self._keep(report.fund_breakdown(self.spark, self._income.where(F.col("scope") == "dividend")))
 
     @cached_property
     def positions(self) -> DataFrame:
@@ -155,7 +166,16 @@ class TaxResult:
 
     @cached_property
     def sections(self) -> DataFrame:
-        return report.section_totals(self.classified, self.sales)
+        return self._keep(report.section_totals(self._income, self._of_year(self._sales_all)))
+
+    def section(self, name: str) -> DataFrame:
+        """The rows of one detail section with its columns."""
+        return report.section_rows(self.classified, self.sales, name)
+
+    @cached_property
+    def display_lines(self) -> DataFrame:
+        """Form lines with their amounts as shown (``cfg.round_amount``)."""
+        return report.display_amounts(self.form_lines, whole_euros=self.cfg.round_amount)
 
     @cached_property
     def unknown_currencies(self) -> DataFrame:
@@ -168,12 +188,14 @@ class TaxResult:
     @cached_property
     def issues(self) -> DataFrame:
         out = issues.ledger_issues(self.ledger_fx, self.cfg).unionByName(issues.fifo_issues(self._sales_all))
+        if not self._rules_validated:
+            out = out.unionByName(issues.rejected_rule_issues(self.rows))
         if self.cfg.tax_year is not None or self.cfg.single_year_rule:
             out = out.unionByName(issues.tax_year_issues(self.tax_years, self.cfg))
         return out
 
     def details(self) -> DataFrame:
-        return report.detail_frame(self.dividends, self.interest, self.sales)
+        return report.detail_frame(self.classified, self.sales)
 
 
 def calculate(
@@ -191,9 +213,9 @@ def calculate(
     ``rules`` normalised (``sources.rules.normalize_rules``); ``rates_daily``
     is (rate_date, currency, rate) or None for the yearly table only.
     Outputs are planned lazily; with ``on_issue="error"`` the issue check
-    runs here (one bounded sample) and raises on any issue.
-    ``rules_validated=True`` skips rule validation (e.g. rules already
-    passed through ``operators.issues.valid_rules`` and materialised).
+    runs here and raises on any issue, naming all kinds with their counts.
+    ``rules_validated=True`` skips rule validation (rules that passed
+    through ``operators.issues.judged_rules`` before).
     """
     res = TaxResult(spark, ledger, rates_daily, rules, cfg, rates_yearly, rules_validated)
     if cfg.on_issue == "error":

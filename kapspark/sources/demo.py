@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kapspark.config import QUANTITY_TYPE, TaxConfig
+from kapspark.sources.dims import local_table
 
 # --- fixed values for the derivation ---------------------------------------
 ISIN_PREFIXES = ["DE", "CH", "US", "FR", "IE", "GB", "LU", "XS", "12", "JP"]
@@ -34,10 +35,7 @@ ACCOUNT_WIDTH = 8
 
 # Same-timestamp bookings are ordered by these after buys-first.
 DEMO_TIEBREAK = ("order_key", "line_no", "supp_key", "quantity", "net", "tax", "currency")
-# The catalog reads many outputs of one ledger: write the converted ledger
-# and the FIFO result once to spark.checkpoint.dir instead of recomputing
-# them per output.
-DEMO_CONFIG = TaxConfig(on_issue="flag", tiebreak=DEMO_TIEBREAK, checkpoint_ledger=True, checkpoint_sales=True)
+DEMO_CONFIG = TaxConfig(on_issue="flag", tiebreak=DEMO_TIEBREAK)
 
 
 def _isin(sec_no: Column) -> Column:
@@ -49,37 +47,12 @@ def _pick(values: list, index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
 
 
-def _row_groups(path: str) -> int | None:
-    """Row groups of a local parquet file (footer only), None if unknown."""
-    try:
-        import pyarrow.parquet as pq
-
-        return pq.ParquetFile(path).metadata.num_row_groups
-    except Exception:  # remote or unreadable path: let the scan decide
-        return None
-
-
-def demo_ledger(spark: SparkSession, sf_dir: str, spread: int | None = None) -> DataFrame:
-    """Canonical ledger (plus ``sec_no``, ``code`` and order keys).
-
-    A parquet file with a single row group cannot be split, so its scan and
-    everything before the first shuffle would run in one task. When the
-    lineitem file has fewer row groups than the session has cores, the rows
-    are spread once after the (pruned) scan by a hash of the order line
-    (deterministic, no local sort, no hot value); ``spread`` forces a number
-    of partitions. Inputs of many row groups are left as scanned.
-    """
-    path = f"{sf_dir}/lineitem.parquet"
-    li = spark.read.parquet(path).select(
+def demo_ledger(spark: SparkSession, sf_dir: str, faults: bool = False) -> DataFrame:
+    """Canonical ledger (plus ``sec_no``, ``code`` and order keys). With
+    ``faults`` some bookings are broken, see ``with_faults``."""
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_tax", "l_shipdate"
     )
-    if spread is None:
-        cores = spark.sparkContext.defaultParallelism
-        groups = _row_groups(path)
-        if groups is not None and groups < cores:
-            spread = cores
-    if spread:
-        li = li.repartition(spread, "l_orderkey", "l_linenumber")
     code = (F.col("l_orderkey") + 3 * F.col("l_linenumber") + F.col("l_suppkey")) % 10
     sec_no = F.col("l_partkey") % SECURITIES
     price = F.col("l_extendedprice")
@@ -131,7 +104,55 @@ def demo_ledger(spark: SparkSession, sf_dir: str, spread: int | None = None) ->
         F.lit(0).alias("line_no"),
         F.lit(0).cast("bigint").alias("supp_key"),
     )
-    return bookings.unionByName(opening)
+    ledger = bookings.unionByName(opening)
+    return with_faults(ledger) if faults else ledger
+
+
+# Which bookings are broken, and how: order_key modulo FAULT_EVERY.
+FAULT_EVERY = 97
+FAULTS = {
+    "missing_account": 1,
+    "missing_amount": 2,
+    "missing_currency": 3,
+    "missing_type": 4,
+    "bad_date": 5,
+    "unknown_currency": 6,
+    "trade_missing_isin": 7,
+    "trade_missing_quantity": 8,
+    "trade_bad_quantity": 9,
+    "year_without_rate": 10,
+}
+
+
+def with_faults(ledger: DataFrame) -> DataFrame:
+    """Break the bookings whose order key leaves a remainder of FAULTS."""
+    left = F.col("order_key") % FAULT_EVERY
+
+    def broken(column: str, fault: str, value: Column) -> Column:
+        return F.when(left == FAULTS[fault], value).otherwise(F.col(column))
+
+    kept = dict(ledger.dtypes)
+    nulls = {c: F.lit(None).cast(kept[c]) for c in ("account_id", "net", "currency", "type", "ts", "isin", "quantity")}
+    return ledger.withColumn("_left", left).select(
+        broken("account_id", "missing_account", nulls["account_id"]).alias("account_id"),
+        F.when(left == FAULTS["bad_date"], nulls["ts"])
+        .when(left == FAULTS["year_without_rate"], F.col("ts") - F.make_ym_interval(F.lit(30), F.lit(0)))
+        .otherwise(F.col("ts"))
+        .alias("ts"),
+        broken("type", "missing_type", nulls["type"]).alias("type"),
+        broken("isin", "trade_missing_isin", nulls["isin"]).alias("isin"),
+        "name",
+        F.when(left == FAULTS["missing_currency"], nulls["currency"])
+        .when(left == FAULTS["unknown_currency"], F.lit("GBP"))
+        .otherwise(F.col("currency"))
+        .alias("currency"),
+        F.when(left == FAULTS["trade_missing_quantity"], nulls["quantity"])
+        .when(left == FAULTS["trade_bad_quantity"], (-F.col("quantity")).cast(QUANTITY_TYPE))
+        .otherwise(F.col("quantity"))
+        .alias("quantity"),
+        broken("net", "missing_amount", nulls["net"]).alias("net"),
+        *[c for c in ledger.columns if c not in ("account_id", "ts", "type", "isin", "name", "currency", "quantity", "net")],
+    )
 
 
 def demo_rates_daily(spark: SparkSession) -> DataFrame:
@@ -150,7 +171,8 @@ def demo_rates_daily(spark: SparkSession) -> DataFrame:
 
 def demo_rules(spark: SparkSession) -> DataFrame:
     """Rules table: three country rules, one security override, 40 funds."""
-    country = spark.createDataFrame(
+    country = local_table(
+        spark,
         [
             ("country", "CH", "CH", "foreign", 0.15, "share", None),
             ("country", "FR", "FR", "foreign", 0.128, "share", None),
@@ -171,3 +193,20 @@ def demo_rules(spark: SparkSession) -> DataFrame:
         _pick(FUND_TYPES_BY_DECADE, F.floor(sec / 10) % 5).alias("fund_type"),
     )
     return country.unionByName(funds)
+
+
+def faulty_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rules table with one row per part, some of them broken by the part
+    key modulo 13; keys repeat as soon as there are more than 300 parts."""
+    key = F.col("p_partkey")
+    left = key % 13
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey")
+    return part.select(
+        F.when(left == 1, F.lit("share")).otherwise(F.lit("security")).alias("kind"),
+        F.when(left == 2, F.lit("")).otherwise(_isin(key % 300)).alias("key"),
+        F.when(left == 3, F.lit(None)).otherwise(F.lit("US")).cast("string").alias("source_country"),
+        F.when(left == 4, F.lit("exempt")).when(left == 5, F.lit("domestic")).otherwise(F.lit("foreign")).alias("tax_treatment"),
+        F.when(left == 6, F.lit("1.5")).when(left == 7, F.lit("a lot")).otherwise(F.lit("0.15")).alias("max_creditable_rate"),
+        F.when(left == 8, F.lit("bond")).when(left == 9, F.lit("fund")).otherwise(F.lit("share")).alias("instrument"),
+        F.when(left == 9, F.lit("exotic")).when(left == 10, F.lit("equity")).otherwise(F.lit(None)).cast("string").alias("fund_type"),
+    )

@@ -12,18 +12,40 @@ from kapspark import constants as K
 RATES_DAILY_DDL = "rate_date date, currency string, rate double"
 
 
+def _typed(df: DataFrame) -> DataFrame:
+    return df.select(
+        F.col("rate_date").cast("date").alias("rate_date"),
+        F.upper(F.col("currency").cast("string")).alias("currency"),
+        F.col("rate").cast("double").alias("rate"),
+    ).where(F.col("rate_date").isNotNull() & F.col("currency").isNotNull() & F.col("rate").isNotNull())
+
+
 def normalize_daily_rates(df: DataFrame) -> DataFrame:
-    """(rate_date, currency, rate) typed; duplicates resolve to one rate per
-    (date, currency) by taking the largest (a deterministic choice)."""
+    """(rate_date, currency, rate) typed, one rate per (date, currency). Of
+    contradicting rates the largest counts (``rate_conflicts`` lists them); a
+    rate that is not positive stays and makes its bookings ``missing``."""
+    return _typed(df).groupBy("rate_date", "currency").agg(F.max("rate").alias("rate"))
+
+
+def rate_conflicts(rates_daily: DataFrame | None, rates_yearly: DataFrame) -> DataFrame:
+    """(period, currency, issue, n_rates): contradicting rates for one day or
+    year (``conflicting_rate``) and rates that are not positive (``bad_rate``)."""
+    yearly = rates_yearly.select(
+        F.col("year").cast("int").cast("string").alias("period"),
+        F.upper("currency").alias("currency"),
+        F.col("rate").cast("double").alias("rate"),
+    )
+    rates = yearly if rates_daily is None else yearly.unionByName(
+        _typed(rates_daily).withColumn("period", F.col("rate_date").cast("string")).drop("rate_date")
+    )
+    per_key = rates.groupBy("period", "currency").agg(
+        F.count_distinct("rate").alias("n_rates"), F.min("rate").alias("lowest")
+    )
+    named = F.array(
+        F.when(F.col("n_rates") > 1, F.lit("conflicting_rate")), F.when(F.col("lowest") <= 0, F.lit("bad_rate"))
+    )
     return (
-        df.select(
-            F.col("rate_date").cast("date").alias("rate_date"),
-            F.upper(F.col("currency").cast("string")).alias("currency"),
-            F.col("rate").cast("double").alias("rate"),
-        )
-        .where(F.col("rate_date").isNotNull() & F.col("currency").isNotNull() & (F.col("rate") > 0))
-        .groupBy("rate_date", "currency")
-        .agg(F.max("rate").alias("rate"))
+        per_key.select("period", "currency", F.explode(named).alias("issue"), "n_rates").where(F.col("issue").isNotNull())
     )
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kapspark.sources.dims import local_table
+
 RULES_DDL = (
     "kind string, key string, source_country string, tax_treatment string, "
     "max_creditable_rate string, instrument string, fund_type string"
@@ -43,8 +45,8 @@ def rules_from_records(spark: SparkSession, records: list[dict]) -> DataFrame:
         tuple(None if r.get(f) is None else str(r.get(f)) for f in fields)
         for r in records
     ]
-    return spark.createDataFrame(rows, RULES_DDL)
+    return local_table(spark, rows, RULES_DDL)
 
 
 def empty_rules(spark: SparkSession) -> DataFrame:
-    return normalize_rules(spark.createDataFrame([], RULES_DDL))
+    return normalize_rules(local_table(spark, [], RULES_DDL))

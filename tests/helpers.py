@@ -4,7 +4,7 @@ from kapspark.config import TaxConfig
 from kapspark.plans.tax_run import calculate
 from kapspark.sources.rules import normalize_rules, rules_from_records
 
-OFFLINE = TaxConfig(offline=True, on_issue="flag", tiebreak=("order_no", "quantity", "net"))
+OFFLINE = TaxConfig(offline=True, on_issue="flag")
 
 
 def rules_df(spark, *records):

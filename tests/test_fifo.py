@@ -165,3 +165,77 @@ def test_skewed_key_from_the_driver_tables(spark):
     chunked = run(DEMO_CONFIG.with_(fifo_hot_key_rows=200, fifo_chunk_rows=100))
     assert simple == chunked
     assert sum(1 for r in chunked if r[1] == "DE0000000000") > 300
+
+
+DAY_ORDERS = "account_id bigint, isin string, ts timestamp_ntz, tax_year int, type string, quantity decimal(20,8), net_eur double, order_no string"
+
+
+def _chunk_sizes(spark, rows, cfg):
+    df, cfg = fifo.with_total_order(spark.createDataFrame(rows, SCHEMA), cfg)
+    trades = fifo.trades_of(df, cfg)
+    time_chunks = fifo._chunked(trades, fifo._order(cfg), len(rows), cfg, "tchunk")
+    pos = fifo.positions_chunked(trades, len(rows), cfg)
+    pos = pos.withColumn("p", F.when(F.col("side") == 0, F.col("cum_buy")).otherwise(F.col("cum_sell")))
+    places = fifo._chunked(pos, [F.col("p"), F.col("side").desc()], len(rows), cfg, "pchunk")
+    return [[r["count"] for r in t.groupBy(c).count().collect()] for t, c in ((time_chunks, "tchunk"), (places, "pchunk"))]
+
+
+@pytest.mark.parametrize("case", ["large lot", "two timestamps"])
+def test_chunks_of_a_hot_key_stay_small(spark, case):
+    import datetime as dt
+
+    rnd = random.Random(5)
+    start = dt.datetime(2020, 1, 1)
+    rows = [(1, "X", start, 2020, "Kauf", Decimal(10**9 if case == "large lot" else 50_000), -1e9, 0)]
+    for i in range(1, 4001):
+        ts = start + (dt.timedelta(hours=i) if case == "large lot" else dt.timedelta(days=i % 2))
+        buy = rnd.random() < 0.4
+        rows.append((1, "X", ts, 2020, "Kauf" if buy else "Verkauf", Decimal(rnd.randint(1, 9)), -5.0 if buy else 5.0, i))
+    cfg = CFG.with_(fifo_hot_key_rows=100, fifo_chunk_rows=500)
+    for sizes in _chunk_sizes(spark, rows, cfg):
+        assert sum(sizes) == 4001 and max(sizes) <= 1500 and len(sizes) >= 6, sizes
+    simple = run_fifo(spark, rows, cfg.with_(fifo_hot_key_rows=None))
+    assert run_fifo(spark, rows, cfg) == pytest.approx(simple, rel=1e-9)
+
+
+def test_tied_buys_cost_the_same_in_any_input_order(spark):
+    import datetime as dt
+
+    d = dt.datetime(2025, 1, 1)
+    rows = [
+        (1, "A", d, 2025, "Kauf", Decimal(1), -10.0, None),
+        (1, "A", d, 2025, "Kauf", Decimal(1), -30.0, None),
+        (1, "A", d.replace(month=2), 2025, "Verkauf", Decimal(1), 50.0, None),
+    ]
+    default = TaxConfig(on_issue="flag")
+
+    def cost(order, parts, cfg=default):
+        df = spark.createDataFrame(order, DAY_ORDERS).repartition(parts)
+        return [r["cost_eur"] for r in fifo.realized_sales(df, cfg).collect()]
+
+    costs = {cost(o, p)[0] for o in (rows, rows[::-1], [rows[1], rows[0], rows[2]]) for p in (1, 3)}
+    assert len(costs) == 1
+    # an order number decides before anything else
+    named = [(*r[:-1], n) for r, n in zip(rows, ("2", "1", "3"))]
+    assert cost(named, 2) == [30.0]
+    with pytest.raises(ValueError, match="absent_column"):
+        cost(rows, 1, TaxConfig(on_issue="flag", tiebreak=("absent_column",)))
+
+
+def test_trades_without_key_or_quantity_are_flagged_and_kept(spark):
+    import datetime as dt
+
+    d = dt.datetime(2025, 1, 1)
+    rows = [
+        (1, None, d, 2025, "Verkauf", Decimal(1), 5.0, 1),
+        (1, "B", d, 2025, "Kauf", Decimal(3), -9.0, 2),
+        (1, "B", d, 2025, "Verkauf", None, 5.0, 3),
+        (1, "B", d, 2025, "Verkauf", None, 5.0, 4),
+        (None, "C", d, 2025, "Verkauf", Decimal(-1), 5.0, 5),
+    ]
+    for hot in (None, 0):
+        got = fifo.realized_sales(
+            spark.createDataFrame(rows, SCHEMA), CFG.with_(fifo_hot_key_rows=hot, fifo_chunk_rows=2)
+        ).collect()
+        assert sorted(r["seq"] for r in got) == [1, 3, 4, 5]
+        assert all(r["invalid"] and r["cost_eur"] is None for r in got)
