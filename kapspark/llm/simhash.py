@@ -252,10 +252,12 @@ def keep_one(
     """
     named = df.withColumn("__text_hash", F.xxhash64(F.col(text_col)))
     found = near_duplicates(named, id_col, text_col, shingle, radius, keep_cols=["__text_hash"])
-    firsts = found.groupBy("component_id").agg(F.min(F.struct(F.col(id_col).alias("id"), F.col("__text_hash").alias("h"))).alias("first"))
+    # null ids last
+    name = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col("__text_hash").alias("h"))
+    firsts = found.groupBy("component_id").agg(F.min(name).alias("first"))
     go = staged(
         found.join(firsts.hint("shuffle_merge"), found["component_id"].eqNullSafe(firsts["component_id"]))
-        .filter(~F.struct(F.col(id_col).alias("id"), F.col("__text_hash").alias("h")).eqNullSafe(F.col("first")))
+        .filter(~name.eqNullSafe(F.col("first")))
         .select(F.col(id_col).alias("__go_id"), F.col("__text_hash").alias("__go_hash"))
         .distinct(),
         "near-duplicates",
