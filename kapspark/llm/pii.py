@@ -235,7 +235,7 @@ def _token(p: Permutation, text: str, back: bool) -> str | None:
 
 # One pattern for all kinds; the first group that matches names the kind.
 FINDER = re.compile(
-    r"(?P<email>(?<![\w.+-])[^\W_][\w.+-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+)"
+    r"(?P<email>(?<![\w.+-])[^\W_][\w.+-]*+@[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?)+)"
     r"|(?<![A-Za-z0-9])(?P<token>(?<=[\"'])[0-9A-Fa-f]{32,128}(?=[\"']))"
     r"|(?<![A-Za-z0-9])(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])"
     r"|(?<![\d.,+-])(?P<date>\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\d-])"
@@ -278,7 +278,7 @@ def rewrite(text: str, p: Permutation, back: bool = False) -> tuple[str, dict[st
 
 
 # Stretches around digits and @ signs; no value reaches beyond its stretch.
-REGION = re.compile(r"\S*[0-9@]\S*(?:[ ]?\S*[0-9@]\S*)*")
+REGION = re.compile(r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+(?: (?:[A-Z]{4} ){0,2}[^\s0-9@]*+[0-9@]\S*+)*")
 
 
 def _regions(text: str) -> Iterator[tuple[int, int]]:
