@@ -16,17 +16,14 @@ def yearly_lookup(rates_yearly: DataFrame) -> DataFrame:
     Of rates that repeat a year and currency the largest counts; they are
     listed by ``sources.rates.rate_conflicts``.
     """
-    entries = (
-        rates_yearly.select(
-            F.col("year").cast("int").alias("fx_year"),
-            F.upper(F.col("currency")).alias("k"),
-            F.col("rate").cast("double").alias("v"),
-        )
-        .where(F.col("fx_year").isNotNull() & F.col("k").isNotNull() & F.col("v").isNotNull())
-        .groupBy("fx_year", "k")
-        .agg(F.max("v").alias("v"))
+    entry = F.struct(F.upper(F.col("currency")).alias("k"), F.col("rate").cast("double").alias("v"))
+    per_year = (
+        rates_yearly.where(F.col("year").isNotNull() & F.col("currency").isNotNull() & F.col("rate").isNotNull())
+        .groupBy(F.col("year").cast("int").alias("fx_year"))
+        .agg(F.collect_set(entry).alias("all"))
     )
-    return entries.groupBy("fx_year").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("fx_year_rates"))
+    largest = F.filter("all", lambda e: ~F.exists("all", lambda o: (o["k"] == e["k"]) & (o["v"] > e["v"])))
+    return per_year.select("fx_year", F.map_from_entries(largest).alias("fx_year_rates"))
 
 
 def fx_convert(

@@ -9,7 +9,7 @@ everything and report).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kapspark import config as C
@@ -113,11 +113,10 @@ def tax_year_issues(years: DataFrame, cfg: TaxConfig) -> DataFrame:
     return bad.withColumn("n", F.lit(1).cast("bigint"))
 
 
-def rules_issues(rules: DataFrame) -> DataFrame:
-    """(kind, key, issue) for a normalised rules table; empty when valid."""
+def _rule_checks() -> dict[str, Column]:
     treat = F.col("tax_treatment")
     rate = F.col("max_creditable_rate")
-    checks: dict[str, Column] = {
+    return {
         "bad_kind": ~F.coalesce(F.col("kind").isin("security", "country"), F.lit(False)),
         "missing_key": F.col("key").isNull() | (F.col("key") == ""),
         "missing_field": F.col("source_country").isNull() | treat.isNull() | F.col("rate_text").isNull(),
@@ -130,20 +129,28 @@ def rules_issues(rules: DataFrame) -> DataFrame:
         "fund_type_without_fund": F.col("fund_type").isNotNull() & (F.col("instrument") != "fund"),
         "bad_prefix": (F.col("kind") == "country") & ~F.coalesce(F.col("key").rlike(r"^\p{L}{2}$"), F.lit(False)),
     }
-    per_row = rules.select(
-        "kind",
-        "key",
-        F.explode(
-            F.array(*[F.when(F.coalesce(pred, F.lit(False)), F.lit(name)) for name, pred in checks.items()])
-        ).alias("issue"),
-    ).where(F.col("issue").isNotNull())
-    dup = (
-        rules.groupBy("kind", "key")
-        .count()
-        .where(F.col("count") > 1)
-        .select("kind", "key", F.lit("duplicate_key").alias("issue"))
+
+
+def _with_faults(rules: DataFrame) -> DataFrame:
+    """Rules with the names of their own faults (``faults``), the number of
+    rules of their key (``n_key``) and their place among them (``nth``): one
+    exchange by key."""
+    named = F.array(*[F.when(F.coalesce(pred, F.lit(False)), F.lit(name)) for name, pred in _rule_checks().items()])
+    of_key = Window.partitionBy("kind", "key")
+    return rules.withColumn("faults", F.filter(named, lambda x: x.isNotNull())).withColumns(
+        {
+            "n_key": F.count(F.lit(1)).over(of_key),
+            "n_faults": F.sum(F.size("faults")).over(of_key),
+            "nth": F.row_number().over(of_key.orderBy("rate_text", "source_country", "tax_treatment")),
+        }
     )
-    return per_row.unionByName(dup)
+
+
+def rules_issues(rules: DataFrame) -> DataFrame:
+    """(kind, key, issue) for a normalised rules table; empty when valid."""
+    repeated = (F.col("n_key") > 1) & (F.col("nth") == 1)
+    extra = F.when(repeated, F.array(F.lit("duplicate_key"))).otherwise(F.array().cast("array<string>"))
+    return _with_faults(rules).select("kind", "key", F.explode(F.concat("faults", extra)).alias("issue"))
 
 
 def _raise_on(issues: DataFrame, per: str, what: str) -> None:
@@ -160,14 +167,18 @@ def _raise_on(issues: DataFrame, per: str, what: str) -> None:
 def judged_rules(rules: DataFrame, cfg: TaxConfig) -> DataFrame:
     """Valid rules (``rejected`` false) and one row for each key of a rejected
     rule (``rejected`` true, no values). The ``error`` policy raises instead."""
-    issues = rules_issues(rules)
     if cfg.on_issue == "error":
-        _raise_on(issues, "key", "invalid tax rules")
-    bad = issues.select(F.col("kind").alias("_bk"), F.col("key").alias("_bkey")).distinct()
-    cond = F.col("kind").eqNullSafe(F.col("_bk")) & F.col("key").eqNullSafe(F.col("_bkey"))
-    marks = bad.select(F.col("_bk").alias("kind"), F.col("_bkey").alias("key"), F.lit(True).alias("rejected"))
-    valid = rules.join(bad, cond, "left_anti").withColumn("rejected", F.lit(False))
-    return valid.unionByName(marks, allowMissingColumns=True)
+        _raise_on(rules_issues(rules), "key", "invalid tax rules")
+    judged = _with_faults(rules).withColumn("rejected", (F.col("n_key") > 1) | (F.col("n_faults") > 0))
+    return (
+        judged.where(F.col("nth") == 1)
+        .select(
+            "kind",
+            "key",
+            *[F.when(~F.col("rejected"), F.col(c)).alias(c) for c in rules.columns if c not in ("kind", "key")],
+            "rejected",
+        )
+    )
 
 
 def valid_rules(rules: DataFrame, cfg: TaxConfig) -> DataFrame:

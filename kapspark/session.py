@@ -8,8 +8,8 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
-def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
-    spark = (
+def local_session(cores: int | str = "*", shuffle_partitions: int = 8, event_log: str | None = None) -> SparkSession:
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("kapspark")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -19,8 +19,11 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("KAPSPARK_DRIVER_MEMORY", "8g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .getOrCreate()
     )
+    if event_log:
+        builder = builder.config("spark.eventLog.enabled", "true").config("spark.eventLog.compress", "false")
+        builder = builder.config("spark.eventLog.dir", f"file://{event_log}")
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="kapspark-ckpt-"))
