@@ -28,10 +28,15 @@ _FIGURE_COLS = ("credit_eur", "excess_eur", "domestic_eur", "kest_eur", "soli_eu
                 "swiss_refundable_eur")
 
 
+FOREIGN_TREATMENTS = ("foreign", "foreign_without_gross_income")
+
+
 def _facts(rows: DataFrame, sales: DataFrame) -> DataFrame:
     """Narrow fact rows: every booking of the year(s) (``kind`` = its income
-    scope, or ``row``) and every realised sale (``kind`` = ``sale``)."""
+    scope, or ``row``) and every realised sale (``kind`` = ``sale``).
+    ``taxed_abroad`` rows carry the country whose credit they belong to."""
     nul_d = F.lit(None).cast("double")
+    abroad = F.coalesce(F.col("treatment").isin(*FOREIGN_TREATMENTS), F.lit(False))
     income = rows.select(
         *KEYS,
         F.coalesce(F.col("scope"), F.lit("row")).alias("kind"),
@@ -39,6 +44,8 @@ def _facts(rows: DataFrame, sales: DataFrame) -> DataFrame:
         F.col("form"),
         *[F.col(c) for c in _FIGURE_COLS],
         nul_d.alias("result_eur"),
+        abroad.alias("taxed_abroad"),
+        F.when(abroad, F.col("source_country")).alias("country"),
     )
     sold = sales.select(
         *KEYS,
@@ -47,11 +54,13 @@ def _facts(rows: DataFrame, sales: DataFrame) -> DataFrame:
         F.lit(None).cast("string").alias("form"),
         *[nul_d.alias(c) for c in _FIGURE_COLS],
         F.col("result_eur"),
+        F.lit(False).alias("taxed_abroad"),
+        F.lit(None).cast("string").alias("country"),
     )
     return income.unionByName(sold)
 
 
-def account_year_totals(rows: DataFrame, sales: DataFrame, has_tax: bool) -> DataFrame:
+def account_year_totals(rows: DataFrame, sales: DataFrame, has_tax: bool, countries: bool = False) -> DataFrame:
     """One row per account-year with every figure (exact decimals, zeros
     where nothing contributes).
 
@@ -59,40 +68,48 @@ def account_year_totals(rows: DataFrame, sales: DataFrame, has_tax: bool) -> Dat
     of no income type), ``gross_eur``, ``form`` and the tax split; they also
     define which account-years exist. ``sales``: realised sales of the
     year(s) (flagged ones have a NULL result and drop out of the sums).
+    ``countries``: also an array of (country, credit), one entry for each
+    country with taxed foreign rows; the rows are then summed per country
+    first, in the same pass.
     """
-    facts = _facts(rows, sales)
-    kind, form = F.col("kind"), F.col("form")
-    res = F.col("result_eur")
-
-    def s(c: Column) -> Column:
-        return F.coalesce(money_sum(c), _zero())
-
-    cls = kind.isin(*("dividend", "interest", "standalone"))
-    out = facts.groupBy(*KEYS).agg(
-        s(F.when((kind == "dividend") & (form == K.DOMESTIC_SHARE_FORM), F.col("gross_eur"))).alias(
-            "domestic_share_dividends"
-        ),
-        s(F.when((kind == "dividend") & (form == K.FOREIGN_SHARE_FORM), F.col("gross_eur"))).alias(
-            "foreign_share_dividends"
-        ),
-        s(F.when((kind == "dividend") & (form == K.FUND_FORM), F.col("gross_eur"))).alias("fund_dividends"),
-        s(F.when(kind == "interest", F.col("gross_eur"))).alias("interest"),
-        s(F.when(cls, F.col("credit_eur"))).alias("credit"),
-        s(F.when(cls, F.col("excess_eur"))).alias("excess"),
-        s(F.when(cls, F.col("domestic_eur"))).alias("domestic"),
-        s(F.when(cls, F.col("kest_eur"))).alias("kest"),
-        s(F.when(cls, F.col("soli_eur"))).alias("soli"),
-        s(F.when(cls, F.col("unclassified_eur"))).alias("unclassified"),
-        s(F.when(cls, F.col("swiss_refundable_eur"))).alias("swiss_refundable"),
-        s(F.when(kind == "dividend", F.col("credit_eur"))).alias("dividend_credit"),
-        s(F.when(kind == "interest", F.col("credit_eur"))).alias("interest_credit"),
-        s(F.when(kind == "sale", res)).alias("stock_result"),
-        s(F.when((kind == "sale") & (res > 0), res)).alias("stock_gains"),
-        s(F.when((kind == "sale") & (res < 0), res)).alias("stock_losses"),
-        F.count_if((kind == "sale") & res.isNotNull()).alias("n_sales"),
-        F.count_if((kind == "sale") & res.isNull()).alias("n_flagged_sales"),
-        F.count_if(kind == "standalone").alias("n_standalone"),
+    kind, form, res = F.col("kind"), F.col("form"), F.col("result_eur")
+    dividend, sale, cls = kind == "dividend", kind == "sale", kind.isin("dividend", "interest", "standalone")
+    sums = {
+        "domestic_share_dividends": F.when(dividend & (form == K.DOMESTIC_SHARE_FORM), F.col("gross_eur")),
+        "foreign_share_dividends": F.when(dividend & (form == K.FOREIGN_SHARE_FORM), F.col("gross_eur")),
+        "fund_dividends": F.when(dividend & (form == K.FUND_FORM), F.col("gross_eur")),
+        "interest": F.when(kind == "interest", F.col("gross_eur")),
+        **{
+            name: F.when(cls, F.col(f"{name}_eur"))
+            for name in ("credit", "excess", "domestic", "kest", "soli", "unclassified", "swiss_refundable")
+        },
+        "dividend_credit": F.when(dividend, F.col("credit_eur")),
+        "interest_credit": F.when(kind == "interest", F.col("credit_eur")),
+        "stock_result": F.when(sale, res),
+        "stock_gains": F.when(sale & (res > 0), res),
+        "stock_losses": F.when(sale & (res < 0), res),
+    }
+    counts = {
+        "n_sales": sale & res.isNotNull(),
+        "n_flagged_sales": sale & res.isNull(),
+        "n_standalone": kind == "standalone",
+    }
+    by = (*KEYS, "taxed_abroad", "country") if countries else KEYS
+    out = (
+        _facts(rows, sales)
+        .groupBy(*by)
+        .agg(
+            *[F.coalesce(money_sum(c), _zero()).alias(name) for name, c in sums.items()],
+            *[F.count_if(c).alias(name) for name, c in counts.items()],
+        )
     )
+    if countries:
+        entry = F.struct(F.col("country"), F.col("credit"))
+        out = out.groupBy(*KEYS).agg(
+            *[F.sum(name).cast("decimal(38,10)").alias(name) for name in sums],
+            *[F.sum(name).alias(name) for name in counts],
+            F.collect_list(F.when(F.col("taxed_abroad"), entry)).alias("countries"),
+        )
     return out.withColumn(
         "foreign_capital_income", F.col("foreign_share_dividends") + F.col("interest")
     ).withColumn("has_tax_info", F.lit(has_tax) | (F.col("n_standalone") > 0))
@@ -187,11 +204,12 @@ _POSITIONS = (
 )
 
 
-def report_positions(totals: DataFrame, by_country: DataFrame) -> DataFrame:
+def report_positions(totals: DataFrame) -> DataFrame:
     """(account_id, tax_year, position, label, amount): the report's nested
     positions with the same visibility rules (tax block only with tax info,
     excess / refund / unclassified only when non-zero, gains and losses only
-    with sales), plus one ``3.country.XX`` row per source country."""
+    with sales), plus one ``3.country.XX`` row per source country. ``totals``
+    come with their ``countries``."""
     entries = []
     for pos, fig, cond in _POSITIONS:
         amount = F.col(fig).cast("decimal(38,10)") if fig else F.lit(None).cast("decimal(38,10)")
@@ -210,14 +228,16 @@ def report_positions(totals: DataFrame, by_country: DataFrame) -> DataFrame:
                 show.alias("show"),
             )
         )
-    fixed = totals.select(*KEYS, F.inline(F.array(*entries))).where(F.col("show")).drop("show")
-    countries = by_country.where(F.col("scope") == "total").select(
-        *KEYS,
-        F.concat(F.lit("3.country."), F.coalesce(F.col("source_country"), F.lit(""))).alias("position"),
-        F.coalesce(F.col("source_country"), F.lit("")).alias("label"),
-        F.col("credit").cast("decimal(38,10)").alias("amount"),
+    abroad = F.transform(
+        "countries",
+        lambda c: F.struct(
+            F.concat(F.lit("3.country."), F.coalesce(c["country"], F.lit(""))).alias("position"),
+            F.coalesce(c["country"], F.lit("")).alias("label"),
+            c["credit"].cast("decimal(38,10)").alias("amount"),
+            F.lit(True).alias("show"),
+        ),
     )
-    return fixed.unionByName(countries)
+    return totals.select(*KEYS, F.inline(F.concat(F.array(*entries), abroad))).where(F.col("show")).drop("show")
 
 
 def display_amounts(df: DataFrame, amount_col: str = "amount", whole_euros: bool = False) -> DataFrame:

@@ -162,7 +162,8 @@ class TaxResult:
 
     @cached_property
     def positions(self) -> DataFrame:
-        return report.report_positions(self.totals, self.by_country)
+        totals = report.account_year_totals(self.rows, self._of_year(self._sales_all), self.has_tax, countries=True)
+        return report.report_positions(self._keep(totals))
 
     @cached_property
     def sections(self) -> DataFrame:
