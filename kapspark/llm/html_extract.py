@@ -72,6 +72,8 @@ UNLIKELY = re.compile(
     r"(?:$|[\s_-]|\d)",
     re.I,
 )
+# Of those words, the ones that may also name a frame around the article ("layout with-sidebar").
+FRAME = re.compile(r"(?:^|[\s_-])(?:sidebar|side|aside|rail|header|masthead|more|meta|form|print|banner|widget|toc|legal)(?:$|[\s_-]|\d)", re.I)
 CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 LIKELY = re.compile(r"article|main|content|story|post|entry|body|text|page", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert alertdialog form toolbar".split())
@@ -147,7 +149,7 @@ def parse(html: str) -> list[Node]:
     return nodes
 
 
-def _unlikely(node: Node, inside_article: bool) -> bool:
+def _unlikely(node: Node, inside_article: bool, holds_article: bool) -> bool:
     if node.tag in NEVER:
         return True
     if node.tag in ("html", "body", "#root"):
@@ -172,11 +174,18 @@ def _unlikely(node: Node, inside_article: bool) -> bool:
     text = " ".join(names)
     if not text or not UNLIKELY.search(text):
         return False
-    # "main content with-sidebar" and the like name what stands beside an article
-    return not (node.tag in ("article", "main") and not re.search(r"comment|repl|advert|\bads?\b|promo|related", text, re.I))
+    # a frame around an article, or the article itself, whatever it has beside it
+    return not (holds_article and not UNLIKELY.search(FRAME.sub(" ", FRAME.sub(" ", text))))
 
 
 def _drop(nodes: list[Node]) -> None:
+    holders = set()
+    for node in nodes:
+        if node.tag in ("article", "main"):
+            up = node
+            while up is not None and id(up) not in holders:
+                holders.add(id(up))
+                up = up.parent
     inside = {id(nodes[0]): False}
     for node in nodes[1:]:
         up = node.parent
@@ -185,7 +194,7 @@ def _drop(nodes: list[Node]) -> None:
             continue
         article = inside[id(up)]
         inside[id(node)] = article or node.tag in ("article", "main")
-        node.dropped = _unlikely(node, article)
+        node.dropped = _unlikely(node, article, id(node) in holders)
 
 
 def _measure(nodes: list[Node]) -> None:

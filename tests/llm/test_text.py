@@ -29,6 +29,9 @@ LONG = "This advert is a good deal longer, louder, and richer in commas, than th
         f"{{}}<section class='comments'><h2>Comments</h2><article class='comment'><p>{LONG}</p><p>{LONG}</p></article></section>",
         f"<header><p>{LONG}</p></header><form><label>{LONG}</label><input></form>{{}}",
         f"<!-- <p>{LONG}</p> --><style>p{{{{}}}}</style>{{}}<div hidden>{LONG}</div><p style='display: none'>{LONG}</p>",
+        f"<div class='layout with-sidebar'><div class='sidebar'><p>{LONG}</p></div>{{}}</div>",
+        f"<div class='content'>{{}}<div id='comments'><article><p>{LONG}</p><p>{LONG}</p></article></div></div>",
+        f"<main class='has-sidebar'><div class='notice-box'>{LONG}</div>{{}}<div class='shareButtons'><a href=x>Share, share</a></div></main>",
         "<div><ul>" + "<li><a href='#'>Some related story, with a comma</a></li>" * 12 + "</ul></div>{}",
     ],
 )
