@@ -193,6 +193,7 @@ def blocks(batches: Iterator[pa.RecordBatch], classes: np.ndarray, buckets: int,
         digest.update(block.sequence.tobytes())
         key = f"{part}-{number}-{digest.hexdigest()}"
         out = key, ids, per_document, block
+        pa.default_memory_pool().release_unused()
         ids, counts, words, held, number = [], [], [], 0, number + 1
         return out
 
@@ -305,8 +306,11 @@ def ragged_take(starts: np.ndarray, sizes: np.ndarray, values: np.ndarray) -> np
     return values[np.arange(total) + shift]
 
 
-def _reassemble(id_col: str, id_type: pa.DataType):
-    """Put the ids in the places of the words, document by document."""
+def _reassemble(id_col: str, id_type: pa.DataType, finish):
+    """Put the ids in the places of the words, document by document.
+
+    finish(ids): the result columns made of the documents' lists of ids.
+    """
 
     def run(block: pa.Table, found: pa.Table) -> pa.Table:
         if block.num_rows != 1:
@@ -331,26 +335,15 @@ def _reassemble(id_col: str, id_type: pa.DataType):
         ids = ragged_take(start_of[sequence], word_sizes, values)
         reached = np.concatenate([[0], np.cumsum(word_sizes)])
         offsets = reached[np.concatenate([[0], np.cumsum(per_document)])].astype(np.int32)
-        return pa.table(
-            {
-                id_col: pa.array(documents, id_type),
-                "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32))),
-            }
-        )
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))
+        out = pa.table({id_col: pa.array(documents, id_type), **finish(lists)})
+        pa.default_memory_pool().release_unused()
+        return out
 
     return run
 
 
-def encode(
-    df: DataFrame,
-    ranks_path: str,
-    pattern: str,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    buckets: int | None = None,
-    block_chars: int = BLOCK_CHARS,
-) -> DataFrame:
-    """(id_col, ids array<int>) for every row of `df`."""
+def _encoded(df, ranks_path, pattern, id_col, text_col, buckets, block_chars, finish, result: str) -> DataFrame:
     spark = df.sparkSession
     buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranks = spark.sparkContext.broadcast(load_ranks(ranks_path))  # as long as the vocabulary
@@ -373,10 +366,27 @@ def encode(
     return (
         sequences.groupBy("block")
         .cogroup(found.groupBy("block"))
-        .applyInArrow(_reassemble(id_col, id_type), f"{id_col} {kind}, ids array<int>")
+        .applyInArrow(_reassemble(id_col, id_type, finish), f"{id_col} {kind}, {result}")
     )
 
 
+def encode(
+    df: DataFrame,
+    ranks_path: str,
+    pattern: str,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    buckets: int | None = None,
+    block_chars: int = BLOCK_CHARS,
+) -> DataFrame:
+    """(id_col, ids array<int>) for every row of `df`."""
+
+    def finish(lists: pa.ListArray) -> dict[str, pa.Array]:
+        return {"ids": lists}
+
+    return _encoded(df, ranks_path, pattern, id_col, text_col, buckets, block_chars, finish, "ids array<int>")
+
+
 def token_table(ranks: dict[bytes, int]) -> pa.Array:
     """Token bytes by id; ids that are free have none (null)."""
     tokens: list[bytes | None] = [None] * (max(ranks.values()) + 1)
@@ -429,32 +439,37 @@ def _bounded(batch: pa.RecordBatch, ids_col: str, most: int = 20_000_000) -> Ite
         yield batch.slice(start)
 
 
-def round_trip(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, n_tokens, ids_sha256, decoded_sha256): digests of the ids and of the bytes they decode to."""
-    encoded = encode(df, ranks_path, pattern, id_col, text_col)
-    tokens = df.sparkSession.sparkContext.broadcast(load_ranks(ranks_path))
+def round_trip(
+    df: DataFrame,
+    ranks_path: str,
+    pattern: str,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    block_chars: int = BLOCK_CHARS,
+) -> DataFrame:
+    """(id_col, n_tokens, ids_sha256, decoded_sha256): digests of the ids, and of the bytes they decode to.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = token_table(tokens.value)
-        for batch in batches:
-            for part in _bounded(batch, "ids"):
-                lists = part.column("ids")
-                sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-                flat = memoryview(lists.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes())
-                ends = np.cumsum(sizes) * 4
-                ids_sha = [hashlib.sha256(flat[e - 4 * n : e]).hexdigest() for e, n in zip(ends.tolist(), sizes.tolist())]
-                text_sha = [hashlib.sha256(b.as_buffer()).hexdigest() for b in decode_ids(lists, table)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(id_col), pa.array(sizes), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())],
-                    names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"],
-                )
-
-    schema = T.StructType(
-        [
-            df.schema[id_col],
-            T.StructField("n_tokens", T.LongType()),
-            T.StructField("ids_sha256", T.StringType()),
-            T.StructField("decoded_sha256", T.StringType()),
-        ]
+    The digests are taken where the ids come together, so the lists themselves
+    need not leave the task.
+    """
+    vocabulary = df.sparkSession.sparkContext.broadcast(load_ranks(ranks_path))
+    held: list[pa.Array] = []
+
+    def finish(lists: pa.ListArray) -> dict[str, pa.Array]:
+        if not held:
+            held.append(token_table(vocabulary.value))
+        sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = memoryview(lists.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes())
+        ends = (np.cumsum(sizes) * 4).tolist()
+        ids_sha = [hashlib.sha256(flat[e - 4 * n : e]).hexdigest() for e, n in zip(ends, sizes.tolist())]
+        text_sha = [hashlib.sha256(b.as_buffer()).hexdigest() for b in decode_ids(lists, held[0])]
+        return {
+            "n_tokens": pa.array(sizes),
+            "ids_sha256": pa.array(ids_sha, pa.string()),
+            "decoded_sha256": pa.array(text_sha, pa.string()),
+        }
+
+    return _encoded(
+        df, ranks_path, pattern, id_col, text_col, None, block_chars, finish,
+        "n_tokens bigint, ids_sha256 string, decoded_sha256 string",
     )
-    return encoded.mapInArrow(run, schema)
