@@ -370,6 +370,48 @@ def q_ledger_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def q_report_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write the report tables and read the form lines back."""
+    from kapspark.sources.sinks import write_reports
+
+    out = scratch_dir(spark)
+    write_reports(run(spark, sf_dir), out)
+    back = spark.read.parquet(f"{out}/form_lines")
+    return _lines_out(back.withColumn(C.TAX_YEAR, F.col(C.TAX_YEAR).cast("bigint")))
+
+
+def q_detail_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write the detail export as CSV and add up what is read back."""
+    from kapspark import constants as K
+    from kapspark.sources.sinks import write_details
+
+    out = scratch_dir(spark)
+    details = run(spark, sf_dir).details()
+    write_details(details, out)
+    back = spark.read.option("sep", K.DEFAULT_SEPARATOR).option("header", True).csv(out)
+    return back.groupBy(
+        "category", F.col(C.ACCOUNT).cast("bigint").alias(C.ACCOUNT), F.col(C.TAX_YEAR).cast("bigint").alias(C.TAX_YEAR)
+    ).agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        r4sum(F.col("gross_eur").cast("double")).alias("sum_gross_eur"),
+        r4sum(F.col("result_eur").cast("double")).alias("sum_result_eur"),
+    )
+
+
+def q_rate_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rate payloads for every ship date, flat on even days and nested under
+    the date on odd ones, flattened to daily rates."""
+    from kapspark.sources.rates import rates_from_payloads
+
+    day = F.col("requested_date")
+    days = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_shipdate").cast("date").alias("requested_date")).distinct()
+    part = (F.dayofyear(day) * 7 % 400) * 100 + 37
+    rates = F.format_string('{"USD": 1.%06d, "CHF": 0.9%05d, "JPY": 160.5}', part + 50_000, part)
+    nested = F.format_string('{"%s": %s}', F.date_format(day, "yyyy-MM-dd"), rates)
+    body = F.format_string('{"date": "2001-01-01", "rates": %s}', F.when(F.dayofmonth(day) % 2 == 0, rates).otherwise(nested))
+    return rates_from_payloads(days.withColumn("body", body))
+
+
 QUERIES: dict[str, Query] = {
     "fx_convert": q_fx_convert,
     "gross_income": q_gross_income,
@@ -396,4 +438,7 @@ QUERIES: dict[str, Query] = {
     "rules_issues": q_rules_issues,
     "tax_years": q_tax_years,
     "ledger_scan": q_ledger_scan,
+    "report_sink": q_report_sink,
+    "detail_sink": q_detail_sink,
+    "rate_payloads": q_rate_payloads,
 }

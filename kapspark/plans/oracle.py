@@ -683,5 +683,26 @@ SELECT account_id, year(ts) AS tax_year, count(*) AS n_rows, CAST(0 AS BIGINT) A
        {_r4sum('net')} AS sum_net, {_r4sum('tax')} AS sum_tax,
        CAST(SUM(quantity) AS DOUBLE) AS sum_quantity, count(DISTINCT isin) AS n_isins
 FROM ledger GROUP BY account_id, year(ts)
+""",
+    "report_sink": BASE + _LINES_OUT,
+    "detail_sink": BASE + f"""
+SELECT category, account_id, tax_year, count(*) AS n_rows,
+       {_r4sum('gross_eur')} AS sum_gross_eur, {_r4sum('result_eur')} AS sum_result_eur
+FROM (
+  SELECT CASE scope WHEN 'dividend' THEN 'Dividende' ELSE 'Zinsen' END AS category, account_id, tax_year, gross_eur,
+         CAST(NULL AS DOUBLE) AS result_eur
+  FROM classified WHERE scope IN ('dividend', 'interest')
+  UNION ALL
+  SELECT 'Aktienverkauf', account_id, tax_year, NULL, result_eur FROM sold
+) GROUP BY category, account_id, tax_year
+""",
+    "rate_payloads": """
+WITH d AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS rate_date FROM lineitem),
+p AS (SELECT rate_date, (dayofyear(rate_date) * 7 % 400) * 100 + 37 AS part FROM d)
+SELECT rate_date, 'USD' AS currency, CAST(round((1050000 + part) / CAST(1000000 AS DECIMAL(18,6)), 4) AS DOUBLE) AS rate FROM p
+UNION ALL
+SELECT rate_date, 'CHF', CAST(round((900000 + part) / CAST(1000000 AS DECIMAL(18,6)), 4) AS DOUBLE) FROM p
+UNION ALL
+SELECT rate_date, 'EUR', CAST(1 AS DOUBLE) FROM p
 """,
 }
