@@ -36,6 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .bloom import membership
 from .shared import staged
 
 HISTORY = 5
@@ -336,7 +337,9 @@ def score(
     texts = (docs if training is None else training).select(
         F.col(id_col).alias("__id"), F.col(text_col).alias("__text")
     )
-    counted = texts.filter(fold("__id") < 2).join(known.filter(fold("__id") < 2), "__id")
+    learnt = staged(known.filter(fold("__id") < 2), "labels")
+    # only texts that may have a label are shuffled to meet it
+    counted = texts.filter(fold("__id") < 2).filter(membership(learnt, "__id")("__id")).join(learnt, "__id")
     grams = staged(
         counted.select("__text", "__toxic")
         .mapInArrow(_count_grams(history), "key long, toxic int, n long")
