@@ -31,12 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .bloom import MAX_FILTER_BITS, filter_bits
 from .shared import staged
 
 PROBES = 4
-BITS_PER_ROW = 16
-MIN_FILTER_BITS = 1 << 16
-MAX_FILTER_BITS = 1 << 28
 SEGMENT_BITS = 1 << 16
 RESULT_COLUMNS = ("keep_id", "group_size", "kept", "text_sha256")
 
@@ -56,11 +54,6 @@ def probe_bits(hashes: Sequence[bytes], bits: int) -> np.ndarray:
     return (words[:, :1] + step * np.arange(PROBES, dtype=np.uint64)) & np.uint64(bits - 1)
 
 
-def filter_bits(rows: int, limit: int = MAX_FILTER_BITS) -> int:
-    wanted = max(MIN_FILTER_BITS, rows * BITS_PER_ROW)
-    return min(limit, 1 << (wanted - 1).bit_length())
-
-
 def _bit_segments(bits: int, fold_case: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,9 +177,13 @@ def deduplicate(
         F.col("__sha").alias("text_sha256"),
     )
     maybe = staged(flagged.filter("__maybe").drop("__maybe"), "exact-candidates")
-    groups = maybe.groupBy("__sha").agg(
-        F.max(F.struct(F.col(id_col).alias("id"), F.col("__row").alias("row"))).alias("__best"),
-        F.count(F.lit(1)).alias("__n"),
+    # stored, so that both sides of the join are plain exchanges and Spark can split a hot group
+    groups = staged(
+        maybe.groupBy("__sha").agg(
+            F.max(F.struct(F.col(id_col).alias("id"), F.col("__row").alias("row"))).alias("__best"),
+            F.count(F.lit(1)).alias("__n"),
+        ),
+        "exact-groups",
     )
     settled = maybe.join(groups.hint("shuffle_merge"), "__sha").select(
         *keep,
