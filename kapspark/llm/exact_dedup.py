@@ -107,14 +107,14 @@ def repeated_bits(df: DataFrame, text_col: str, bits: int, fold_case: bool = Tru
     return packed
 
 
-def _flag_rows(keep: Sequence[str], bits: int, packed, fold_case: bool):
+def _flag_rows(keep: Sequence[str], text_col: str, bits: int, packed, fold_case: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filled = packed.value
         base = TaskContext.get().partitionId() << 33
         done = 0
         for batch in batches:
             n = batch.num_rows
-            hashes = digests(batch.column("__text"), fold_case)
+            hashes = digests(batch.column(text_col), fold_case)
             spots = probe_bits(hashes, bits) if n else np.zeros((0, PROBES), dtype=np.uint64)
             hit = (filled[spots >> np.uint64(3)] >> (spots & np.uint64(7)).astype(np.uint8)) & 1
             yield pa.RecordBatch.from_arrays(
@@ -149,8 +149,8 @@ def flag_repeated(
             T.StructField("__maybe", T.BooleanType()),
         ]
     )
-    source = df.select(*keep, F.col(text_col).alias("__text"))
-    return source.mapInArrow(_flag_rows(keep, bits, packed, fold_case), schema)
+    source = df.select(*dict.fromkeys([*keep, text_col]))  # a text that is kept is sent once
+    return source.mapInArrow(_flag_rows(keep, text_col, bits, packed, fold_case), schema)
 
 
 def deduplicate(

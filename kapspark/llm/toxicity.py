@@ -15,7 +15,7 @@ The counts cover every labelled training row: tasks add up their n-grams, Spark
 adds up the tasks, the lower orders are joins and aggregations. An n-gram of at most
 seven bytes is its own 64-bit key, so nothing is lost to hash collisions there. For
 scoring, ratios go into two tables with a fixed number of slots (``GRAM_SLOTS``,
-``CONTEXT_SLOTS``; 12 bytes each, 63 MB together), which bounds the broadcast at any
+``CONTEXT_SLOTS``; 12 bytes each, 31 MB together), which bounds the broadcast at any
 input size. Of n-grams that meet in a slot the most frequent one stays, the others
 are then scored as unseen. Scoring reads each text once and shuffles no text.
 
@@ -42,11 +42,12 @@ from .shared import staged
 HISTORY = 5
 DISCOUNT = 0.75
 WINDOW = 24
-GRAM_SLOTS = 4_194_301
-CONTEXT_SLOTS = 1_048_573
+GRAM_SLOTS = 2_097_143
+CONTEXT_SLOTS = 524_287
 FIT_ROWS = 20_000
 CHUNK_BYTES = 1 << 20
 FLUSH_GRAMS = 1 << 20
+SLICE_ROWS = 512
 THRESHOLD = 0.3
 BOUNDARY = 0x20
 FEATURES = ("mean", "window", "word", "length")
@@ -112,16 +113,18 @@ def _count_grams(history: int):
             return pa.RecordBatch.from_arrays([pa.array(keys), labels, pa.array(counts)], names=["key", "toxic", "n"])
 
         for batch in batches:
-            labels = batch.column(1).to_pylist()
-            texts = batch.column(0).to_pylist()
-            for label in (0, 1):
-                for chunk in _chunks([t for t, y in zip(texts, labels) if y == label]):
-                    keys = gram_keys(chunk, history)[0]
-                    held[label].append(np.unique(keys, return_counts=True))
-                    if sum(len(k) for k, _ in held[label]) > FLUSH_GRAMS:
-                        held[label] = [merged(label)]
-                        if len(held[label][0][0]) > FLUSH_GRAMS // 2:
-                            yield out(label, *held[label].pop())
+            for start in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(start, SLICE_ROWS)
+                labels = part.column(1).to_pylist()
+                texts = part.column(0).to_pylist()
+                for label in (0, 1):
+                    for chunk in _chunks([t for t, y in zip(texts, labels) if y == label]):
+                        keys = gram_keys(chunk, history)[0]
+                        held[label].append(np.unique(keys, return_counts=True))
+                        if sum(len(k) for k, _ in held[label]) > FLUSH_GRAMS:
+                            held[label] = [merged(label)]
+                            if len(held[label][0][0]) > FLUSH_GRAMS // 2:
+                                yield out(label, *held[label].pop())
         for label in (0, 1):
             if held[label]:
                 yield out(label, *merged(label))
@@ -275,15 +278,18 @@ def evidence(texts: Sequence[str], tables, history: int, window: int) -> np.ndar
     return out
 
 
-def _features(tables, keep: Sequence[str], history: int, window: int):
+def _features(tables, keep: Sequence[str], text_col: str, history: int, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [evidence(chunk, tables.value, history, window) for chunk in _chunks(batch.column("__text").to_pylist())]
-            rows = np.concatenate([np.zeros((0, len(FEATURES))), *found])
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in keep), *(pa.array(np.ascontiguousarray(c)) for c in rows.T)],
-                names=[*keep, *(f"__{f}" for f in FEATURES)],
-            )
+            for start in range(0, batch.num_rows, SLICE_ROWS):  # few texts are unpacked at a time
+                part = batch.slice(start, SLICE_ROWS)
+                texts = part.column(text_col).to_pylist()
+                found = [evidence(chunk, tables.value, history, window) for chunk in _chunks(texts)]
+                rows = np.concatenate([np.zeros((0, len(FEATURES))), *found])
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(c) for c in keep), *(pa.array(np.ascontiguousarray(c)) for c in rows.T)],
+                    names=[*keep, *(f"__{f}" for f in FEATURES)],
+                )
 
     return run
 
@@ -353,15 +359,16 @@ def score(
     seen, unseen = log_ratios(grams, history)
     tables = spark.sparkContext.broadcast((*_slots(seen, GRAM_SLOTS), *_slots(unseen, CONTEXT_SLOTS)))
 
-    def features(rows: DataFrame, keep: Sequence[str]) -> DataFrame:
+    def features(rows: DataFrame, keep: Sequence[str], text: str) -> DataFrame:
         schema = T.StructType(
             [*(rows.schema[c] for c in keep), *(T.StructField(f"__{f}", T.DoubleType()) for f in FEATURES)]
         )
-        return rows.select(*keep, "__text").mapInArrow(_features(tables, keep, history, window), schema)
+        sent = rows.select(*dict.fromkeys([*keep, text]))  # a text that is kept is sent once
+        return sent.mapInArrow(_features(tables, keep, text, history, window), schema)
 
     chosen = known.filter(fold("__id") == 3).orderBy(F.xxhash64("__id"), "__id").limit(fit_rows)
     fitted = texts.join(F.broadcast(chosen), "__id")  # at most `fit_rows` ids and labels
-    sample = features(fitted, ["__id", "__toxic"]).drop("__id").toArrow()
+    sample = features(fitted, ["__id", "__toxic"], "__text").drop("__id").toArrow()
     y = sample.column("__toxic").to_numpy().astype(float)
     x = np.column_stack([sample.column(f"__{f}").to_numpy() for f in FEATURES])
     if len(y) and 0 < y.sum() < len(y):
@@ -373,8 +380,7 @@ def score(
     else:
         chance = F.lit(float(y.mean()) if len(y) else 0.0)
     keep = [id_col, *(c for c in keep_cols or () if c not in (id_col, "held_out", "score", "predicted"))]
-    rows = docs.select(*keep, F.col(text_col).alias("__text"))
-    return features(rows, keep).select(
+    return features(docs, keep, text_col).select(
         *keep,
         F.coalesce(fold(id_col) == 2, F.lit(False)).alias("held_out"),
         chance.alias("score"),
