@@ -106,13 +106,15 @@ def fill(children: DataFrame, parent: list[str], level: str, weights: Mapping[st
 def leaf_budgets(leaf_tokens: DataFrame, mix: Mix) -> DataFrame:
     """domain, lang, source, tokens, budget from leaf totals (domain, lang, source, tokens)."""
     leaves = leaf_tokens.withColumn("root", F.lit(0)).withColumn("capacity", F.col("tokens") * F.lit(mix.epochs))
-    budgets = leaves.groupBy("root").agg(
-        F.floor(F.sum("tokens") * F.lit(float(mix.share))).cast("double").alias("budget")
-    )
-    parent = ["root"]
+    total = F.sum("tokens").over(Window.partitionBy("root"))
+    budgets, parent = None, ["root"]
     for level in LEVELS:
         keys = [*parent, level]
-        nodes = leaves.groupBy(*keys).agg(F.sum("capacity").alias("capacity")).join(budgets, parent)
+        nodes = leaves.groupBy(*keys).agg(F.sum("capacity").alias("capacity"), F.sum("tokens").alias("tokens"))
+        if budgets is None:  # the root's budget, divided among its children
+            nodes = nodes.withColumn("budget", F.floor(total * F.lit(float(mix.share))).cast("double"))
+        else:
+            nodes = nodes.join(budgets, parent)
         budgets = fill(nodes, parent, level, mix.weights(level)).select(*keys, "budget")
         parent = keys
     return leaves.join(budgets, parent).select(*LEVELS, "tokens", F.floor("budget").cast("long").alias("budget"))

@@ -36,6 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .bloom import membership
 from .components import components
 from .shared import staged
 
@@ -225,7 +226,7 @@ def near_duplicates(
     labelled = owners.join(roots.withColumnRenamed("node", "fp").hint("shuffle_merge"), "fp", "left").select(
         "fp", "own", F.coalesce("root", "fp").alias("root")
     )
-    smallest = labelled.groupBy("root").agg(F.min("own").alias("component_id"))
+    smallest = staged(labelled.groupBy("root").agg(F.min("own").alias("component_id")), "smallest-ids")
     classes = staged(
         labelled.join(smallest.hint("shuffle_merge"), "root").select("fp", "component_id"), "classes"
     )
@@ -245,8 +246,8 @@ def keep_one(
 ) -> DataFrame:
     """The rows of `df` whose id is the smallest of their component.
 
-    Only ids and fingerprints are grouped; the rows themselves move once, to meet
-    the list of those that go. Rows that share the id and the text stay or go
+    Only ids and fingerprints are grouped; of the rows themselves only those that
+    a bounded filter calls doubtful move, to meet the list of those that go. Rows that share the id and the text stay or go
     together; of rows that share the id but not the text the one with the
     smallest text hash stays.
     """
@@ -254,7 +255,7 @@ def keep_one(
     found = near_duplicates(named, id_col, text_col, shingle, radius, keep_cols=["__text_hash"])
     # null ids last
     name = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col("__text_hash").alias("h"))
-    firsts = found.groupBy("component_id").agg(F.min(name).alias("first"))
+    firsts = staged(found.groupBy("component_id").agg(F.min(name).alias("first")), "firsts")
     go = staged(
         found.join(firsts.hint("shuffle_merge"), found["component_id"].eqNullSafe(firsts["component_id"]))
         .filter(~name.eqNullSafe(F.col("first")))
@@ -262,5 +263,8 @@ def keep_one(
         .distinct(),
         "near-duplicates",
     )
-    same = named[id_col].eqNullSafe(go["__go_id"]) & (named["__text_hash"] == go["__go_hash"])
-    return named.join(go, same, "left_anti").drop("__text_hash")
+    # rows that certainly stay pass straight through; the others meet the list
+    may_go = membership(go, "__go_id", "__go_hash")(F.col(id_col), F.col("__text_hash"))
+    doubted = named.filter(may_go)
+    same = doubted[id_col].eqNullSafe(go["__go_id"]) & (doubted["__text_hash"] == go["__go_hash"])
+    return named.filter(~may_go).unionByName(doubted.join(go, same, "left_anti")).drop("__text_hash")

@@ -47,7 +47,7 @@ from pyspark.sql.datasource import (
 )
 
 from .exact_dedup import flag_repeated
-from .shared import new_path
+from .shared import new_path, staged
 
 MIN_REVISIT_BYTES = 100
 PARTITION_BYTES = 64 << 20
@@ -475,7 +475,8 @@ def page_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     can_repeat = F.col("__maybe") & (F.col("payload_length") >= MIN_REVISIT_BYTES)
     alone = flagged.filter(~can_repeat).withColumn("first", F.col("id"))
     maybe = flagged.filter(can_repeat)
-    firsts = maybe.groupBy("__sha").agg(F.min("id").alias("first"))
+    # stored, so that both sides of the join are plain exchanges and Spark can split a hot payload
+    firsts = staged(maybe.groupBy("__sha").agg(F.min("id").alias("first")), "warc-firsts")
     settled = maybe.join(firsts.hint("shuffle_merge"), "__sha")
 
     def urn(c: str):
