@@ -44,6 +44,7 @@ BITS = 64
 SHINGLE_WORDS = 4
 RADIUS = 4
 BUCKET_ROWS = 256
+FOREST_ROWS = 256
 LEVELS = 3
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 CHUNK_HASHES = 1 << 20
@@ -117,7 +118,8 @@ def fingerprint(df: DataFrame, text_col: str, keep: Sequence[str], shingle: int
 def covering_masks(positions: Sequence[int], radius: int) -> list[int]:
     """Masks over `positions` of which one is clear of any `radius` of them."""
     size = (1 << (radius + 1)) - 1
-    vectors = {p: 1 + i % size for i, p in enumerate(positions)}
+    # from the upper half on, so that few positions also lie evenly in the masks
+    vectors = {p: 1 + (size // 2 + i) % size for i, p in enumerate(positions)}
     return [sum(1 << p for p in positions if (vectors[p] & v).bit_count() % 2) for v in range(1, size + 1)]
 
 
@@ -141,10 +143,13 @@ def _forest(radius: int):
     """Verified links of each bucket, as (fp, smallest fp of its part of the bucket)."""
 
     def parts(members: np.ndarray) -> np.ndarray:
-        near = np.bitwise_count(members[:, None] ^ members[None, :]) <= radius
         label = np.arange(len(members))
-        while True:  # minimum over neighbours until stable; members are sorted and few
-            low = np.where(near, label[None, :], len(members)).min(axis=1)
+        while True:  # minimum over neighbours until stable; members are sorted
+            low = label.copy()
+            for start in range(0, len(members), FOREST_ROWS):
+                rows = members[start : start + FOREST_ROWS, None]
+                near = np.bitwise_count(rows ^ members[None, :]) <= radius
+                low[start : start + FOREST_ROWS] = np.where(near, label[None, :], len(members)).min(axis=1)
             if (low == label).all():
                 return label
             label = low

@@ -161,3 +161,10 @@ def test_components_of_paths_stars_and_rings(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, x) for x in range(101, 160)] + [(203, 201), (201, 202), (202, 203)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 160)}, 201: 201, 202: 201, 203: 201}
+
+
+def test_buckets_of_the_last_level_are_small():
+    masks = simhash.covering_masks(range(simhash.BITS), simhash.RADIUS)
+    for _ in range(simhash.LEVELS - 1):
+        masks = [m for group in simhash._masks_below(masks, simhash.RADIUS) for m in group]
+    assert max(simhash.BITS - m.bit_count() for m in masks) <= 8
