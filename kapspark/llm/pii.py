@@ -255,6 +255,16 @@ WORK: dict[str, Callable[[Permutation, str, bool], str | None]] = {
     "token": _token,
 }
 START = re.compile(r"[0-9@]")
+UNBOUNDED = ("email", "token")
+# Where a value may begin inside another candidate.
+STEP = re.compile(r"(?<![^\W_])[^\W_]|[+(]")
+
+
+def _put(outer: re.Match, inner: re.Match, new: str) -> str:
+    """The outer match's text once the inner match is replaced."""
+    at, end = inner.start() - outer.start(), inner.end() - outer.start()
+    whole = outer.group()
+    return whole[:at] + new[: len(whole) - at] + whole[end:]
 
 
 def rewrite(text: str, p: Permutation, back: bool = False) -> tuple[str, dict[str, int]]:
@@ -264,14 +274,23 @@ def rewrite(text: str, p: Permutation, back: bool = False) -> tuple[str, dict[st
         return text, found
     out, at = [], 0
     for a, z in _regions(text):
-        for m in FINDER.finditer(text, a, z):
-            if m.start() < at:
-                continue
-            new = WORK[m.lastgroup](p, m.group(), back)
+        a, failed = max(a, at), []
+        while m := FINDER.search(text, a, z):
+            work = WORK[m.lastgroup]
+            new = work(p, m.group(), back)
             if new is None:
+                # a value may begin further on in a candidate of bounded length
+                step = None if m.lastgroup in UNBOUNDED else STEP.search(text, m.start() + 1, m.end())
+                a = step.start() if step else m.end()
+                failed.append(m)
                 continue
+            # candidates that failed must fail with the pseudonym too, or it could not be reversed
+            around = [f for f in failed if f.end() > m.start()]
+            while any(WORK[f.lastgroup](p, _put(f, m, new), back) is not None for f in around):
+                new = work(p, new, back)
             out += [text[at : m.start()], new]
-            at = m.end()
+            at = a = m.end()
+            failed = []
             found[m.lastgroup] = found.get(m.lastgroup, 0) + 1
     out.append(text[at:])
     return "".join(out), found

@@ -109,6 +109,19 @@ def test_checks_hold_before_and_after():
     assert pii.iban_check(iban[:2], iban[4:]) == iban[2:4]
 
 
+def test_a_value_inside_a_failed_candidate():
+    p = pii.Permutation(b"k")
+    rnd = random.Random(3)
+    for k in range(300):
+        lead = " ".join(str(rnd.randrange(1, 100)) for _ in range(1 + k % 4)) if k else "2"
+        text = f"Qty {lead} 4111 1111 1111 1111"
+        new, found = pii.rewrite(text, p)
+        assert sum(found.values()) >= 1
+        assert pii.rewrite(new, p, back=True)[0] == text
+        if k == 0:
+            assert found == {"card": 1} and new.startswith("Qty 2 ") and not new.endswith(" 4111 1111 1111 1111")
+
+
 def test_the_permutation_is_one_to_one():
     p = pii.Permutation(KEY)
     for size in (1, 2, 7, 100, 1000):
