@@ -38,6 +38,8 @@ TOKEN = re.compile(
 )
 ATTRIBUTE = re.compile(r"(?i)(?<![\w-])(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 RAW = frozenset("script style textarea title noscript iframe template noembed noframes xmp svg math".split())
+# Elements in which a slash closes the tag.
+FOREIGN = frozenset(("svg", "math"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -139,7 +141,8 @@ def parse(html: str) -> list[Node]:
         new = Node(name, found["attrs"], node)
         node.kids.append(new)
         nodes.append(new)
-        if name in RAW:
+        closed = name in FOREIGN and found["attrs"].endswith("/")
+        if name in RAW and not closed:
             close = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>?", re.I).search(html, at)
             at = close.end() if close else size
         elif name not in VOID and not found["attrs"].endswith("/"):

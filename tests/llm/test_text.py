@@ -49,6 +49,12 @@ def test_containers_without_semantic_elements():
     assert html_extract.main_text(split) == "\n".join(text * 2)
 
 
+def test_a_self_closed_icon_hides_nothing():
+    for icon in ('<svg class="icon"/>', "<math/>", "<svg><path d='M0'/></svg>"):
+        page = f"<body>{ARTICLE.replace('<h1>', '<h1>' + icon)}</body>"
+        assert html_extract.main_text(page) == WANT
+
+
 def test_broken_and_empty_pages():
     assert html_extract.main_text(None) == "" and html_extract.main_text("") == ""
     assert html_extract.main_text("no markup &lt;here&gt;") == "no markup <here>"
