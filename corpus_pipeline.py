@@ -7,17 +7,29 @@ result as Parquet in the shared folder and hands the stored table to the next on
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import public_tokenizers
 from kapspark.llm import bpe, exact_dedup, mixing, queries, shared, simhash, toxicity
+from kapspark.llm.bloom import membership
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model does not reject."""
-    scored = toxicity.score(docs, shared.table(spark, sf_dir, "labels"), keep_cols=COLUMNS)
-    return scored.filter("predicted = 0").select(*COLUMNS)
+    """Documents that the toxicity model does not reject.
+
+    A score depends on the text alone, so only ids and text hashes go with the scores;
+    rows that are certainly not on the list of rejected ones pass straight through.
+    """
+    named = docs.withColumn("__text_hash", F.xxhash64("text"))
+    scored = toxicity.score(named, shared.table(spark, sf_dir, "labels"), keep_cols=["__text_hash"])
+    go = scored.filter("predicted = 1").select(F.col("doc_id").alias("__go_id"), F.col("__text_hash").alias("__go_hash"))
+    go = shared.staged(go.distinct(), "rejected")
+    may_go = membership(go, "__go_id", "__go_hash")("doc_id", "__text_hash")
+    doubted = named.filter(may_go)
+    same = doubted["doc_id"].eqNullSafe(go["__go_id"]) & (doubted["__text_hash"] == go["__go_hash"])
+    return named.filter(~may_go).unionByName(doubted.join(go, same, "left_anti")).select(*COLUMNS)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,13 +11,16 @@ over a run of ``WINDOW`` words, and the largest ratio of one word. A logistic cu
 turns this into a score. It is fitted on labelled rows that the counts have not
 seen, at most ``FIT_ROWS`` of them by hash order.
 
-The counts cover every labelled training row: tasks add up their n-grams, Spark
-adds up the tasks, the lower orders are joins and aggregations. An n-gram of at most
-seven bytes is its own 64-bit key, so nothing is lost to hash collisions there. For
-scoring, ratios go into two tables with a fixed number of slots (``GRAM_SLOTS``,
-``CONTEXT_SLOTS``; 12 bytes each, 31 MB together), which bounds the broadcast at any
-input size. Of n-grams that meet in a slot the most frequent one stays, the others
-are then scored as unseen. Scoring reads each text once and shuffles no text.
+Tasks add up their n-grams, Spark adds up the tasks, the lower orders are joins and
+aggregations. An n-gram of at most seven bytes is its own 64-bit key, so nothing is
+lost to hash collisions. Scoring keeps every n-gram and context, however many there
+are: texts are cut into blocks (about ``BLOCK_CHARS`` characters, whole texts only),
+which are stored as the block's distinct words and the numbers of these in order. Words are
+dealt by a hash into buckets; a bucket has the words of all blocks, and its distinct
+n-grams meet the contexts in a join. A word's ratio is the sum over its bytes; ratios
+return to the blocks and go to the places of the words. A frequent word takes one
+entry per block, a frequent n-gram one per bucket. Texts are not shuffled, only their
+word numbers (and the columns that are kept).
 
 Defined cases: null text is the empty text; a text without words has evidence zero
 and gets the score that the curve gives to it; repeated rows give repeated result
@@ -28,13 +31,16 @@ the toxic class (0 without labels); a null id is never held out or used to learn
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .bloom import membership
 from .shared import staged
@@ -42,8 +48,7 @@ from .shared import staged
 HISTORY = 5
 DISCOUNT = 0.75
 WINDOW = 24
-GRAM_SLOTS = 2_097_143
-CONTEXT_SLOTS = 524_287
+BLOCK_CHARS = 4_000_000
 FIT_ROWS = 20_000
 CHUNK_BYTES = 1 << 20
 FLUSH_GRAMS = 1 << 20
@@ -65,7 +70,11 @@ def gram_keys(texts: Sequence[str], history: int) -> tuple[np.ndarray, np.ndarra
     A key holds the byte in its lowest eight bits and the bytes before it above, the
     nearest lowest, up to the word's beginning, which is a blank.
     """
-    raw = [t.lower().encode("utf-8") for t in texts]
+    return byte_keys([t.lower().encode("utf-8") for t in texts], history)
+
+
+def byte_keys(raw: Sequence[bytes], history: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """gram_keys of texts that are lower-case UTF-8 already."""
     sizes = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw)) + 1
     octets = np.frombuffer(b" ".join(raw) + b" ", dtype=np.uint8)
     inside = word_bytes()[octets]
@@ -84,6 +93,23 @@ def gram_keys(texts: Sequence[str], history: int) -> tuple[np.ndarray, np.ndarra
     return keys, context, depth == 1, counted[ends] - counted[ends - sizes]
 
 
+def split_words(texts: Sequence[str]) -> tuple[pa.Array, np.ndarray]:
+    """Words of all texts in order (lower-case UTF-8), and the number of words of each text."""
+    raw = [t.lower().encode("utf-8") for t in texts]
+    sizes = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw)) + 1
+    octets = np.frombuffer(b" ".join(raw) + b" ", dtype=np.uint8)
+    inside = word_bytes()[octets]
+    heads = inside & ~np.concatenate([[False], inside[:-1]])
+    data = octets[inside]
+    offsets = np.append(np.flatnonzero(heads[inside]), len(data)).astype(np.int64)
+    words = pa.Array.from_buffers(
+        pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())]
+    )
+    ends = np.cumsum(sizes)
+    counted = np.concatenate([[0], np.cumsum(heads)])
+    return words, counted[ends] - counted[ends - sizes]
+
+
 def _chunks(texts: Sequence[str | None]) -> Iterator[list[str]]:
     held, size = [], 0
     for text in texts:
@@ -190,7 +216,7 @@ def shared_backoff(grams: DataFrame, history: int, discount: float = DISCOUNT) -
 
 
 def log_ratios(grams: DataFrame, history: int, discount: float = DISCOUNT) -> tuple[DataFrame, DataFrame]:
-    """(key, ratio, weight) of seen n-grams and (h, ratio, weight) of contexts with unseen bytes.
+    """(key, ratio) of seen n-grams, and (key, ratio) of contexts for the bytes not seen there.
 
     grams: key, c0, c1 (counts in ordinary and toxic texts).
     """
@@ -217,7 +243,7 @@ def log_ratios(grams: DataFrame, history: int, discount: float = DISCOUNT) -> tu
         return F.when(F.col(n) > 0, own).otherwise(F.col("shared"))
 
     ratio = F.log(probability("c1", "n1", "t1")) - F.log(probability("c0", "n0", "t0"))
-    seen = joined.select("key", ratio.alias("ratio"), (F.col("c0") + F.col("c1")).alias("weight"))
+    seen = joined.select("key", ratio.alias("ratio"))
 
     def backoff(n: str, t: str) -> Column:
         return F.when(F.col(n) > 0, discount * F.col(t) / F.col(n)).otherwise(F.lit(1.0))
@@ -225,75 +251,228 @@ def log_ratios(grams: DataFrame, history: int, discount: float = DISCOUNT) -> tu
     unseen = contexts.select(
         F.col("h").alias("key"),
         (F.log(backoff("n1", "t1")) - F.log(backoff("n0", "t0"))).alias("ratio"),
-        (F.col("n0") + F.col("n1")).alias("weight"),
     )
     return seen, unseen
 
 
-def _slots(entries: DataFrame, slots: int) -> tuple[np.ndarray, np.ndarray]:
-    """Tables of `slots` keys and ratios; the most frequent key of a slot stays."""
-    best = (
-        entries.groupBy(F.pmod("key", F.lit(slots)).alias("slot"))
-        .agg(F.max(F.struct("weight", "key", "ratio")).alias("b"))
-        .select("slot", "b.key", F.col("b.ratio").cast("float").alias("ratio"))
-        .toArrow()  # at most `slots` rows
-    )
-    keys = np.full(slots, -1, dtype=np.int64)
-    ratios = np.zeros(slots, dtype=np.float32)
-    at = best.column("slot").to_numpy()
-    keys[at] = best.column("key").to_numpy()
-    ratios[at] = best.column("ratio").to_numpy()
-    return keys, ratios
-
-
-def byte_ratios(keys: np.ndarray, contexts: np.ndarray, tables) -> np.ndarray:
-    gram_key, gram_ratio, context_key, context_ratio = tables
-    slot = keys % len(gram_key)
-    out = gram_ratio[slot].astype(np.float64)
-    missed = np.flatnonzero(gram_key[slot] != keys)
-    unseen = contexts[missed]
-    slot = unseen % len(context_key)
-    out[missed] = np.where(context_key[slot] == unseen, context_ratio[slot], 0.0)
-    return out
+def _number_type(words: int) -> str:
+    """Type of the word numbers of a block with so many distinct words."""
+    return "<u2" if words <= 1 << 16 else "<u4"
+
+
+PART = T.StructType(
+    [
+        T.StructField("bucket", T.IntegerType()),
+        T.StructField("numbers", T.BinaryType()),
+        T.StructField("sizes", T.BinaryType()),
+        T.StructField("words", T.BinaryType()),
+    ]
+)
 
 
-def evidence(texts: Sequence[str], tables, history: int, window: int) -> np.ndarray:
-    """FEATURES of each text, one row each."""
-    keys, contexts, heads, per_text = gram_keys(texts, history)
-    out = np.zeros((len(texts), len(FEATURES)))
-    if not len(keys):
-        return out
-    starts = np.flatnonzero(heads)
-    words = np.add.reduceat(byte_ratios(keys, contexts, tables), starts)
-    ends = np.cumsum(per_text)
-    last = np.searchsorted(starts, ends)
-    first = np.concatenate([[0], last[:-1]])
-    for i, (a, z) in enumerate(zip(first.tolist(), last.tolist())):
-        if a == z:
-            continue
-        own = words[a:z]
-        reached = np.concatenate([[0.0], np.cumsum(own)])
-        size = min(window, z - a)
-        out[i] = own.mean(), (reached[size:] - reached[:-size]).max() / size, own.max(), np.log1p(z - a)
+def _pack(values: np.ndarray, kind: str = "<u4") -> bytes:
+    return zlib.compress(values.astype(kind).tobytes(), 1)
+
+
+def _unpack(data: bytes, kind: str = "<u4") -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data), dtype=kind)
+
+
+def _parts(words: list[bytes], buckets: int) -> list[dict]:
+    """The words by bucket, each bucket's packed with their numbers."""
+    bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), dtype=np.int64, count=len(words))
+    order = np.argsort(bucket, kind="stable")
+    used, starts = np.unique(bucket[order], return_index=True)
+    out = []
+    for b, at in zip(used.tolist(), np.split(order, starts[1:])):
+        own = [words[i] for i in at.tolist()]
+        sizes = np.fromiter(map(len, own), dtype=np.int64, count=len(own))
+        out.append({"bucket": b, "numbers": _pack(at), "sizes": _pack(sizes), "words": zlib.compress(b"".join(own), 1)})
     return out
 
 
-def _features(tables, keep: Sequence[str], text_col: str, history: int, window: int):
+def _blocks(keep: Sequence[str], text_col: str, buckets: int, block_chars: int):
+    """Rows with their block and word numbers; the first row of a block has its distinct words."""
+    part_type = pa.list_(to_arrow_type(PART))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 33
+
+        def block(batch: pa.RecordBatch, start: int, texts: list[str]) -> pa.RecordBatch:
+            known: dict[bytes, int] = {}
+            numbers, per_text = [], []
+            for chunk in _chunks(texts):
+                words, counts = split_words(chunk)
+                coded = words.dictionary_encode()
+                own = [known.setdefault(w, len(known)) for w in coded.dictionary.to_pylist()]
+                numbers.append(np.array(own, dtype=np.uint32)[coded.indices.to_numpy(zero_copy_only=False)])
+                per_text.append(counts)
+            kind, sizes = _number_type(len(known)), np.concatenate(per_text)
+            rows = np.split(np.concatenate(numbers), np.cumsum(sizes)[:-1])
+            own = batch.slice(start, len(texts))
+            return pa.RecordBatch.from_arrays(
+                [
+                    *(own.column(c) for c in keep),
+                    pa.array(np.full(len(texts), number, dtype=np.int64)),
+                    pa.array([_pack(r, kind) for r in rows], pa.binary()),
+                    pa.array([_parts(list(known), buckets), *[None] * (len(texts) - 1)], part_type),
+                ],
+                names=[*keep, "__block", "__numbers", "__parts"],
+            )
+
         for batch in batches:
+            held, size, first = [], 0, 0
             for start in range(0, batch.num_rows, SLICE_ROWS):  # few texts are unpacked at a time
-                part = batch.slice(start, SLICE_ROWS)
-                texts = part.column(text_col).to_pylist()
-                found = [evidence(chunk, tables.value, history, window) for chunk in _chunks(texts)]
-                rows = np.concatenate([np.zeros((0, len(FEATURES))), *found])
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in keep), *(pa.array(np.ascontiguousarray(c)) for c in rows.T)],
-                    names=[*keep, *(f"__{f}" for f in FEATURES)],
-                )
+                for text in batch.slice(start, SLICE_ROWS).column(text_col).to_pylist():
+                    held.append(text or "")
+                    size += len(held[-1])
+                    if size >= block_chars:
+                        yield block(batch, first, held)
+                        number, first = number + 1, first + len(held)
+                        held, size = [], 0
+            if held:
+                yield block(batch, first, held)
+                number += 1
 
     return run
 
 
+def _words_of(parts: pa.Table) -> pa.DictionaryArray:
+    """Words of a bucket's parts in order, with each distinct word once in the dictionary."""
+    sizes = [_unpack(b) for b in parts.column("sizes").to_pylist()]
+    data = b"".join(map(zlib.decompress, parts.column("words").to_pylist()))
+    offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes), dtype=np.int64)])
+    words = pa.Array.from_buffers(
+        pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data)]
+    )
+    return words.dictionary_encode()
+
+
+def _bucket_keys(history: int):
+    """(bucket, key): the distinct n-grams of a bucket's words."""
+
+    def run(parts: pa.Table) -> pa.Table:
+        found = [np.unique(byte_keys(c, history)[0]) for c in _chunks(_words_of(parts).dictionary.to_pylist())]
+        keys = np.unique(np.concatenate(found))
+        bucket = np.full(len(keys), parts.column("bucket")[0].as_py(), dtype=np.int32)
+        return pa.table({"bucket": pa.array(bucket), "key": pa.array(keys)})
+
+    return run
+
+
+def _bucket_ratios(history: int):
+    """(block, numbers, ratios): each block's words of a bucket, with their ratios."""
+
+    def run(parts: pa.Table, found: pa.Table) -> pa.Table:
+        order = np.argsort(found.column("key").to_numpy())
+        known, value = found.column("key").to_numpy()[order], found.column("ratio").to_numpy()[order]
+        coded = _words_of(parts)
+        ratios = [np.zeros(0)]
+        for chunk in _chunks(coded.dictionary.to_pylist()):
+            keys, _, heads, _ = byte_keys(chunk, history)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                own = np.where(known[at] == keys, value[at], 0.0)
+            else:
+                own = np.zeros(len(keys))
+            ratios.append(np.add.reduceat(own, np.flatnonzero(heads)))
+        all_words = np.concatenate(ratios)[coded.indices.to_numpy(zero_copy_only=False)]
+        ends = np.cumsum([len(_unpack(n)) for n in parts.column("numbers").to_pylist()])
+        packed = [_pack(r, "<f8") for r in np.split(all_words, ends[:-1])]
+        return pa.table(
+            {"block": parts.column("block"), "numbers": parts.column("numbers"), "ratios": pa.array(packed, pa.binary())}
+        )
+
+    return run
+
+
+def gram_ratios(grams: DataFrame, seen: DataFrame, unseen: DataFrame) -> DataFrame:
+    """(bucket, key, ratio) of those `grams` (bucket, key) whose context is known; seen, unseen: see log_ratios."""
+    octet = F.col("key").bitwiseAND(F.lit(255).cast("long")).cast("int")
+    # a context has 257 entries at most
+    contexts = (
+        seen.select(_context(F.col("key")).alias("h"), octet.alias("b"), "ratio")
+        .unionByName(unseen.select(F.col("key").alias("h"), F.lit(-1).alias("b"), "ratio"))
+        .groupBy("h")
+        .agg(F.map_from_entries(F.collect_list(F.struct("b", "ratio"))).alias("found"))
+    )
+    ratio = F.coalesce(F.try_element_at("found", octet), F.try_element_at("found", F.lit(-1)), F.lit(0.0))
+    return (
+        grams.withColumn("h", _context(F.col("key")))
+        .join(contexts.hint("shuffle_merge"), "h")
+        .select("bucket", "key", ratio.alias("ratio"))
+    )
+
+
+def evidence(words: np.ndarray, window: int) -> tuple[float, ...]:
+    """FEATURES of a text from the ratios of its words in order."""
+    if not len(words):
+        return (0.0,) * len(FEATURES)
+    reached = np.concatenate([[0.0], np.cumsum(words)])
+    size = min(window, len(words))
+    most = (reached[size:] - reached[:-size]).max() / size
+    return float(words.mean()), float(most), float(words.max()), float(np.log1p(len(words)))
+
+
+def _reassemble(keep: Sequence[str], window: int):
+    """Put the ratios in the places of the words and take each text's evidence."""
+
+    def run(texts: pa.Table, found: pa.Table) -> pa.Table:
+        numbers = [_unpack(b) for b in found.column("numbers").to_pylist()]
+        ratios = np.zeros(sum(map(len, numbers)))
+        for own, packed in zip(numbers, found.column("ratios").to_pylist()):
+            ratios[own] = _unpack(packed, "<f8")
+        kind = _number_type(len(ratios))
+        rows = [evidence(ratios[_unpack(n, kind)], window) for n in texts.column("__numbers").to_pylist()]
+        columns = np.array(rows, dtype=float).reshape(-1, len(FEATURES)).T
+        return pa.table(
+            {c: texts.column(c) for c in keep}
+            | {f"__{f}": pa.array(np.ascontiguousarray(c)) for f, c in zip(FEATURES, columns)}
+        )
+
+    return run
+
+
+def features(
+    rows: DataFrame,
+    keep: Sequence[str],
+    text_col: str,
+    ratios: tuple[DataFrame, DataFrame],
+    history: int,
+    window: int,
+    block_chars: int = BLOCK_CHARS,
+) -> DataFrame:
+    """`keep` columns and the FEATURES of each row; ratios: see log_ratios."""
+    buckets = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kept = [rows.schema[c] for c in keep]
+    schema = T.StructType(
+        [
+            *kept,
+            T.StructField("__block", T.LongType()),
+            T.StructField("__numbers", T.BinaryType()),
+            T.StructField("__parts", T.ArrayType(PART)),
+        ]
+    )
+    sent = rows.select(*dict.fromkeys([*keep, text_col]))  # a text that is kept is sent once
+    blocks = staged(sent.mapInArrow(_blocks(keep, text_col, buckets, block_chars), schema), "blocks")
+    parts = blocks.filter(F.col("__parts").isNotNull()).select(F.col("__block").alias("block"), F.inline("__parts"))
+    grams = parts.select("bucket", "sizes", "words").groupBy("bucket").applyInArrow(
+        _bucket_keys(history), "bucket int, key long"
+    )
+    found = (
+        parts.groupBy("bucket")
+        .cogroup(gram_ratios(grams, *ratios).select(F.col("bucket").alias("of"), "key", "ratio").groupBy("of"))
+        .applyInArrow(_bucket_ratios(history), "block long, numbers binary, ratios binary")
+    )
+    out = T.StructType([*kept, *(T.StructField(f"__{f}", T.DoubleType()) for f in FEATURES)])
+    return (
+        blocks.drop("__parts")
+        .groupBy("__block")
+        .cogroup(found.groupBy("block"))
+        .applyInArrow(_reassemble(keep, window), out)
+    )
+
+
 def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int = 60) -> tuple[np.ndarray, float]:
     """Weights and intercept by Newton's method with a ridge penalty on standardised columns."""
     mean, scale = x.mean(axis=0), x.std(axis=0)
@@ -333,7 +512,6 @@ def score(
 
     `training`: the documents whose labels are learnt (default: `docs`).
     """
-    spark = docs.sparkSession
     known = (
         labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
         .groupBy(F.col(id_col).alias("__id"))
@@ -356,19 +534,17 @@ def score(
         ),
         "grams",
     )
-    seen, unseen = log_ratios(grams, history)
-    tables = spark.sparkContext.broadcast((*_slots(seen, GRAM_SLOTS), *_slots(unseen, CONTEXT_SLOTS)))
-
-    def features(rows: DataFrame, keep: Sequence[str], text: str) -> DataFrame:
-        schema = T.StructType(
-            [*(rows.schema[c] for c in keep), *(T.StructField(f"__{f}", T.DoubleType()) for f in FEATURES)]
-        )
-        sent = rows.select(*dict.fromkeys([*keep, text]))  # a text that is kept is sent once
-        return sent.mapInArrow(_features(tables, keep, text, history, window), schema)
+    ratios = tuple(staged(part, "ratios") for part in log_ratios(grams, history))
+    keep = [id_col, *(c for c in keep_cols or () if c not in (id_col, "held_out", "score", "predicted"))]
+    found = staged(features(docs, keep, text_col, ratios, history, window), "evidence")
 
     chosen = known.filter(fold("__id") == 3).orderBy(F.xxhash64("__id"), "__id").limit(fit_rows)
-    fitted = texts.join(F.broadcast(chosen), "__id")  # at most `fit_rows` ids and labels
-    sample = features(fitted, ["__id", "__toxic"], "__text").drop("__id").toArrow()
+    if training is None:
+        judged = found.select(F.col(id_col).alias("__id"), *(f"__{f}" for f in FEATURES))
+    else:
+        fitted = texts.join(F.broadcast(chosen.select("__id")), "__id", "left_semi")
+        judged = features(fitted, ["__id"], "__text", ratios, history, window)
+    sample = judged.join(F.broadcast(chosen), "__id").drop("__id").toArrow()  # at most `fit_rows` ids and labels
     y = sample.column("__toxic").to_numpy().astype(float)
     x = np.column_stack([sample.column(f"__{f}").to_numpy() for f in FEATURES])
     if len(y) and 0 < y.sum() < len(y):
@@ -379,8 +555,7 @@ def score(
         chance = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.greatest(F.least(value, F.lit(700.0)), F.lit(-700.0))))
     else:
         chance = F.lit(float(y.mean()) if len(y) else 0.0)
-    keep = [id_col, *(c for c in keep_cols or () if c not in (id_col, "held_out", "score", "predicted"))]
-    return features(docs, keep, text_col).select(
+    return found.select(
         *keep,
         F.coalesce(fold(id_col) == 2, F.lit(False)).alias("held_out"),
         chance.alias("score"),

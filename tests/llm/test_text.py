@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import zlib
+from collections import defaultdict
 
 import numpy as np
 import pytest
@@ -231,6 +233,62 @@ def test_scores_without_labels(spark, docs_of):
     assert toxicity.score(docs_of([(1, "a")]).filter("doc_id > 1"), none).collect() == []
 
 
+def plain_scores(spark, rows, labels):
+    """Scores by id from a dictionary of all ratios, without blocks or tables."""
+    fold = lambda i: zlib.crc32(str(i).encode()) % 4
+    truth = {i: t for i, _, t in labels}
+    counts = defaultdict(lambda: [0, 0])
+    for i, text in rows:
+        for k in brute_keys(text, 5) if fold(i) < 2 else ():
+            counts[k][truth[i]] += 1
+    grams = spark.createDataFrame([(k, *c) for k, c in counts.items()], "key long, c0 long, c1 long")
+    seen, unseen = (dict(part.select("key", "ratio").collect()) for part in toxicity.log_ratios(grams, 5))
+    x = {}
+    for i, text in rows:
+        words = [sum(seen.get(k, unseen.get(k >> 8, 0.0)) for k in brute_keys(w, 5)) for w in re.findall(r"\w+", text)]
+        size = min(24, len(words))
+        runs = [sum(words[a : a + size]) / size for a in range(len(words) - size + 1)]
+        x[i] = [sum(words) / len(words), max(runs), max(words), np.log1p(len(words))]
+    fit = [i for i, _ in rows if fold(i) == 3]
+    weights, bias = toxicity.fit_logistic(np.array([x[i] for i in fit]), np.array([float(truth[i]) for i in fit]))
+    return {i: 1 / (1 + np.exp(-(np.array(f) @ weights + bias))) for i, f in x.items()}
+
+
+def test_every_gram_counts_in_the_scores(spark, docs_of):
+    rnd = random.Random(5)
+    rows, labels = [], []
+    for i in range(120):
+        words = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(2, 9))) for _ in range(rnd.randint(5, 90))]
+        if i % 3 == 0:
+            words[rnd.randrange(len(words))] = "vexor" + rnd.choice("abc")
+        rows.append((i, " ".join(words)))
+        labels.append((i, 1, int(i % 3 == 0)))
+    want = plain_scores(spark, rows, labels)
+    out = toxicity.score(docs_of(rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    assert len(out) == len(rows)
+    assert all(abs(r["score"] - want[r["doc_id"]]) < 1e-6 for r in out)
+
+
+def test_words_return_to_their_blocks(spark, docs_of):
+    texts = ["ba ko, ba", None, "", "İx ΑΣ é" + "z" * 300, "Ko ba ko " * 40, "--", "tu"] * 30
+    docs = docs_of(list(enumerate(texts))).repartition(3)
+    keys = {k for t in texts for k in brute_keys((t or "").lower(), 5)}
+    seen = {k: (k * 7919 % 1009 - 500) / 128 for k in keys if k % 3}
+    unseen = {k >> 8: (k % 11 - 5) / 16 for k in keys if k % 2}
+    ratios = tuple(spark.createDataFrame(list(part.items()), "key long, ratio double") for part in (seen, unseen))
+    for block_chars in (1, 500, 10**6):
+        out = toxicity.features(docs, ["doc_id"], "text", ratios, 5, 3, block_chars).collect()
+        assert len(out) == len(texts)
+        for r in out:
+            text = (texts[r["doc_id"]] or "").lower()
+            words = [b.decode() for b in re.findall(rb"[0-9A-Za-z\x80-\xff]+", text.encode())]
+            own = [sum(seen.get(k, unseen.get(k >> 8, 0.0)) for k in brute_keys(w, 5)) for w in words]
+            size = max(1, min(3, len(own)))
+            runs = [sum(own[a : a + size]) / size for a in range(len(own) - size + 1)]
+            want = [sum(own) / len(own), max(runs), max(own), np.log1p(len(own))] if own else [0.0] * 4
+            assert np.allclose([r["__mean"], r["__window"], r["__word"], r["__length"]], want, atol=1e-7)
+
+
 PAGES = [
     (5, "http://a/1", "x" * 150), (3, "http://a/2\r\nX: y", "x" * 150), (9, None, "x" * 150), (1, "http://b", "short"), (2, "http://b", "short"),
     (4, "http://c", None), (6, "http://c", ""), (7, "http://d", "é\r\n\r\nWARC/1.1\r\n" * 20), (3, "http://a/2", "x" * 150),
