@@ -22,6 +22,8 @@ QUANTITY = "quantity"
 NET = "net"
 TAX = "tax"
 TAX_YEAR = "tax_year"
+# Text of a row that its file's header does not fit (only from a CSV scan).
+MALFORMED = "malformed_text"
 
 LEDGER_COLUMNS: tuple[str, ...] = (ACCOUNT, TS, TYPE, ISIN, NAME, CURRENCY, QUANTITY, NET, TAX)
 

@@ -21,6 +21,11 @@ order columns, so equal timestamps are split too) cuts them into chunks of
 about ``cfg.fifo_chunk_rows`` rows, and the running sums / scans are carried
 across chunks through small per-chunk summary tables, so no task holds a
 whole hot key. Both ways give the same result for any key.
+
+What is left of the lots (``open_lots``) is a state to go on from: a run over later
+bookings takes it instead of all the history before. A lot goes on with its remaining
+quantity and its original quantity and cost, so the costs of later sales are the same
+to the last digit; a key that was short or invalid stays so.
 """
 
 from __future__ import annotations
@@ -37,6 +42,9 @@ KEY = (C.ACCOUNT, C.ISIN)
 BUY, SELL = 0, 1
 # Orders bookings that no named column orders: a hash of their other columns.
 TIE = "_tie"
+# Of a lot: its bought quantity (``quantity`` is what of it is still there), and the flags of its
+# key from an earlier run.
+STATE = ("lot_qty", "was_short", "was_bad")
 
 
 def _tiebreak(cfg: TaxConfig) -> list[str]:
@@ -64,6 +72,11 @@ def with_total_order(ledger_fx: DataFrame, cfg: TaxConfig) -> tuple[DataFrame, T
     return ledger_fx.withColumn(TIE, F.xxhash64(*others)), cfg.with_(tiebreak=(*named, TIE))
 
 
+def booking_order(cfg: TaxConfig) -> list[Column]:
+    """The total order of bookings that ``with_total_order`` spells out."""
+    return [F.col(C.TS), *[F.col(c) for c in _tiebreak(cfg)]]
+
+
 def trades_of(ledger_fx: DataFrame, cfg: TaxConfig) -> DataFrame:
     """Buys and sells of all years (a type in both lists counts as a buy)."""
     side = (
@@ -75,19 +88,46 @@ def trades_of(ledger_fx: DataFrame, cfg: TaxConfig) -> DataFrame:
     return (
         ledger_fx.withColumn("side", side)
         .where(F.col("side").isNotNull())
-        .select(*dict.fromkeys(cols), "side")
+        .select(
+            *dict.fromkeys(cols),
+            "side",
+            F.col(C.QUANTITY).alias("lot_qty"),
+            F.lit(False).alias("was_short"),
+            F.lit(False).alias("was_bad"),
+        )
     )
 
 
+def _with_lots(trades: DataFrame, lots: DataFrame | None, cfg: TaxConfig) -> DataFrame:
+    """Trades after the open lots of an earlier run (see ``open_lots``), which come as buys."""
+    if lots is None:
+        return trades
+    absent = [c for c in _tiebreak(cfg) if c not in lots.columns and c not in (C.QUANTITY, "net_eur")]
+    if absent:
+        raise ValueError(f"tiebreak columns are not in the lots: {absent}")
+    kinds = dict(trades.dtypes)
+    known = {
+        C.QUANTITY: F.col("remaining"),
+        "net_eur": -F.col("lot_cost_eur"),
+        "side": F.lit(BUY),
+        "was_short": F.col("shortfall"),
+        "was_bad": F.col("invalid"),
+    }
+    bought = lots.select(*[known.get(c, F.col(c)).cast(kinds[c]).alias(c) for c in trades.columns])
+    return trades.unionByName(bought)
+
+
 def _bad_row() -> Column:
     """Rows that make FIFO undefined for their key (the reference aborts)."""
-    return (
+    own = (
         F.col(C.ISIN).isNull()
         | F.col(C.QUANTITY).isNull()
         | (F.col(C.QUANTITY) <= 0)
         | F.col(C.TS).isNull()
         | F.col("net_eur").isNull()
     )
+    # lots of a key that was flagged before have no remaining quantity; their flags say why
+    return F.when(F.col("was_short") | F.col("was_bad"), F.col("was_bad")).otherwise(own)
 
 
 def _signed(side: int) -> Column:
@@ -125,7 +165,10 @@ def positions(trades: DataFrame, cfg: TaxConfig) -> DataFrame:
     w_key = Window.partitionBy(*KEY)
     df = _running(trades, cfg, list(KEY), with_offsets=False)
     return df.withColumns(
-        {"key_short": F.max("short_row").over(w_key), "key_bad": F.max("bad_row").over(w_key)}
+        {
+            "key_short": F.max(F.col("short_row") | F.col("was_short")).over(w_key),
+            "key_bad": F.max("bad_row").over(w_key),
+        }
     )
 
 
@@ -136,7 +179,7 @@ def _breakpoints(pos: DataFrame, cfg: TaxConfig, extra: tuple[str, ...] = ()) ->
         F.col("side") == BUY,
         F.struct(
             F.col("p").alias("lot_end"),
-            F.col(C.QUANTITY).alias("lot_qty"),
+            F.col("lot_qty"),
             (-F.col("net_eur")).alias("lot_cost"),
         ),
     )
@@ -305,7 +348,7 @@ def positions_chunked(trades: DataFrame, rows: int, cfg: TaxConfig) -> DataFrame
     of_key = Window.partitionBy(*KEY)
     flags = (
         pos.groupBy(*on)
-        .agg(F.max("short_row").alias("s"), F.max("bad_row").alias("b"))
+        .agg(F.max(F.col("short_row") | F.col("was_short")).alias("s"), F.max("bad_row").alias("b"))
         .select(*on, F.max("s").over(of_key).alias("key_short"), F.max("b").over(of_key).alias("key_bad"))
     )
     return _carry(pos, flags, on)
@@ -350,17 +393,33 @@ def _split(trades: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     return trades.join(hot, cond, "left_anti"), trades.join(hot, cond, "left_semi")
 
 
-def realized_sales(ledger_fx: DataFrame, cfg: TaxConfig, ledger: DataFrame | None = None) -> DataFrame:
+def _ordered_trades(
+    ledger_fx: DataFrame, cfg: TaxConfig, ledger: DataFrame | None, lots: DataFrame | None
+) -> tuple[DataFrame, TaxConfig, tuple[DataFrame, int] | None]:
+    """Trades with the open lots of an earlier run, the spelled-out order, and the hot keys."""
+    ordered, cfg = with_total_order(ledger_fx, cfg)
+    trades = _with_lots(trades_of(ordered, cfg), lots, cfg)
+    source = ledger if ledger is not None else ledger_fx
+    if lots is not None and cfg.fifo_hot_key_rows is not None:
+        # a lot weighs like a buy
+        buy = F.lit(cfg.purchase_types[0])
+        source = source.select(*KEY, C.TYPE).unionByName(lots.select(*KEY, buy.alias(C.TYPE)))
+    return trades, cfg, hot_keys(source, cfg)
+
+
+def realized_sales(
+    ledger_fx: DataFrame, cfg: TaxConfig, ledger: DataFrame | None = None, lots: DataFrame | None = None
+) -> DataFrame:
     """One row per sale (all years) with FIFO cost, result and flags.
 
     Sales of a key with a shortfall or an invalid trade keep ``cost_eur`` and
     ``result_eur`` NULL (``shortfall`` / ``invalid`` set) and stay out of
     every total. Hot keys are found on ``ledger`` (the frame before FX) when
     given, else on ``ledger_fx``; they need ``spark.checkpoint.dir``.
+    ``lots``: the ``open_lots`` of an earlier run; ``ledger_fx`` then has only
+    the bookings after it.
     """
-    ordered, cfg = with_total_order(ledger_fx, cfg)
-    trades = trades_of(ordered, cfg)
-    found = hot_keys(ledger if ledger is not None else ledger_fx, cfg)
+    trades, cfg, found = _ordered_trades(ledger_fx, cfg, ledger, lots)
     if found is None:
         return match_simple(trades, cfg).drop(TIE)
     keys, rows = found
@@ -368,6 +427,55 @@ def realized_sales(ledger_fx: DataFrame, cfg: TaxConfig, ledger: DataFrame | Non
     return match_simple(normal, cfg).unionByName(match_chunked(skewed, rows, cfg)).drop(TIE)
 
 
+def _lots_of(pos: DataFrame, cfg: TaxConfig, sold: Column) -> DataFrame:
+    """Open lots from positions (stage A); ``sold``: the key's whole sold quantity."""
+    flagged = F.col("key_short") | F.col("key_bad")
+    zero = F.lit(0).cast(C.QUANTITY_TYPE)
+    left = F.greatest(zero, F.least(F.col(C.QUANTITY), F.col("cum_buy") - sold)).cast(C.QUANTITY_TYPE)
+    cost = -F.col("net_eur")
+    # a partly used lot: its cost per unit goes on, or (as observed) its whole cost
+    share = F.col("remaining").cast("double") / F.col("lot_qty").cast("double")
+    open_cost = cost * share if cfg.cost_mode == "pro_rata" else cost
+    extra = [c for c in _tiebreak(cfg) if c not in (C.QUANTITY, "net_eur", C.TAX_YEAR)]
+    lots = pos.where(F.col("side") == BUY).withColumn("remaining", F.when(~flagged, left))
+    return lots.where(flagged | (F.col("remaining") > 0)).select(
+        *KEY,
+        C.TS,
+        C.TAX_YEAR,
+        "lot_qty",
+        "remaining",
+        cost.alias("lot_cost_eur"),
+        F.when(~flagged, open_cost).alias("open_cost_eur"),
+        F.col("key_short").alias("shortfall"),
+        F.col("key_bad").alias("invalid"),
+        *extra,
+    )
+
+
+def open_lots(
+    ledger_fx: DataFrame, cfg: TaxConfig, ledger: DataFrame | None = None, lots: DataFrame | None = None
+) -> DataFrame:
+    """What all sales leave of each lot: ``lot_qty`` bought, ``remaining`` and its ``open_cost_eur``.
+
+    Used-up lots have no row. Of a key with a shortfall or an invalid trade every lot has a row
+    with its flag and without a remaining quantity. ``lots`` as in ``realized_sales``. The same
+    exchange serves running sums and the key's whole sold quantity.
+    """
+    trades, cfg, found = _ordered_trades(ledger_fx, cfg, ledger, lots)
+
+    def simple_lots(part: DataFrame) -> DataFrame:
+        whole = positions(part, cfg).withColumn("_sold", F.sum(_signed(SELL)).over(Window.partitionBy(*KEY)))
+        return _lots_of(whole, cfg, F.col("_sold"))
+
+    if found is None:
+        return simple_lots(trades)
+    keys, rows = found
+    normal, skewed = _split(trades, keys)
+    pos = positions_chunked(skewed, rows, cfg)
+    sold = pos.groupBy(*KEY).agg(F.sum(_signed(SELL)).alias("_sold"))
+    return simple_lots(normal).unionByName(_lots_of(_carry(pos, sold, KEY), cfg, F.col("_sold")))
+
+
 def trade_positions(ledger_fx: DataFrame, cfg: TaxConfig, ledger: DataFrame | None = None) -> DataFrame:
     """Stage A for every trade (running sums, shortfall, key flags), with
     hot keys computed chunk by chunk like ``realized_sales``."""

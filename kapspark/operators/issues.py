@@ -9,6 +9,8 @@ everything and report).
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,12 +40,13 @@ def _long(df: DataFrame, keys: list[str], named: dict[str, Column]) -> DataFrame
     return stacked.select(*keys, "_i.issue", "_i.n").where(F.col("n") > 0)
 
 
-def ledger_issues(ledger_fx: DataFrame, cfg: TaxConfig) -> DataFrame:
-    """(account_id, issue, n): data problems per account.
+def ledger_checks(ledger_fx: DataFrame, cfg: TaxConfig) -> dict[str, Column]:
+    """Name of each issue of a booking -> its predicate.
 
-    Missing account / amount / currency / type, unparsable date or tax, a currency
-    outside the known list, a booking whose year has no rate, and trade rows
-    without ISIN or quantity or with quantity <= 0.
+    Missing account / amount / currency / type, unparsable date, amount or tax, a
+    currency outside the known list, a booking whose year has no rate, and trade rows
+    without ISIN or quantity or with quantity <= 0. Of a malformed row (``malformed_text``)
+    nothing else is said: its fields may stand in the wrong columns.
     """
     cols = set(ledger_fx.columns)
     is_trade = F.col(C.TYPE).isin(*cfg.purchase_types, *cfg.sale_types)
@@ -61,7 +64,33 @@ def ledger_issues(ledger_fx: DataFrame, cfg: TaxConfig) -> DataFrame:
     }
     if "tax_text" in cols and C.TAX in cols:
         checks["bad_tax_amount"] = F.col("tax_text").isNotNull() & F.col(C.TAX).isNull()
-    return _long(ledger_fx, [C.ACCOUNT], checks)
+    if "net_text" in cols:
+        checks["bad_amount"] = F.col("net_text").isNotNull() & F.col(C.NET).isNull()
+        checks["missing_amount"] = F.col("net_text").isNull() & F.col(C.NET).isNull()
+    if C.MALFORMED in cols:
+        well = F.col(C.MALFORMED).isNull()
+        checks = {name: well & pred for name, pred in checks.items()} | {"malformed_row": ~well}
+    return checks
+
+
+def ledger_issues(ledger_fx: DataFrame, cfg: TaxConfig) -> DataFrame:
+    """(account_id, issue, n): data problems per account, see ``ledger_checks``."""
+    return _long(ledger_fx, [C.ACCOUNT], ledger_checks(ledger_fx, cfg))
+
+
+def bad_rows(ledger_fx: DataFrame, cfg: TaxConfig, order: Sequence[Column], k: int = 5) -> DataFrame:
+    """The first ``k`` offending bookings of every (account_id, issue): ``issue``, ``nth``
+    and all columns of the booking, the scan's texts included.
+
+    ``order`` ranks bookings of one group and should be total. Spark limits each
+    task's rows per group before the shuffle, so a group sends at most k rows a task.
+    """
+    checks = ledger_checks(ledger_fx, cfg)
+    named = F.array(*[F.when(F.coalesce(pred, F.lit(False)), F.lit(name)) for name, pred in checks.items()])
+    found = ledger_fx.withColumn("_found", F.filter(named, lambda x: x.isNotNull())).where(F.size("_found") > 0)
+    rows = found.withColumn("issue", F.explode("_found")).drop("_found")
+    of_group = Window.partitionBy(C.ACCOUNT, "issue").orderBy(*order)
+    return rows.withColumn("nth", F.row_number().over(of_group)).where(F.col("nth") <= k)
 
 
 def unknown_currencies(ledger: DataFrame) -> DataFrame:

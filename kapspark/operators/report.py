@@ -9,6 +9,8 @@ of being joined figure by figure.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,10 +33,11 @@ _FIGURE_COLS = ("credit_eur", "excess_eur", "domestic_eur", "kest_eur", "soli_eu
 FOREIGN_TREATMENTS = ("foreign", "foreign_without_gross_income")
 
 
-def _facts(rows: DataFrame, sales: DataFrame) -> DataFrame:
+def _facts(rows: DataFrame, sales: DataFrame, extra: Mapping[str, Column] | None = None) -> DataFrame:
     """Narrow fact rows: every booking of the year(s) (``kind`` = its income
     scope, or ``row``) and every realised sale (``kind`` = ``sale``).
-    ``taxed_abroad`` rows carry the country whose credit they belong to."""
+    ``taxed_abroad`` rows carry the country whose credit they belong to.
+    ``extra``: more text columns of the bookings."""
     nul_d = F.lit(None).cast("double")
     abroad = F.coalesce(F.col("treatment").isin(*FOREIGN_TREATMENTS), F.lit(False))
     income = rows.select(
@@ -46,6 +49,7 @@ def _facts(rows: DataFrame, sales: DataFrame) -> DataFrame:
         nul_d.alias("result_eur"),
         abroad.alias("taxed_abroad"),
         F.when(abroad, F.col("source_country")).alias("country"),
+        *[c.cast("string").alias(name) for name, c in (extra or {}).items()],
     )
     sold = sales.select(
         *KEYS,
@@ -56,6 +60,7 @@ def _facts(rows: DataFrame, sales: DataFrame) -> DataFrame:
         F.col("result_eur"),
         F.lit(False).alias("taxed_abroad"),
         F.lit(None).cast("string").alias("country"),
+        *[F.lit(None).cast("string").alias(name) for name in extra or {}],
     )
     return income.unionByName(sold)
 
@@ -115,6 +120,88 @@ def account_year_totals(rows: DataFrame, sales: DataFrame, has_tax: bool, countr
     ).withColumn("has_tax_info", F.lit(has_tax) | (F.col("n_standalone") > 0))
 
 
+# --- every report table from one stored aggregate ----------------------------
+_FACT_SUMS = ("gross_eur", *_FIGURE_COLS, "result_eur")
+
+
+def account_facts(rows: DataFrame, sales: DataFrame) -> DataFrame:
+    """The finest sums that any report table needs: one row for each account-year, kind of
+    booking, form, fund type and country taxed abroad. A handful of rows per account-year,
+    however many bookings it has; ``rows`` and ``sales`` as in ``account_year_totals``."""
+    fund = F.when((F.col("scope") == "dividend") & (F.col("form") == K.FUND_FORM), F.coalesce("fund_type", F.lit("other")))
+    res = F.col("result_eur")
+    return (
+        _facts(rows, sales, extra={"fund": fund})
+        .groupBy(*KEYS, "kind", "form", "fund", "taxed_abroad", "country")
+        .agg(
+            *[money_sum(F.col(c)).alias(c) for c in _FACT_SUMS],
+            money_sum(F.when(res > 0, res)).alias("gains_eur"),
+            money_sum(F.when(res < 0, res)).alias("losses_eur"),
+            F.count(F.lit(1)).alias("n"),
+            F.count("result_eur").alias("n_results"),
+        )
+    )
+
+
+def _exact_sum(c: Column) -> Column:
+    return F.coalesce(F.sum(c).cast("decimal(38,10)"), _zero())
+
+
+def totals_of(facts: DataFrame, has_tax: bool) -> DataFrame:
+    """``account_year_totals`` with its ``countries``, from ``account_facts``."""
+    kind, form = F.col("kind"), F.col("form")
+    dividend, sale, cls = kind == "dividend", kind == "sale", kind.isin("dividend", "interest", "standalone")
+    by_kind = {
+        "domestic_share_dividends": F.when(dividend & (form == K.DOMESTIC_SHARE_FORM), F.col("gross_eur")),
+        "foreign_share_dividends": F.when(dividend & (form == K.FOREIGN_SHARE_FORM), F.col("gross_eur")),
+        "fund_dividends": F.when(dividend & (form == K.FUND_FORM), F.col("gross_eur")),
+        "interest": F.when(kind == "interest", F.col("gross_eur")),
+        **{c.removesuffix("_eur"): F.when(cls, F.col(c)) for c in _FIGURE_COLS},
+        "dividend_credit": F.when(dividend, F.col("credit_eur")),
+        "interest_credit": F.when(kind == "interest", F.col("credit_eur")),
+        "stock_result": F.when(sale, F.col("result_eur")),
+        "stock_gains": F.when(sale, F.col("gains_eur")),
+        "stock_losses": F.when(sale, F.col("losses_eur")),
+    }
+    n = F.col("n")
+    counts = {
+        "n_sales": F.when(sale, F.col("n_results")),
+        "n_flagged_sales": F.when(sale, n - F.col("n_results")),
+        "n_standalone": F.when(kind == "standalone", n),
+    }
+    by = (*KEYS, "taxed_abroad", "country")
+    per_country = facts.groupBy(*by).agg(
+        *[_exact_sum(c).alias(name) for name, c in by_kind.items()],
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(name) for name, c in counts.items()],
+    )
+    entry = F.struct(F.col("country"), F.col("credit"))
+    out = per_country.groupBy(*KEYS).agg(
+        *[_exact_sum(F.col(name)).alias(name) for name in by_kind],
+        *[F.sum(name).alias(name) for name in counts],
+        F.collect_list(F.when(F.col("taxed_abroad"), entry)).alias("countries"),
+    )
+    foreign = F.col("foreign_share_dividends") + F.col("interest")
+    return out.withColumn("foreign_capital_income", foreign).withColumn(
+        "has_tax_info", F.lit(has_tax) | (F.col("n_standalone") > 0)
+    )
+
+
+def credit_by_country_of(facts: DataFrame) -> DataFrame:
+    """``credit_by_country`` from ``account_facts``."""
+    sets = [(*KEYS, "kind", "country"), (*KEYS, "country")]
+    out = facts.where("taxed_abroad").groupingSets(sets, *KEYS, "kind", "country").agg(
+        F.sum("credit_eur").cast("decimal(38,10)").alias("credit"), F.grouping("kind").alias("_g")
+    )
+    scope = F.when(F.col("_g") == 1, F.lit("total")).otherwise(F.col("kind"))
+    return out.select(*KEYS, scope.alias("scope"), F.col("country").alias("source_country"), "credit")
+
+
+def fund_breakdown_of(spark: SparkSession, facts: DataFrame) -> DataFrame:
+    """``fund_breakdown`` from ``account_facts``."""
+    funds = facts.where(F.col("fund").isNotNull()).groupBy(*KEYS, F.col("fund").alias("fund_type"))
+    return _with_exemptions(spark, funds.agg(F.sum("gross_eur").cast("decimal(38,10)").alias("gross_total")))
+
+
 def form_lines(totals: DataFrame) -> DataFrame:
     """(account_id, tax_year, line_order, form, line, label, amount): the 8
     form lines per account-year, plus the refund line when it is positive."""
@@ -142,6 +229,10 @@ def fund_breakdown(spark: SparkSession, dividends: DataFrame) -> DataFrame:
     totals = funds.groupBy(*KEYS, F.coalesce(F.col("fund_type"), F.lit("other")).alias("fund_type")).agg(
         money_sum(F.col("gross_eur")).alias("gross_total")
     )
+    return _with_exemptions(spark, totals)
+
+
+def _with_exemptions(spark: SparkSession, totals: DataFrame) -> DataFrame:
     ex = fund_exemptions(spark)  # four rows
     out = totals.join(F.broadcast(ex), "fund_type", "left")
     rate = F.coalesce(F.col("exemption_rate"), F.lit(0.0))

@@ -25,6 +25,7 @@ from kapspark.operators.rules import resolve_rules
 from kapspark.plans.tax_run import TaxResult, calculate
 from kapspark.sources.demo import DEMO_CONFIG, demo_ledger, demo_rates_daily, demo_rules, faulty_rules
 from kapspark.sources.rules import normalize_rules
+from kapspark.sources.staging import stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -331,33 +332,29 @@ def scratch_dir(spark: SparkSession) -> str:
     return os.path.join(ensure_checkpoint_dir(spark), f"kapspark-{uuid.uuid4().hex}")
 
 
-def q_ledger_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write the derived ledger as a ledger export (``;``, latin1, German
-    header, one file set) and read it back through the CSV scan."""
-    from kapspark.sources.ledger import read_ledger_csv
+def _export(ledger: DataFrame) -> dict[str, Column]:
+    """The columns of a ledger export (German header), all text."""
+    return {
+        "Datum": F.date_format(C.TS, "dd-MM-yyyy HH:mm:ss"),
+        "Auftrag #": F.col("order_key").cast("string"),
+        "Transaktionen": F.col(C.TYPE),
+        "Name": F.col(C.NAME),
+        "ISIN": F.col(C.ISIN),
+        "Anzahl": F.col(C.QUANTITY).cast("string"),
+        "Kosten": F.regexp_replace(F.col(C.TAX).cast("string"), r"\.", ","),
+        "Nettobetrag": F.col(C.NET).cast("string"),
+        "Währung": F.col(C.CURRENCY),
+        "Konto": F.col(C.ACCOUNT).cast("string"),
+    }
 
-    out = scratch_dir(spark)
-    led = demo_ledger(spark, sf_dir)
-    export = led.select(
-        F.date_format(C.TS, "dd-MM-yyyy HH:mm:ss").alias("Datum"),
-        F.col("order_key").cast("string").alias("Auftrag #"),
-        F.col(C.TYPE).alias("Transaktionen"),
-        F.col(C.NAME).alias("Name"),
-        F.col(C.ISIN).alias("ISIN"),
-        F.col(C.QUANTITY).cast("string").alias("Anzahl"),
-        F.regexp_replace(F.col(C.TAX).cast("string"), r"\.", ",").alias("Kosten"),
-        F.col(C.NET).cast("string").alias("Nettobetrag"),
-        F.col(C.CURRENCY).alias("Währung"),
-        F.col(C.ACCOUNT).cast("string").alias("Konto"),
-    )
-    (
-        export.write.mode("overwrite")
-        .option("sep", ";")
-        .option("header", True)
-        .option("encoding", "ISO-8859-1")
-        .csv(out)
-    )
-    back = read_ledger_csv(spark, out, account_id="Konto")
+
+def _write_export(ledger: DataFrame, header: list[str], path: str) -> None:
+    columns = _export(ledger)
+    rows = ledger.select(*[columns.get(c, F.lit("-")).alias(c) for c in header])
+    rows.write.option("sep", ";").option("header", True).option("encoding", "ISO-8859-1").csv(path)
+
+
+def _scan_figures(back: DataFrame) -> DataFrame:
     return back.groupBy(
         F.col(C.ACCOUNT).cast("bigint").alias(C.ACCOUNT), F.year(C.TS).cast("bigint").alias(C.TAX_YEAR)
     ).agg(
@@ -370,14 +367,139 @@ def q_ledger_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def q_ledger_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write the derived ledger as a ledger export (``;``, latin1, German
+    header, one file set) and read it back through the CSV scan."""
+    from kapspark.sources.ledger import read_ledger_csv
+
+    out = scratch_dir(spark)
+    ledger = demo_ledger(spark, sf_dir)
+    _write_export(ledger, list(_export(ledger)), out)
+    return _scan_figures(read_ledger_csv(spark, out, account_id="Konto"))
+
+
+def q_ledger_scan_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three exports side by side: one in the usual order, one with its columns the other
+    way round and one more, one without the tax column. Each is read by its own header."""
+    from kapspark.sources.ledger import read_ledger_csv
+
+    out = scratch_dir(spark)
+    ledger = demo_ledger(spark, sf_dir)
+    usual = list(_export(ledger))
+    headers = [usual, [*reversed(usual), "Depot"], [c for c in usual if c != "Kosten"]]
+    for k, header in enumerate(headers):
+        _write_export(ledger.where(F.col(C.ACCOUNT) % len(headers) == k), header, f"{out}/export{k}")
+    paths = [f"{out}/export{k}" for k in range(len(headers))]
+    return _scan_figures(read_ledger_csv(spark, paths, account_id="Konto"))
+
+
+def _malformed_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger as exports with two headers; by the order key modulo 89 rows have a field too many
+    or lack some. Read back."""
+    from kapspark.sources.ledger import read_ledger_csv
+
+    out = scratch_dir(spark)
+    ledger = demo_ledger(spark, sf_dir)
+    usual = ["Konto", *[c for c in _export(ledger) if c != "Konto"]]
+    headers = [usual, ["Konto", *reversed(usual[1:])]]
+    left = F.col("order_key") % 89
+    for k, header in enumerate(headers):
+        rows = ledger.where(F.col(C.ACCOUNT) % len(headers) == k)
+        fields = F.array(*[F.coalesce(_export(ledger)[c], F.lit("")) for c in header])
+        text = F.when(left == 1, F.array_join(F.concat(fields, F.array(F.lit("zu viel"))), ";"))
+        text = text.when(left == 2, F.array_join(F.slice(fields, 1, 4), ";")).otherwise(F.array_join(fields, ";"))
+        # one column that holds the whole line, so that nothing is quoted
+        lines = rows.select(text.alias(";".join(header)))
+        writer = lines.write.option("header", True).option("encoding", "ISO-8859-1").option("sep", "\u0001")
+        writer.option("quote", "\u0000").option("escape", "\u0000").csv(f"{out}/export{k}")
+    back = read_ledger_csv(spark, [f"{out}/export{k}" for k in range(len(headers))], account_id="Konto")
+    return back.withColumn(C.ACCOUNT, F.col(C.ACCOUNT).cast("bigint"))
+
+
+def q_ledger_scan_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issues of exports with malformed rows: these are counted and judged no further."""
+    rates, rules = demo_dims(spark)
+    r = calculate(spark, _malformed_export(spark, sf_dir), rates, rules, DEMO_CONFIG.with_(tiebreak=None), rules_validated=True)
+    return r.ledger_issues.select(C.ACCOUNT, "issue", F.col("n").cast("bigint").alias("n"))
+
+
+def q_bad_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first three bookings behind every issue of every account of the broken ledger."""
+    return run(spark, sf_dir, faults=True).bad_rows(k=3).select(
+        C.ACCOUNT,
+        "issue",
+        F.col("nth").cast("bigint").alias("nth"),
+        _ts_text(F.col(C.TS)).alias("ts"),
+        C.TYPE,
+        C.ISIN,
+        C.CURRENCY,
+        round4(F.col(C.NET)).alias("net"),
+        "order_key",
+        F.col("line_no").cast("bigint").alias("line_no"),
+        "supp_key",
+    )
+
+
 def q_report_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write the report tables and read the form lines back."""
+    """Write the report tables of two years one after the other and read all four tables back."""
     from kapspark.sources.sinks import write_reports
 
+    ensure_checkpoint_dir(spark)
     out = scratch_dir(spark)
-    write_reports(run(spark, sf_dir), out)
-    back = spark.read.parquet(f"{out}/form_lines")
-    return _lines_out(back.withColumn(C.TAX_YEAR, F.col(C.TAX_YEAR).cast("bigint")))
+    for year in (2021, 2022):
+        write_reports(run(spark, sf_dir, DEMO_CONFIG.with_(tax_year=year)), out)
+    tables = {
+        "form_lines": ("line", F.col("line"), "amount"),
+        "credit_by_country": ("country", F.concat_ws(":", "scope", F.coalesce("source_country", F.lit(""))), "credit"),
+        "fund_breakdown": ("fund", F.col("fund_type"), "taxable"),
+        "report_positions": ("position", F.col("position"), "amount"),
+    }
+    back = None
+    for name, (kind, item, amount) in tables.items():
+        rows = spark.read.parquet(f"{out}/{name}").select(
+            F.col(C.ACCOUNT),
+            F.col(C.TAX_YEAR).cast("bigint").alias(C.TAX_YEAR),
+            F.lit(kind).alias("kind"),
+            item.alias("item"),
+            _r4dec(F.col(amount)).alias("amount"),
+        )
+        back = rows if back is None else back.unionByName(rows)
+    return back
+
+
+def _lots_out(lots: DataFrame) -> DataFrame:
+    return lots.select(
+        C.ACCOUNT,
+        C.ISIN,
+        _ts_text(F.col(C.TS)).alias("buy_ts"),
+        "order_key",
+        F.col("line_no").cast("bigint").alias("line_no"),
+        "supp_key",
+        F.col("lot_qty").cast("double").alias("lot_qty"),
+        F.col("remaining").cast("double").alias("remaining"),
+        round4(F.col("open_cost_eur")).alias("open_cost_eur"),
+        F.col("shortfall").cast("bigint").alias("shortfall"),
+    )
+
+
+def q_open_lots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lots_out(run(spark, sf_dir).open_lots)
+
+
+def q_open_lots_as_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lots_out(run(spark, sf_dir, DEMO_CONFIG.with_(cost_mode="as_observed")).open_lots)
+
+
+def q_fifo_from_lots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sales from 2022 on, matched from the stored lots of the end of 2021 without the bookings before."""
+    rates, rules = demo_dims(spark)
+    ledger, cut = demo_ledger(spark, sf_dir), F.year(C.TS) <= 2021
+    ensure_checkpoint_dir(spark)
+    before = calculate(spark, ledger.where(cut), rates, rules, DEMO_CONFIG, rules_validated=True)
+    lots = stage(before.open_lots, "lots")
+    after = calculate(spark, ledger.where(~cut), rates, rules, DEMO_CONFIG, rules_validated=True, lots=lots)
+    # what a key that lacked pieces before lacks now depends on what it lacked then
+    return _sales_out(after.sales_all_years).drop("missing_qty")
 
 
 def q_detail_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -438,6 +560,12 @@ QUERIES: dict[str, Query] = {
     "rules_issues": q_rules_issues,
     "tax_years": q_tax_years,
     "ledger_scan": q_ledger_scan,
+    "ledger_scan_mixed": q_ledger_scan_mixed,
+    "ledger_scan_issues": q_ledger_scan_issues,
+    "bad_rows": q_bad_rows,
+    "open_lots": q_open_lots,
+    "open_lots_as_observed": q_open_lots_as_observed,
+    "fifo_from_lots": q_fifo_from_lots,
     "report_sink": q_report_sink,
     "detail_sink": q_detail_sink,
     "rate_payloads": q_rate_payloads,

@@ -524,6 +524,28 @@ def _issue_rows() -> str:
     return "SELECT account_id, issue, CAST(n AS BIGINT) AS n FROM (" + "\nUNION ALL\n".join(parts) + ") WHERE n > 0"
 
 
+def _data_issue_rows(checks, table: str) -> str:
+    return "\nUNION ALL\n".join(
+        f"SELECT account_id, '{name}' AS issue, count(*) FILTER (WHERE {pred}) AS n FROM {table} GROUP BY account_id"
+        for name, pred in checks
+    )
+
+
+_MALFORMED = "order_key % 89 IN (1, 2)"
+
+_BAD_ROWS = f"""
+, named AS (
+{" UNION ALL ".join(f"SELECT fx.*, '{name}' AS issue FROM fx WHERE {pred}" for name, pred in _ISSUE_CHECKS)}
+),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY account_id, issue
+    ORDER BY ts NULLS FIRST, order_key, line_no, supp_key, quantity NULLS FIRST, net NULLS FIRST, tax, currency NULLS FIRST) AS nth
+  FROM named)
+SELECT account_id, issue, nth, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, type, isin, currency,
+       CAST(ROUND(CAST(net AS DECIMAL(28,10)), 4) AS DOUBLE) AS net, order_key, line_no, supp_key
+FROM ranked WHERE nth <= 3
+"""
+
 _LINES_OUT = f"""
 SELECT account_id, tax_year, CAST(line_order AS BIGINT) AS line_order, form, line, label, {_r4('amount')} AS amount
 FROM form_lines"""
@@ -563,6 +585,42 @@ SELECT kind, key, 'duplicate_key' FROM r GROUP BY kind, key HAVING count(*) > 1
 """
 
 
+_FUND_BREAKDOWN = BASE + f"""
+SELECT account_id, tax_year, ft AS fund_type,
+       CASE ft WHEN 'equity' THEN 'Aktienfonds (≥51% Aktien)' WHEN 'mixed' THEN 'Mischfonds (≥25% Aktien)'
+               WHEN 'real_estate' THEN 'Immobilienfonds (≥51% Immobilien)' WHEN 'other' THEN 'Sonstige Fonds'
+               ELSE 'Fonds (Typ: ' || ft || ')' END AS fund_label,
+       rate AS exemption_rate,
+       {_r4('g')} AS gross_total,
+       {_r4('g * CAST(CAST(1 AS DOUBLE) - rate AS DECIMAL(5,4))')} AS taxable
+FROM (
+  SELECT account_id, tax_year, coalesce(fund_type, 'other') AS ft,
+         CAST(SUM(CAST(gross_eur AS DECIMAL(28,10))) AS DECIMAL(30,10)) AS g,
+         CASE coalesce(fund_type, 'other') WHEN 'equity' THEN CAST(0.30 AS DOUBLE)
+              WHEN 'mixed' THEN CAST(0.15 AS DOUBLE) WHEN 'real_estate' THEN CAST(0.60 AS DOUBLE)
+              ELSE CAST(0 AS DOUBLE) END AS rate
+  FROM classified WHERE form = 'Anlage KAP-INV' GROUP BY account_id, tax_year, coalesce(fund_type, 'other')
+)
+"""
+
+
+def _open_lots_sql(open_cost: str) -> str:
+    """Ranges on the quantity axis: what of a lot lies above all that was sold of its key."""
+    return BASE + f"""
+, sold_of_key AS (SELECT account_id, isin, sum(quantity) AS total FROM pos WHERE side = 1 GROUP BY account_id, isin),
+left_over AS (
+  SELECT f.*, key_short OR key_bad AS flagged, -net_eur AS cost,
+         CASE WHEN NOT (key_short OR key_bad)
+              THEN greatest(0, cum_buy - greatest(cum_buy - quantity, coalesce(total, 0))) END AS remaining
+  FROM flagged f LEFT JOIN sold_of_key s ON s.account_id = f.account_id AND s.isin = f.isin
+  WHERE side = 0)
+SELECT account_id, isin, strftime(ts, '%Y-%m-%d %H:%M:%S') AS buy_ts, order_key, line_no, supp_key,
+       CAST(quantity AS DOUBLE) AS lot_qty, CAST(remaining AS DOUBLE) AS remaining, {open_cost} AS open_cost_eur,
+       CAST(key_short AS BIGINT) AS shortfall
+FROM left_over WHERE flagged OR remaining > 0
+"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "fx_convert": BASE + f"""
 SELECT account_id, tax_year, fx_source, count(*) AS n_rows,
@@ -600,23 +658,7 @@ SELECT account_id, tax_year, scope, source_country, {_r4('credit')} AS credit FR
 SELECT account_id, tax_year, form, fund_type, count(*) AS n_rows, {_r4sum('gross_eur')} AS sum_gross_eur
 FROM classified WHERE scope = 'dividend' GROUP BY account_id, tax_year, form, fund_type
 """,
-    "fund_breakdown": BASE + f"""
-SELECT account_id, tax_year, ft AS fund_type,
-       CASE ft WHEN 'equity' THEN 'Aktienfonds (≥51% Aktien)' WHEN 'mixed' THEN 'Mischfonds (≥25% Aktien)'
-               WHEN 'real_estate' THEN 'Immobilienfonds (≥51% Immobilien)' WHEN 'other' THEN 'Sonstige Fonds'
-               ELSE 'Fonds (Typ: ' || ft || ')' END AS fund_label,
-       rate AS exemption_rate,
-       {_r4('g')} AS gross_total,
-       {_r4('g * CAST(CAST(1 AS DOUBLE) - rate AS DECIMAL(5,4))')} AS taxable
-FROM (
-  SELECT account_id, tax_year, coalesce(fund_type, 'other') AS ft,
-         CAST(SUM(CAST(gross_eur AS DECIMAL(28,10))) AS DECIMAL(30,10)) AS g,
-         CASE coalesce(fund_type, 'other') WHEN 'equity' THEN CAST(0.30 AS DOUBLE)
-              WHEN 'mixed' THEN CAST(0.15 AS DOUBLE) WHEN 'real_estate' THEN CAST(0.60 AS DOUBLE)
-              ELSE CAST(0 AS DOUBLE) END AS rate
-  FROM classified WHERE form = 'Anlage KAP-INV' GROUP BY account_id, tax_year, coalesce(fund_type, 'other')
-)
-""",
+    "fund_breakdown": _FUND_BREAKDOWN,
     "fifo_realized": _sales_sql("sales_pro_rata"),
     "fifo_realized_as_observed": _sales_sql("sales_as_observed"),
     "fifo_shortfall": BASE + """
@@ -684,7 +726,37 @@ SELECT account_id, year(ts) AS tax_year, count(*) AS n_rows, CAST(0 AS BIGINT) A
        CAST(SUM(quantity) AS DOUBLE) AS sum_quantity, count(DISTINCT isin) AS n_isins
 FROM ledger GROUP BY account_id, year(ts)
 """,
-    "report_sink": BASE + _LINES_OUT,
+    "ledger_scan_mixed": BASE + f"""
+SELECT account_id, year(ts) AS tax_year, count(*) AS n_rows, CAST(0 AS BIGINT) AS n_bad_ts,
+       {_r4sum('net')} AS sum_net, CASE WHEN account_id % 3 <> 2 THEN {_r4sum('tax')} END AS sum_tax,
+       CAST(SUM(quantity) AS DOUBLE) AS sum_quantity, count(DISTINCT isin) AS n_isins
+FROM ledger GROUP BY account_id, year(ts)
+""",
+    "ledger_scan_issues": BASE + f"""
+, well AS (SELECT * FROM fx WHERE NOT ({_MALFORMED}))
+SELECT account_id, issue, CAST(n AS BIGINT) AS n FROM (
+{_data_issue_rows(_ISSUE_CHECKS, "well")}
+UNION ALL
+SELECT account_id, 'malformed_row', count(*) FILTER (WHERE {_MALFORMED}) FROM fx GROUP BY account_id
+) WHERE n > 0
+""",
+    "bad_rows": FAULTY_BASE + _BAD_ROWS,
+    "open_lots": _open_lots_sql(f"CASE WHEN NOT flagged THEN {_r4row('cost * CAST(remaining AS DOUBLE) / CAST(quantity AS DOUBLE)')} END"),
+    "open_lots_as_observed": _open_lots_sql(f"CASE WHEN NOT flagged THEN {_r4row('cost')} END"),
+    "fifo_from_lots": (
+        f"SELECT * EXCLUDE (missing_qty) FROM ({_sales_sql('sales_pro_rata')}) WHERE tax_year >= 2022"
+    ),
+    "report_sink": f"""
+SELECT account_id, tax_year, 'line' AS kind, line AS item, amount FROM ({BASE + _LINES_OUT})
+WHERE tax_year IN (2021, 2022)
+UNION ALL
+SELECT account_id, tax_year, 'country', scope || ':' || coalesce(source_country, ''), {_r4('credit')}
+FROM ({BASE} SELECT * FROM by_country) WHERE tax_year IN (2021, 2022)
+UNION ALL
+SELECT account_id, tax_year, 'fund', fund_type, taxable FROM ({_FUND_BREAKDOWN}) WHERE tax_year IN (2021, 2022)
+UNION ALL
+SELECT account_id, tax_year, 'position', position, amount FROM ({_positions_sql()}) WHERE tax_year IN (2021, 2022)
+""",
     "detail_sink": BASE + f"""
 SELECT category, account_id, tax_year, count(*) AS n_rows,
        {_r4sum('gross_eur')} AS sum_gross_eur, {_r4sum('result_eur')} AS sum_result_eur

@@ -35,17 +35,20 @@ class TaxResult:
     form lines does not pay for building the detail export's plan.
     """
 
-    def __init__(self, spark, ledger, rates_daily, rules, cfg, rates_yearly, rules_validated=False) -> None:
+    def __init__(self, spark, ledger, rates_daily, rules, cfg, rates_yearly, rules_validated=False, lots=None) -> None:
         self.spark = spark
         self.cfg = cfg
         self.has_tax = C.TAX in ledger.columns if cfg.has_tax_column is None else cfg.has_tax_column
         if not self.has_tax and C.TAX in ledger.columns:
             ledger = ledger.drop(C.TAX)
-        self.ledger = ledger
+        # malformed rows of a scan are issues; no figure sees them
+        self._ledger_all = ledger
+        self.ledger = ledger.where(F.col(C.MALFORMED).isNull()).drop(C.MALFORMED) if C.MALFORMED in ledger.columns else ledger
         self._rates_daily = rates_daily
         self._rules = empty_rules(spark) if rules is None else rules
         self._yearly = yearly_rates(spark) if rates_yearly is None else rates_yearly
         self._rules_validated = rules_validated
+        self._lots = lots
 
     @cached_property
     def bad_accounts(self) -> DataFrame | None:
@@ -85,10 +88,15 @@ class TaxResult:
         return rate_conflicts(self._rates_daily, self._yearly)
 
     @cached_property
-    def ledger_fx(self) -> DataFrame:
-        df = gross_up(fx_convert(self.ledger, self._rates_daily, self._yearly, self.cfg), self.has_tax)
+    def _fx_all(self) -> DataFrame:
+        df = gross_up(fx_convert(self._ledger_all, self._rates_daily, self._yearly, self.cfg), self.has_tax)
         return stage(df, "ledger_fx") if self.cfg.checkpoint_ledger else df
 
+    @cached_property
+    def ledger_fx(self) -> DataFrame:
+        df = self._fx_all
+        return df.where(F.col(C.MALFORMED).isNull()).drop(C.MALFORMED) if C.MALFORMED in df.columns else df
+
     @cached_property
     def in_year(self) -> DataFrame:
         if self.cfg.tax_year is None:
@@ -134,13 +142,18 @@ class TaxResult:
 
     @cached_property
     def _sales_all(self) -> DataFrame:
-        sales = fifo.realized_sales(self.ledger_fx, self.cfg, ledger=self.ledger)
+        sales = fifo.realized_sales(self.ledger_fx, self.cfg, ledger=self.ledger, lots=self._lots)
         return stage(sales, "sales") if self.cfg.checkpoint_sales else sales
 
     @cached_property
     def sales_all_years(self) -> DataFrame:
         return self._keep(self._sales_all)
 
+    @cached_property
+    def open_lots(self) -> DataFrame:
+        """What is left of every lot after all sales; the ``lots`` of a later run."""
+        return fifo.open_lots(self.ledger_fx, self.cfg, ledger=self.ledger, lots=self._lots)
+
     def _of_year(self, sales: DataFrame) -> DataFrame:
         return sales if self.cfg.tax_year is None else sales.where(F.col(C.TAX_YEAR) == self.cfg.tax_year)
 
@@ -165,6 +178,26 @@ class TaxResult:
         totals = report.account_year_totals(self.rows, self._of_year(self._sales_all), self.has_tax, countries=True)
         return report.report_positions(self._keep(totals))
 
+    def reports(self) -> tuple[dict[str, DataFrame], list[int]]:
+        """Form lines, credit by country, fund breakdown and report positions, and the years
+        they cover. All come from one aggregate (``report.account_facts``); with a checkpoint
+        directory it is stored, so income is read once and FIFO runs once for all tables."""
+        shared = bool(self.spark.sparkContext.getCheckpointDir())
+        if shared and self.cfg.on_issue == "quarantine" and not self.cfg.checkpoint_sales:
+            # the list of accounts and the tables read the same FIFO result
+            self.__dict__["_sales_all"] = stage(self._sales_all, "sales")
+        facts = report.account_facts(self.rows, self._of_year(self._sales_all))
+        facts = self._keep(stage(facts, "report_facts") if shared else facts)
+        totals = report.totals_of(facts, self.has_tax)
+        tables = {
+            "form_lines": report.form_lines(totals),
+            "credit_by_country": report.credit_by_country_of(facts),
+            "fund_breakdown": report.fund_breakdown_of(self.spark, facts),
+            "report_positions": report.report_positions(totals),
+        }
+        years = facts.select(C.TAX_YEAR).distinct().collect()  # a few
+        return tables, sorted(r[0] for r in years if r[0] is not None)
+
     @cached_property
     def sections(self) -> DataFrame:
         return self._keep(report.section_totals(self._income, self._of_year(self._sales_all)))
@@ -186,9 +219,19 @@ class TaxResult:
     def tax_years(self) -> DataFrame:
         return issues.tax_years(self.ledger, self.cfg)
 
+    @cached_property
+    def ledger_issues(self) -> DataFrame:
+        """(account_id, issue, n) of the bookings themselves."""
+        return issues.ledger_issues(self._fx_all, self.cfg)
+
+    def bad_rows(self, k: int = 5) -> DataFrame:
+        """The first ``k`` bookings behind every (account_id, issue) of ``ledger_issues``."""
+        rows, cfg = fifo.with_total_order(self._fx_all, self.cfg)
+        return issues.bad_rows(rows, cfg, fifo.booking_order(cfg), k).drop(fifo.TIE)
+
     @cached_property
     def issues(self) -> DataFrame:
-        out = issues.ledger_issues(self.ledger_fx, self.cfg).unionByName(issues.fifo_issues(self._sales_all))
+        out = self.ledger_issues.unionByName(issues.fifo_issues(self._sales_all))
         if not self._rules_validated:
             out = out.unionByName(issues.rejected_rule_issues(self.rows))
         if self.cfg.tax_year is not None or self.cfg.single_year_rule:
@@ -207,6 +250,7 @@ def calculate(
     cfg: TaxConfig = TaxConfig(),
     rates_yearly: DataFrame | None = None,
     rules_validated: bool = False,
+    lots: DataFrame | None = None,
 ) -> TaxResult:
     """Compute every figure for every (account_id, tax_year) of ``ledger``.
 
@@ -216,9 +260,11 @@ def calculate(
     Outputs are planned lazily; with ``on_issue="error"`` the issue check
     runs here and raises on any issue, naming all kinds with their counts.
     ``rules_validated=True`` skips rule validation (rules that passed
-    through ``operators.issues.judged_rules`` before).
+    through ``operators.issues.judged_rules`` before). ``lots``: the
+    ``open_lots`` of a run over all earlier bookings; ``ledger`` then has the
+    later ones only.
     """
-    res = TaxResult(spark, ledger, rates_daily, rules, cfg, rates_yearly, rules_validated)
+    res = TaxResult(spark, ledger, rates_daily, rules, cfg, rates_yearly, rules_validated, lots)
     if cfg.on_issue == "error":
         res.check()
     return res

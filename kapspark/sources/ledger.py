@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
+from multiprocessing.pool import ThreadPool
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kapspark import config as C
 from kapspark import constants as K
 from kapspark.functions import normalize_amount, parse_ledger_ts
 
+# Headers read at the same time while planning.
+HEADER_READERS = 16
+
 # Canonical names that must be present in the input (after mapping).
 REQUIRED = (C.TS, C.TYPE, C.CURRENCY, C.NET)
 
@@ -53,7 +59,9 @@ def canonical_ledger(
     elif account_literal is not None:
         account = F.lit(account_literal)
     else:
-        account = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1)
+        # Spark gives the name as in a URI, where a plus sign stands for itself
+        name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+        account = F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 1)
 
     out = [
         account.alias(C.ACCOUNT),
@@ -87,6 +95,53 @@ def canonical_ledger(
     return raw.select(*out)
 
 
+def _reader(spark: SparkSession, sep: str, encoding: str) -> DataFrameReader:
+    return (
+        spark.read.option("header", True)
+        .option("sep", sep)
+        .option("encoding", encoding)
+        .option("quote", '"')
+        .option("inferSchema", False)
+        .option("mode", "PERMISSIVE")
+    )
+
+
+def _literal_path(uri: str) -> str:
+    """A listed file's URI as a path that no pattern of the reader applies to."""
+    return "".join(f"\\{c}" if c in "\\{}[]*?" else c for c in unquote(uri))
+
+
+def files_by_header(
+    spark: SparkSession, path: str | list[str], sep: str = K.DEFAULT_SEPARATOR, encoding: str = K.DEFAULT_ENCODING
+) -> dict[tuple[str, ...], list[str]]:
+    """Column names -> the files that begin with them, in a fixed order.
+
+    Files are listed once; of each only the first line is read (one short job a file,
+    several at a time). Empty files have no header and no rows.
+    """
+    listed = spark.read.schema("line string").csv(path).inputFiles()
+    files = sorted(_literal_path(f) for f in listed)
+    with ThreadPool(min(HEADER_READERS, max(1, len(files)))) as pool:
+        headers = pool.map(lambda f: tuple(_reader(spark, sep, encoding).csv(f).columns), files)
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for header, file in zip(headers, files):
+        if header:
+            groups.setdefault(header, []).append(file)
+    return dict(sorted(groups.items()))
+
+
+def _scan(reader: DataFrameReader, path: str | Sequence[str], header: Sequence[str]) -> DataFrame:
+    """All columns as text, and the text of rows with more or fewer fields than the header."""
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in (*header, C.MALFORMED)])
+    # without pruning the parser sees every field, so it notices each malformed row
+    return (
+        reader.schema(schema)
+        .option("columnNameOfCorruptRecord", C.MALFORMED)
+        .option("columnPruning", False)
+        .csv(path if isinstance(path, str) else list(path))
+    )
+
+
 def read_ledger_csv(
     spark: SparkSession,
     path: str | list[str],
@@ -95,20 +150,41 @@ def read_ledger_csv(
     encoding: str = K.DEFAULT_ENCODING,
     account_id: str | None = None,
     account_literal=None,
+    mixed_headers: bool = True,
 ) -> DataFrame:
     """Scan one file, a directory or a list of ledger CSV exports.
 
-    Every column is read as text (no inference) and cast by its declared
-    target type; a directory of per-account files yields one ledger whose
-    ``account_id`` is the file name unless a column or literal is given.
+    Every file is read by its own header: files with the same header are one scan, the
+    scans are united by column name, and a column that some files lack is NULL there.
+    With ``mixed_headers=False`` only one header is read (for very many files that are
+    known to be alike); a file with another one then fails the query.
+
+    Every column is read as text (no inference) and cast by its declared target type. A
+    row with more or fewer fields than its header keeps its text in ``malformed_text``:
+    it is an issue and takes part in no figure. A directory of per-account files yields
+    one ledger whose ``account_id`` is the file name unless a column or literal is given.
     """
-    raw = (
-        spark.read.option("header", True)
-        .option("sep", sep)
-        .option("encoding", encoding)
-        .option("quote", '"')
-        .option("inferSchema", False)
-        .option("mode", "PERMISSIVE")
-        .csv(path)
-    )
-    return canonical_ledger(raw, columns, account_id=account_id, account_literal=account_literal)
+    if mixed_headers:
+        groups = files_by_header(spark, path, sep, encoding)
+    else:
+        groups = {tuple(_reader(spark, sep, encoding).csv(path).columns): []}
+    if not groups:
+        raise MissingColumnsError(f"missing ledger columns: no header in {path}")
+    cols = dict(K.DEFAULT_INPUT_COLUMNS, **(columns or {}))
+    lacking = {h: [cols[c] for c in REQUIRED if cols[c] not in h] for h in groups}
+    if any(lacking.values()):
+        missing = sorted({c for names in lacking.values() for c in names})
+        files = [f for h, names in lacking.items() if names for f in groups[h]]
+        raise MissingColumnsError(f"missing ledger columns: {missing} in {len(files) or 1} files: {files[:5] or path}")
+    out = None
+    for header, files in groups.items():
+        reader = _reader(spark, sep, encoding)
+        if len(groups) == 1:
+            raw = _scan(reader.option("enforceSchema", mixed_headers), path, header)
+        else:
+            folder = [path] if isinstance(path, str) else path
+            inside = len(folder) == 1 and any("=" in f for f in files)
+            raw = _scan(reader.option("basePath", folder[0]) if inside else reader, files, header)
+        ledger = canonical_ledger(raw, columns, account_id=account_id, account_literal=account_literal)
+        out = ledger if out is None else out.unionByName(ledger, allowMissingColumns=True)
+    return out
