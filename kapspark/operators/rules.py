@@ -2,6 +2,12 @@
 
 The winner is chosen as one whole struct, never field by field, so a NULL
 ``fund_type`` in an exact rule is not filled from the prefix rule.
+
+Country rules have two-letter keys, so there are few of them whatever the size of the
+rules table: they become one map, read once by a scalar subquery, and bookings are never
+shuffled by two letters. Security rules are joined by ISIN; bookings without one, or
+without need of a rule, get a spread key of their own, so a shuffled join does not
+gather them in one place.
 """
 
 from __future__ import annotations
@@ -13,6 +19,11 @@ from kapspark import config as C
 from kapspark.config import TaxConfig
 from kapspark.functions import default_rule, isin_key, rule_struct
 
+PREFIX_LENGTH = 2
+# Bookings that look no rule up are dealt into so many parts, by a hash of their first columns.
+KEYLESS_PARTS = 4096
+KEYLESS_COLUMNS = 9
+
 
 def _rule_of(rules: DataFrame) -> F.Column:
     return rule_struct(
@@ -45,20 +56,23 @@ def resolve_rules(
     security = rules.where(F.col("kind") == "security").select(
         F.col("key").alias("_rk_sec"), _rule_of(rules).alias("_rule_sec"), F.col("rejected").alias("_rej_sec")
     )
-    country = rules.where(F.col("kind") == "country").select(
-        F.col("key").alias("_rk_cty"), _rule_of(rules).alias("_rule_cty"), F.col("rejected").alias("_rej_cty")
+    prefix = F.struct(_rule_of(rules).alias("rule"), F.col("rejected"))
+    by_prefix = (
+        rules.where((F.col("kind") == "country") & (F.length("key") == PREFIX_LENGTH))
+        .agg(F.map_from_entries(F.collect_set(F.struct(F.col("key"), prefix))).alias("by_prefix"))
+        .scalar()
     )
     key = isin_key(F.col(isin_col))
     if only is not None:
         key = F.when(only, key)
+    hashed = [f.name for f in df.schema if f.dataType.typeName() not in ("map", "variant")][:KEYLESS_COLUMNS]
+    keyless = F.concat(F.lit("\u0000"), F.pmod(F.xxhash64(*hashed), F.lit(KEYLESS_PARTS)).cast("string"))
     out = (
         df.withColumn("_rkey", key)
-        .join(security, F.col("_rkey") == F.col("_rk_sec"), "left")
-        .join(
-            country,
-            F.substring(F.col("_rkey"), 1, 2) == F.col("_rk_cty"),
-            "left",
-        )
+        .withColumn("_rjoin", F.coalesce(F.nullif(F.col("_rkey"), F.lit("")), keyless))
+        .join(security, F.col("_rjoin") == F.col("_rk_sec"), "left")
+        .withColumn("_cty", F.try_element_at(by_prefix, F.substring(F.col("_rkey"), 1, PREFIX_LENGTH)))
+        .withColumns({"_rule_cty": F.col("_cty.rule"), "_rej_cty": F.col("_cty.rejected")})
     )
     dflt = default_rule(F.col("_rkey"))
     empty = F.col("_rkey").isNull() | (F.col("_rkey") == "")
@@ -72,5 +86,5 @@ def resolve_rules(
         .when(dflt.isNotNull(), F.lit("default"))
     )
     return out.withColumns({"rule": rule, "rule_origin": origin}).drop(
-        "_rkey", "_rk_sec", "_rule_sec", "_rej_sec", "_rk_cty", "_rule_cty", "_rej_cty"
+        "_rkey", "_rjoin", "_rk_sec", "_rule_sec", "_rej_sec", "_cty", "_rule_cty", "_rej_cty"
     )

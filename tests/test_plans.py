@@ -66,3 +66,36 @@ def test_quarantined_aggregates_shuffle_no_rows_by_account(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def _many_rules(spark, n):
+    key = F.concat(F.lit("ZZ"), F.lpad(F.col("id").cast("string"), 10, "0"))
+    texts = {"kind": F.lit("security"), "key": key, "source_country": F.lit("ZZ"), "tax_treatment": F.lit("foreign"),
+             "max_creditable_rate": F.lit(0.1), "instrument": F.lit("share"), "fund_type": F.lit(None).cast("string")}
+    big = spark.range(n).select(*[c.alias(name) for name, c in texts.items()])
+    return catalog.demo_dims(spark, CFG)[1].drop("rejected").select(*texts).unionByName(big)
+
+
+def test_a_large_rules_table_never_shuffles_by_prefix(spark):
+    """Security rules above the broadcast limit: one exchange by ISIN with spread keys, none by two letters."""
+    from kapspark.operators.rules import resolve_rules
+    from kapspark.sources.demo import demo_ledger
+
+    ledger = demo_ledger(spark, SMALL).limit(2000).withColumn("isin", F.when(F.col("code") != 9, F.col("isin")))
+    few = resolve_rules(ledger, _many_rules(spark, 0), CFG)
+    many = resolve_rules(ledger, _many_rules(spark, 50_000), CFG)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = _plan(many)
+        assert "SortMergeJoin" in plan or "ShuffledHashJoin" in plan
+        assert "hashpartitioning(substring" not in plan and "hashpartitioning(_rkey" not in plan
+        assert "hashpartitioning(_rjoin" in plan and "NestedLoop" not in plan and "Cartesian" not in plan
+        columns = ("order_key", "line_no", "supp_key", "isin", "rule", "rule_origin")
+        rows = lambda df: sorted((tuple(r) for r in df.select(*columns).collect()), key=repr)
+        assert rows(many) == rows(few)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    keyless = many.where("isin is null").select("rule_origin").distinct().collect()
+    assert [r[0] for r in keyless] == [None]
