@@ -2,7 +2,9 @@
 
 A tolerant parser builds the page's tree. Elements that are never text of an article
 (scripts, forms, menus, page headers and footers, sidebars, adverts, notices, reader
-comments, hidden parts) go first, by element or by words in class, id and role. Then
+comments, hidden parts) go first, by element or by words in class, id and role. Below an
+article only boxes named as menus, comments, adverts, notices, forms or share bars can go by
+name, and only where their links or their share of the article's text agree. Then
 every paragraph hands points to its ancestors: up to one point for being there, one for
 each comma, up to three for its length; the parent gets them whole, the grandparent half,
 each one above a third of what is left per level. An element's points are discounted by
@@ -23,6 +25,7 @@ pages are read however long they are, nesting of any depth needs no recursion.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from html import unescape
 
@@ -60,6 +63,12 @@ ENDS = {
 }
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "option": {"select"}}
 TABLE_SCOPE = {"table"}
+ENDED = frozenset().union(*ENDS.values())
+# scope element -> what it hides of the elements around it
+SCOPED = {
+    scope: frozenset().union(*(ENDS[name] for name in ENDS if scope in SCOPES.get(name, TABLE_SCOPE)))
+    for scope in TABLE_SCOPE.union(*SCOPES.values())
+}
 NEVER = frozenset(
     "script style noscript iframe template svg math head title nav footer aside form button select option input textarea "
     "label fieldset object embed canvas audio video map dialog menu noembed noframes xmp".split()
@@ -76,6 +85,17 @@ UNLIKELY = re.compile(
 )
 # Of those words, the ones that may also name a frame around the article ("layout with-sidebar").
 FRAME = re.compile(r"(?:^|[\s_-])(?:sidebar|side|aside|rail|header|masthead|more|meta|form|print|banner|widget|toc|legal)(?:$|[\s_-]|\d)", re.I)
+# Names by which a box inside an article may go, if its links or its size agree.
+BOX = re.compile(
+    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adbox|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|"
+    r"sidebar|widget|menu|nav|navbar|navigation|navi|breadcrumbs?|crumbs?|pager|pagination|paging|footer|copyright|"
+    r"comments?|commentlist|replies|reply|respond|disqus|share|sharing|social|related|recommend\w*|teasers?|"
+    r"newsletter|subscribe|signup|login|search|poll|outbrain|taboola|shoutbox|paywall|feedback|form)(?:$|[\s_-]|\d)",
+    re.I,
+)
+REMARKS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|replies|reply|respond|disqus)(?:$|[\s_-]|\d)", re.I)
+MANY_LINKS = 0.3
+BOX_SHARE, REMARKS_SHARE = 0.5, 0.95
 CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 LIKELY = re.compile(r"article|main|content|story|post|entry|body|text|page", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert alertdialog form toolbar".split())
@@ -84,7 +104,7 @@ PARAGRAPHS = frozenset("p pre blockquote td li dd figcaption h2 h3 h4 div sectio
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "kids", "dropped", "score", "letters", "linked", "commas", "own", "depth")
+    __slots__ = ("tag", "attrs", "parent", "kids", "dropped", "score", "letters", "linked", "commas", "own", "depth", "near")
 
     def __init__(self, tag: str, attrs: str, parent: Node | None):
         self.tag, self.attrs, self.parent = tag, attrs, parent
@@ -93,12 +113,31 @@ class Node:
         self.score = 0.0
         self.letters = self.linked = self.commas = self.own = 0
         self.depth = 0 if parent is None else parent.depth + 1
+        # open elements that a later tag may end, by tag, as far as their scope reaches
+        near = {} if parent is None else parent.near
+        if tag in SCOPED:
+            near = {t: n for t, n in near.items() if t not in SCOPED[tag]}
+        if tag in ENDED:
+            near = {**near, tag: self}
+        self.near = near
 
 
 def parse(html: str) -> list[Node]:
-    """All elements in page order; the first is the root."""
+    """All elements in page order; the first is the root. The time is linear in the page's length:
+    an element is walked over only when it is closed."""
     root = Node("#root", "", None)
     nodes, node, at, size = [root], root, 0, len(html)
+    opened: Counter[str] = Counter()
+
+    def end_of(last: Node) -> Node:
+        """End the open elements up to and with `last`; what is open then."""
+        up = node
+        while True:
+            opened[up.tag] -= 1
+            if up is last:
+                return up.parent
+            up = up.parent
+
     while at < size:
         found = TOKEN.search(html, at)
         end = found.start() if found else size
@@ -114,30 +153,25 @@ def parse(html: str) -> list[Node]:
             continue
         name = name.lower()
         if found["end"]:
-            up = node
-            while up is not root and up.tag != name:
-                up = up.parent
-            if up is not root:
-                node = up.parent
+            if opened[name]:
+                up = node
+                while up.tag != name:
+                    up = up.parent
+                node = end_of(up)
             elif name == "p":
                 node.kids.append(Node("p", "", node))
             continue
-        if name in BLOCK and name != "body" and name != "html":
-            # a block ends an open paragraph
+        if opened["p"] and name in BLOCK and name != "body" and name != "html":
+            # a block ends an open paragraph; there is no block in between
             up = node
             while up is not root and up.tag != "p" and (up.tag not in BLOCK):
                 up = up.parent
             if up.tag == "p":
-                node = up.parent
+                node = end_of(up)
         if name in ENDS:
-            stop = SCOPES.get(name, TABLE_SCOPE)
-            up, last = node, None
-            while up is not root and up.tag not in stop:
-                if up.tag in ENDS[name]:
-                    last = up
-                up = up.parent
-            if last is not None:
-                node = last.parent
+            ended = [node.near[t] for t in ENDS[name] if t in node.near]
+            if ended:
+                node = end_of(min(ended, key=lambda n: n.depth))
         new = Node(name, found["attrs"], node)
         node.kids.append(new)
         nodes.append(new)
@@ -145,14 +179,14 @@ def parse(html: str) -> list[Node]:
         if name in RAW and not closed:
             close = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>?", re.I).search(html, at)
             at = close.end() if close else size
-        elif name not in VOID and not found["attrs"].endswith("/"):
-            node = new
-        elif name not in VOID and name in BLOCK:
-            node = new  # a slash does not close an HTML element
+        elif name not in VOID and (name in BLOCK or not found["attrs"].endswith("/")):
+            node = new  # a slash does not close an HTML block
+            opened[name] += 1
     return nodes
 
 
-def _unlikely(node: Node, inside_article: bool, holds_article: bool) -> bool:
+def _unlikely(node: Node, inside_article: bool, holds_article: bool, boxes: list[Node]) -> bool:
+    """Whether the element goes; a named box inside an article is only added to `boxes`."""
     if node.tag in NEVER:
         return True
     if node.tag in ("html", "body", "#root"):
@@ -177,12 +211,17 @@ def _unlikely(node: Node, inside_article: bool, holds_article: bool) -> bool:
     text = " ".join(names)
     if not text or not UNLIKELY.search(text):
         return False
+    if inside_article:
+        if BOX.search(text):
+            boxes.append(node)
+        return False
     # a frame around an article, or the article itself, whatever it has beside it
     return not (holds_article and not UNLIKELY.search(FRAME.sub(" ", FRAME.sub(" ", text))))
 
 
-def _drop(nodes: list[Node]) -> None:
-    holders = set()
+def _drop(nodes: list[Node]) -> list[Node]:
+    """Drop what is never article text; returns the named boxes inside articles, in page order."""
+    holders, boxes = set(), []
     for node in nodes:
         if node.tag in ("article", "main"):
             up = node
@@ -197,7 +236,25 @@ def _drop(nodes: list[Node]) -> None:
             continue
         article = inside[id(up)]
         inside[id(node)] = article or node.tag in ("article", "main")
-        node.dropped = _unlikely(node, article, id(node) in holders)
+        node.dropped = _unlikely(node, article, id(node) in holders, boxes)
+    return boxes
+
+
+def _drop_boxes(nodes: list[Node], boxes: list[Node]) -> bool:
+    """Drop those boxes whose links or whose share of the article's text agree with their name."""
+    any_dropped = False
+    for box in boxes:
+        article = box.parent
+        while article.parent is not None and article.tag not in ("article", "main"):
+            article = article.parent
+        names = CAMEL.sub("-", " ".join(v.strip("\"'") for k, v in ATTRIBUTE.findall(box.attrs) if k.lower() in ("class", "id")))
+        share = REMARKS_SHARE if REMARKS.search(names) else BOX_SHARE
+        if box.linked > MANY_LINKS * box.letters or box.letters < share * article.letters:
+            box.dropped = any_dropped = True
+    if any_dropped:
+        for node in nodes[1:]:
+            node.dropped = node.dropped or node.parent.dropped
+    return any_dropped
 
 
 def _measure(nodes: list[Node]) -> None:
@@ -205,6 +262,7 @@ def _measure(nodes: list[Node]) -> None:
     for node in reversed(nodes):
         if node.dropped:
             continue
+        node.letters = node.linked = node.commas = node.own = 0
         for kid in node.kids:
             if isinstance(kid, str):
                 n = len(" ".join(kid.split()))
@@ -324,8 +382,10 @@ def main_text(html: str | None) -> str:
     if "<" not in html:
         return " ".join(unescape(html).split())
     nodes = parse(html)
-    _drop(nodes)
+    boxes = _drop(nodes)
     _measure(nodes)
+    if boxes and _drop_boxes(nodes, boxes):
+        _measure(nodes)
     _link_lists(nodes)
     best = _best(nodes)
     return "\n".join(block for node in _kept(best) for block in _blocks(node))

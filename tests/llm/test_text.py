@@ -5,8 +5,10 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -69,6 +71,116 @@ def test_broken_and_empty_pages():
     assert html_extract.main_text("<article><p>" + "word, " * 200_000 + "</p></article>") == ("word, " * 200_000).strip()
 
 
+SENTENCE = "The council met on Monday, heard the mayor, and voted on the new bridge after a long debate. "
+
+
+@pytest.mark.parametrize(
+    "piece",
+    [
+        '<p class="more">{}</p>',
+        '<p class="print">{}</p>',
+        '<h2 id="legal">{}</h2>',
+        '<section class="discussion"><p>{}</p></section>',
+        '<div class="post-header"><p>{}</p></div>',
+        '<div class="text side"><p>{}</p></div>',
+        '<p class="hidden-gem">{}</p>',
+        '<div class="social"><p>{0}</p><p>{0}</p><p>{0}</p></div>',  # the larger part of the article's text
+    ],
+)
+def test_names_do_not_cost_an_article_its_text(piece):
+    page = f"<body><article><p>{SENTENCE}</p>{piece.format(SENTENCE)}</article></body>"
+    assert html_extract.main_text(page) == "\n".join([SENTENCE.strip()] * (1 + piece.format(SENTENCE).count("council")))
+
+
+@pytest.mark.parametrize(
+    "box",
+    [
+        '<div class="ad">Buy now!</div>',
+        '<div class="share-bar"><a href="#">Post</a> <a href="#">Mail</a></div>',
+        '<ul class="nav"><li>Home</li><li>About</li></ul>',
+        '<section id="comments"><p>First!</p><p>' + SENTENCE * 5 + "</p></section>",
+        '<p class="cookie-notice">We use cookies.</p>',
+        '<div class="newsletter-signup"><p>Get our letter.</p></div>',
+        "<form><p>Name</p></form>",
+        "<aside>Beside</aside>",
+    ],
+)
+def test_boxes_inside_an_article_go(box):
+    page = f"<body><article><p>{SENTENCE}</p>{box}<p>{SENTENCE}</p></article></body>"
+    assert html_extract.main_text(page) == "\n".join([SENTENCE.strip()] * 2)
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div>" * 100_000 + "</span>" * 100_000 + "text",
+        "<div>" * 100_000 + "<li>x</li>" * 50_000,
+        "<ul><li><ul>" + "<div>" * 100_000 + "<li>x</li>" * 50_000,
+        "<b>" * 100_000 + "<p>x</p>" * 50_000,
+        "<table><tr><td>" + "<i>" * 100_000 + "<tr><td>x" * 20_000,
+    ],
+)
+def test_deep_and_unclosed_markup_takes_linear_time(page):
+    """Time for twice the elements is about twice the time (the limit leaves room for a busy machine)."""
+    began = time.process_time()
+    html_extract.main_text(page[: len(page) // 4])
+    quarter = time.process_time() - began
+    began = time.process_time()
+    html_extract.main_text(page)
+    assert time.process_time() - began < 10 * quarter + 2
+
+
+class PlainArticle(HTMLParser):
+    """Text of the page's article by the standard library's parser, block by block."""
+
+    BLOCKS = {"p", "h1", "h2", "h3", "li", "ul", "ol", "blockquote", "article", "div", "section", "pre", "table", "tr", "td"}
+    AWAY = {"script", "style", "nav", "aside", "footer", "form"}
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.away, self.blocks, self.run = 0, 0, [], []
+
+    def close_run(self):
+        text = " ".join("".join(self.run).split())
+        if text:
+            self.blocks.append(text)
+        self.run = []
+
+    def handle_starttag(self, tag, attrs):
+        self.inside += tag == "article"
+        self.away += tag in self.AWAY
+        if tag in self.BLOCKS:
+            self.close_run()
+        if tag == "br":
+            self.run.append(" ")
+
+    def handle_endtag(self, tag):
+        if tag in self.BLOCKS:
+            self.close_run()
+        self.inside -= tag == "article"
+        self.away -= tag in self.AWAY
+
+    def handle_data(self, data):
+        if self.inside and not self.away:
+            self.run.append(data)
+
+
+def test_given_pages_against_a_plain_parser(spark):
+    """Every page that has one article: exactly its text."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()
+    checked = 0
+    for (html,) in rows:
+        if not html or html.count("<article") != 1 or 'class="comment' in html:
+            continue
+        plain = PlainArticle()
+        plain.feed(html)
+        plain.close()
+        plain.close_run()
+        assert html_extract.main_text(html) == "\n".join(plain.blocks)
+        checked += 1
+    assert checked > 50
+
+
 def test_extraction_as_a_frame(spark):
     df = spark.createDataFrame([(1, "u", ARTICLE, "x"), (1, "u", ARTICLE, "x"), (None, None, None, "x")], "page_id long, url string, html string, text string")
     out = html_extract.extract(df, keep_cols=["page_id", "url"]).collect()
