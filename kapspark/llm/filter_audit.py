@@ -35,6 +35,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,7 +48,8 @@ FILTERS = "ABCDE"
 BLOCK_CHARS = 6_000_000
 BLOCK_ROWS = 50_000
 BUCKET_CHARS = 16_000_000
-CHUNK_BYTES = 1 << 20
+# Odd factors for the bytes of a word by their place.
+FACTORS = np.random.default_rng(12).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 SIGNS = b"#$%&*|"
 MIN_WORDS = 200
 FACTS = ("chars", "capitals", "sign", "digest")
@@ -87,9 +89,8 @@ def word_table(raw: Sequence[bytes]) -> tuple[pa.Array, np.ndarray]:
     words = pa.Array.from_buffers(
         pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())]
     )
-    ends = np.cumsum(sizes)
-    counted = np.concatenate([[0], np.cumsum(heads)])
-    return words, counted[ends] - counted[ends - sizes]
+    begun = np.searchsorted(np.flatnonzero(heads), np.concatenate([[0], np.cumsum(sizes)]))
+    return words, np.diff(begun)
 
 
 def text_facts(raw: bytes) -> dict:
@@ -103,50 +104,56 @@ def text_facts(raw: bytes) -> dict:
     }
 
 
-def _chunks(texts: Sequence[bytes]) -> Iterator[list[bytes]]:
-    held, size = [], 0
-    for text in texts:
-        held.append(text)
-        size += len(text)
-        if size >= CHUNK_BYTES:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
-
-
-def csr(texts: Sequence[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-    """(word list, row ends, columns, counts) of the texts' matrix; columns ascend within a row."""
-    known: dict[bytes, int] = {}
-    widths, columns, counts = [], [], []
-    for chunk in _chunks(texts):
-        words, per_text = word_table(chunk)
-        coded = words.dictionary_encode()
-        own = np.array([known.setdefault(w, len(known)) for w in coded.dictionary.to_pylist()], dtype=np.int64)
-        column = own[coded.indices.to_numpy(zero_copy_only=False)] if len(own) else np.zeros(0, dtype=np.int64)
-        row = np.repeat(np.arange(len(chunk)), per_text)
-        cells, times = np.unique((row << 40) | column, return_counts=True)
-        widths.append(np.bincount(cells >> 40, minlength=len(chunk)))
-        columns.append(cells & ((1 << 40) - 1))
-        counts.append(times)
-    ends = np.cumsum(np.concatenate(widths)) if widths else np.zeros(0, dtype=np.int64)
-    empty = np.zeros(0, dtype=np.int64)
-    return list(known), ends, np.concatenate([empty, *columns]), np.concatenate([empty, *counts])
-
-
-def _parts(words: list[bytes], buckets: int) -> list[dict]:
+def csr(texts: Sequence[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct words, row ends, columns, counts) of the texts' matrix; columns ascend within a row."""
+    words, per_text = word_table(texts)
+    coded = words.dictionary_encode()
+    width = max(1, len(coded.dictionary))
+    kind = np.int32 if len(texts) * width < 1 << 31 else np.int64
+    row = np.repeat(np.arange(len(texts), dtype=kind), per_text)
+    cells, counts = np.unique(row * kind(width) + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+    ends = np.cumsum(np.bincount(cells // width, minlength=len(texts)))
+    return coded.dictionary, ends, cells % width, counts
+
+
+def _raw(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, bytes) of a large_binary array."""
+    offsets = np.frombuffer(words.buffers()[1], dtype=np.int64)[words.offset : words.offset + len(words) + 1]
+    data = words.buffers()[2]
+    return offsets, np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
+
+
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each word, the same wherever the word stands."""
+    if not len(words):
+        return np.zeros(0, dtype=np.uint64)
+    offsets, data = _raw(words)
+    sizes = np.diff(offsets)
+    data = data[offsets[0] : offsets[-1]].astype(np.uint64) + np.uint64(1)
+    place = np.arange(len(data)) - np.repeat(offsets[:-1] - offsets[0], sizes)
+    mixed = np.add.reduceat(data * FACTORS[place % len(FACTORS)], offsets[:-1] - offsets[0]) ^ sizes.astype(np.uint64)
+    mixed ^= mixed >> np.uint64(29)
+    mixed *= np.uint64(0xBF58476D1CE4E5B9)
+    return mixed ^ (mixed >> np.uint64(32))
+
+
+def _parts(words: pa.Array, buckets: int) -> list[dict]:
     """The words by bucket, each bucket's packed with their numbers."""
-    bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), dtype=np.int64, count=len(words))
+    bucket = (word_hashes(words) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
+    offsets, data = _raw(words.take(pa.array(order)))
+    sizes = np.diff(offsets)
     used, starts = np.unique(bucket[order], return_index=True)
-    out = []
-    for b, at in zip(used.tolist(), np.split(order, starts[1:])):
-        own = [words[i] for i in at.tolist()]
-        sizes = np.fromiter(map(len, own), dtype=np.int64, count=len(own))
-        out.append(
-            {"bucket": b, "numbers": _pack(at, "<u4"), "sizes": _pack(sizes, "<u4"), "words": zlib.compress(b"".join(own), 1)}
-        )
-    return out
+    ends = np.append(starts[1:], len(order))
+    return [
+        {
+            "bucket": b,
+            "numbers": _pack(order[i:j], "<u4"),
+            "sizes": _pack(sizes[i:j], "<u4"),
+            "words": zlib.compress(data[offsets[i] : offsets[j]].tobytes(), 1),
+        }
+        for b, i, j in zip(used.tolist(), starts.tolist(), ends.tolist())
+    ]
 
 
 def _rows_type(keep: Sequence[T.StructField]) -> T.StructType:
@@ -231,9 +238,9 @@ def _number_words(buckets: int):
             pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data)]
         )
         coded = words.dictionary_encode()
-        order = coded.dictionary.sort().to_pylist()
-        rank = {w: r for r, w in enumerate(order)}
-        by_code = np.array([rank[w] for w in coded.dictionary.to_pylist()], dtype=np.int64)
+        order = pc.array_sort_indices(coded.dictionary).to_numpy()
+        by_code = np.empty(len(order), dtype=np.int64)
+        by_code[order] = np.arange(len(order))
         ids = by_code[coded.indices.to_numpy(zero_copy_only=False)] * buckets + bucket
         ends = np.cumsum([len(s) for s in sizes])
         packed = [_pack(p, "<i8") for p in np.split(ids, ends[:-1])]
@@ -243,7 +250,7 @@ def _number_words(buckets: int):
                 "bucket": pa.array(np.full(len(sizes) + 1, bucket, dtype=np.int32)),
                 "numbers": pa.array([*parts.column("numbers").to_pylist(), None], pa.binary()),
                 "ids": pa.array([*packed, None], pa.binary()),
-                "words": pa.array([*[None] * len(sizes), order], pa.list_(pa.binary())),
+                "words": pa.array([*[None] * len(sizes), coded.dictionary.take(pa.array(order)).to_pylist()], pa.list_(pa.binary())),
             }
         )
 
@@ -261,7 +268,9 @@ def _globalise(blocks: pa.Table, found: pa.Table) -> pa.Table:
     ends = _unpack(blocks.column("row_ends")[0].as_py(), "<i8")
     columns = ids[np.cumsum(_unpack(blocks.column("columns")[0].as_py(), "<i4"), dtype=np.int64)]
     counts = _unpack(blocks.column("counts")[0].as_py(), "<i4")
-    order = np.lexsort((columns, np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))))
+    place = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+    span = max(1, int(ids.max(initial=0)) + 1)
+    order = np.argsort(place * span + columns) if len(ends) * span < 1 << 62 else np.lexsort((columns, place))
     return pa.table(
         {
             "block": blocks.column("block"),

@@ -14,10 +14,12 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only a session that has none (as in tests) gets a folder of its own.
+    Only a local session that has none (as in tests) gets a folder of its own.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("this needs spark.checkpoint.dir (a folder that driver and executors share)")
         root = tempfile.mkdtemp(prefix="kapspark-llm-")
         spark.sparkContext.setCheckpointDir(root)
     return root

@@ -8,6 +8,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from kapspark.llm import filter_audit
@@ -139,6 +140,18 @@ def test_an_empty_table(spark, docs_of):
 
 def test_matrix_of_texts_without_words():
     words, ends, columns, counts = csr([b"", b" \n", b"a a b"])
-    assert (words, list(ends), list(columns), list(counts)) == ([b"a", b"b"], [0, 0, 2], [0, 1], [2, 1])
+    assert (words.to_pylist(), list(ends), list(columns), list(counts)) == ([b"a", b"b"], [0, 0, 2], [0, 1], [2, 1])
     assert [len(x) for x in csr([b""])] == [0, 1, 0, 0]
+
+
+def test_a_hash_depends_on_the_word_alone():
+    words = [b"a", b"b", b"ab", b"ba", b"a" * 64, b"a" * 65, b"a" * 500, "é".encode()] + [f"w{k}".encode() for k in range(5000)]
+    one = filter_audit.word_hashes(pa.array(words, pa.large_binary()))
+    other = filter_audit.word_hashes(pa.array([b"x", *reversed(words)], pa.large_binary()).slice(1))
+    assert list(one) == list(other)[::-1] and len(set(one.tolist())) == len(words)
+    spread = np.bincount((one % np.uint64(8)).astype(int), minlength=8)
+    assert spread.min() > len(words) / 8 * 0.8
+
+
+def test_facts_of_a_text():
     assert filter_audit.text_facts("É A\n".encode())["chars"] == 4
