@@ -318,9 +318,11 @@ def q_tax_years(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir`` (shared storage on a cluster).
-    Only when the session has none (local runs, tests) is a fresh one set."""
+    Only a local session that has none (as in tests) gets a fresh one."""
     base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("this needs spark.checkpoint.dir (a folder that driver and executors share)")
         base = tempfile.mkdtemp(prefix="kapspark-ckpt-")
         spark.sparkContext.setCheckpointDir(base)
         base = spark.sparkContext.getCheckpointDir()
