@@ -4,14 +4,19 @@ from __future__ import annotations
 
 import random
 import re
+import struct
 import subprocess
 import sys
+from hashlib import sha256
 from pathlib import Path
 
 import corpus_pipeline
 import pytest
+import tiktoken
+from test_dedup import ascii_lower, brute_fingerprint
 
 from kapspark.llm import queries, toxicity
+from kapspark.llm.bpe import load_ranks
 
 REPO = Path(__file__).resolve().parents[2]
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -62,29 +67,108 @@ def test_stages_in_order(spark, sf_dir):
     assert sorted(r["doc_id"] for r in left["bpe"]) == sorted(r["doc_id"] for r in left["mixing"])
 
 
-def test_the_mixture_keeps_its_weights(spark, sf_dir):
-    scored = toxicity.score(
-        spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"), keep_cols=COLUMNS
-    )
-    assert scored.columns == [*COLUMNS, "held_out", "score", "predicted"]
+def row_key(rows):
+    return sorted((tuple(r[c] for c in COLUMNS) for r in rows), key=repr)
+
+
+def plain_exact(rows):
+    """Of equal texts (A-Z as a-z) the row with the largest id."""
+    best = {}
+    for r in rows:
+        t = ascii_lower(r["text"])
+        if t not in best or (r["doc_id"] is not None and (best[t]["doc_id"] is None or r["doc_id"] > best[t]["doc_id"])):
+            best[t] = r
+    return list(best.values())
+
+
+def plain_near(rows):
+    """Of fingerprints linked within four bits, over any number of links, the row with the smallest id."""
+    prints = [brute_fingerprint(r["text"] or "") for r in rows]
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 4 and label[i] != label[j]:
+                old, new = label[i], label[j]
+                label = [new if x == old else x for x in label]
+    best = {}
+    for r, group in zip(rows, label):
+        if group not in best or r["doc_id"] < best[group]["doc_id"]:
+            best[group] = r
+    return list(best.values())
+
+
+def plain_mixture(rows):
+    """The registered query's SQL over the given rows: a row for each epoch that takes it."""
+    import duckdb
+    import pyarrow as pa
+
+    documents = pa.Table.from_pylist([r.asDict() for r in rows], schema=pa.schema([(c, t) for c, t in zip(COLUMNS, (pa.int64(), *[pa.string()] * 3, pa.int64()))]))
+    db = duckdb.connect()
+    db.register("documents", documents)
+    by_id = {r["doc_id"]: r for r in rows}
+    return [by_id[i] for (i,) in db.sql(f"SELECT doc_id FROM ({queries.mixing_sql(queries.MIX)})").fetchall()]
+
 
+def plain_tokens(rows):
+    import public_tokenizers
 
-def test_run_returns_the_last_stage(spark, sf_dir):
+    ranks = load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    coder = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    out = []
+    for r in rows:
+        ids = coder.encode_ordinary(r["text"] or "")
+        packed = struct.pack(f"<{len(ids)}I", *ids)
+        out.append((r["doc_id"], len(ids), sha256(packed).hexdigest(), sha256((r["text"] or "").encode()).hexdigest()))
+    return sorted(out)
+
+
+def test_the_pipeline_row_by_row(spark, sf_dir):
+    """Every stage on what its plain predecessor kept; of toxicity the model's own decisions are taken."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = toxicity.score(docs, labels, keep_cols=COLUMNS).collect()
+    rows = [r for r in scored if not r["predicted"]]
+    assert len(scored) == docs.count() and 0 < len(rows) < len(scored)
+    spark_docs = docs
+    plain = {"toxicity": lambda _: rows, "exact_dedup": plain_exact, "simhash": plain_near, "mixing": plain_mixture}
+    kept = scored
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        spark_docs = corpus_pipeline.shared.staged(stage(spark, spark_docs, sf_dir), name)
+        kept = plain[name](kept)
+        assert row_key(spark_docs.collect()) == row_key(kept), name
     out = corpus_pipeline.run(spark, sf_dir)
-    assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() > 50
+    assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert sorted(map(tuple, out.collect())) == plain_tokens(kept)
+
+
+def test_the_pipeline_of_an_empty_table(spark, sf_dir, tmp_path, docs_of):
+    empty = tmp_path / "empty"
+    docs_of([(1, "a")]).filter("doc_id < 0").write.parquet(str(empty / "documents.parquet"))
+    spark.read.parquet(f"{sf_dir}/labels.parquet").write.parquet(str(empty / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(empty)).collect() == []
+
+
+def test_the_pipeline_with_clashing_columns(spark, sf_dir, tmp_path):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    names = ("kept", "key", "id", "fp", "n", "size", "score", "predicted", "epoch", "shard", "block", "toxic", "node", "tokens")
+    extra = docs.selectExpr("*", *[f"'x' as {c}" for c in names])
+    extra.write.parquet(str(tmp_path / "extra" / "documents.parquet"))
+    spark.read.parquet(f"{sf_dir}/labels.parquet").write.parquet(str(tmp_path / "extra" / "labels.parquet"))
+    rows = lambda d: sorted(map(tuple, corpus_pipeline.run(spark, str(d)).collect()))
+    assert rows(tmp_path / "extra") == rows(sf_dir)
 
 
 def test_every_operator_is_registered():
     import __spark_entry__
 
     names = set(__spark_entry__.queries())
-    assert {int(m[1]) for n in names if (m := re.match(r"op(\d+)_", n))} == set(range(1, 11))
+    assert {int(m[1]) for n in names if (m := re.match(r"op(\d+)_", n))} == set(range(1, 14))
     assert "pipeline" in names and set(queries.ORACLE_SQL) <= set(__spark_entry__.oracle_sql())
 
 
 def test_the_entry_works_without_this_subpackage(tmp_path):
     code = (
-        "import sys, importlib.abc\n"
+        "import re, sys, importlib.abc\n"
         "class Gone(importlib.abc.MetaPathFinder):\n"
         "    def find_spec(self, name, path=None, target=None):\n"
         "        if name == 'corpus_pipeline' or name.startswith('kapspark.llm'):\n"
@@ -92,7 +176,7 @@ def test_the_entry_works_without_this_subpackage(tmp_path):
         "sys.meta_path.insert(0, Gone())\n"
         "import __spark_entry__ as e\n"
         "q = e.queries()\n"
-        "assert 'form_lines' in q and 'pipeline' not in q and not any(n.startswith('op') for n in q)\n"
+        "assert 'form_lines' in q and 'pipeline' not in q and not any(re.match('op[0-9]', n) for n in q)\n"
         "assert set(e.oracle_sql()) <= set(q)\n"
     )
     subprocess.run([sys.executable, "-c", code], cwd=REPO, check=True, timeout=120)
