@@ -175,6 +175,16 @@ def q_fifo_realized_as_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sales_out(_sales_with(spark, sf_dir, DEMO_CONFIG.with_(cost_mode="as_observed")))
 
 
+def q_fifo_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FIFO over the ledger stored in buckets by (account, ISIN): no exchange below its windows."""
+    from kapspark.sources.ledger import write_bucketed
+
+    name = f"ledger_{uuid.uuid4().hex}"
+    stored = write_bucketed(demo_ledger(spark, sf_dir), name, scratch_dir(spark), 16)
+    rates, rules = demo_dims(spark)
+    return _sales_out(calculate(spark, stored, rates, rules, DEMO_CONFIG, rules_validated=True).sales_all_years)
+
+
 def q_fifo_shortfall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per (account, ISIN) with a shortfall: how many sales lack inventory,
     the first such sale and the largest missing quantity."""
@@ -548,6 +558,7 @@ QUERIES: dict[str, Query] = {
     "fund_breakdown": q_fund_breakdown,
     "fifo_realized": q_fifo_realized,
     "fifo_realized_as_observed": q_fifo_realized_as_observed,
+    "fifo_bucketed": q_fifo_bucketed,
     "fifo_shortfall": q_fifo_shortfall,
     "stock_result_split": q_stock_result_split,
     "form_lines": q_form_lines,

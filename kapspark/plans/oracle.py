@@ -661,6 +661,7 @@ FROM classified WHERE scope = 'dividend' GROUP BY account_id, tax_year, form, fu
     "fund_breakdown": _FUND_BREAKDOWN,
     "fifo_realized": _sales_sql("sales_pro_rata"),
     "fifo_realized_as_observed": _sales_sql("sales_as_observed"),
+    "fifo_bucketed": _sales_sql("sales_pro_rata"),
     "fifo_shortfall": BASE + """
 SELECT account_id, isin, count(*) AS n_short_sales,
        strftime(arg_min(ts, (ts, side, order_key, line_no, supp_key, quantity, net, tax, currency)),

@@ -99,3 +99,16 @@ def test_a_large_rules_table_never_shuffles_by_prefix(spark):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     keyless = many.where("isin is null").select("rule_origin").distinct().collect()
     assert [r[0] for r in keyless] == [None]
+
+
+def test_fifo_over_a_bucketed_ledger_has_no_exchange(spark):
+    sales = catalog.q_fifo_bucketed(spark, SMALL)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = _plan(sales.select("*"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert "Exchange hashpartitioning(account_id" not in plan and "Exchange rangepartitioning" not in plan, plan
+    assert plan.count("Window") >= 2 and "Bucketed: true" in plan
+    plain = catalog.q_fifo_realized(spark, SMALL)
+    assert sorted(map(repr, sales.collect())) == sorted(map(repr, plain.collect()))
