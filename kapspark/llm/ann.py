@@ -2,12 +2,14 @@
 
 Codes: vectors of length one are rotated by learned rotations (iterative quantisation,
 fitted on at most ``FIT_ROWS`` vectors by hash order) and cut to their signs, one bit for
-each dimension and rotation. A code is split into substrings of ``SUB_BITS`` bits, and
-each substring has an index of its own. If two codes differ in at most r bits, the
-pigeonhole principle says that one of the m substrings differs in at most r // m bits: so
-probing the buckets within r // m of a query's substrings, in all indexes, meets every
-code within radius r. Those are checked for the radius by their whole codes and ranked by
-the cosine of the original vectors in double precision.
+each dimension and rotation. A code is split into substrings of ``SUB_BITS`` bits. If two
+codes differ in at most r bits, the pigeonhole principle says that one of the m substrings
+differs in at most r // m bits: so the codes that pass in some substring hold every code
+within radius r. Which values of a substring lie within r // m of a query's is a table of
+256 entries, and every row of a cell is looked up in it: there is no stored index by value.
+With a radius that keeps the neighbours of vectors without much structure nearly all rows
+pass, so there the search is in effect a scan of all codes. What passes is checked for the
+radius by the whole codes and ranked by the cosine of the original vectors in double precision.
 
 The radius comes from the fit: ``TARGET`` of the true nearest neighbours in the sample lie
 within it. In the whole table neighbours are nearer than in the sample, so the share found
@@ -15,7 +17,7 @@ there is higher. A query with fewer than k neighbours inside the radius is asked
 with the radius of the whole code, so it gets k whenever there are k candidates.
 
 Rows are dealt by a hash of the id into blocks of about ``ROW_BLOCK``, queries into blocks
-of about ``QUERY_BLOCK``. A cell of the grid holds one block of each and its own indexes;
+of about ``QUERY_BLOCK``. A cell of the grid holds one block of each;
 nothing is broadcast but the rotations, and a cell's size is fixed. A cell returns k rows
 for each query, and two levels of windows merge them.
 

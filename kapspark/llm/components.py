@@ -1,9 +1,10 @@
 """Connected components of an edge table, without a driver-side graph.
 
 Alternating large-star and small-star steps: each step is one aggregation by
-node (minimum of the neighbours, with map-side partial minima) and one join back,
-which Spark splits when a hub holds many edges. Every round is written to the
-shared folder, so lineage stays short and a lost executor costs one round.
+node (minimum of the neighbours, with map-side partial minima) and one join back.
+A hub's edges, two longs each, meet its minimum in one task: the minimum is not stored
+first, so Spark cannot split that join. Every round is written to the shared folder, so
+lineage stays short and a lost executor costs one round.
 """
 
 from __future__ import annotations

@@ -306,6 +306,65 @@ def test_probabilities_of_a_context_sum_to_one(spark):
     assert all(0.3 < sum(v) <= 1 + 1e-9 for v in totals.values())
 
 
+def plain_ratio(words, history, discount=toxicity.DISCOUNT):
+    """Log-likelihood ratio of a gram (history, byte) from the words (text, label), by the textbook:
+    absolute discounting per class, backing off to continuation counts of both classes together."""
+    counts = [defaultdict(int), defaultdict(int)]
+    for word, label in words:
+        seen = b" "
+        for byte in word.encode():
+            counts[label][seen[-history:], byte] += 1
+            seen += bytes([byte])
+    both = set(counts[0]) | set(counts[1])
+
+    def continuations(length):
+        """For grams with `length` bytes of history: how many grams precede them by one more byte (or begin a word)."""
+        if length == history:
+            return {g: 1 for g in both if len(g[0]) == history}
+        found = defaultdict(int)
+        for h, byte in continuations(length + 1):
+            found[h[1:], byte] += 1
+        for h, byte in both:
+            if len(h) == length:
+                found[h, byte] += 1
+        return found
+
+    levels = [continuations(m) for m in range(history)]
+
+    def shared(h, byte):
+        if (h, byte) not in levels[len(h)]:
+            return 1 / 256
+        own = {g: c for g, c in levels[len(h)].items() if g[0] == h}
+        lower = shared(h[1:], byte) if h else 1 / 256
+        return (max(own[h, byte] - discount, 0) + discount * len(own) * lower) / sum(own.values())
+
+    def probability(label, h, byte):
+        own = {g: c for g, c in counts[label].items() if g[0] == h}
+        lower = shared(h[1:], byte)
+        if not own:
+            return lower
+        return (max(own.get((h, byte), 0) - discount, 0) + discount * len(own) * lower) / sum(own.values())
+
+    return {g: np.log(probability(1, *g)) - np.log(probability(0, *g)) for g in both}
+
+
+@pytest.mark.parametrize("history", [2, 3, 5])
+def test_ratios_against_plain_kneser_ney(spark, history):
+    rnd = random.Random(history)
+    words = [("".join(rnd.choice("abcdé") for _ in range(rnd.randint(1, 8))), int(rnd.random() < 0.4)) for _ in range(150)]
+    rows = [(int(k), y, 1) for w, y in words for k in toxicity.gram_keys([w], history)[0]]
+    grams = spark.createDataFrame(rows, "key long, toxic int, n int").groupBy("key").agg(
+        F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("c0"),
+        F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("c1"),
+    )
+    seen, _ = toxicity.log_ratios(grams, history)
+    got = {r["key"]: r["ratio"] for r in seen.collect()}
+    want = plain_ratio(words, history)
+    assert len(got) == len(want)
+    for (h, byte), ratio in want.items():
+        assert got[int.from_bytes(h + bytes([byte]), "big")] == pytest.approx(ratio, abs=1e-12)
+
+
 def toxic_rows(n=400):
     rnd = random.Random(7)
     rows, labels = [], []
