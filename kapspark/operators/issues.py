@@ -9,14 +9,15 @@ everything and report).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from kapspark import config as C
 from kapspark import constants as K
 from kapspark.config import TaxConfig
+from kapspark.sources.staging import stage
 
 
 class LedgerIssuesError(ValueError):
@@ -100,17 +101,26 @@ def unknown_currencies(ledger: DataFrame) -> DataFrame:
     return ledger.where(unknown).groupBy(C.ACCOUNT, C.CURRENCY).agg(F.count(F.lit(1)).alias("n"))
 
 
+def fifo_checks() -> dict[str, Column]:
+    """Name of each issue of a realised sale -> its predicate."""
+    return {
+        "fifo_shortfall": F.col("shortfall") & F.col("missing_qty").isNotNull(),
+        "fifo_key_shortfall": F.col("shortfall"),
+        "fifo_invalid_key": F.col("invalid"),
+    }
+
+
 def fifo_issues(sales: DataFrame) -> DataFrame:
     """(account_id, issue, n): sales left uncosted by a shortfall or bad trade."""
-    return _long(
-        sales,
-        [C.ACCOUNT],
-        {
-            "fifo_shortfall": F.col("shortfall") & F.col("missing_qty").isNotNull(),
-            "fifo_key_shortfall": F.col("shortfall"),
-            "fifo_invalid_key": F.col("invalid"),
-        },
-    )
+    return _long(sales, [C.ACCOUNT], fifo_checks())
+
+
+def stage_checked(df: DataFrame, checks: Mapping[str, Column], name: str) -> tuple[DataFrame, dict[str, int]]:
+    """Store ``df`` (see ``sources.staging``) and count each check's rows in the same pass."""
+    counted = Observation(name)
+    metrics = [F.count_if(F.coalesce(pred, F.lit(False))).alias(issue) for issue, pred in checks.items()]
+    stored = stage(df.observe(counted, *metrics), name)
+    return stored, counted.get
 
 
 def tax_years(ledger: DataFrame, cfg: TaxConfig) -> DataFrame:

@@ -49,6 +49,8 @@ class TaxResult:
         self._yearly = yearly_rates(spark) if rates_yearly is None else rates_yearly
         self._rules_validated = rules_validated
         self._lots = lots
+        # issue -> number of rows, as far as they were counted while tables were stored
+        self._found: dict[str, int] = {}
 
     @cached_property
     def bad_accounts(self) -> DataFrame | None:
@@ -67,10 +69,32 @@ class TaxResult:
         return df.join(bad, F.col(C.ACCOUNT).eqNullSafe(F.col("_bad_account")), "left_anti")
 
     def check(self) -> "TaxResult":
-        """Apply the ``error`` policy now (raises on any issue)."""
+        """Apply the ``error`` policy now (raises on any issue).
+
+        Where the converted ledger and the FIFO result are stored, their rows are checked while
+        they are written: a ledger without issues is read once for check and outputs together.
+        Only when something was found another pass names the accounts.
+        """
+        if self.cfg.checkpoint_ledger and self.cfg.checkpoint_sales:
+            self._fx_all, self._sales_all  # stored, and checked on the way
+            of_years = self.cfg.tax_year is not None or self.cfg.single_year_rule
+            if not any(self._found.values()) and self._rules_judged and not of_years:
+                return self
         issues.enforce(self.issues, self.cfg)
         return self
 
+    @property
+    def _rules_judged(self) -> bool:
+        """Whether no rule is rejected: a judged table says so, an unjudged one raises under ``error``."""
+        if self._rules_validated:
+            return True
+        return self.rules_ok is not None and self.cfg.on_issue == "error"
+
+    def _stored(self, df: DataFrame, checks, name: str) -> DataFrame:
+        stored, found = issues.stage_checked(df, checks, name)
+        self._found.update(found)
+        return stored
+
     @cached_property
     def rules_ok(self) -> DataFrame:
         if self._rules_validated:
@@ -90,7 +114,7 @@ class TaxResult:
     @cached_property
     def _fx_all(self) -> DataFrame:
         df = gross_up(fx_convert(self._ledger_all, self._rates_daily, self._yearly, self.cfg), self.has_tax)
-        return stage(df, "ledger_fx") if self.cfg.checkpoint_ledger else df
+        return self._stored(df, issues.ledger_checks(df, self.cfg), "ledger_fx") if self.cfg.checkpoint_ledger else df
 
     @cached_property
     def ledger_fx(self) -> DataFrame:
@@ -143,7 +167,7 @@ class TaxResult:
     @cached_property
     def _sales_all(self) -> DataFrame:
         sales = fifo.realized_sales(self.ledger_fx, self.cfg, ledger=self.ledger, lots=self._lots)
-        return stage(sales, "sales") if self.cfg.checkpoint_sales else sales
+        return self._stored(sales, issues.fifo_checks(), "sales") if self.cfg.checkpoint_sales else sales
 
     @cached_property
     def sales_all_years(self) -> DataFrame:
@@ -217,7 +241,7 @@ class TaxResult:
 
     @cached_property
     def tax_years(self) -> DataFrame:
-        return issues.tax_years(self.ledger, self.cfg)
+        return issues.tax_years(self.ledger_fx if self.cfg.checkpoint_ledger else self.ledger, self.cfg)
 
     @cached_property
     def ledger_issues(self) -> DataFrame:
