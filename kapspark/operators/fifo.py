@@ -42,9 +42,6 @@ KEY = (C.ACCOUNT, C.ISIN)
 BUY, SELL = 0, 1
 # Orders bookings that no named column orders: a hash of their other columns.
 TIE = "_tie"
-# Of a lot: its bought quantity (``quantity`` is what of it is still there), and the flags of its
-# key from an earlier run.
-STATE = ("lot_qty", "was_short", "was_bad")
 
 
 def _tiebreak(cfg: TaxConfig) -> list[str]:
@@ -88,13 +85,7 @@ def trades_of(ledger_fx: DataFrame, cfg: TaxConfig) -> DataFrame:
     return (
         ledger_fx.withColumn("side", side)
         .where(F.col("side").isNotNull())
-        .select(
-            *dict.fromkeys(cols),
-            "side",
-            F.col(C.QUANTITY).alias("lot_qty"),
-            F.lit(False).alias("was_short"),
-            F.lit(False).alias("was_bad"),
-        )
+        .select(*dict.fromkeys(cols), "side")
     )
 
 
@@ -102,6 +93,9 @@ def _with_lots(trades: DataFrame, lots: DataFrame | None, cfg: TaxConfig) -> Dat
     """Trades after the open lots of an earlier run (see ``open_lots``), which come as buys."""
     if lots is None:
         return trades
+    trades = trades.withColumns(
+        {"lot_qty": F.col(C.QUANTITY), "was_short": F.lit(False), "was_bad": F.lit(False)}
+    )
     absent = [c for c in _tiebreak(cfg) if c not in lots.columns and c not in (C.QUANTITY, "net_eur")]
     if absent:
         raise ValueError(f"tiebreak columns are not in the lots: {absent}")
@@ -117,7 +111,19 @@ def _with_lots(trades: DataFrame, lots: DataFrame | None, cfg: TaxConfig) -> Dat
     return trades.unionByName(bought)
 
 
-def _bad_row() -> Column:
+# With the open lots of an earlier run trades have three columns more: ``lot_qty`` (the bought
+# quantity; ``quantity`` is what of it is still there) and the key's flags of that run.
+
+
+def _lot_qty(df: DataFrame) -> Column:
+    return F.col("lot_qty" if "lot_qty" in df.columns else C.QUANTITY)
+
+
+def _short(df: DataFrame) -> Column:
+    return F.col("short_row") | F.col("was_short") if "was_short" in df.columns else F.col("short_row")
+
+
+def _bad_row(df: DataFrame) -> Column:
     """Rows that make FIFO undefined for their key (the reference aborts)."""
     own = (
         F.col(C.ISIN).isNull()
@@ -126,6 +132,8 @@ def _bad_row() -> Column:
         | F.col(C.TS).isNull()
         | F.col("net_eur").isNull()
     )
+    if "was_bad" not in df.columns:
+        return own
     # lots of a key that was flagged before have no remaining quantity; their flags say why
     return F.when(F.col("was_short") | F.col("was_bad"), F.col("was_bad")).otherwise(own)
 
@@ -155,7 +163,7 @@ def _running(df: DataFrame, cfg: TaxConfig, part: list[str], with_offsets: bool)
             "missing_qty": F.when(
                 F.col("short_row"), F.least(F.col(C.QUANTITY), F.col("cum_sell") - F.col("cum_buy"))
             ),
-            "bad_row": _bad_row(),
+            "bad_row": _bad_row(df),
         }
     )
 
@@ -166,7 +174,7 @@ def positions(trades: DataFrame, cfg: TaxConfig) -> DataFrame:
     df = _running(trades, cfg, list(KEY), with_offsets=False)
     return df.withColumns(
         {
-            "key_short": F.max(F.col("short_row") | F.col("was_short")).over(w_key),
+            "key_short": F.max(_short(df)).over(w_key),
             "key_bad": F.max("bad_row").over(w_key),
         }
     )
@@ -179,7 +187,7 @@ def _breakpoints(pos: DataFrame, cfg: TaxConfig, extra: tuple[str, ...] = ()) ->
         F.col("side") == BUY,
         F.struct(
             F.col("p").alias("lot_end"),
-            F.col("lot_qty"),
+            _lot_qty(pos).alias("lot_qty"),
             (-F.col("net_eur")).alias("lot_cost"),
         ),
     )
@@ -348,7 +356,7 @@ def positions_chunked(trades: DataFrame, rows: int, cfg: TaxConfig) -> DataFrame
     of_key = Window.partitionBy(*KEY)
     flags = (
         pos.groupBy(*on)
-        .agg(F.max(F.col("short_row") | F.col("was_short")).alias("s"), F.max("bad_row").alias("b"))
+        .agg(F.max(_short(pos)).alias("s"), F.max("bad_row").alias("b"))
         .select(*on, F.max("s").over(of_key).alias("key_short"), F.max("b").over(of_key).alias("key_bad"))
     )
     return _carry(pos, flags, on)
@@ -434,7 +442,7 @@ def _lots_of(pos: DataFrame, cfg: TaxConfig, sold: Column) -> DataFrame:
     left = F.greatest(zero, F.least(F.col(C.QUANTITY), F.col("cum_buy") - sold)).cast(C.QUANTITY_TYPE)
     cost = -F.col("net_eur")
     # a partly used lot: its cost per unit goes on, or (as observed) its whole cost
-    share = F.col("remaining").cast("double") / F.col("lot_qty").cast("double")
+    share = F.col("remaining").cast("double") / _lot_qty(pos).cast("double")
     open_cost = cost * share if cfg.cost_mode == "pro_rata" else cost
     extra = [c for c in _tiebreak(cfg) if c not in (C.QUANTITY, "net_eur", C.TAX_YEAR)]
     lots = pos.where(F.col("side") == BUY).withColumn("remaining", F.when(~flagged, left))
@@ -442,7 +450,7 @@ def _lots_of(pos: DataFrame, cfg: TaxConfig, sold: Column) -> DataFrame:
         *KEY,
         C.TS,
         C.TAX_YEAR,
-        "lot_qty",
+        _lot_qty(pos).alias("lot_qty"),
         "remaining",
         cost.alias("lot_cost_eur"),
         F.when(~flagged, open_cost).alias("open_cost_eur"),
