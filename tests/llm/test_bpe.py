@@ -75,3 +75,14 @@ def test_packing():
     for n in (0, 1, 1000):
         values = rnd.integers(0, 2**32, n, dtype=np.uint32)
         assert (bpe.unpack(bpe.pack(values), n) == values).all()
+
+
+def test_very_long_texts(docs_of):
+    """Texts of several blocks' length are one block each."""
+    rows = [(1, "a word, Äpfel; 12 tabs\t\n" * 30_000), (2, "short"), (3, "x y" * 100_000), (4, None)]
+    out = {r["doc_id"]: r for r in bpe.round_trip(docs_of(rows), RANKS, public_tokenizers.PATTERN).collect()}
+    for i, t in rows:
+        ids = ENCODING.encode_ordinary(t or "")
+        assert out[i]["n_tokens"] == len(ids)
+        assert out[i]["ids_sha256"] == hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest()
+        assert out[i]["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest()

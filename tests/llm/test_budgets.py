@@ -176,3 +176,15 @@ def test_few_groups_and_none(docs_of):
     out = sharding.shard(docs_of(rows), 40).collect()
     check_shards(out, rows, 40)
     assert sharding.shard(docs_of(rows).filter("doc_id < 0"), 40).collect() == []
+
+
+def test_sharding_of_very_long_texts(docs_of):
+    rows = [(i, f"{i} " + "word " * n) for i, n in enumerate([100_000, 3, 60_000, 60_000, 5, 1, 250_000])] + [(9, None)]
+    out = sharding.shard(docs_of(rows), 3).collect()
+    check_shards(out, rows, 3)
+
+
+def test_mixing_of_very_long_texts(docs_of):
+    rows = [(i, "word " * n, "en", f"src{i % 4}") for i, n in enumerate([200_000, 3, 50_000, 7, 120_000, 1, 9, 80_000])]
+    out = mixing.mix_sources(docs_of(rows), MIX).collect()
+    assert sorted(((r["doc_id"], r["epoch"]) for r in out), key=str) == brute_mix(rows, MIX)
