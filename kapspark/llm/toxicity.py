@@ -14,18 +14,22 @@ seen, at most ``FIT_ROWS`` of them by hash order.
 Tasks add up their n-grams, Spark adds up the tasks, the lower orders are joins and
 aggregations. An n-gram of at most seven bytes is its own 64-bit key, so nothing is
 lost to hash collisions. Scoring keeps every n-gram and context, however many there
-are: texts are cut into blocks (about ``BLOCK_CHARS`` characters, whole texts only),
-which are stored as the block's distinct words and the numbers of these in order. Words are
-dealt by a hash into buckets; a bucket has the words of all blocks, and its distinct
+are. The most frequent contexts, each with all its n-grams, are broadcast as a table of
+at most ``TABLE_ENTRIES`` entries (16 bytes each); a text whose bytes all have their
+context there is scored where it is. If the table holds all contexts of the model, that
+is every text. The others give the same scores by a join: texts are cut into blocks (about ``BLOCK_CHARS`` characters, whole texts only),
+which are stored as the block's distinct words and the numbers of these in order. Words
+that the table cannot tell are dealt by a hash into buckets; a bucket has the words of all blocks, and its distinct
 n-grams meet the contexts in a join. A word's ratio is the sum over its bytes; ratios
 return to the blocks and go to the places of the words. A frequent word takes one
 entry per block, a frequent n-gram one per bucket. Texts are not shuffled, only their
-word numbers (and the columns that are kept).
+word numbers (and the columns that are kept). The size of the table decides which way
+a text takes and never its score.
 
 Defined cases: null text is the empty text; a text without words has evidence zero
 and gets the score that the curve gives to it; repeated rows give repeated result
 rows; labels that are null are not used, and of contradicting labels of an id 1
-counts; if the training rows lack one of the classes, every score is the share of
+counts; of the rows of an id the one with the smallest evidence fits the curve; if the training rows lack one of the classes, every score is the share of
 the toxic class (0 without labels); a null id is never held out or used to learn.
 """
 
@@ -33,6 +37,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +54,7 @@ HISTORY = 5
 DISCOUNT = 0.75
 WINDOW = 24
 BLOCK_CHARS = 4_000_000
+TABLE_ENTRIES = 1 << 21
 FIT_ROWS = 20_000
 CHUNK_BYTES = 1 << 20
 FLUSH_GRAMS = 1 << 20
@@ -216,7 +222,7 @@ def shared_backoff(grams: DataFrame, history: int, discount: float = DISCOUNT) -
 
 
 def log_ratios(grams: DataFrame, history: int, discount: float = DISCOUNT) -> tuple[DataFrame, DataFrame]:
-    """(key, ratio) of seen n-grams, and (key, ratio) of contexts for the bytes not seen there.
+    """(key, ratio) of seen n-grams, and (key, ratio, n) of contexts for the bytes not seen there; n: their bytes.
 
     grams: key, c0, c1 (counts in ordinary and toxic texts).
     """
@@ -251,10 +257,87 @@ def log_ratios(grams: DataFrame, history: int, discount: float = DISCOUNT) -> tu
     unseen = contexts.select(
         F.col("h").alias("key"),
         (F.log(backoff("n1", "t1")) - F.log(backoff("n0", "t0"))).alias("ratio"),
+        (F.col("n0") + F.col("n1")).alias("n"),
     )
     return seen, unseen
 
 
+def context_ratios(seen: DataFrame, unseen: DataFrame) -> DataFrame:
+    """(h, n, found): each context with the ratios of its bytes, -1 for those not seen there; see log_ratios.
+
+    Without a column `n` in `unseen` all contexts count as equally frequent."""
+    octet = F.col("key").bitwiseAND(F.lit(255).cast("long")).cast("int")
+    often = F.col("n").cast("long") if "n" in unseen.columns else F.lit(1).cast("long")
+    # a context has 257 entries at most
+    return (
+        seen.select(_context(F.col("key")).alias("h"), octet.alias("b"), "ratio", F.lit(1).cast("long").alias("n"))
+        .unionByName(unseen.select(F.col("key").alias("h"), F.lit(-1).alias("b"), "ratio", often.alias("n")))
+        .groupBy("h")
+        .agg(F.max("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("b", "ratio"))).alias("found"))
+    )
+
+
+class RatioTable(NamedTuple):
+    """Ratios of the n-grams of some contexts (sorted keys), and of other bytes after these contexts."""
+
+    keys: np.ndarray
+    ratios: np.ndarray
+    contexts: np.ndarray
+    backoff: np.ndarray
+    complete: bool  # no other context has a ratio
+
+    def of_words(self, words: Sequence[bytes], history: int) -> np.ndarray:
+        """The ratio of each word; not a number if a byte's context is not in the table."""
+
+        def among(known: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+            return at, known[at] == wanted
+
+        out = [np.zeros(0)]
+        for chunk in _chunks(words):
+            keys, contexts, heads, _ = byte_keys(chunk, history)
+            value = np.full(len(keys), 0.0 if self.complete else np.nan)
+            if len(self.contexts):
+                at, hit = among(self.contexts, contexts)
+                value[hit] = self.backoff[at[hit]]
+            if len(self.keys):
+                at, hit = among(self.keys, keys)
+                value[hit] = self.ratios[at[hit]]
+            out.append(np.add.reduceat(value, np.flatnonzero(heads)))
+        return np.concatenate(out)
+
+
+def ratio_table(contexts: DataFrame, entries: int) -> RatioTable:
+    """The most frequent of `contexts` (see context_ratios), as many as `entries` entries hold.
+
+    Frequencies are told apart by eighths of a power of two, so the list of sizes that picks
+    them has at most 512 rows; contexts of one step are taken together or not at all."""
+    step = F.floor(F.log2(F.greatest("n", F.lit(1))) * 8).cast("int")
+    sizes = contexts.groupBy(step.alias("step")).agg(F.sum(F.size("found") + 1).alias("entries")).collect()
+    least, held = None, 0
+    for row in sorted(sizes, key=lambda r: -r["step"]):
+        if held + row["entries"] > entries:
+            break
+        least, held = row["step"], held + row["entries"]
+    complete = held == sum(r["entries"] for r in sizes)
+    if least is None:
+        none = np.zeros(0, dtype=np.int64)
+        return RatioTable(none, np.zeros(0), none, np.zeros(0), complete)
+    taken = contexts.filter(step >= least)
+    # a context without a ratio for bytes not seen counts zero for them
+    rest = taken.select(F.col("h").alias("key"), F.coalesce(F.try_element_at("found", F.lit(-1)), F.lit(0.0)).alias("ratio"))
+    seen = taken.select("h", F.explode("found").alias("b", "ratio")).filter("b >= 0")
+    seen = seen.select(F.shiftleft("h", 8).bitwiseOR(F.col("b").cast("long")).alias("key"), "ratio")
+
+    def columns(part: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        found = part.toArrow()  # at most `entries` rows
+        keys = found.column("key").to_numpy()
+        order = np.argsort(keys)
+        return keys[order], found.column("ratio").to_numpy()[order]
+
+    return RatioTable(*columns(seen), *columns(rest), complete)
+
+
 def _number_type(words: int) -> str:
     """Type of the word numbers of a block with so many distinct words."""
     return "<u2" if words <= 1 << 16 else "<u4"
@@ -278,7 +361,7 @@ def _unpack(data: bytes, kind: str = "<u4") -> np.ndarray:
     return np.frombuffer(zlib.decompress(data), dtype=kind)
 
 
-def _parts(words: list[bytes], buckets: int) -> list[dict]:
+def _parts(words: list[bytes], numbers: np.ndarray, buckets: int) -> list[dict]:
     """The words by bucket, each bucket's packed with their numbers."""
     bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), dtype=np.int64, count=len(words))
     order = np.argsort(bucket, kind="stable")
@@ -287,12 +370,13 @@ def _parts(words: list[bytes], buckets: int) -> list[dict]:
     for b, at in zip(used.tolist(), np.split(order, starts[1:])):
         own = [words[i] for i in at.tolist()]
         sizes = np.fromiter(map(len, own), dtype=np.int64, count=len(own))
-        out.append({"bucket": b, "numbers": _pack(at), "sizes": _pack(sizes), "words": zlib.compress(b"".join(own), 1)})
+        out.append({"bucket": b, "numbers": _pack(numbers[at]), "sizes": _pack(sizes), "words": zlib.compress(b"".join(own), 1)})
     return out
 
 
-def _blocks(keep: Sequence[str], text_col: str, buckets: int, block_chars: int):
-    """Rows with their block and word numbers; the first row of a block has its distinct words."""
+def _blocks(keep: Sequence[str], text_col: str, history: int, window: int, table, buckets: int, block_chars: int):
+    """Rows with their evidence by the table. Texts that it cannot tell (open ones) have their block and word
+    numbers instead; the first one of a block has the ratios of the block's words, and the words without one."""
     part_type = pa.list_(to_arrow_type(PART))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,17 +391,32 @@ def _blocks(keep: Sequence[str], text_col: str, buckets: int, block_chars: int):
                 own = [known.setdefault(w, len(known)) for w in coded.dictionary.to_pylist()]
                 numbers.append(np.array(own, dtype=np.uint32)[coded.indices.to_numpy(zero_copy_only=False)])
                 per_text.append(counts)
-            kind, sizes = _number_type(len(known)), np.concatenate(per_text)
-            rows = np.split(np.concatenate(numbers), np.cumsum(sizes)[:-1])
+            rows = np.split(np.concatenate(numbers), np.cumsum(np.concatenate(per_text))[:-1])
+            ratios = table.value.of_words(list(known), history)
+            found = np.array([evidence(ratios[r], window) for r in rows], dtype=float).reshape(-1, len(FEATURES))
+            is_open = np.isnan(found[:, 0])
+            blocks = pa.array(np.full(len(texts), number, dtype=np.int64), mask=~is_open)
+            sequences, told, parts = ([None] * len(texts) for _ in range(3))
+            if is_open.any():
+                at = np.flatnonzero(is_open)
+                used, renumbered = np.unique(np.concatenate([rows[i] for i in at]), return_inverse=True)
+                kind, listed = _number_type(len(used)), list(known)
+                for i, own in zip(at, np.split(renumbered, np.cumsum([len(rows[i]) for i in at])[:-1])):
+                    sequences[i] = _pack(own, kind)
+                lacking = np.flatnonzero(np.isnan(ratios[used]))
+                told[at[0]] = _pack(ratios[used], "<f8")
+                parts[at[0]] = _parts([listed[w] for w in used[lacking]], lacking, buckets)
             own = batch.slice(start, len(texts))
             return pa.RecordBatch.from_arrays(
                 [
                     *(own.column(c) for c in keep),
-                    pa.array(np.full(len(texts), number, dtype=np.int64)),
-                    pa.array([_pack(r, kind) for r in rows], pa.binary()),
-                    pa.array([_parts(list(known), buckets), *[None] * (len(texts) - 1)], part_type),
+                    *(pa.array(np.ascontiguousarray(c), mask=is_open) for c in found.T),
+                    blocks,
+                    pa.array(sequences, pa.binary()),
+                    pa.array(told, pa.binary()),
+                    pa.array(parts, part_type),
                 ],
-                names=[*keep, "__block", "__numbers", "__parts"],
+                names=[*keep, *(f"__{f}" for f in FEATURES), "__block", "__numbers", "__told", "__parts"],
             )
 
         for batch in batches:
@@ -386,20 +485,13 @@ def _bucket_ratios(history: int):
     return run
 
 
-def gram_ratios(grams: DataFrame, seen: DataFrame, unseen: DataFrame) -> DataFrame:
-    """(bucket, key, ratio) of those `grams` (bucket, key) whose context is known; seen, unseen: see log_ratios."""
+def gram_ratios(grams: DataFrame, contexts: DataFrame) -> DataFrame:
+    """(bucket, key, ratio) of those `grams` (bucket, key) whose context is among `contexts` (see context_ratios)."""
     octet = F.col("key").bitwiseAND(F.lit(255).cast("long")).cast("int")
-    # a context has 257 entries at most
-    contexts = (
-        seen.select(_context(F.col("key")).alias("h"), octet.alias("b"), "ratio")
-        .unionByName(unseen.select(F.col("key").alias("h"), F.lit(-1).alias("b"), "ratio"))
-        .groupBy("h")
-        .agg(F.map_from_entries(F.collect_list(F.struct("b", "ratio"))).alias("found"))
-    )
     ratio = F.coalesce(F.try_element_at("found", octet), F.try_element_at("found", F.lit(-1)), F.lit(0.0))
     return (
         grams.withColumn("h", _context(F.col("key")))
-        .join(contexts.hint("shuffle_merge"), "h")
+        .join(contexts.select("h", "found").hint("shuffle_merge"), "h")
         .select("bucket", "key", ratio.alias("ratio"))
     )
 
@@ -418,10 +510,9 @@ def _reassemble(keep: Sequence[str], window: int):
     """Put the ratios in the places of the words and take each text's evidence."""
 
     def run(texts: pa.Table, found: pa.Table) -> pa.Table:
-        numbers = [_unpack(b) for b in found.column("numbers").to_pylist()]
-        ratios = np.zeros(sum(map(len, numbers)))
-        for own, packed in zip(numbers, found.column("ratios").to_pylist()):
-            ratios[own] = _unpack(packed, "<f8")
+        ratios = _unpack(next(t for t in texts.column("__told").to_pylist() if t is not None), "<f8").copy()
+        for own, packed in zip(found.column("numbers").to_pylist(), found.column("ratios").to_pylist()):
+            ratios[_unpack(own)] = _unpack(packed, "<f8")
         kind = _number_type(len(ratios))
         rows = [evidence(ratios[_unpack(n, kind)], window) for n in texts.column("__numbers").to_pylist()]
         columns = np.array(rows, dtype=float).reshape(-1, len(FEATURES)).T
@@ -441,36 +532,64 @@ def features(
     history: int,
     window: int,
     block_chars: int = BLOCK_CHARS,
+    table_entries: int = TABLE_ENTRIES,
 ) -> DataFrame:
     """`keep` columns and the FEATURES of each row; ratios: see log_ratios."""
-    buckets = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    contexts = staged(context_ratios(*ratios), "contexts")
+    return features_by(rows, keep, text_col, contexts, history, window, block_chars, table_entries)
+
+
+def features_by(
+    rows: DataFrame,
+    keep: Sequence[str],
+    text_col: str,
+    contexts: DataFrame,
+    history: int,
+    window: int,
+    block_chars: int = BLOCK_CHARS,
+    table_entries: int = TABLE_ENTRIES,
+) -> DataFrame:
+    """features() by stored contexts (see context_ratios)."""
+    spark = rows.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = ratio_table(contexts, table_entries)
+    shared = spark.sparkContext.broadcast(table)  # 16 bytes for each of at most `table_entries` entries
     kept = [rows.schema[c] for c in keep]
+    told = [T.StructField(f"__{f}", T.DoubleType()) for f in FEATURES]
     schema = T.StructType(
         [
             *kept,
+            *told,
             T.StructField("__block", T.LongType()),
             T.StructField("__numbers", T.BinaryType()),
+            T.StructField("__told", T.BinaryType()),
             T.StructField("__parts", T.ArrayType(PART)),
         ]
     )
+    out = T.StructType([*kept, *told])
     sent = rows.select(*dict.fromkeys([*keep, text_col]))  # a text that is kept is sent once
-    blocks = staged(sent.mapInArrow(_blocks(keep, text_col, buckets, block_chars), schema), "blocks")
+    cut = sent.mapInArrow(_blocks(keep, text_col, history, window, shared, buckets, block_chars), schema)
+    if table.complete:  # then no text is open
+        return cut.select(*out.names)
+    blocks = staged(cut, "blocks")
+    closed = blocks.filter(F.col("__block").isNull()).select(*out.names)
     parts = blocks.filter(F.col("__parts").isNotNull()).select(F.col("__block").alias("block"), F.inline("__parts"))
     grams = parts.select("bucket", "sizes", "words").groupBy("bucket").applyInArrow(
         _bucket_keys(history), "bucket int, key long"
     )
     found = (
         parts.groupBy("bucket")
-        .cogroup(gram_ratios(grams, *ratios).select(F.col("bucket").alias("of"), "key", "ratio").groupBy("of"))
+        .cogroup(gram_ratios(grams, contexts).select(F.col("bucket").alias("of"), "key", "ratio").groupBy("of"))
         .applyInArrow(_bucket_ratios(history), "block long, numbers binary, ratios binary")
     )
-    out = T.StructType([*kept, *(T.StructField(f"__{f}", T.DoubleType()) for f in FEATURES)])
-    return (
-        blocks.drop("__parts")
+    joined = (
+        blocks.filter(F.col("__block").isNotNull())
+        .select(*keep, "__block", "__numbers", "__told")
         .groupBy("__block")
         .cogroup(found.groupBy("block"))
         .applyInArrow(_reassemble(keep, window), out)
     )
+    return closed.unionByName(joined)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int = 60) -> tuple[np.ndarray, float]:
@@ -534,17 +653,19 @@ def score(
         ),
         "grams",
     )
-    ratios = tuple(staged(part, "ratios") for part in log_ratios(grams, history))
+    contexts = staged(context_ratios(*log_ratios(grams, history)), "ratios")
     keep = [id_col, *(c for c in keep_cols or () if c not in (id_col, "held_out", "score", "predicted"))]
-    found = staged(features(docs, keep, text_col, ratios, history, window), "evidence")
+    found = staged(features_by(docs, keep, text_col, contexts, history, window), "evidence")
 
     chosen = known.filter(fold("__id") == 3).orderBy(F.xxhash64("__id"), "__id").limit(fit_rows)
     if training is None:
         judged = found.select(F.col(id_col).alias("__id"), *(f"__{f}" for f in FEATURES))
     else:
         fitted = texts.join(F.broadcast(chosen.select("__id")), "__id", "left_semi")
-        judged = features(fitted, ["__id"], "__text", ratios, history, window)
-    sample = judged.join(F.broadcast(chosen), "__id").drop("__id").toArrow()  # at most `fit_rows` ids and labels
+        judged = features_by(fitted, ["__id"], "__text", contexts, history, window)
+    one = F.min(F.struct(*(f"__{f}" for f in FEATURES))).alias("one")
+    judged = judged.join(F.broadcast(chosen), "__id").groupBy("__id", "__toxic").agg(one)
+    sample = judged.select("__toxic", "one.*").toArrow()  # at most `fit_rows` ids and labels
     y = sample.column("__toxic").to_numpy().astype(float)
     x = np.column_stack([sample.column(f"__{f}").to_numpy() for f in FEATURES])
     if len(y) and 0 < y.sum() < len(y):

@@ -460,6 +460,30 @@ def test_words_return_to_their_blocks(spark, docs_of):
             assert np.allclose([r["__mean"], r["__window"], r["__word"], r["__length"]], want, atol=1e-7)
 
 
+def test_the_table_decides_no_score(spark, docs_of):
+    rnd = random.Random(11)
+    texts = [" ".join("".join(rnd.choice("abcdefg") for _ in range(rnd.randint(1, 9))) for _ in range(rnd.randint(0, 60))) for _ in range(60)]
+    texts += ["a" * 5000, "ab " * 3000, "zz qq"]
+    docs = docs_of(list(enumerate(texts))).repartition(2)
+    keys = sorted({k for t in texts for k in brute_keys(t, 5)})
+    seen = spark.createDataFrame([(k, (k * 7919 % 1009 - 500) / 128) for k in keys if k % 4], "key long, ratio double")
+    times = defaultdict(int)
+    for t in texts:
+        for k in brute_keys(t, 5):
+            times[k >> 8] += 1
+    rest = [(h, (h % 11 - 5) / 16, n) for h, n in times.items() if h % 5]
+    contexts = toxicity.context_ratios(seen, spark.createDataFrame(rest, "key long, ratio double, n long")).cache()
+    tables = {limit: toxicity.ratio_table(contexts, limit) for limit in (0, 40, len(keys) // 2, 1 << 21)}
+    sizes = [len(t.keys) + len(t.contexts) for t in tables.values()]
+    assert sizes[0] == 0 and all(size <= limit for size, limit in zip(sizes, tables))
+    assert sizes == sorted(set(sizes)) and [t.complete for t in tables.values()] == [False] * 3 + [True]
+    results = [
+        sorted(map(tuple, toxicity.features_by(docs, ["doc_id"], "text", contexts, 5, 3, 700, limit).collect()))
+        for limit in tables
+    ]
+    assert len(results[0]) == len(texts) and all(r == results[0] for r in results)
+
+
 PAGES = [
     (5, "http://a/1", "x" * 150), (3, "http://a/2\r\nX: y", "x" * 150), (9, None, "x" * 150), (1, "http://b", "short"), (2, "http://b", "short"),
     (4, "http://c", None), (6, "http://c", ""), (7, "http://d", "é\r\n\r\nWARC/1.1\r\n" * 20), (3, "http://a/2", "x" * 150),
