@@ -40,6 +40,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from .shared import bucket_count
+
 BLOCK_CHARS = 5_000_000
 CHUNK_CHARS = 500_000
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
@@ -345,7 +347,8 @@ def _reassemble(id_col: str, id_type: pa.DataType, finish):
 
 def _encoded(df, ranks_path, pattern, id_col, text_col, buckets, block_chars, finish, result: str) -> DataFrame:
     spark = df.sparkSession
-    buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if not buckets:
+        buckets = bucket_count(df, text_col, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     ranks = spark.sparkContext.broadcast(load_ranks(ranks_path))  # as long as the vocabulary
     classes = spark.sparkContext.broadcast(class_table())  # one byte for each code point
     id_type = to_arrow_type(df.schema[id_col].dataType)

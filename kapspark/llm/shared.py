@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+BUCKET_CHARS = 16_000_000
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -44,6 +45,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bucket_count(docs: DataFrame, text_col: str, least: int, bucket_chars: int = BUCKET_CHARS) -> int:
+    """Buckets for the words of all texts: one for each `bucket_chars` characters, `least` at least.
+
+    So what one bucket gets stays about the same however large the table is."""
+    chars = docs.agg(F.sum(F.length(F.col(f"`{text_col}`")).cast("long"))).first()[0] or 0
+    return max(least, -(-chars // bucket_chars))
+
+
 def utf8_bytes(text: Column) -> Column:
     """Bytes of the UTF-8 text; 0 for null."""
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")

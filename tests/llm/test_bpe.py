@@ -12,6 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from kapspark.llm import bpe
+from kapspark.llm.shared import bucket_count
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 CLASSES = bpe.class_table()
@@ -70,6 +71,13 @@ def test_decoding_refuses_unknown_ids_and_keeps_nulls(spark):
         bpe.decode(bad, RANKS).collect()
 
 
+def test_buckets_follow_the_text(docs_of):
+    docs = docs_of([(i, "ab" * 50) for i in range(40)] + [(40, None), (41, "")])
+    assert bucket_count(docs, "text", 3, 100) == 40
+    assert bucket_count(docs, "text", 64, 100) == 64
+    assert bucket_count(docs.filter("doc_id < 0"), "text", 3, 100) == 3
+
+
 def test_packing():
     rnd = np.random.default_rng(1)
     for n in (0, 1, 1000):
