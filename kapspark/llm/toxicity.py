@@ -8,8 +8,9 @@ an expression that either class has hardly seen is judged alike by both and says
 little. The log-likelihood ratio of a word is the sum over its bytes; a document's
 evidence is normalised by its length: the mean over its words, the largest mean
 over a run of ``WINDOW`` words, and the largest ratio of one word. A logistic curve
-turns this into a score. It is fitted on labelled rows that the counts have not
-seen, at most ``FIT_ROWS`` of them by hash order.
+turns this into a score. It is fitted on labelled rows judged by models that have not
+counted them, at most ``FIT_ROWS`` of fold 3 by hash order; the models that score count
+these too, so every labelled row that is not held out is counted.
 
 Tasks add up their n-grams, Spark adds up the tasks, the lower orders are joins and
 aggregations. An n-gram of at most seven bytes is its own 64-bit key, so nothing is
@@ -28,7 +29,7 @@ a text takes and never its score.
 
 Defined cases: null text is the empty text; a text without words has evidence zero
 and gets the score that the curve gives to it; repeated rows give repeated result
-rows; labels that are null are not used, and of contradicting labels of an id 1
+rows; labels that are null or neither 0 nor 1 are not used, and of contradicting labels of an id 1
 counts; of the rows of an id the one with the smallest evidence fits the curve; if the training rows lack one of the classes, every score is the share of
 the toxic class (0 without labels); a null id is never held out or used to learn.
 """
@@ -48,7 +49,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .bloom import membership
-from .shared import staged
+from .shared import bucket_count, staged
 
 HISTORY = 5
 DISCOUNT = 0.75
@@ -128,38 +129,37 @@ def _chunks(texts: Sequence[str | None]) -> Iterator[list[str]]:
         yield held
 
 
-def _count_grams(history: int):
-    """(key, toxic, n): n-grams of labelled texts, added up per task."""
+def _count_grams(history: int, parts: int):
+    """(key, part, n): n-grams of texts by their part (0 to `parts` - 1), added up per task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {0: [], 1: []}
+        held: list[list] = [[] for _ in range(parts)]
 
-        def merged(label: int) -> tuple[np.ndarray, np.ndarray]:
-            keys = np.concatenate([k for k, _ in held[label]])
-            counts = np.concatenate([c for _, c in held[label]])
+        def merged(part: int) -> tuple[np.ndarray, np.ndarray]:
+            keys = np.concatenate([k for k, _ in held[part]])
+            counts = np.concatenate([c for _, c in held[part]])
             found, which = np.unique(keys, return_inverse=True)
             return found, np.bincount(which, weights=counts).astype(np.int64)
 
-        def out(label: int, keys, counts) -> pa.RecordBatch:
-            labels = pa.array(np.full(len(keys), label, dtype=np.int32))
-            return pa.RecordBatch.from_arrays([pa.array(keys), labels, pa.array(counts)], names=["key", "toxic", "n"])
+        def out(part: int, keys, counts) -> pa.RecordBatch:
+            own = pa.array(np.full(len(keys), part, dtype=np.int32))
+            return pa.RecordBatch.from_arrays([pa.array(keys), own, pa.array(counts)], names=["key", "part", "n"])
 
         for batch in batches:
             for start in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(start, SLICE_ROWS)
-                labels = part.column(1).to_pylist()
-                texts = part.column(0).to_pylist()
-                for label in (0, 1):
-                    for chunk in _chunks([t for t, y in zip(texts, labels) if y == label]):
+                rows = batch.slice(start, SLICE_ROWS)
+                texts, part_of = (rows.column(c).to_pylist() for c in (0, 1))
+                for part in range(parts):
+                    for chunk in _chunks([t for t, p in zip(texts, part_of) if p == part]):
                         keys = gram_keys(chunk, history)[0]
-                        held[label].append(np.unique(keys, return_counts=True))
-                        if sum(len(k) for k, _ in held[label]) > FLUSH_GRAMS:
-                            held[label] = [merged(label)]
-                            if len(held[label][0][0]) > FLUSH_GRAMS // 2:
-                                yield out(label, *held[label].pop())
-        for label in (0, 1):
-            if held[label]:
-                yield out(label, *merged(label))
+                        held[part].append(np.unique(keys, return_counts=True))
+                        if sum(len(k) for k, _ in held[part]) > FLUSH_GRAMS:
+                            held[part] = [merged(part)]
+                            if len(held[part][0][0]) > FLUSH_GRAMS // 2:
+                                yield out(part, *held[part].pop())
+        for part in range(parts):
+            if held[part]:
+                yield out(part, *merged(part))
 
     return run
 
@@ -551,8 +551,9 @@ def features_by(
 ) -> DataFrame:
     """features() by stored contexts (see context_ratios)."""
     spark = rows.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = ratio_table(contexts, table_entries)
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = least if table.complete else bucket_count(rows, text_col, least)
     shared = spark.sparkContext.broadcast(table)  # 16 bytes for each of at most `table_entries` entries
     kept = [rows.schema[c] for c in keep]
     told = [T.StructField(f"__{f}", T.DoubleType()) for f in FEATURES]
@@ -610,7 +611,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int
 
 
 def fold(id_col: str = "doc_id") -> Column:
-    """crc32 of the id as text, modulo 4; fold 2 is held out, 3 fits the curve, 0 and 1 are counted."""
+    """crc32 of the id as text, modulo 4; fold 2 is held out, the others are counted, rows of 3 fit the curve."""
     return (F.crc32(F.col(id_col).cast("string").cast("binary")) % 4).cast("int")
 
 
@@ -632,40 +633,40 @@ def score(
     `training`: the documents whose labels are learnt (default: `docs`).
     """
     known = (
-        labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
+        labels.filter(F.col(label_col).cast("int").isin(0, 1) & F.col(id_col).isNotNull())
         .groupBy(F.col(id_col).alias("__id"))
         .agg(F.max(label_col).cast("int").alias("__toxic"))
         .filter(fold("__id") != 2)
     )
+    known = staged(known, "labels")
     texts = (docs if training is None else training).select(
         F.col(id_col).alias("__id"), F.col(text_col).alias("__text")
     )
-    learnt = staged(known.filter(fold("__id") < 2), "labels")
+    chosen = staged(known.filter(fold("__id") == 3).orderBy(F.xxhash64("__id"), "__id").limit(fit_rows), "fit-rows")
+    fits = F.broadcast(chosen.select(F.col("__id").alias("__fit")))  # at most `fit_rows` ids
+    part = (F.col("__toxic") + F.when(F.col("__fit").isNotNull(), 2).otherwise(0)).alias("__part")
+    learnt = known.join(fits, F.col("__id") == F.col("__fit"), "left").select("__id", part)
     # only texts that may have a label are shuffled to meet it
-    counted = texts.filter(fold("__id") < 2).filter(membership(learnt, "__id")("__id")).join(learnt, "__id")
+    counted = texts.filter(fold("__id") != 2).filter(membership(known, "__id")("__id")).join(learnt, "__id")
+
+    def times(*parts: int) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("part").isin(*parts), F.col("n"))), F.lit(0))
+
     grams = staged(
-        counted.select("__text", "__toxic")
-        .mapInArrow(_count_grams(history), "key long, toxic int, n long")
+        counted.select("__text", "__part")
+        .mapInArrow(_count_grams(history, 4), "key long, part int, n long")
         .groupBy("key")
-        .agg(
-            F.coalesce(F.sum(F.when(F.col("toxic") == 0, F.col("n"))), F.lit(0)).alias("c0"),
-            F.coalesce(F.sum(F.when(F.col("toxic") == 1, F.col("n"))), F.lit(0)).alias("c1"),
-        ),
+        .agg(times(0, 2).alias("c0"), times(1, 3).alias("c1"), times(0).alias("u0"), times(1).alias("u1")),
         "grams",
     )
-    contexts = staged(context_ratios(*log_ratios(grams, history)), "ratios")
-    keep = [id_col, *(c for c in keep_cols or () if c not in (id_col, "held_out", "score", "predicted"))]
-    found = staged(features_by(docs, keep, text_col, contexts, history, window), "evidence")
-
-    chosen = known.filter(fold("__id") == 3).orderBy(F.xxhash64("__id"), "__id").limit(fit_rows)
-    if training is None:
-        judged = found.select(F.col(id_col).alias("__id"), *(f"__{f}" for f in FEATURES))
-    else:
-        fitted = texts.join(F.broadcast(chosen.select("__id")), "__id", "left_semi")
-        judged = features_by(fitted, ["__id"], "__text", contexts, history, window)
+    # the rows that fit the curve are judged by models that have not counted them
+    others = grams.filter("u0 + u1 > 0").select("key", F.col("u0").alias("c0"), F.col("u1").alias("c1"))
+    fit_contexts = staged(context_ratios(*log_ratios(others, history)), "fit-ratios")
+    fitted = texts.join(F.broadcast(chosen.select("__id")), "__id", "left_semi")
+    judged = features_by(fitted, ["__id"], "__text", fit_contexts, history, window)
     one = F.min(F.struct(*(f"__{f}" for f in FEATURES))).alias("one")
     judged = judged.join(F.broadcast(chosen), "__id").groupBy("__id", "__toxic").agg(one)
-    sample = judged.select("__toxic", "one.*").toArrow()  # at most `fit_rows` ids and labels
+    sample = judged.select("__toxic", "one.*").toArrow()  # at most `fit_rows` rows
     y = sample.column("__toxic").to_numpy().astype(float)
     x = np.column_stack([sample.column(f"__{f}").to_numpy() for f in FEATURES])
     if len(y) and 0 < y.sum() < len(y):
@@ -676,7 +677,9 @@ def score(
         chance = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.greatest(F.least(value, F.lit(700.0)), F.lit(-700.0))))
     else:
         chance = F.lit(float(y.mean()) if len(y) else 0.0)
-    return found.select(
+    contexts = staged(context_ratios(*log_ratios(grams.select("key", "c0", "c1"), history)), "ratios")
+    keep = [id_col, *(c for c in keep_cols or () if c not in (id_col, "held_out", "score", "predicted"))]
+    return features_by(docs, keep, text_col, contexts, history, window).select(
         *keep,
         F.coalesce(fold(id_col) == 2, F.lit(False)).alias("held_out"),
         chance.alias("score"),

@@ -404,25 +404,31 @@ def test_scores_without_labels(spark, docs_of):
     assert toxicity.score(docs_of([(1, "a")]).filter("doc_id > 1"), none).collect() == []
 
 
-def plain_scores(spark, rows, labels):
+def plain_scores(spark, rows, labels, chosen=None):
     """Scores by id from a dictionary of all ratios, without blocks or tables."""
     fold = lambda i: zlib.crc32(str(i).encode()) % 4
     truth = {i: t for i, _, t in labels}
-    counts = defaultdict(lambda: [0, 0])
-    for i, text in rows:
-        for k in brute_keys(text, 5) if fold(i) < 2 else ():
-            counts[k][truth[i]] += 1
-    grams = spark.createDataFrame([(k, *c) for k, c in counts.items()], "key long, c0 long, c1 long")
-    seen, unseen = (dict(part.select("key", "ratio").collect()) for part in toxicity.log_ratios(grams, 5))
-    x = {}
-    for i, text in rows:
-        words = [sum(seen.get(k, unseen.get(k >> 8, 0.0)) for k in brute_keys(w, 5)) for w in re.findall(r"\w+", text)]
-        size = min(24, len(words))
-        runs = [sum(words[a : a + size]) / size for a in range(len(words) - size + 1)]
-        x[i] = [sum(words) / len(words), max(runs), max(words), np.log1p(len(words))]
-    fit = [i for i, _ in rows if fold(i) == 3]
+
+    def evidence(fit_rows, folds):
+        """Evidence by id from the counts of the rows of some folds, `fit_rows` left out."""
+        counts = defaultdict(lambda: [0, 0])
+        for i, text in rows:
+            for k in brute_keys(text, 5) if fold(i) in folds and i not in fit_rows else ():
+                counts[k][truth[i]] += 1
+        grams = spark.createDataFrame([(k, *c) for k, c in counts.items()], "key long, c0 long, c1 long")
+        seen, unseen = (dict(part.select("key", "ratio").collect()) for part in toxicity.log_ratios(grams, 5))
+        x = {}
+        for i, text in rows:
+            words = [sum(seen.get(k, unseen.get(k >> 8, 0.0)) for k in brute_keys(w, 5)) for w in re.findall(r"\w+", text)]
+            size = min(24, len(words))
+            runs = [sum(words[a : a + size]) / size for a in range(len(words) - size + 1)]
+            x[i] = [sum(words) / len(words), max(runs), max(words), np.log1p(len(words))]
+        return x
+
+    fit = chosen if chosen is not None else [i for i, _ in rows if fold(i) == 3]
+    x = evidence(fit, {0, 1, 3})
     weights, bias = toxicity.fit_logistic(np.array([x[i] for i in fit]), np.array([float(truth[i]) for i in fit]))
-    return {i: 1 / (1 + np.exp(-(np.array(f) @ weights + bias))) for i, f in x.items()}
+    return {i: 1 / (1 + np.exp(-(np.array(f) @ weights + bias))) for i, f in evidence([], {0, 1, 3}).items()}
 
 
 def test_every_gram_counts_in_the_scores(spark, docs_of):
@@ -434,10 +440,25 @@ def test_every_gram_counts_in_the_scores(spark, docs_of):
             words[rnd.randrange(len(words))] = "vexor" + rnd.choice("abc")
         rows.append((i, " ".join(words)))
         labels.append((i, 1, int(i % 3 == 0)))
-    want = plain_scores(spark, rows, labels)
-    out = toxicity.score(docs_of(rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
-    assert len(out) == len(rows)
-    assert all(abs(r["score"] - want[r["doc_id"]]) < 1e-6 for r in out)
+    frame = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    first = (
+        frame.filter(toxicity.fold() == 3).orderBy(F.xxhash64("doc_id")).limit(20).select("doc_id").collect()
+    )
+    for limit, chosen in ((toxicity.FIT_ROWS, None), (20, [r["doc_id"] for r in first])):
+        want = plain_scores(spark, rows, labels, chosen)
+        out = toxicity.score(docs_of(rows), frame, fit_rows=limit).collect()
+        assert len(out) == len(rows)
+        assert all(abs(r["score"] - want[r["doc_id"]]) < 1e-6 for r in out)
+
+
+def test_other_training_documents(spark, docs_of):
+    """The labels of `training` are learnt, and any other texts are scored."""
+    rows, labels = toxic_rows()
+    frame = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    own = {r["doc_id"]: r["score"] for r in toxicity.score(docs_of(rows), frame).collect()}
+    new = [(1_000 + i, text) for i, text in rows[:60]] + [(None, None)]
+    out = {r["doc_id"]: r["score"] for r in toxicity.score(docs_of(new), frame, training=docs_of(rows)).collect()}
+    assert len(out) == 61 and all(abs(out[1_000 + i] - own[i]) < 1e-9 for i, _ in rows[:60])
 
 
 def test_words_return_to_their_blocks(spark, docs_of):
