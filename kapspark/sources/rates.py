@@ -73,21 +73,15 @@ def rates_from_payloads(
         F.transform(wanted, lambda c: F.struct(c.alias("currency"), F.try_element_at(F.col("_day"), c).alias("rate"))),
         lambda s: s["rate"].isNotNull(),
     )
-    base = payloads.select(req.alias("rate_date"), day.alias("_day")).where(F.col("_day").isNotNull())
-    exploded = (
-        base.select("rate_date", picked.alias("_picked"))
-        .where(F.exists(F.col("_picked"), lambda s: s["currency"] != "EUR"))
-        .select(
-            "rate_date",
-            F.array_union(
-                F.col("_picked"),
-                F.when(
-                    ~F.exists(F.col("_picked"), lambda s: s["currency"] == "EUR"),
-                    F.array(F.struct(F.lit("EUR").alias("currency"), F.lit(1.0).alias("rate"))),
-                ).otherwise(F.array().cast("array<struct<currency:string,rate:double>>")),
-            ).alias("_all"),
-        )
-        .select("rate_date", F.explode("_all").alias("r"))
+    eur = F.array(F.struct(F.lit("EUR").alias("currency"), F.lit(1.0).alias("rate")))
+    no_eur = F.when(~F.exists(picked, lambda s: s["currency"] == "EUR"), eur).otherwise(
+        F.array().cast("array<struct<currency:string,rate:double>>")
+    )
+    usable = F.exists(picked, lambda s: s["currency"] != "EUR")
+    # no filter on the parsed body: Spark would move it below a DISTINCT or an aggregate that the
+    # payloads come from and parse a body for each row there; an array of NULL gives no row either
+    exploded = payloads.select(req.alias("rate_date"), day.alias("_day")).select(
+        "rate_date", F.explode(F.when(usable, F.array_union(picked, no_eur))).alias("r")
     )
     return exploded.select(
         "rate_date",

@@ -150,6 +150,17 @@ def test_rate_payloads(spark):
     }
 
 
+def test_rate_payloads_are_parsed_after_the_distinct_below_them(spark):
+    days = spark.range(1000).selectExpr("date_add(date'2025-01-01', cast(id % 2 as int)) as requested_date").distinct()
+    body = F.format_string('{"rates": {"USD": 1.0%d}}', F.dayofmonth("requested_date"))
+    rates = rates_from_payloads(days.withColumn("body", body))
+    plan = rates._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Aggregate"):]
+    assert "from_json" in plan and "from_json" not in below and "get_json_object" not in below, plan
+    got = sorted((r["currency"], r["rate"]) for r in rates.collect())
+    assert got == [("EUR", 1.0), ("EUR", 1.0), ("USD", 1.01), ("USD", 1.02)]
+
+
 def test_sinks_round_trip(spark, csv_ledger, tmp_path):
     from kapspark.plans.tax_run import calculate
     from kapspark.sources.sinks import write_details, write_reports
