@@ -177,10 +177,10 @@ def q_fifo_realized_as_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_fifo_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FIFO over the ledger stored in buckets by (account, ISIN): no exchange below its windows."""
-    from kapspark.sources.ledger import write_bucketed
+    from kapspark.sources.ledger import buckets_for, write_bucketed
 
-    name = f"ledger_{uuid.uuid4().hex}"
-    stored = write_bucketed(demo_ledger(spark, sf_dir), name, scratch_dir(spark), 16)
+    name, ledger = f"ledger_{uuid.uuid4().hex}", demo_ledger(spark, sf_dir)
+    stored = write_bucketed(ledger, name, scratch_dir(spark), buckets_for(ledger))
     rates, rules = demo_dims(spark)
     return _sales_out(calculate(spark, stored, rates, rules, DEMO_CONFIG, rules_validated=True).sales_all_years)
 

@@ -16,6 +16,9 @@ from kapspark.functions import normalize_amount, parse_ledger_ts
 
 # Headers read at the same time while planning.
 HEADER_READERS = 16
+# Rows of one bucket of a stored ledger, and Spark's own limit on their number.
+BUCKET_ROWS = 250_000
+MOST_BUCKETS = 100_000
 
 # Canonical names that must be present in the input (after mapping).
 REQUIRED = (C.TS, C.TYPE, C.CURRENCY, C.NET)
@@ -190,12 +193,18 @@ def read_ledger_csv(
     return out
 
 
+def buckets_for(ledger: DataFrame, least: int = 16) -> int:
+    """Buckets for ``write_bucketed``: one for every BUCKET_ROWS rows, so that a task's memory
+    stays the same at any size of the ledger."""
+    return min(MOST_BUCKETS, max(least, -(-ledger.count() // BUCKET_ROWS)))
+
+
 def write_bucketed(ledger: DataFrame, table: str, path: str, buckets: int) -> DataFrame:
     """Store a canonical ledger as a table bucketed by (account_id, isin), and read it back.
 
     FIFO over such a ledger needs no exchange: a bucket's files hold whole keys. The rows are
     gathered by key before the write, so each bucket is one file. Choose so many buckets that
-    one fits a task; a key beyond ``fifo_hot_key_rows`` is matched in chunks all the same.
+    one fits a task (``buckets_for``); a key beyond ``fifo_hot_key_rows`` is matched in chunks all the same.
     """
     keys = (C.ACCOUNT, C.ISIN)
     rows = ledger.repartition(buckets, *keys)

@@ -112,3 +112,13 @@ def test_fifo_over_a_bucketed_ledger_has_no_exchange(spark):
     assert plan.count("Window") >= 2 and "Bucketed: true" in plan
     plain = catalog.q_fifo_realized(spark, SMALL)
     assert sorted(map(repr, sales.collect())) == sorted(map(repr, plain.collect()))
+
+
+def test_buckets_follow_the_size_of_the_ledger(spark, monkeypatch):
+    from kapspark.sources import ledger
+
+    monkeypatch.setattr(ledger, "BUCKET_ROWS", 100)
+    assert ledger.buckets_for(spark.range(10)) == 16
+    assert ledger.buckets_for(spark.range(2001)) == 21
+    found = ledger.buckets_for(catalog.demo_ledger(spark, SMALL))
+    assert found > 16 and f"{found} out of {found}" in _plan(catalog.q_fifo_bucketed(spark, SMALL))
