@@ -38,6 +38,11 @@ def categories(cfg: TaxConfig) -> Column:
     return F.filter(F.array(*members), lambda x: x.isNotNull())
 
 
+def income_types(cfg: TaxConfig) -> list[str]:
+    """The types that belong to any income scope."""
+    return sorted({t for t, category in cfg.type_map_rows() if category in SCOPE_OF_CATEGORY})
+
+
 def categorize(df: DataFrame, spark: SparkSession, cfg: TaxConfig) -> DataFrame:
     """One row per (booking, category); rows of no configured type drop out."""
     return df.withColumn("category", F.explode(categories(cfg)))

@@ -130,15 +130,20 @@ class TaxResult:
     @cached_property
     def rows(self) -> DataFrame:
         """One pass over the year's bookings: scope, rule, tax split, form."""
-        rows = CL.income_scopes(self.in_year, self.cfg)
+        return self._classify(self.in_year)
+
+    def _classify(self, bookings: DataFrame) -> DataFrame:
+        rows = CL.income_scopes(bookings, self.cfg)
         rows = resolve_rules(rows, self.rules_ok, self.cfg, only=F.col("scope").isNotNull())
         return CL.tag_dividend_forms(CL.classify_income(rows, self.has_tax))
 
     @cached_property
     def _income(self) -> DataFrame:
         """Income rows of all accounts: aggregates read these and drop
-        quarantined accounts from their result."""
-        return self.rows.where(F.col("scope").isNotNull())
+        quarantined accounts from their result. Picked by type before anything
+        else, so trades are neither shuffled nor classified here."""
+        income = self.in_year.where(F.col(C.TYPE).isin(*CL.income_types(self.cfg)))
+        return self._classify(income).where(F.col("scope").isNotNull())
 
     @cached_property
     def classified(self) -> DataFrame:
@@ -257,7 +262,7 @@ class TaxResult:
     def issues(self) -> DataFrame:
         out = self.ledger_issues.unionByName(issues.fifo_issues(self._sales_all))
         if not self._rules_validated:
-            out = out.unionByName(issues.rejected_rule_issues(self.rows))
+            out = out.unionByName(issues.rejected_rule_issues(self._income))
         if self.cfg.tax_year is not None or self.cfg.single_year_rule:
             out = out.unionByName(issues.tax_year_issues(self.tax_years, self.cfg))
         return out

@@ -122,3 +122,9 @@ def test_buckets_follow_the_size_of_the_ledger(spark, monkeypatch):
     assert ledger.buckets_for(spark.range(2001)) == 21
     found = ledger.buckets_for(catalog.demo_ledger(spark, SMALL))
     assert found > 16 and f"{found} out of {found}" in _plan(catalog.q_fifo_bucketed(spark, SMALL))
+
+
+def test_trades_are_dropped_from_the_income_branch_before_they_are_shuffled(spark):
+    plan = catalog.run(spark, SMALL).classified._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("RepartitionByExpression"):]
+    assert "Filter" in below[:below.index("Relation")], plan
