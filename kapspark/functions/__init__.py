@@ -3,6 +3,7 @@
 from kapspark.functions.amounts import (
     display_amount,
     money_sum,
+    nonzero_sum,
     normalize_amount,
     round4,
     to_money,
@@ -15,6 +16,7 @@ __all__ = [
     "display_amount",
     "isin_key",
     "money_sum",
+    "nonzero_sum",
     "normalize_amount",
     "parse_ledger_ts",
     "round4",

@@ -29,6 +29,14 @@ def money_sum(c: Column) -> Column:
     return F.sum(to_money(c))
 
 
+def nonzero_sum(name: str, kind: str | None = None) -> Column:
+    """Sum of the named column over the rows where it is not zero, NULL without such rows;
+    ``kind`` is the type to sum as. A decimal sum writes its buffer anew for every row that it
+    sees, so a wide aggregate costs by what rows add, not by rows times figures."""
+    value = f"cast(`{name}` as {kind})" if kind else f"`{name}`"
+    return F.expr(f"sum({value}) FILTER (WHERE `{name}` <> 0)")
+
+
 def round4(c: Column) -> Column:
     """Round a money value half-up to 4 places on its decimal image -> double."""
     return F.round(to_money(c), 4).cast("double")

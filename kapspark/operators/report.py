@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from kapspark import config as C
 from kapspark import constants as K
-from kapspark.functions import display_amount, money_sum
+from kapspark.config import MONEY_SUM_TYPE
+from kapspark.functions import display_amount, money_sum, nonzero_sum
 from kapspark.sources.dims import fund_exemptions
 
 KEYS = (C.ACCOUNT, C.TAX_YEAR)
@@ -33,11 +34,14 @@ _FIGURE_COLS = ("credit_eur", "excess_eur", "domestic_eur", "kest_eur", "soli_eu
 FOREIGN_TREATMENTS = ("foreign", "foreign_without_gross_income")
 
 
-def _facts(rows: DataFrame, sales: DataFrame, extra: Mapping[str, Column] | None = None) -> DataFrame:
+def _facts(
+    rows: DataFrame, sales: DataFrame, extra: Mapping[str, Column] | None = None, present: DataFrame | None = None
+) -> DataFrame:
     """Narrow fact rows: every booking of the year(s) (``kind`` = its income
     scope, or ``row``) and every realised sale (``kind`` = ``sale``).
     ``taxed_abroad`` rows carry the country whose credit they belong to.
-    ``extra``: more text columns of the bookings."""
+    ``extra``: more text columns of the bookings. ``present``: the account-years with
+    bookings, once each; ``rows`` then need no bookings of no income type."""
     nul_d = F.lit(None).cast("double")
     abroad = F.coalesce(F.col("treatment").isin(*FOREIGN_TREATMENTS), F.lit(False))
     income = rows.select(
@@ -62,10 +66,16 @@ def _facts(rows: DataFrame, sales: DataFrame, extra: Mapping[str, Column] | None
         F.lit(None).cast("string").alias("country"),
         *[F.lit(None).cast("string").alias(name) for name in extra or {}],
     )
-    return income.unionByName(sold)
+    facts = income.unionByName(sold)
+    if present is None:
+        return facts
+    marks = present.select(*KEYS, F.lit("row").alias("kind"), F.lit(False).alias("taxed_abroad"))
+    return facts.unionByName(marks, allowMissingColumns=True)
 
 
-def account_year_totals(rows: DataFrame, sales: DataFrame, has_tax: bool, countries: bool = False) -> DataFrame:
+def account_year_totals(
+    rows: DataFrame, sales: DataFrame, has_tax: bool, countries: bool = False, present: DataFrame | None = None
+) -> DataFrame:
     """One row per account-year with every figure (exact decimals, zeros
     where nothing contributes).
 
@@ -75,7 +85,9 @@ def account_year_totals(rows: DataFrame, sales: DataFrame, has_tax: bool, countr
     year(s) (flagged ones have a NULL result and drop out of the sums).
     ``countries``: also an array of (country, credit), one entry for each
     country with taxed foreign rows; the rows are then summed per country
-    first, in the same pass.
+    first, in the same pass. ``present``: the distinct account-years; ``rows``
+    may then be the income bookings alone, so most bookings are neither
+    classified nor summed.
     """
     kind, form, res = F.col("kind"), F.col("form"), F.col("result_eur")
     dividend, sale, cls = kind == "dividend", kind == "sale", kind.isin("dividend", "interest", "standalone")
@@ -101,17 +113,19 @@ def account_year_totals(rows: DataFrame, sales: DataFrame, has_tax: bool, countr
     }
     by = (*KEYS, "taxed_abroad", "country") if countries else KEYS
     out = (
-        _facts(rows, sales)
+        _facts(rows, sales, present=present)
+        .select(*by, *[c.alias(name) for name, c in (sums | counts).items()])
         .groupBy(*by)
         .agg(
-            *[F.coalesce(money_sum(c), _zero()).alias(name) for name, c in sums.items()],
-            *[F.count_if(c).alias(name) for name, c in counts.items()],
+            *[F.coalesce(nonzero_sum(name, MONEY_SUM_TYPE), _zero()).alias(name) for name in sums],
+            *[F.count_if(name).alias(name) for name in counts],
         )
     )
     if countries:
         entry = F.struct(F.col("country"), F.col("credit"))
-        out = out.groupBy(*KEYS).agg(
-            *[F.sum(name).cast("decimal(38,10)").alias(name) for name in sums],
+        # a few rows per account-year: gathered as they are, then summed in one place
+        out = out.repartition(*KEYS).groupBy(*KEYS).agg(
+            *[_exact_sum(name).alias(name) for name in sums],
             *[F.sum(name).alias(name) for name in counts],
             F.collect_list(F.when(F.col("taxed_abroad"), entry)).alias("countries"),
         )
@@ -124,27 +138,31 @@ def account_year_totals(rows: DataFrame, sales: DataFrame, has_tax: bool, countr
 _FACT_SUMS = ("gross_eur", *_FIGURE_COLS, "result_eur")
 
 
-def account_facts(rows: DataFrame, sales: DataFrame) -> DataFrame:
+def account_facts(rows: DataFrame, sales: DataFrame, present: DataFrame | None = None) -> DataFrame:
     """The finest sums that any report table needs: one row for each account-year, kind of
     booking, form, fund type and country taxed abroad. A handful of rows per account-year,
-    however many bookings it has; ``rows`` and ``sales`` as in ``account_year_totals``."""
+    however many bookings it has; arguments as in ``account_year_totals``."""
     fund = F.when((F.col("scope") == "dividend") & (F.col("form") == K.FUND_FORM), F.coalesce("fund_type", F.lit("other")))
     res = F.col("result_eur")
+    signed = {"gains_eur": F.when(res > 0, res), "losses_eur": F.when(res < 0, res)}
     return (
-        _facts(rows, sales, extra={"fund": fund})
+        _facts(rows, sales, {"fund": fund}, present)
+        .withColumns(signed)
         .groupBy(*KEYS, "kind", "form", "fund", "taxed_abroad", "country")
         .agg(
-            *[money_sum(F.col(c)).alias(c) for c in _FACT_SUMS],
-            money_sum(F.when(res > 0, res)).alias("gains_eur"),
-            money_sum(F.when(res < 0, res)).alias("losses_eur"),
+            # zero where all amounts are zero, NULL where there are none
+            *[
+                F.when(F.count(c) > 0, F.coalesce(nonzero_sum(c, MONEY_SUM_TYPE), _zero())).alias(c)
+                for c in (*_FACT_SUMS, *signed)
+            ],
             F.count(F.lit(1)).alias("n"),
             F.count("result_eur").alias("n_results"),
         )
     )
 
 
-def _exact_sum(c: Column) -> Column:
-    return F.coalesce(F.sum(c).cast("decimal(38,10)"), _zero())
+def _exact_sum(name: str) -> Column:
+    return F.coalesce(nonzero_sum(name).cast("decimal(38,10)"), _zero())
 
 
 def totals_of(facts: DataFrame, has_tax: bool) -> DataFrame:
@@ -170,13 +188,13 @@ def totals_of(facts: DataFrame, has_tax: bool) -> DataFrame:
         "n_standalone": F.when(kind == "standalone", n),
     }
     by = (*KEYS, "taxed_abroad", "country")
-    per_country = facts.groupBy(*by).agg(
-        *[_exact_sum(c).alias(name) for name, c in by_kind.items()],
-        *[F.coalesce(F.sum(c), F.lit(0)).alias(name) for name, c in counts.items()],
+    per_country = facts.select(*by, *[c.alias(name) for name, c in (by_kind | counts).items()]).groupBy(*by).agg(
+        *[_exact_sum(name).alias(name) for name in by_kind],
+        *[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in counts],
     )
     entry = F.struct(F.col("country"), F.col("credit"))
-    out = per_country.groupBy(*KEYS).agg(
-        *[_exact_sum(F.col(name)).alias(name) for name in by_kind],
+    out = per_country.repartition(*KEYS).groupBy(*KEYS).agg(
+        *[_exact_sum(name).alias(name) for name in by_kind],
         *[F.sum(name).alias(name) for name in counts],
         F.collect_list(F.when(F.col("taxed_abroad"), entry)).alias("countries"),
     )

@@ -145,6 +145,11 @@ class TaxResult:
         income = self.in_year.where(F.col(C.TYPE).isin(*CL.income_types(self.cfg)))
         return self._classify(income).where(F.col("scope").isNotNull())
 
+    @cached_property
+    def _present(self) -> DataFrame:
+        """The account-years that have bookings of any type."""
+        return self.in_year.select(*report.KEYS).distinct()
+
     @cached_property
     def classified(self) -> DataFrame:
         return self._keep(self._income)
@@ -192,7 +197,8 @@ class TaxResult:
 
     @cached_property
     def totals(self) -> DataFrame:
-        return self._keep(report.account_year_totals(self.rows, self._of_year(self._sales_all), self.has_tax))
+        sales = self._of_year(self._sales_all)
+        return self._keep(report.account_year_totals(self._income, sales, self.has_tax, present=self._present))
 
     @cached_property
     def form_lines(self) -> DataFrame:
@@ -204,7 +210,8 @@ class TaxResult:
 
     @cached_property
     def positions(self) -> DataFrame:
-        totals = report.account_year_totals(self.rows, self._of_year(self._sales_all), self.has_tax, countries=True)
+        sales = self._of_year(self._sales_all)
+        totals = report.account_year_totals(self._income, sales, self.has_tax, countries=True, present=self._present)
         return report.report_positions(self._keep(totals))
 
     def reports(self) -> tuple[dict[str, DataFrame], list[int]]:
@@ -215,7 +222,7 @@ class TaxResult:
         if shared and self.cfg.on_issue == "quarantine" and not self.cfg.checkpoint_sales:
             # the list of accounts and the tables read the same FIFO result
             self.__dict__["_sales_all"] = stage(self._sales_all, "sales")
-        facts = report.account_facts(self.rows, self._of_year(self._sales_all))
+        facts = report.account_facts(self._income, self._of_year(self._sales_all), self._present)
         facts = self._keep(stage(facts, "report_facts") if shared else facts)
         totals = report.totals_of(facts, self.has_tax)
         tables = {

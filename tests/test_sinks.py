@@ -100,3 +100,27 @@ def test_files_follow_the_data_not_the_tasks(spark, result, tmp_path):
     write_details(result().details().repartition(40), str(out), fmt="parquet")
     for year in (2021, 2022):
         assert len(list(Path(out, f"tax_year={year}").glob("*.parquet"))) == 1
+
+
+def test_totals_of_income_and_present_years_equal_those_of_all_bookings(result):
+    from kapspark.operators import report
+
+    text = f"{ROWS}\n01-04-2023 10:00:00;9;Kauf;S;CH0012032048;1;-10,00;0,00;EUR\n01-05-2024 10:00:00;10;Dividende;S;CH0012032048;0;0,00;0,00;EUR"
+    res = result(text)
+    assert res.rows.where("scope is null").count() > 0 and res._income.where("scope is null").count() == 0
+    assert res._present.count() == 4
+    for countries in (False, True):
+        want = report.account_year_totals(res.rows, res._sales_all, True, countries)
+        got = report.account_year_totals(res._income, res._sales_all, True, countries, present=res._present)
+        assert rows_of(got) == rows_of(want) and got.count() == 4
+    want = report.totals_of(report.account_facts(res.rows, res._sales_all), True)
+    got = report.totals_of(report.account_facts(res._income, res._sales_all, res._present), True)
+    assert rows_of(got) == rows_of(want) and got.count() == 4
+
+
+def test_sums_skip_zeros_only(spark):
+    from kapspark.functions import nonzero_sum
+
+    rows = spark.sql("select * from values (1, 0.1D), (1, 0D), (1, -0.3D), (2, 0D), (3, null) as t(k, x)")
+    got = {r["k"]: r["s"] for r in rows.groupBy("k").agg(nonzero_sum("x", "decimal(28,10)").alias("s")).collect()}
+    assert {k: v if v is None else float(v) for k, v in got.items()} == {1: -0.2, 2: None, 3: None}
