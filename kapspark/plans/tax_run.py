@@ -177,7 +177,12 @@ class TaxResult:
     @cached_property
     def _sales_all(self) -> DataFrame:
         sales = fifo.realized_sales(self.ledger_fx, self.cfg, ledger=self.ledger, lots=self._lots)
-        return self._stored(sales, issues.fifo_checks(), "sales") if self.cfg.checkpoint_sales else sales
+        if self.cfg.checkpoint_sales:
+            return self._stored(sales, issues.fifo_checks(), "sales")
+        if self.cfg.on_issue == "quarantine" and self.spark.sparkContext.getCheckpointDir():
+            # the list of accounts and the outputs read the same FIFO result
+            return stage(sales, "sales")
+        return sales
 
     @cached_property
     def sales_all_years(self) -> DataFrame:
@@ -219,9 +224,6 @@ class TaxResult:
         they cover. All come from one aggregate (``report.account_facts``); with a checkpoint
         directory it is stored, so income is read once and FIFO runs once for all tables."""
         shared = bool(self.spark.sparkContext.getCheckpointDir())
-        if shared and self.cfg.on_issue == "quarantine" and not self.cfg.checkpoint_sales:
-            # the list of accounts and the tables read the same FIFO result
-            self.__dict__["_sales_all"] = stage(self._sales_all, "sales")
         facts = report.account_facts(self._income, self._of_year(self._sales_all), self._present)
         facts = self._keep(stage(facts, "report_facts") if shared else facts)
         totals = report.totals_of(facts, self.has_tax)

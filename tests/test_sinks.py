@@ -124,3 +124,10 @@ def test_sums_skip_zeros_only(spark):
     rows = spark.sql("select * from values (1, 0.1D), (1, 0D), (1, -0.3D), (2, 0D), (3, null) as t(k, x)")
     got = {r["k"]: r["s"] for r in rows.groupBy("k").agg(nonzero_sum("x", "decimal(28,10)").alias("s")).collect()}
     assert {k: v if v is None else float(v) for k, v in got.items()} == {1: -0.2, 2: None, 3: None}
+
+
+def test_quarantine_runs_fifo_once(result):
+    lines = result(on_issue="quarantine").form_lines
+    assert any("/sales/" in f for f in lines.inputFiles())
+    assert "cum_buy" not in lines._jdf.queryExecution().executedPlan().toString()
+    assert lines.count() > 0
