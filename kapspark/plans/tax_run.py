@@ -52,6 +52,19 @@ class TaxResult:
         # issue -> number of rows, as far as they were counted while tables were stored
         self._found: dict[str, int] = {}
 
+    def for_year(self, year: int) -> "TaxResult":
+        """The same computation with ``year`` requested. FIFO sees all years whichever is
+        requested, so its result is handed on: with ``cfg.checkpoint_sales`` it is stored once
+        for all years."""
+        cfg = self.cfg.with_(tax_year=year)
+        args = (self._rates_daily, self._rules, cfg, self._yearly, self._rules_validated, self._lots)
+        res = TaxResult(self.spark, self._ledger_all, *args)
+        res.__dict__["_sales_all"] = self._sales_all
+        if cfg.checkpoint_ledger:
+            res.__dict__["_fx_all"] = self._fx_all
+        res._found = dict(self._found)
+        return res.check() if cfg.on_issue == "error" else res
+
     @cached_property
     def bad_accounts(self) -> DataFrame | None:
         """Accounts to quarantine (None under the other policies). Found once:

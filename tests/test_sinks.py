@@ -131,3 +131,13 @@ def test_quarantine_runs_fifo_once(result):
     assert any("/sales/" in f for f in lines.inputFiles())
     assert "cum_buy" not in lines._jdf.queryExecution().executedPlan().toString()
     assert lines.count() > 0
+
+
+def test_years_of_one_result_share_the_stored_fifo_result(result):
+    whole = result(checkpoint_sales=True)
+    for year in (2021, 2022):
+        of_year, single = whole.for_year(year), result(tax_year=year)
+        assert of_year._sales_all is whole._sales_all and any("/sales/" in f for f in of_year.sales.inputFiles())
+        got, want = of_year.reports(), single.reports()
+        assert got[1] == want[1] == [year]
+        assert all(rows_of(got[0][name]) == rows_of(want[0][name]) for name in TABLES)
